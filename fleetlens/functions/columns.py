@@ -1,5 +1,6 @@
 """Small Column builders shared by the operators. All stay inside whole-stage codegen."""
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -9,11 +10,12 @@ from . import fixed_values as V
 
 
 def any_of(conditions):
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))
+    return reduce(lambda a, b: a | b, conditions)
 
 
 def contains_any(text: Column, parts) -> Column:
-    return any_of(text.contains(p) for p in parts)
+    """True when any of the fixed ``parts`` occurs; one alternation instead of many searches."""
+    return text.rlike("|".join(re.escape(p) for p in parts))
 
 
 def basename(path: Column) -> Column:
@@ -38,29 +40,38 @@ def quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def literals(words) -> str:
+    return ", ".join(quoted(w) for w in words)
+
+
 def severity_rank(severity: Column) -> Column:
     """0 for critical up to 4 for informational, NULL for anything else."""
-    position = F.array_position(F.array(*[F.lit(s) for s in V.SEVERITIES]), severity)
+    position = F.array_position(F.expr(f"array({literals(V.SEVERITIES)})"), severity)
     return F.nullif(position, F.lit(0).cast("long")) - 1
 
 
+def looked_up(key: Column, table: dict) -> Column:
+    """Value of ``key`` in a short fixed table, or NULL."""
+    pairs = literals(x for item in table.items() for x in item)
+    return F.try_element_at(F.expr(f"map({pairs})"), key)
+
+
+def labels_where(test: str, table: dict) -> Column:
+    """Array of the labels whose keyword passes ``test``, SQL text with ``{}`` for the keyword."""
+    cases = ", ".join(
+        f"CASE WHEN {test.format(quoted(word))} THEN {quoted(label)} END" for word, label in table.items()
+    )
+    return F.expr(f"array_compact(array({cases}))")
+
+
 def normal_severity(spelling: Column) -> Column:
     """Severity for any tool's spelling of it; unknown spellings count as medium."""
     lowered = F.lower(F.coalesce(spelling, F.lit("")))
-    known = {}
-    for word, severity in V.SEVERITY_SPELLINGS.items():
-        known.setdefault(severity, []).append(word)
-    result = F.when(F.lit(False), F.lit(None).cast("string"))
-    for severity, words in known.items():
-        result = result.when(lowered.isin(words), F.lit(severity))
-    return result.otherwise(F.lit(V.SEVERITY_FALLBACK))
+    return F.coalesce(looked_up(lowered, V.SEVERITY_SPELLINGS), F.lit(V.SEVERITY_FALLBACK))
 
 
 def sarif_level(severity: Column) -> Column:
-    result = F.when(F.lit(False), F.lit(None).cast("string"))
-    for name in V.SEVERITIES:
-        result = result.when(severity == name, F.lit(V.SARIF_LEVEL[name]))
-    return result
+    return looked_up(severity, V.SARIF_LEVEL)
 
 
 def line_number(text: Column) -> Column:
@@ -81,12 +92,14 @@ def is_active(status: Column) -> Column:
 
 def array_of_rows(fields, rows) -> Column:
     """Literal array of structs, for fanning a row out over a short fixed list."""
-    return F.array(
-        *[
-            F.struct(*[F.lit(v).alias(name) for name, v in zip(fields, row, strict=True)])
-            for row in rows
-        ]
-    )
+    def cell(value):
+        return quoted(value) if isinstance(value, str) else str(value)
+
+    structs = [
+        "named_struct(" + ", ".join(f"'{f}', {cell(v)}" for f, v in zip(fields, row, strict=True)) + ")"
+        for row in rows
+    ]
+    return F.expr(f"array({', '.join(structs)})")
 
 
 def present(*conditional) -> Column:

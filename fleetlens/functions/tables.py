@@ -5,7 +5,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .columns import quoted
@@ -95,10 +95,3 @@ def numbered(
         .withColumn(name, F.col("_at") + F.col("_shift"))
         .drop("_at", "_shift", "_slice")
     )
-
-
-def with_finding_ids(df: DataFrame, area: str, by, order) -> DataFrame:
-    """Add ``id`` = area prefix and the 1-based number of the row within its group."""
-    ranked = numbered(df, by, order, "_n")
-    number: Column = F.format_string(f"RG-{area}-%03d", F.col("_n"))
-    return ranked.withColumn("id", number).drop("_n")

@@ -5,13 +5,22 @@ only (repo, label) pairs are shuffled, after map-side de-duplication. Lists of p
 bound per repository and therefore stay rows.
 """
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
-from ..functions.columns import any_of, basename, contains_any, extension, present
+from ..functions.columns import (
+    basename,
+    contains_any,
+    extension,
+    labels_where,
+    literals,
+    looked_up,
+    present,
+)
 from ..sources.files import is_route_file, lines_matching
 
 MANIFEST_SCHEMA = (
@@ -24,20 +33,10 @@ DEPENDENCY_BLOCKS = ["dependencies", "devDependencies", "peerDependencies"]
 READ_MANIFESTS = ["package.json", *V.KEYWORD_MANIFESTS]
 
 
-def _looked_up(key: Column, table: dict) -> Column:
-    pairs = [F.lit(x) for item in table.items() for x in item]
-    return F.try_element_at(F.create_map(*pairs), key)
-
-
-def _labels(test, table: dict) -> Column:
-    """Array of the labels whose keyword passes ``test``."""
-    return present(*[F.when(test(word), F.lit(label)) for word, label in table.items()])
-
-
 # --- labels from paths ---------------------------------------------------------------------
 
 def languages(files: DataFrame) -> DataFrame:
-    language = _looked_up(extension(F.col("path")), V.LANGUAGE_BY_EXTENSION)
+    language = looked_up(extension(F.col("path")), V.LANGUAGE_BY_EXTENSION)
     return (
         files.select("repo", language.alias("language")).filter("language IS NOT NULL").distinct()
     )
@@ -46,8 +45,8 @@ def languages(files: DataFrame) -> DataFrame:
 def package_managers(files: DataFrame) -> DataFrame:
     """Managers by file name; a package.json without any Node manager implies npm."""
     base = basename(F.col("path"))
-    manager = _looked_up(base, V.PACKAGE_MANAGER_BY_FILE)
-    node = F.array(*[F.lit(m) for m in V.NODE_PACKAGE_MANAGERS])
+    manager = looked_up(base, V.PACKAGE_MANAGER_BY_FILE)
+    node = F.expr(f"array({literals(V.NODE_PACKAGE_MANAGERS)})")
     per_repo = files.groupBy("repo").agg(
         F.collect_set(manager).alias("named"),
         F.bool_or(base == "package.json").alias("has_package"),
@@ -63,8 +62,16 @@ def dependency_files(files: DataFrame) -> DataFrame:
     return files.filter(basename(F.col("path")).isin(V.DEPENDENCY_FILES)).select("repo", "path")
 
 
+def _starts_with(parts) -> str:
+    return "^(?:" + "|".join(re.escape(p) for p in parts) + ")"
+
+
+def _ends_with(parts) -> str:
+    return "(?:" + "|".join(re.escape(p) for p in parts) + r")\z"
+
+
 def is_ci_file(path: Column) -> Column:
-    return path.isin(V.CI_PATHS) | any_of(path.startswith(p) for p in V.CI_PREFIXES)
+    return path.isin(V.CI_PATHS) | path.rlike(_starts_with(V.CI_PREFIXES))
 
 
 def is_infra_file(path: Column) -> Column:
@@ -72,7 +79,7 @@ def is_infra_file(path: Column) -> Column:
     return (
         base.isin(V.INFRA_NAMES)
         | base.startswith("Dockerfile.")
-        | any_of(path.endswith(s) for s in V.INFRA_SUFFIXES)
+        | path.rlike(_ends_with(V.INFRA_SUFFIXES))
         | contains_any(path, V.INFRA_PATH_PARTS)
     )
 
@@ -100,16 +107,13 @@ def paths_where(files: DataFrame, test) -> DataFrame:
 
 def package_manifests(files: DataFrame) -> DataFrame:
     """package.json files parsed; ``valid`` is false when the text is not JSON."""
-    return (
-        files.filter(basename(F.col("path")) == "package.json")
-        .select(
-            "repo",
-            "path",
-            "content",
-            F.try_parse_json("content").isNotNull().alias("valid"),
-            F.from_json("content", MANIFEST_SCHEMA, STRICT_JSON).alias("m"),
-        )
-        .select("repo", "path", "content", "valid", "m.*")
+    # ``inline`` keeps the parse in one place; separate field accesses would each parse again.
+    return files.filter(basename(F.col("path")) == "package.json").select(
+        "repo",
+        "path",
+        "content",
+        F.try_parse_json("content").isNotNull().alias("valid"),
+        F.inline(F.array(F.from_json("content", MANIFEST_SCHEMA, STRICT_JSON))),
     )
 
 
@@ -144,7 +148,7 @@ def _as_facts(rows: DataFrame, **labels_by_concern) -> DataFrame:
 def node_frameworks(dependencies: DataFrame) -> DataFrame:
     """Frameworks named exactly by a dependency, as (repo, concern, label)."""
     def named(table):
-        return _labels(lambda word: F.col("dep") == word, table)
+        return labels_where("dep = {}", table)
 
     api = named(V.NODE_API_FRAMEWORKS)
     return _as_facts(
@@ -155,9 +159,9 @@ def node_frameworks(dependencies: DataFrame) -> DataFrame:
     )
 
 
-def _first_by_path(files: DataFrame, name: str, text: Column, table: dict) -> DataFrame:
+def _first_by_path(files: DataFrame, name: str, text: str, table: dict) -> DataFrame:
     """API labels in the first manifest called ``name``. Labels, not contents, are aggregated."""
-    found = _labels(lambda word: text.contains(word), table)
+    found = labels_where(f"contains({text}, {{}})", table)
     firsts = (
         files.filter(basename(F.col("path")) == name)
         .groupBy("repo")
@@ -170,7 +174,7 @@ def non_node_stacks(files: DataFrame) -> DataFrame:
     """Python, Go and Rust frameworks and test tools, as (repo, concern, label)."""
     path, lowered = F.col("path"), F.lower("content")
     base = basename(path)
-    web = _labels(lambda word: lowered.contains(word), V.PYTHON_WEB_FRAMEWORKS)
+    web = labels_where("contains(lower(content), {})", V.PYTHON_WEB_FRAMEWORKS)
     python = _as_facts(
         files.filter(base.isin(V.PYTHON_MANIFESTS)),
         framework=web,
@@ -182,8 +186,8 @@ def non_node_stacks(files: DataFrame) -> DataFrame:
         [
             python,
             test_conventions(files),
-            _first_by_path(files, "go.mod", F.col("content"), V.GO_WEB_FRAMEWORKS),
-            _first_by_path(files, "Cargo.toml", lowered, V.RUST_WEB_FRAMEWORKS),
+            _first_by_path(files, "go.mod", "content", V.GO_WEB_FRAMEWORKS),
+            _first_by_path(files, "Cargo.toml", "lower(content)", V.RUST_WEB_FRAMEWORKS),
         ],
     ).distinct()
 
@@ -212,16 +216,16 @@ def stores_and_integrations(files: DataFrame) -> DataFrame:
     A keyword counts when a Node dependency starts with it or when another manifest's text
     contains it anywhere.
     """
-    dep, text = F.col("dep"), F.lower("content")
+    named, written = "startswith(dep, {})", "contains(lower(content), {})"
     by_name = _as_facts(
         node_dependencies(files),
-        database=_labels(dep.startswith, V.DATABASE_KEYWORDS),
-        integration=_labels(dep.startswith, V.INTEGRATION_KEYWORDS),
+        database=labels_where(named, V.DATABASE_KEYWORDS),
+        integration=labels_where(named, V.INTEGRATION_KEYWORDS),
     )
     by_text = _as_facts(
         files.filter(basename(F.col("path")).isin(V.KEYWORD_MANIFESTS)),
-        database=_labels(text.contains, V.DATABASE_KEYWORDS),
-        integration=_labels(text.contains, V.INTEGRATION_KEYWORDS),
+        database=labels_where(written, V.DATABASE_KEYWORDS),
+        integration=labels_where(written, V.INTEGRATION_KEYWORDS),
     )
     return by_name.unionByName(by_text).distinct()
 

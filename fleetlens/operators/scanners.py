@@ -1,7 +1,9 @@
 """In-house scanners: from lines, manifests and labels to findings.
 
-A scanner is any function ``scan(evidence) -> findings``; ``SCANNERS`` lists the built-in ones
-in order and callers may append their own. ``Evidence`` holds the tables they may read.
+A scanner is any function ``scan(evidence) -> hits``; ``SCANNERS`` lists the built-in ones in
+order and callers may append their own. ``Evidence`` holds the tables they may read. Hits are
+findings without an id: they name their ``area`` and the columns ``part, file, line, k1, k2``
+order them. ``identified`` numbers the hits of all scanners in one go.
 """
 
 from dataclasses import dataclass, field
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..functions.columns import any_of, basename, contains_any, present
 from ..functions.schemas import as_findings
-from ..functions.tables import with_finding_ids, written
+from ..functions.tables import numbered, written
 from ..sources.files import explode_lines, is_risky_config, is_route_file, is_text
 from . import discovery
 
@@ -110,6 +112,28 @@ def collect(files: DataFrame) -> Evidence:
     return Evidence(files.select("repo", "path"), written(signals, "signals"))
 
 
+# --- hits --------------------------------------------------------------------------------------
+
+ORDER = ["part", "k1", "k2"]
+
+
+def as_hits(rows: DataFrame, area: str, **fixed) -> DataFrame:
+    """Lay rows out as hits of ``area``; ``fixed`` gives columns with one value for all."""
+    columns = {name: F.lit(value) for name, value in {"part": 0, "k1": 0, "k2": 0, "id": ""}.items()}
+    columns = {name: value for name, value in columns.items() if name not in rows.columns}
+    columns.update({name: F.lit(value) for name, value in fixed.items()})
+    columns["area"] = F.lit(area)
+    return as_findings(rows.withColumns(columns), extra=["area", *ORDER])
+
+
+def identified(hits: DataFrame) -> DataFrame:
+    """Findings from hits: ids run from 1 per repository and area, in file and line order."""
+    order = ["part", "file", "line", "k1", "k2"]
+    ranked = numbered(written(hits, "hits"), ["repo", "area"], order)
+    number = F.concat(F.lit("RG-"), "area", F.lit("-"), F.format_string("%03d", "n"))
+    return as_findings(ranked.withColumn("id", number))
+
+
 # --- secrets ---------------------------------------------------------------------------------
 
 def secret_hits(lines: DataFrame) -> DataFrame:
@@ -138,26 +162,25 @@ def secret_hits(lines: DataFrame) -> DataFrame:
 
 
 def secrets(evidence: Evidence) -> DataFrame:
-    hits = written(secret_hits(evidence.lines.filter(is_text(F.col("path")))), "secrets")
-    place = F.concat_ws(":", "path", F.col("line_no").cast("string"))
-    found = with_finding_ids(hits, "SECRET", ["repo"], ["path", "line_no", "pos"])
-    return as_findings(
-        found.select(
+    hits = secret_hits(evidence.lines.filter(is_text(F.col("path"))))
+    return as_hits(
+        hits.select(
             "repo",
-            "id",
             F.concat(F.lit("Possible hardcoded secret ("), "kind", F.lit(")")).alias("title"),
-            F.lit("high").alias("severity"),
-            F.lit("secrets").alias("category"),
-            F.lit("potential").alias("status"),
-            F.lit(50).alias("confidence"),
             F.col("path").alias("file"),
             F.col("line_no").alias("line"),
-            F.lit(V.SECRET_DESCRIPTION).alias("description"),
-            place.alias("evidence"),
-            F.lit(V.SECRET_IMPACT).alias("impact"),
-            F.lit(V.SECRET_FIX).alias("recommended_fix"),
-            F.lit("scanner:secrets").alias("source"),
-        )
+            F.col("pos").alias("k1"),
+            F.concat_ws(":", "path", F.col("line_no").cast("string")).alias("evidence"),
+        ),
+        "SECRET",
+        severity="high",
+        category="secrets",
+        status="potential",
+        confidence=50,
+        description=V.SECRET_DESCRIPTION,
+        impact=V.SECRET_IMPACT,
+        recommended_fix=V.SECRET_FIX,
+        source="scanner:secrets",
     )
 
 
@@ -204,60 +227,50 @@ def missing_lockfiles(paths: DataFrame) -> DataFrame:
 
 def dependencies(evidence: Evidence) -> DataFrame:
     manifests = discovery.package_manifests(evidence.manifests)
-    bad = bad_manifests(manifests).select(
-        "repo",
-        F.col("path").alias("file"),
-        F.lit(0).alias("part"),
-        F.lit(0).alias("block_no"),
-        F.lit(0).alias("pos"),
-        F.concat(F.lit("Unparseable manifest "), "path").alias("title"),
-        F.lit("manual-verification").alias("status"),
-        F.lit(40).alias("confidence"),
-        F.lit(V.BAD_MANIFEST_DESCRIPTION).alias("description"),
-        F.lit("").alias("impact"),
-        F.lit("").alias("recommended_fix"),
-    )
-    floating = floating_versions(manifests).select(
-        "repo",
-        F.col("path").alias("file"),
-        F.lit(0).alias("part"),
-        "block_no",
-        "pos",
-        F.concat(
-            F.lit('Floating version for "'), "dep", F.lit('" ('), "range", F.lit(")")
-        ).alias("title"),
-        F.lit("potential").alias("status"),
-        F.lit(60).alias("confidence"),
-        F.concat(
-            F.lit('Dependency "'), "dep", F.lit('" uses an unpinned range "'), "range", F.lit('".')
-        ).alias("description"),
-        F.lit(V.FLOATING_IMPACT).alias("impact"),
-        F.lit(V.FLOATING_FIX).alias("recommended_fix"),
+    shared = {"severity": "low", "category": "dependency", "source": "scanner:dependencies"}
+    bad = as_hits(
+        bad_manifests(manifests).select(
+            "repo",
+            F.col("path").alias("file"),
+            F.concat(F.lit("Unparseable manifest "), "path").alias("title"),
+        ),
+        "DEP",
+        status="manual-verification",
+        confidence=40,
+        description=V.BAD_MANIFEST_DESCRIPTION,
+        **shared,
     )
-    unlocked = missing_lockfiles(evidence.files).select(
-        "repo",
-        F.col("path").alias("file"),
-        F.lit(1).alias("part"),
-        F.lit(0).alias("block_no"),
-        F.lit(0).alias("pos"),
-        F.lit(V.NO_LOCKFILE_TITLE).alias("title"),
-        F.lit("potential").alias("status"),
-        F.lit(65).alias("confidence"),
-        F.lit(V.NO_LOCKFILE_DESCRIPTION).alias("description"),
-        F.lit(V.NO_LOCKFILE_IMPACT).alias("impact"),
-        F.lit(V.NO_LOCKFILE_FIX).alias("recommended_fix"),
+    floating = as_hits(
+        floating_versions(manifests).select(
+            "repo",
+            F.col("path").alias("file"),
+            F.col("block_no").alias("k1"),
+            F.col("pos").alias("k2"),
+            F.format_string('Floating version for "%s" (%s)', "dep", "range").alias("title"),
+            F.format_string('Dependency "%s" uses an unpinned range "%s".', "dep", "range").alias(
+                "description"
+            ),
+        ),
+        "DEP",
+        status="potential",
+        confidence=60,
+        impact=V.FLOATING_IMPACT,
+        recommended_fix=V.FLOATING_FIX,
+        **shared,
     )
-    hits = written(bad.unionByName(floating).unionByName(unlocked), "dependencies")
-    found = with_finding_ids(hits, "DEP", ["repo"], ["part", "file", "block_no", "pos"])
-    return as_findings(
-        found.withColumns(
-            {
-                "severity": F.lit("low"),
-                "category": F.lit("dependency"),
-                "source": F.lit("scanner:dependencies"),
-            }
-        )
+    unlocked = as_hits(
+        missing_lockfiles(evidence.files).select("repo", F.col("path").alias("file")),
+        "DEP",
+        part=1,
+        title=V.NO_LOCKFILE_TITLE,
+        status="potential",
+        confidence=65,
+        description=V.NO_LOCKFILE_DESCRIPTION,
+        impact=V.NO_LOCKFILE_IMPACT,
+        recommended_fix=V.NO_LOCKFILE_FIX,
+        **shared,
     )
+    return bad.unionByName(floating).unionByName(unlocked)
 
 
 # --- routes ----------------------------------------------------------------------------------
@@ -326,17 +339,15 @@ def route_gaps(inventory: DataFrame) -> DataFrame:
 
 
 def routes(evidence: Evidence) -> DataFrame:
-    hits = written(route_gaps(api_inventory(evidence.endpoints)), "routes")
-    found = with_finding_ids(hits, "API", ["repo"], ["file", "line", "pos", "kind"])
-    return as_findings(
-        found.withColumns(
-            {
-                "status": F.lit("potential"),
-                "confidence": F.lit(45),
-                "evidence": F.concat_ws(":", "file", F.col("line").cast("string")),
-                "source": F.lit("scanner:routes"),
-            }
-        )
+    gaps = route_gaps(api_inventory(evidence.endpoints))
+    return as_hits(
+        gaps.withColumnsRenamed({"pos": "k1", "kind": "k2"}).withColumn(
+            "evidence", F.concat_ws(":", "file", F.col("line").cast("string"))
+        ),
+        "API",
+        status="potential",
+        confidence=45,
+        source="scanner:routes",
     )
 
 
@@ -360,41 +371,37 @@ def is_header_framework(label: Column) -> Column:
 def permissions(evidence: Evidence) -> DataFrame:
     exposed = evidence.api_labels.select("repo").unionByName(evidence.endpoints.select("repo"))
     lacking = repos_without(exposed, evidence.signals.filter("authorizes"))
-    return as_findings(
-        lacking.select(
-            "repo",
-            F.lit("RG-AUTHZ-001").alias("id"),
-            F.lit(V.NO_AUTHZ_TITLE).alias("title"),
-            F.lit("high").alias("severity"),
-            F.lit("authorization").alias("category"),
-            F.lit("manual-verification").alias("status"),
-            F.lit(40).alias("confidence"),
-            F.lit(V.NO_AUTHZ_DESCRIPTION).alias("description"),
-            F.lit(V.NO_AUTHZ_IMPACT).alias("impact"),
-            F.lit(V.NO_AUTHZ_TRIGGER).alias("trigger_condition"),
-            F.lit(V.NO_AUTHZ_FIX).alias("recommended_fix"),
-            F.lit("scanner:permissions").alias("source"),
-        )
+    return as_hits(
+        lacking,
+        "AUTHZ",
+        title=V.NO_AUTHZ_TITLE,
+        severity="high",
+        category="authorization",
+        status="manual-verification",
+        confidence=40,
+        description=V.NO_AUTHZ_DESCRIPTION,
+        impact=V.NO_AUTHZ_IMPACT,
+        trigger_condition=V.NO_AUTHZ_TRIGGER,
+        recommended_fix=V.NO_AUTHZ_FIX,
+        source="scanner:permissions",
     )
 
 
 def security_headers(evidence: Evidence) -> DataFrame:
     using = evidence.api_labels.filter(is_header_framework(F.col("label")))
     lacking = repos_without(using, evidence.signals.filter("hardens"))
-    return as_findings(
-        lacking.select(
-            "repo",
-            F.lit("RG-HDR-001").alias("id"),
-            F.lit(V.NO_HEADERS_TITLE).alias("title"),
-            F.lit("medium").alias("severity"),
-            F.lit("security").alias("category"),
-            F.lit("potential").alias("status"),
-            F.lit(50).alias("confidence"),
-            F.lit(V.NO_HEADERS_DESCRIPTION).alias("description"),
-            F.lit(V.NO_HEADERS_IMPACT).alias("impact"),
-            F.lit(V.NO_HEADERS_FIX).alias("recommended_fix"),
-            F.lit("scanner:security-headers").alias("source"),
-        )
+    return as_hits(
+        lacking,
+        "HDR",
+        title=V.NO_HEADERS_TITLE,
+        severity="medium",
+        category="security",
+        status="potential",
+        confidence=50,
+        description=V.NO_HEADERS_DESCRIPTION,
+        impact=V.NO_HEADERS_IMPACT,
+        recommended_fix=V.NO_HEADERS_FIX,
+        source="scanner:security-headers",
     )
 
 
@@ -426,24 +433,23 @@ def config_hits(lines: DataFrame) -> DataFrame:
 
 
 def configuration(evidence: Evidence) -> DataFrame:
-    hits = written(config_hits(evidence.lines), "configuration")
-    found = with_finding_ids(hits, "CONF", ["repo"], ["path", "line_no", "rule_no"])
-    return as_findings(
-        found.select(
+    return as_hits(
+        config_hits(evidence.lines).select(
             "repo",
-            "id",
-            F.concat_ws(" in ", "label", "path").alias("title"),
             "severity",
-            F.lit("configuration").alias("category"),
-            F.lit("potential").alias("status"),
-            F.lit(55).alias("confidence"),
+            F.concat_ws(" in ", "label", "path").alias("title"),
             F.col("path").alias("file"),
             F.col("line_no").alias("line"),
-            F.concat(F.lit("Configuration pattern detected: "), "label", F.lit(".")).alias("description"),
+            F.col("rule_no").alias("k1"),
+            F.format_string("Configuration pattern detected: %s.", "label").alias("description"),
             F.concat_ws(":", "path", F.col("line_no").cast("string")).alias("evidence"),
             F.col("fix").alias("recommended_fix"),
-            F.lit("scanner:configuration").alias("source"),
-        )
+        ),
+        "CONF",
+        category="configuration",
+        status="potential",
+        confidence=55,
+        source="scanner:configuration",
     )
 
 
@@ -482,8 +488,9 @@ SCANNERS = [
 
 def seed_findings(evidence: Evidence, ingested=(), scanners=None) -> DataFrame:
     """Findings of all scanners, then of the ingested tool outputs."""
-    built = [scan(evidence) for _, scan in (scanners or SCANNERS)]
-    return reduce(DataFrame.unionByName, [*built, *ingested])
+    hits = [scan(evidence) for _, scan in (scanners or SCANNERS)]
+    found = identified(reduce(DataFrame.unionByName, hits))
+    return reduce(DataFrame.unionByName, ingested, found)
 
 
 def scanner_summary(findings: DataFrame, repos: DataFrame) -> DataFrame:

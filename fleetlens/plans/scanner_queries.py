@@ -1,12 +1,13 @@
 """Queries on line scanners, finding construction, tool ingestion and coverage."""
 
-from functools import partial
+from functools import partial, reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
-from ..functions.columns import normal_severity
-from ..functions.tables import with_finding_ids, written
+from ..functions.columns import finding_id, normal_severity
+from ..functions.tables import numbered, written
 from ..operators import coverage, ingest, scanners
 from ..sources import files as source
 from ..sources.tool_output import outputs_of, usable_outputs
@@ -59,10 +60,12 @@ def secrets_scan(spark, folder):
     ),
 )
 def finding_ids(spark, folder):
+    """Numbering of one scanner's hits on its own."""
     lines = source.lines_matching(views.config_source_files(spark, folder), scanners.CONFIG_LINE)
-    hits = written(scanners.config_hits(lines), "config")
-    return with_finding_ids(hits, "CONF", ["repo"], ["path", "line_no", "rule_no"]).select(
-        "repo", "path", "line_no", "label", "severity", "id"
+    hits = scanners.config_hits(lines)
+    ranked = numbered(written(hits, "config"), ["repo"], ["path", "line_no", "rule_no"])
+    return ranked.select(
+        "repo", "path", "line_no", "label", "severity", finding_id("CONF", F.col("n")).alias("id")
     )
 
 
@@ -164,7 +167,7 @@ INGEST_COLUMNS = [
 
 
 def ingested(spark, folder, tool, ingester=None):
-    runs = outputs_of(views.tool_runs(spark, folder), tool)
+    runs = outputs_of(views.tool_runs(spark, folder, tool), tool)
     return (ingester or ingest.INGESTERS[tool])(runs).select(*INGEST_COLUMNS)
 
 
@@ -309,7 +312,7 @@ def ingest_trivy(spark, folder):
           FROM orders)""",
 )
 def severity_normalise(spark, folder):
-    spelling = views.choose(F.col("o_orderkey"), views.TOOL_SEVERITIES)
+    spelling = F.expr(views.choose("o_orderkey", views.TOOL_SEVERITIES))
     return views.table(spark, folder, "orders").select(
         "o_orderkey", spelling.alias("spelling"), normal_severity(spelling).alias("severity")
     )
@@ -327,8 +330,12 @@ def severity_normalise(spark, folder):
 )
 def tool_cap(spark, folder):
     """Findings kept per document. The cap holds inside each document, so nothing is ranked."""
+    kept = [
+        ingest.ingest_all(views.tool_runs(spark, folder, tool), {tool: ingester})
+        for tool, ingester in ingest.INGESTERS.items()
+    ]
     return (
-        ingest.ingest_all(views.tool_runs(spark, folder))
+        reduce(DataFrame.unionByName, kept)
         .groupBy("repo", "run_id", "source")
         .agg(F.count("*").alias("findings"))
     )

@@ -12,15 +12,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
+from ..functions.columns import quoted
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def choose(number: Column, options) -> Column:
-    """The option at ``number`` modulo their count."""
-    return F.get(F.array(*[F.lit(o) for o in options]), (number % len(options)).cast("int"))
+def choose(number: str, options) -> str:
+    """SQL for the option at ``number`` modulo their count."""
+    listed = ", ".join("NULL" if o is None else quoted(o) for o in options)
+    return f"get(array({listed}), CAST({number} % {len(options)} AS INT))"
 
 
 def repo_of(key: Column) -> Column:
@@ -38,11 +40,11 @@ DOCUMENT_EXTS = [".ts", ".py", ".go", ".md", ".yaml", ".tf"]
 
 
 def document_files(spark, folder) -> DataFrame:
-    doc = F.col("doc_id")
-    return table(spark, folder, "documents").select(
-        F.col("source").alias("repo"),
-        F.concat(choose(doc, DOCUMENT_DIRS), F.lit("/"), text(doc), choose(doc, DOCUMENT_EXTS)).alias("path"),
-        F.col("text").alias("content"),
+    directory, suffix = choose("doc_id", DOCUMENT_DIRS), choose("doc_id", DOCUMENT_EXTS)
+    return table(spark, folder, "documents").selectExpr(
+        "source AS repo",
+        f"concat({directory}, '/', doc_id, {suffix}) AS path",
+        "text AS content",
     )
 
 
@@ -68,25 +70,17 @@ ROUTE_MIDDLEWARE = ["authenticate, ", "limiter, ", "validate(schema), ", ""]
 
 def route_files(spark, folder) -> DataFrame:
     """One file per event: a comment line, then one to three route registrations."""
-    event, kind = F.col("event_id"), F.col("event_type")
-    segment = F.try_element_at(F.create_map(*[F.lit(x) for p in ROUTE_SEGMENTS.items() for x in p]), kind)
-
-    def line(j):
-        n = event + j
-        call = F.when(event % 17 == 0, F.lit("ROUTER . ")).otherwise(F.lit("router."))
-        first = F.concat(
-            call, choose(n, ROUTE_METHODS), F.lit("('/api/"), segment, F.lit("/"), kind, F.lit("/"),
-            text(j), F.lit("', "), choose(n, ROUTE_MIDDLEWARE), F.lit("handler)"),
-        )
-        second = F.when(event % 13 == 0, F.lit("; app.all('/health', handler)")).otherwise(F.lit(""))
-        return F.concat(first, second)
-
-    lines = F.transform(F.sequence(F.lit(0), (event % 3).cast("int")), line)
-    suffix = F.when(event % 11 == 0, F.lit(".test.ts")).otherwise(F.lit(".ts"))
-    return table(spark, folder, "events").select(
-        repo_of(F.col("user_id")).alias("repo"),
-        F.concat(F.lit("src/routes/"), kind, F.lit("_"), text(event), suffix).alias("path"),
-        F.concat(F.lit("// routes for "), kind, F.lit("\n"), F.array_join(lines, "\n")).alias("content"),
+    segment = " ".join(f"WHEN '{kind}' THEN '{part}'" for kind, part in ROUTE_SEGMENTS.items())
+    line = f"""concat(
+        IF(event_id % 17 = 0, 'ROUTER . ', 'router.'), {choose("(event_id + j)", ROUTE_METHODS)},
+        "('/api/", CASE event_type {segment} END, '/', event_type, '/', j, "', ",
+        {choose("(event_id + j)", ROUTE_MIDDLEWARE)}, 'handler)',
+        IF(event_id % 13 = 0, "; app.all('/health', handler)", ''))"""
+    lines = f"transform(sequence(0, CAST(event_id % 3 AS INT)), j -> {line})"
+    return table(spark, folder, "events").selectExpr(
+        "concat('repo_', user_id) AS repo",
+        "concat('src/routes/', event_type, '_', event_id, IF(event_id % 11 = 0, '.test.ts', '.ts')) AS path",
+        f"concat('// routes for ', event_type, '\\n', array_join({lines}, '\\n')) AS content",
     )
 
 
@@ -117,70 +111,46 @@ inventory AS (
 
 def manifest_files(spark, folder) -> DataFrame:
     """Root files from customers, one nested package per order."""
-    c = F.col("c_custkey")
-    framework = F.get(
-        F.array(*[F.lit(x) for x in ["express", "fastify", "koa", "next", "react", None]]),
-        (c % 6).cast("int"),
-    )
-    store = F.get(
-        F.array(*[F.lit(x) for x in ["pg", "stripe", "@aws-sdk/client-s3", None]]), (c % 4).cast("int")
-    )
-    tester = F.when(c % 5 == 0, F.lit("vitest")).when(c % 5 == 1, F.lit("jest"))
+    framework = choose("c_custkey", ["express", "fastify", "koa", "next", "react", None])
+    store = choose("c_custkey", ["pg", "stripe", "@aws-sdk/client-s3", None])
 
     def block(*names):
-        pairs = F.array_compact(
-            F.array(*[F.concat(F.lit('"'), n, F.lit('":"^1.0.0"')) for n in names])
-        )
-        return F.concat(F.lit("{"), F.array_join(pairs, ","), F.lit("}"))
-
-    root = (
-        F.when(c % 17 == 0, F.lit("{bad"))
-        .when(c % 19 == 0, F.lit(""))
-        .otherwise(
-            F.concat(
-                F.lit('{"dependencies":'), block(framework, store),
-                F.lit(',"devDependencies":'), block(tester),
-                F.when(c % 9 == 0, F.lit(',"peerDependencies":{"vue":"*"}')).otherwise(F.lit("")),
-                F.lit("}"),
-            )
-        )
-    )
-    wheels = F.when(c % 2 == 0, F.lit("Django==4\nupgrade-tools\n")).otherwise(F.lit("fastapi\npytest\n"))
-
-    def file(when, path, content):
-        value = F.lit(content) if isinstance(content, str) else content
-        return F.when(when, F.struct(F.lit(path).alias("path"), value.alias("content")))
-
-    listed = F.array_compact(
-        F.array(
-            file(c % 23 != 0, "package.json", root),
-            file(c % 3 == 0, "pnpm-lock.yaml", "lockfileVersion: 9"),
-            file(c % 3 == 1, "package-lock.json", "{}"),
-            file(c % 5 == 0, "requirements.txt", wheels),
-            file(c % 8 == 0, "go.mod", "require github.com/gin-gonic/gin v1"),
-            file(c % 16 == 0, "tools/go.mod", "require github.com/labstack/echo v4"),
-            file(c % 16 == 0, "cmd/main_test.go", "package main"),
-            file(c % 12 == 0, "Cargo.toml", 'axum = "0.7"'),
-            file(c % 7 == 0, "tests/test_app.py", "assert True"),
-        )
+        pairs = ", ".join(f"""concat('"', {n}, '":"^1.0.0"')""" for n in names)
+        return f"concat('{{', array_join(array_compact(array({pairs})), ','), '}}')"
+
+    root = f"""CASE WHEN c_custkey % 17 = 0 THEN '{{bad' WHEN c_custkey % 19 = 0 THEN ''
+        ELSE concat('{{"dependencies":', {block(framework, store)}, ',"devDependencies":',
+            {block("CASE c_custkey % 5 WHEN 0 THEN 'vitest' WHEN 1 THEN 'jest' END")},
+            IF(c_custkey % 9 = 0, ',"peerDependencies":{{"vue":"*"}}', ''), '}}') END"""
+    listed = [
+        ("c_custkey % 23 <> 0", "package.json", root),
+        ("c_custkey % 3 = 0", "pnpm-lock.yaml", "'lockfileVersion: 9'"),
+        ("c_custkey % 3 = 1", "package-lock.json", "'{}'"),
+        (
+            "c_custkey % 5 = 0", "requirements.txt",
+            r"IF(c_custkey % 2 = 0, 'Django==4\nupgrade-tools\n', 'fastapi\npytest\n')",
+        ),
+        ("c_custkey % 8 = 0", "go.mod", "'require github.com/gin-gonic/gin v1'"),
+        ("c_custkey % 16 = 0", "tools/go.mod", "'require github.com/labstack/echo v4'"),
+        ("c_custkey % 16 = 0", "cmd/main_test.go", "'package main'"),
+        ("c_custkey % 12 = 0", "Cargo.toml", """'axum = "0.7"'"""),
+        ("c_custkey % 7 = 0", "tests/test_app.py", "'assert True'"),
+    ]
+    files = ", ".join(
+        f"IF({when}, named_struct('path', '{path}', 'content', {content}), NULL)"
+        for when, path, content in listed
     )
-    roots = table(spark, folder, "customer").select(
-        repo_of(c).alias("repo"), F.explode(listed).alias("f")
-    ).select("repo", "f.*")
-
-    k = F.col("o_orderkey")
-    range_ = F.when(k % 10 == 0, F.lit("*")).when(k % 10 == 1, F.lit("latest")).otherwise(F.lit("^1.0.0"))
-    dev = F.when(k % 7 == 0, F.lit("latest")).otherwise(F.lit("~2.0.0"))
-    nested = F.when(k % 97 == 0, F.lit("{bad")).otherwise(
-        F.concat(
-            F.lit('{"dependencies":{"dep-'), text(k), F.lit('":"'), range_,
-            F.lit('"},"devDependencies":{"dev-'), text(k), F.lit('":"'), dev, F.lit('"}}'),
-        )
+    roots = table(spark, folder, "customer").selectExpr(
+        "concat('repo_', c_custkey) AS repo", f"inline(array_compact(array({files})))"
     )
-    packages = table(spark, folder, "orders").select(
-        repo_of(F.col("o_custkey")).alias("repo"),
-        F.concat(F.lit("packages/p"), text(k), F.lit("/package.json")).alias("path"),
-        nested.alias("content"),
+    packages = table(spark, folder, "orders").selectExpr(
+        "concat('repo_', o_custkey) AS repo",
+        "concat('packages/p', o_orderkey, '/package.json') AS path",
+        """IF(o_orderkey % 97 = 0, '{bad', concat(
+            '{"dependencies":{"dep-', o_orderkey, '":"',
+            CASE o_orderkey % 10 WHEN 0 THEN '*' WHEN 1 THEN 'latest' ELSE '^1.0.0' END,
+            '"},"devDependencies":{"dev-', o_orderkey, '":"',
+            IF(o_orderkey % 7 = 0, 'latest', '~2.0.0'), '"}}')) AS content""",
     )
     return roots.unionByName(packages)
 
@@ -264,12 +234,10 @@ CONFIG_LINES = [
 
 
 def config_source_files(spark, folder) -> DataFrame:
-    k = F.col("o_orderkey")
-    suffix = F.when(k % 9 == 0, F.lit(".md")).otherwise(F.lit(".yaml"))
-    return table(spark, folder, "orders").select(
-        repo_of(F.col("o_custkey")).alias("repo"),
-        F.concat(F.lit("conf/"), "o_orderstatus", F.lit("_"), text(k), suffix).alias("path"),
-        F.concat(F.lit("name: order_"), text(k), F.lit("\n"), choose(k, CONFIG_LINES), F.lit("\nend")).alias("content"),
+    return table(spark, folder, "orders").selectExpr(
+        "concat('repo_', o_custkey) AS repo",
+        "concat('conf/', o_orderstatus, '_', o_orderkey, IF(o_orderkey % 9 = 0, '.md', '.yaml')) AS path",
+        f"concat('name: order_', o_orderkey, '\\n', {choose('o_orderkey', CONFIG_LINES)}, '\\nend') AS content",
     )
 
 
@@ -291,13 +259,11 @@ CONFIG_SQL = """config AS (
 # --- customers as application sources -----------------------------------------------------------
 
 def server_files(spark, folder) -> DataFrame:
-    c = F.col("c_custkey")
-    hardened = F.when(c % 5 == 0, F.lit("helmet()")).otherwise(F.lit("noop()"))
-    checked = F.when(c % 4 == 0, F.lit("isadmin(user)")).otherwise(F.lit("noop()"))
-    return table(spark, folder, "customer").select(
-        repo_of(c).alias("repo"),
-        F.lit("src/server.js").alias("path"),
-        F.concat_ws("\n", F.lit("noop()"), hardened, checked).alias("content"),
+    return table(spark, folder, "customer").selectExpr(
+        "concat('repo_', c_custkey) AS repo",
+        "'src/server.js' AS path",
+        r"""concat_ws('\n', 'noop()', IF(c_custkey % 5 = 0, 'helmet()', 'noop()'),
+            IF(c_custkey % 4 = 0, 'isadmin(user)', 'noop()')) AS content""",
     )
 
 
@@ -312,48 +278,34 @@ FINDING_SOURCES = ["scanner:routes", "tool:semgrep", "scanner:secrets", "manual"
 
 
 def findings(spark, folder) -> DataFrame:
-    k = F.col("o_orderkey")
-    category = choose(k, V.CATEGORIES)
-    severity = (
-        F.when(F.col("o_orderpriority") == "1-URGENT", F.lit("critical"))
-        .when(F.col("o_orderpriority") == "2-HIGH", F.lit("high"))
-        .when(F.col("o_orderpriority") == "3-MEDIUM", F.lit("medium"))
-        .when(F.col("o_orderpriority") == "5-LOW", F.lit("low"))
-        .otherwise(F.lit("informational"))
-    )
-    status = (
-        F.when(k % 10 == 0, F.lit("manual-verification"))
-        .when(F.col("o_orderstatus") == "P", F.lit("potential"))
-        .when(F.col("o_orderstatus") == "O", F.lit("confirmed"))
-        .otherwise(F.lit("rejected"))
-    )
-    title = F.concat(
-        F.lit("Order "), text(k),
-        F.when(k % 13 == 0, F.lit(" | split")).when(k % 29 == 0, F.lit("\nsecond line")).otherwise(F.lit("")),
-    )
+    category = choose("o_orderkey", V.CATEGORIES)
+    in_api = f"{category} IN ({', '.join(quoted(c) for c in V.ENDPOINT_CATEGORIES)})"
 
     def unless(every, value):
-        return F.when(k % every == 0, F.lit("")).otherwise(F.concat(F.lit(value), text(k)))
-
-    return table(spark, folder, "orders").select(
-        repo_of(F.col("o_custkey")).alias("repo"),
-        k.alias("ordinal"),
-        F.format_string("RG-ORD-%03d", k).alias("id"),
-        title.alias("title"),
-        severity.alias("severity"),
-        category.alias("category"),
-        status.alias("status"),
-        (k % 101).cast("int").alias("confidence"),
-        F.when(k % 5 != 0, F.concat(F.lit("src/f"), text(k % 50), F.lit(".ts"))).alias("file"),
-        F.when(k % 3 != 0, (k % 400 + 1).cast("int")).alias("line"),
-        F.when(category.isin(V.ENDPOINT_CATEGORIES), F.concat(F.lit("GET /api/"), text(k % 20))).alias("endpoint"),
-        unless(4, "about ").alias("description"),
-        F.concat(F.lit("evidence "), text(k)).alias("evidence"),
-        unless(9, "impact ").alias("impact"),
-        unless(7, "when ").alias("trigger_condition"),
-        F.array().cast("array<string>").alias("reproduction"),
-        unless(6, "fix ").alias("recommended_fix"),
-        choose(k, FINDING_SOURCES).alias("source"),
+        return f"IF(o_orderkey % {every} = 0, '', concat('{value} ', o_orderkey))"
+
+    return table(spark, folder, "orders").selectExpr(
+        "concat('repo_', o_custkey) AS repo",
+        "o_orderkey AS ordinal",
+        "format_string('RG-ORD-%03d', o_orderkey) AS id",
+        r"""concat('Order ', o_orderkey, CASE WHEN o_orderkey % 13 = 0 THEN ' | split'
+            WHEN o_orderkey % 29 = 0 THEN '\nsecond line' ELSE '' END) AS title""",
+        """CASE o_orderpriority WHEN '1-URGENT' THEN 'critical' WHEN '2-HIGH' THEN 'high'
+            WHEN '3-MEDIUM' THEN 'medium' WHEN '5-LOW' THEN 'low' ELSE 'informational' END AS severity""",
+        f"{category} AS category",
+        """CASE WHEN o_orderkey % 10 = 0 THEN 'manual-verification' WHEN o_orderstatus = 'P' THEN 'potential'
+            WHEN o_orderstatus = 'O' THEN 'confirmed' ELSE 'rejected' END AS status""",
+        "CAST(o_orderkey % 101 AS INT) AS confidence",
+        "IF(o_orderkey % 5 <> 0, concat('src/f', o_orderkey % 50, '.ts'), NULL) AS file",
+        "IF(o_orderkey % 3 <> 0, CAST(o_orderkey % 400 + 1 AS INT), NULL) AS line",
+        f"IF({in_api}, concat('GET /api/', o_orderkey % 20), NULL) AS endpoint",
+        f"{unless(4, 'about')} AS description",
+        "concat('evidence ', o_orderkey) AS evidence",
+        f"{unless(9, 'impact')} AS impact",
+        f"{unless(7, 'when')} AS trigger_condition",
+        "CAST(array() AS ARRAY<STRING>) AS reproduction",
+        f"{unless(6, 'fix')} AS recommended_fix",
+        f"{choose('o_orderkey', FINDING_SOURCES)} AS source",
     )
 
 
@@ -419,52 +371,37 @@ def repositories(spark, folder) -> DataFrame:
     )
 
 
-def tool_name(number: Column) -> Column:
-    return choose(number, [t[0] for t in V.TOOLS])
-
-
 def settings(spark, folder) -> DataFrame:
     """Scan settings and discovered stack of every repository."""
-    c = F.col("c_custkey")
-    managers = F.array_compact(
-        F.array(
-            F.when(c % 2 == 0, F.lit("npm")),
-            F.when(c % 3 == 0, F.lit("pnpm")),
-            F.when(c % 5 == 0, F.lit("pip/poetry")),
-            F.when(c % 7 == 0, F.lit("poetry")),
-            F.when(c % 4 == 0, F.lit("go-modules")),
-            F.when(c % 6 == 0, F.lit("cargo")),
-        )
-    )
-    toggles = {t: (c % (10 + n)) != 0 for n, t in enumerate(V.AUDIT_TOGGLES)}
-    return table(spark, folder, "customer").select(
-        repo_of(c).alias("repo"),
-        F.array(tool_name(c)).alias("disabled"),
-        *[value.alias(name) for name, value in toggles.items()],
-        (c % 4 == 1).alias("scope_security"),
-        (c % 3 == 1).alias("scope_api"),
-        managers.alias("package_managers"),
-        F.size(managers).alias("dependency_files"),
-        (c % 4 != 3).alias("has_tests"),
+    managers = """array_compact(array(IF(c_custkey % 2 = 0, 'npm', NULL), IF(c_custkey % 3 = 0, 'pnpm', NULL),
+        IF(c_custkey % 5 = 0, 'pip/poetry', NULL), IF(c_custkey % 7 = 0, 'poetry', NULL),
+        IF(c_custkey % 4 = 0, 'go-modules', NULL), IF(c_custkey % 6 = 0, 'cargo', NULL)))"""
+    return table(spark, folder, "customer").selectExpr(
+        "concat('repo_', c_custkey) AS repo",
+        f"array({choose('c_custkey', [t[0] for t in V.TOOLS])}) AS disabled",
+        *[f"c_custkey % {10 + n} <> 0 AS {t}" for n, t in enumerate(V.AUDIT_TOGGLES)],
+        "c_custkey % 4 = 1 AS scope_security",
+        "c_custkey % 3 = 1 AS scope_api",
+        f"{managers} AS package_managers",
+        f"size({managers}) AS dependency_files",
+        "c_custkey % 4 <> 3 AS has_tests",
     )
 
 
 def observed_runs(spark, folder) -> DataFrame:
     """Tools found on each host and how they ended; a sixth of them are missing."""
-    number = F.col("c_custkey") + F.col("tool_order")
-    fan = F.array(
-        *[F.struct(F.lit(n).alias("tool_order"), F.lit(t[0]).alias("tool")) for n, t in enumerate(V.TOOLS)]
-    )
+    names = ", ".join(quoted(t[0]) for t in V.TOOLS)
+    outcomes = ["", "error", "timeout", "completed", "completed", "completed"]
     return (
         table(spark, folder, "customer")
-        .select("c_custkey", F.explode(fan).alias("t"))
-        .select("c_custkey", "t.*")
-        .filter(number % 6 != 0)
-        .select(
-            repo_of(F.col("c_custkey")).alias("repo"),
+        .selectExpr("c_custkey", f"posexplode(array({names})) AS (tool_order, tool)")
+        .filter("(c_custkey + tool_order) % 6 <> 0")
+        .selectExpr(
+            "concat('repo_', c_custkey) AS repo",
             "tool",
-            choose(number, ["", "error", "timeout", "completed", "completed", "completed"]).alias("outcome"),
-            F.when(number % 6 > 2, (number % 3).cast("int")).alias("exit_code"),
+            f"{choose('(c_custkey + tool_order)', outcomes)} AS outcome",
+            """IF((c_custkey + tool_order) % 6 > 2, CAST((c_custkey + tool_order) % 3 AS INT), NULL)
+                AS exit_code""",
         )
     )
 
@@ -513,116 +450,87 @@ TOOL_SEVERITIES = ["ERROR", "WARNING", "moderate", "LOW", "info", "weird"]
 LONG_DOCUMENT = 205
 
 
-def tool_runs(spark, folder) -> DataFrame:
-    """One output document per order and ingestible tool, with 0 to 3 items, or 205 now and then."""
-    k = F.col("o_orderkey")
-    size = F.when(k % 500 == 0, F.lit(LONG_DOCUMENT)).otherwise((k % 4).cast("int"))
-    indices = F.filter(F.sequence(F.lit(0), size), lambda i: i < size)
-    J = F.lit
-
-    def severity(i):
-        return choose(k + i, TOOL_SEVERITIES)
-
-    def joined(item, keep=None):
-        source = indices if keep is None else F.filter(indices, keep)
-        return F.array_join(F.transform(source, item), ",")
-
-    def semgrep_item(i):
-        check = F.when((k + i) % 7 == 0, J("plain")).when((k + i) % 7 == 1, J("odd.")).otherwise(J("js.rule"))
-        number = F.when((k + i) % 7 == 1, J("")).otherwise(text(i))
-        path = F.when((k + i) % 5 == 0, J("")).otherwise(F.concat(J("src/f"), text(i), J(".js")))
-        link = F.when(i % 2 == 0, F.concat(J('"shortlink":"s'), text(i), J('"'))).otherwise(J(""))
-        return F.concat(
-            J('{"check_id":"'), check, number, J('","path":"'), path, J('","start":{"line":'),
-            text((k + i) % 50), J('},"extra":{"severity":"'), severity(i), J('","message":"m'), text(k),
-            J("-"), text(i), J('","metadata":{'), link, J("}}}"),
-        )
+def tool_documents() -> dict:
+    """SQL for the output document of each tool, made of the items ``i`` of order ``k``."""
+    severity = choose("(k + i)", TOOL_SEVERITIES)
 
-    def gitleaks_item(i):
-        rule = F.when(i % 3 == 2, J("")).otherwise(F.concat(J("r"), text(i)))
-        return F.concat(
-            J('{"RuleID":"'), rule, J('","Description":"d'), text(i), J('","File":"f'), text(k),
-            J('.env","StartLine":'), text(i), J(',"Match":"'),
-            F.repeat(J("x"), (i % 100 + 150).cast("int")), J('"}'),
-        )
-
-    def npm_item(i):
-        via = F.when(
-            i % 2 == 0, F.concat(J('"other",{"title":"t'), text(i), J('","url":"u'), text(i), J('"}'))
-        ).otherwise(J('"only"'))
-        fix = choose(i, ["true", "false", '{"name":"x"}'])
-        return F.concat(
-            J('"pkg'), text(i), J('":{"severity":"'), severity(i), J('","range":"<'), text(k),
-            J('","via":['), via, J('],"fixAvailable":'), fix, J("}"),
-        )
+    def joined(*parts, keep="true"):
+        item = "concat(" + ", ".join(parts) + ")"
+        return f"array_join(transform(filter(indices, i -> {keep}), i -> {item}), ',')"
 
-    def advisory_item(i):
-        return F.concat(
-            J('"'), text(J(1000) - i), J('":{"module_name":"mod'), text(i), J('","title":"t'), text(k),
-            J('","severity":"'), severity(i), J('","overview":"'),
-            F.when(i % 2 == 0, F.repeat(J("o"), (i % 100 + 250).cast("int"))).otherwise(J("")),
-            J('","url":"u'), text(i), J('"}'),
-        )
-
-    def osv_item(i):
-        third = F.floor(i / 3)
-        return F.concat(
-            J('{"packages":[{"package":{"ecosystem":"npm","name":"p'), text(third),
-            J('","version":"1"},"vulnerabilities":[{"id":"G-'), text(i % 2), J('","summary":"s'), text(i),
-            J('","database_specific":{"severity":"'), severity(i), J('"}}]}]}'),
-        )
-
-    def trivy_vulnerability(i):
-        return F.concat(
-            J('{"PkgName":"p'), text(i), J('","VulnerabilityID":"CVE-'), text(k), J('","Severity":"'),
-            severity(i), J('","Title":"'), F.when(i % 2 == 0, F.concat(J("t"), text(i))).otherwise(J("")),
-            J('","Description":"d'), text(i), J('","PrimaryURL":"u'), text(i), J('"}'),
-        )
-
-    def trivy_secret(i):
-        return F.concat(
-            J('{"RuleID":"r'), text(i), J('","Title":"t'), text(i), J('","Severity":"'), severity(i),
-            J('","StartLine":"'), text(i), J('"}'),
-        )
+    semgrep = joined(
+        """'{"check_id":"'""",
+        "CASE (k + i) % 7 WHEN 0 THEN concat('plain', i) WHEN 1 THEN 'odd.' ELSE concat('js.rule', i) END",
+        """'","path":"'""", "IF((k + i) % 5 = 0, '', concat('src/f', i, '.js'))",
+        """'","start":{"line":'""", "(k + i) % 50", """'},"extra":{"severity":"'""", severity,
+        """'","message":"m'""", "k", "'-'", "i", """'","metadata":{'""",
+        """IF(i % 2 = 0, concat('"shortlink":"s', i, '"'), '')""", "'}}}'",
+    )
+    gitleaks = joined(
+        """'{"RuleID":"'""", "IF(i % 3 = 2, '', concat('r', i))", """'","Description":"d'""", "i",
+        """'","File":"f'""", "k", """'.env","StartLine":'""", "i", """',"Match":"'""",
+        "repeat('x', i % 100 + 150)", """'"}'""",
+    )
+    npm = joined(
+        """'"pkg'""", "i", """'":{"severity":"'""", severity, """'","range":"<'""", "k", """'","via":['""",
+        """IF(i % 2 = 0, concat('"other",{"title":"t', i, '","url":"u', i, '"}'), '"only"')""",
+        """'],"fixAvailable":'""", choose("i", ["true", "false", '{"name":"x"}']), "'}'",
+    )
+    advisories = joined(
+        """'"'""", "1000 - i", """'":{"module_name":"mod'""", "i", """'","title":"t'""", "k",
+        """'","severity":"'""", severity, """'","overview":"'""",
+        "IF(i % 2 = 0, repeat('o', i % 100 + 250), '')", """'","url":"u'""", "i", """'"}'""",
+    )
+    osv = joined(
+        """'{"packages":[{"package":{"ecosystem":"npm","name":"p'""", "i div 3",
+        """'","version":"1"},"vulnerabilities":[{"id":"G-'""", "i % 2", """'","summary":"s'""", "i",
+        """'","database_specific":{"severity":"'""", severity, """'"}}]}]}'""",
+    )
+    vulnerabilities = joined(
+        """'{"PkgName":"p'""", "i", """'","VulnerabilityID":"CVE-'""", "k", """'","Severity":"'""", severity,
+        """'","Title":"'""", "IF(i % 2 = 0, concat('t', i), '')", """'","Description":"d'""", "i",
+        """'","PrimaryURL":"u'""", "i", """'"}'""",
+    )
+    leaked = joined(
+        """'{"RuleID":"r'""", "i", """'","Title":"t'""", "i", """'","Severity":"'""", severity,
+        """'","StartLine":"'""", "i", """'"}'""", keep="i % 2 = 1",
+    )
+    misconfigured = joined(
+        """'{"ID":"DS'""", "i", """'","Title":"t'""", "i", """'","Severity":"'""", severity,
+        """'","Description":"d'""", "i", """'"}'""",
+    )
+    return {
+        "semgrep": f"""concat('{{"results":[', {semgrep}, ']}}')""",
+        "gitleaks": f"concat('[', {gitleaks}, ']')",
+        "npm-audit": f"""concat('{{"vulnerabilities":{{', {npm}, '}},"advisories":{{', {advisories}, '}}}}')""",
+        "pnpm-audit": f"""concat('{{"advisories":{{', {advisories}, '}}}}')""",
+        "osv-scanner": f"""concat('{{"results":[', {osv}, ']}}')""",
+        "trivy": f"""concat('{{"Results":[{{"Target":"t', k, '","Vulnerabilities":[', {vulnerabilities},
+            ']}},{{"Target":"","Secrets":[', {leaked}, '],"Misconfigurations":[', {misconfigured}, ']}}]}}')""",
+        "pip-audit": "'{}'",
+    }
 
-    def trivy_misconfig(i):
-        return F.concat(
-            J('{"ID":"DS'), text(i), J('","Title":"t'), text(i), J('","Severity":"'), severity(i),
-            J('","Description":"d'), text(i), J('"}'),
-        )
 
-    documents = {
-        "semgrep": F.concat(J('{"results":['), joined(semgrep_item), J("]}")),
-        "gitleaks": F.concat(J("["), joined(gitleaks_item), J("]")),
-        "npm-audit": F.concat(
-            J('{"vulnerabilities":{'), joined(npm_item), J('},"advisories":{'), joined(advisory_item), J("}}")
-        ),
-        "pnpm-audit": F.concat(J('{"advisories":{'), joined(advisory_item), J("}}")),
-        "osv-scanner": F.concat(J('{"results":['), joined(osv_item), J("]}")),
-        "trivy": F.concat(
-            J('{"Results":[{"Target":"t'), text(k), J('","Vulnerabilities":['), joined(trivy_vulnerability),
-            J("]},"), J('{"Target":"","Secrets":['), joined(trivy_secret, lambda i: i % 2 == 1),
-            J('],"Misconfigurations":['), joined(trivy_misconfig), J("]}]}"),
-        ),
-        "pip-audit": J("{}"),
-    }
-    per_tool = F.array(
-        *[
-            F.struct(
-                F.lit(tool).alias("tool"),
-                F.when(k % 29 == 0, J("not json")).when(k % 37 == 0, J("  ")).otherwise(document).alias("stdout"),
-            )
-            for tool, document in documents.items()
-        ]
+def tool_runs(spark, folder, *tools: str) -> DataFrame:
+    """One output document per order and tool, with 0 to 3 items, or 205 now and then."""
+    documents = tool_documents()
+    per_tool = ", ".join(
+        f"""named_struct('tool', '{tool}', 'stdout',
+            CASE WHEN k % 29 = 0 THEN 'not json' WHEN k % 37 = 0 THEN '  ' ELSE {documents[tool]} END)"""
+        for tool in tools or documents
     )
+    size = f"IF(o_orderkey % 500 = 0, {LONG_DOCUMENT}, CAST(o_orderkey % 4 AS INT))"
     return (
         table(spark, folder, "orders")
-        .select(
-            repo_of(F.col("o_custkey")).alias("repo"), k.alias("run_id"),
-            F.when(k % 31 == 0, J("timeout")).otherwise(J("completed")).alias("status"),
-            F.explode(per_tool).alias("t"),
+        .selectExpr(
+            "concat('repo_', o_custkey) AS repo",
+            "o_orderkey AS k",
+            f"IF({size} > 0, sequence(0, {size} - 1), CAST(array() AS ARRAY<INT>)) AS indices",
+        )
+        .selectExpr(
+            "repo", "k AS run_id", "IF(k % 31 = 0, 'timeout', 'completed') AS status",
+            f"inline(array({per_tool}))",
         )
-        .select("repo", "run_id", "status", "t.*")
     )
 
 
@@ -639,13 +547,9 @@ items AS (
 # --- events as a stream of findings ---------------------------------------------------------------
 
 def observed_severity() -> Column:
-    kind = F.col("event_type")
-    return (
-        F.when(kind == "error", F.lit("critical"))
-        .when(kind == "purchase", F.lit("high"))
-        .when(kind == "signup", F.lit("medium"))
-        .when(kind == "click", F.lit("low"))
-        .otherwise(F.lit("informational"))
+    return F.expr(
+        """CASE event_type WHEN 'error' THEN 'critical' WHEN 'purchase' THEN 'high'
+           WHEN 'signup' THEN 'medium' WHEN 'click' THEN 'low' ELSE 'informational' END"""
     )
 
 

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
-from ..functions.columns import any_of, basename, extension
+from ..functions.columns import any_of, basename, extension, literals
 from ..functions.tables import numbered
 
 
@@ -45,7 +45,7 @@ def excluded_names(extra=(), output_directory: str = "audit-results") -> list[st
 
 
 def kept_path(path: Column, names=None) -> Column:
-    hidden = F.array(*[F.lit(n) for n in (names or excluded_names())])
+    hidden = F.expr(f"array({literals(names or excluded_names())})")
     return ~F.arrays_overlap(F.split(path, "/"), hidden)
 
 
