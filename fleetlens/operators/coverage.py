@@ -150,7 +150,8 @@ def scoped_toggles(security: Column, api: Column, toggles: dict) -> dict:
     any_flag = security | api
     result = {}
     for toggle in V.AUDIT_TOGGLES:
-        chosen = any_of(flags[s] for s, members in V.SCOPE_TOGGLES.items() if toggle in members)
+        given = [flags[s] for s, members in V.SCOPE_TOGGLES.items() if toggle in members]
+        chosen = any_of(given) if given else F.lit(False)
         result[toggle] = F.when(any_flag, chosen).otherwise(toggles[toggle])
     return result
 

@@ -30,20 +30,22 @@ def _parsed(text, schema) -> Column:
     return F.from_json(text, schema, STRICT_JSON)
 
 
+def _opened(runs: DataFrame, keys, schema) -> DataFrame:
+    """Documents parsed once into the columns of ``schema``, however often those are used."""
+    return runs.select(*keys, F.inline(F.array(_parsed("stdout", schema))))
+
+
 def _elements(items: Column, kind: str = "array<string>") -> Column:
     return F.coalesce(items, F.array().cast(kind))
 
 
-def _js_entries(mapping: Column) -> Column:
+def _js_entries(mapping: str) -> Column:
     """Entries of a JSON object in JavaScript order: integer keys ascending, then as written."""
-    kind = "array<struct<key:string,value:string>>"
-    entries = _elements(F.map_entries(mapping), kind)
-    integer = lambda e: e["key"].rlike(r"^(?:0|[1-9][0-9]{0,8})\z")
-    in_order = F.array_sort(
-        F.filter(entries, integer),
-        lambda a, b: (a["key"].cast("long") - b["key"].cast("long")).cast("int"),
+    return F.expr(
+        f"""transform(array_sort(transform(map_entries({mapping}), (e, i) -> named_struct(
+              'k', IF(e.key RLIKE '^(?:0|[1-9][0-9]{{0,8}})$', CAST(e.key AS LONG), 9223372036854775807),
+              'i', i, 'e', e))), x -> x.e)"""
     )
-    return F.concat(in_order, F.filter(entries, lambda e: ~integer(e)))
 
 
 def _findings(items: DataFrame, area: str, tool: str, keys, number: Column, **fields) -> DataFrame:
@@ -129,9 +131,9 @@ def _advisory_title(r: str) -> Column:
 def npm_vulnerabilities(runs: DataFrame) -> DataFrame:
     """Packages of the version 7 layout. The first object in ``via`` names the advisory."""
     keys = _keys(runs)
-    packages = _parsed("stdout", "vulnerabilities map<string,string>")["vulnerabilities"]
-    entries = F.slice(_js_entries(packages), 1, CAP)
-    items = runs.select(*keys, F.posexplode(entries).alias("pos", "e")).select(
+    packages = _opened(runs, keys, "vulnerabilities map<string,string>")
+    entries = F.slice(_js_entries("vulnerabilities"), 1, CAP)
+    items = packages.select(*keys, F.posexplode(entries).alias("pos", "e")).select(
         *keys,
         "pos",
         F.col("e.key").alias("name"),
@@ -166,14 +168,12 @@ def npm_vulnerabilities(runs: DataFrame) -> DataFrame:
 def npm_advisories(runs: DataFrame) -> DataFrame:
     """Advisories of the version 6 layout, capped on their own, numbered after version 7 rows."""
     keys = _keys(runs)
-    both = _parsed(
-        "stdout", "vulnerabilities map<string,string>, advisories map<string,string>"
-    )
-    before = F.least(F.coalesce(F.cardinality(both["vulnerabilities"]), F.lit(0)), F.lit(CAP))
-    items = runs.select(
+    both = _opened(runs, keys, "vulnerabilities map<string,string>, advisories map<string,string>")
+    before = F.least(F.coalesce(F.cardinality("vulnerabilities"), F.lit(0)), F.lit(CAP))
+    items = both.select(
         *keys,
         before.alias("before"),
-        F.posexplode(F.slice(_js_entries(both["advisories"]), 1, CAP)).alias("pos", "e"),
+        F.posexplode(F.slice(_js_entries("advisories"), 1, CAP)).alias("pos", "e"),
     ).select(*keys, "before", "pos", _parsed("e.value", ADVISORY).alias("r"))
     return _findings(
         items, "NPM", "npm-audit", keys, F.col("before") + F.col("pos") + 1,
@@ -191,9 +191,9 @@ def npm_audit(runs: DataFrame) -> DataFrame:
 
 def pnpm_audit(runs: DataFrame) -> DataFrame:
     keys = _keys(runs)
-    advisories = _parsed("stdout", "advisories map<string,string>")["advisories"]
-    items = runs.select(
-        *keys, F.posexplode(F.slice(_js_entries(advisories), 1, CAP)).alias("pos", "e")
+    advisories = _opened(runs, keys, "advisories map<string,string>")
+    items = advisories.select(
+        *keys, F.posexplode(F.slice(_js_entries("advisories"), 1, CAP)).alias("pos", "e")
     ).select(*keys, "pos", _parsed("e.value", ADVISORY).alias("r"))
     text = F.coalesce(filled(F.col("r.overview")), F.col("r.title"), F.lit(""))
     return _findings(
@@ -206,59 +206,40 @@ def pnpm_audit(runs: DataFrame) -> DataFrame:
     )
 
 
-def first_of_each(items: Column, key) -> Column:
-    """Keep the first element of every key, in order. Sorting inside the row makes it n log n."""
-    placed = F.transform(items, lambda x, i: F.struct(key(x).alias("k"), i.alias("i"), x.alias("x")))
-    by_key = F.array_sort(placed)
-    firsts = F.filter(
-        by_key,
-        lambda s, i: (i == 0) | (s["k"] != F.get(by_key, i - 1)["k"]),
-    )
-    back = F.array_sort(F.transform(firsts, lambda s: F.struct(s["i"].alias("i"), s["x"].alias("x"))))
-    return F.transform(back, lambda s: s["x"])
+OSV_SCHEMA = (
+    "results array<struct<packages:array<struct<"
+    "package:struct<ecosystem:string,name:string,version:string>,"
+    "vulnerabilities:array<struct<id:string,summary:string,"
+    "database_specific:struct<severity:string>>>>>>>"
+)
+# Vulnerabilities of all packages in document order, each with the key that makes it unique.
+OSV_LISTED = """flatten(transform(results, r -> coalesce(flatten(transform(r.packages, p ->
+    coalesce(transform(p.vulnerabilities, v -> named_struct(
+      'key', concat_ws(':', coalesce(p.package.ecosystem, ''), coalesce(p.package.name, ''),
+                       coalesce(p.package.version, ''), coalesce(v.id, '')),
+      'name', coalesce(p.package.name, ''), 'version', coalesce(p.package.version, ''),
+      'id', coalesce(v.id, ''), 'summary', coalesce(v.summary, ''),
+      'severity', v.database_specific.severity)), array()))), array())))"""
+# The first of each key. Sorting by (key, place) puts repeats next to each other, so a document
+# of n vulnerabilities costs n log n and stays in its row.
+OSV_SORTED = "array_sort(transform(listed, (v, i) -> named_struct('key', v.key, 'i', i, 'v', v)))"
+OSV_FIRSTS = """array_sort(transform(
+    filter(placed, (s, n) -> n = 0 OR s.key <> get(placed, n - 1).key),
+    s -> named_struct('i', s.i, 'v', s.v)))"""
 
 
 def osv_scanner(runs: DataFrame) -> DataFrame:
     """Vulnerabilities per package; the same advisory for the same package version counts once."""
     keys = _keys(runs)
-    flat_kind = "array<struct<ecosystem:string,name:string,version:string,id:string,summary:string,severity:string>>"
-    package_kind = (
-        "array<struct<package:struct<ecosystem:string,name:string,version:string>,"
-        "vulnerabilities:array<struct<id:string,summary:string,"
-        "database_specific:struct<severity:string>>>>>"
-    )
-    results = _parsed("stdout", f"results array<struct<packages:{package_kind}>>")["results"]
-    packages = F.flatten(
-        F.transform(
-            _elements(results, f"array<struct<packages:{package_kind}>>"),
-            lambda r: _elements(r["packages"], package_kind),
-        )
+    firsts = (
+        _opened(runs, keys, OSV_SCHEMA)
+        .selectExpr(*keys, f"{OSV_LISTED} AS listed")
+        .selectExpr(*keys, f"{OSV_SORTED} AS placed")
+        .selectExpr(*keys, f"{OSV_FIRSTS} AS firsts")
     )
-
-    def vulnerabilities(package):
-        info = package["package"]
-        return F.transform(
-            _elements(
-                package["vulnerabilities"],
-                "array<struct<id:string,summary:string,database_specific:struct<severity:string>>>",
-            ),
-            lambda v: F.struct(
-                text_or_empty(info["ecosystem"]).alias("ecosystem"),
-                text_or_empty(info["name"]).alias("name"),
-                text_or_empty(info["version"]).alias("version"),
-                text_or_empty(v["id"]).alias("id"),
-                text_or_empty(v["summary"]).alias("summary"),
-                v["database_specific"]["severity"].alias("severity"),
-            ),
-        )
-
-    flat = _elements(F.flatten(F.transform(packages, vulnerabilities)), flat_kind)
-    # The parsed array is materialised first: the functions below refer to it more than once.
-    listed = runs.select(*keys, flat.alias("items"))
-    once = first_of_each(
-        F.col("items"), lambda v: F.concat_ws(":", v["ecosystem"], v["name"], v["version"], v["id"])
+    items = firsts.selectExpr(*keys, f"posexplode(slice(firsts, 1, {CAP})) AS (pos, s)").selectExpr(
+        *keys, "pos", "s.v AS r"
     )
-    items = listed.select(*keys, F.posexplode(F.slice(once, 1, CAP)).alias("pos", "r"))
     return _findings(
         items, "OSV", "osv-scanner", keys, F.col("pos") + 1,
         title=F.concat("r.name", F.lit("@"), "r.version", F.lit(": "), "r.id"),

@@ -7,7 +7,7 @@ order them. ``identified`` numbers the hits of all scanners in one go.
 """
 
 from dataclasses import dataclass, field
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,12 +53,15 @@ class Evidence:
     def endpoints(self) -> DataFrame:
         return discovery.route_calls(self.lines)
 
-    @property
+    @cached_property
     def api_labels(self) -> DataFrame:
+        """API frameworks per repository, written once: two scanners and the report read them."""
         known = discovery.node_frameworks(discovery.node_dependencies(self.manifests)).unionByName(
             discovery.non_node_stacks(self.manifests)
         )
-        return known.filter("concern = 'api_framework'").select("repo", "label").distinct()
+        return written(
+            known.filter("concern = 'api_framework'").select("repo", "label").distinct(), "labels"
+        )
 
 
 def collect(files: DataFrame) -> Evidence:
