@@ -29,6 +29,9 @@ MANIFEST_SCHEMA = (
 )
 STRICT_JSON = {"allowSingleQuotes": "false"}
 DEPENDENCY_BLOCKS = ["dependencies", "devDependencies", "peerDependencies"]
+PATH_COUNTS = [
+    "file_count", "dependency_files", "ci_workflows", "infra_files", "auth_files", "config_files",
+]
 # Manifests whose content discovery reads.
 READ_MANIFESTS = ["package.json", *V.KEYWORD_MANIFESTS]
 
@@ -43,19 +46,8 @@ def languages(files: DataFrame) -> DataFrame:
 
 
 def package_managers(files: DataFrame) -> DataFrame:
-    """Managers by file name; a package.json without any Node manager implies npm."""
-    base = basename(F.col("path"))
-    manager = looked_up(base, V.PACKAGE_MANAGER_BY_FILE)
-    node = F.expr(f"array({literals(V.NODE_PACKAGE_MANAGERS)})")
-    per_repo = files.groupBy("repo").agg(
-        F.collect_set(manager).alias("named"),
-        F.bool_or(base == "package.json").alias("has_package"),
-    )
-    inferred = F.when(
-        F.col("has_package") & ~F.arrays_overlap("named", node),
-        F.array_append("named", F.lit("npm")),
-    ).otherwise(F.col("named"))
-    return per_repo.select("repo", F.explode(inferred).alias("package_manager"))
+    """Managers by file name, npm where a package.json has no Node manager beside it."""
+    return path_summary(files).select("repo", F.explode("package_managers").alias("package_manager"))
 
 
 def dependency_files(files: DataFrame) -> DataFrame:
@@ -103,6 +95,43 @@ def paths_where(files: DataFrame, test) -> DataFrame:
     return files.filter(test(F.col("path"))).select("repo", "path")
 
 
+def path_summary(paths: DataFrame) -> DataFrame:
+    """What file names alone tell, in one aggregation per repository.
+
+    Sets are over fixed vocabularies; path lists only leave their lengths.
+    """
+    path = F.col("path")
+    base = basename(path)
+    node = F.expr(f"array({literals(V.NODE_PACKAGE_MANAGERS)})")
+    seen = paths.groupBy("repo").agg(
+        F.count("*").alias("file_count"),
+        F.count_if(base.isin(V.DEPENDENCY_FILES)).alias("dependency_files"),
+        F.count_if(is_ci_file(path)).alias("ci_workflows"),
+        F.count_if(is_infra_file(path)).alias("infra_files"),
+        F.count_if(is_auth_file(path)).alias("auth_files"),
+        F.count_if(is_config_file(path)).alias("config_files"),
+        F.collect_set(looked_up(extension(path), V.LANGUAGE_BY_EXTENSION)).alias("languages"),
+        F.collect_set(looked_up(base, V.PACKAGE_MANAGER_BY_FILE)).alias("named"),
+        F.bool_or(base == "package.json").alias("has_package"),
+        F.bool_or(path.rlike(V.PYTHON_TEST_FILE_PATTERN)).alias("py"),
+        F.bool_or(base == "go.mod").alias("go"),
+        F.bool_or(path.endswith("_test.go")).alias("go_test"),
+        F.bool_or(base == "Cargo.toml").alias("rust"),
+    )
+    # A package.json without any Node manager implies npm.
+    managers = F.when(
+        F.col("has_package") & ~F.arrays_overlap("named", node), F.array_append("named", F.lit("npm"))
+    ).otherwise(F.col("named"))
+    tools = present(
+        F.when(F.col("py"), F.lit("pytest")),
+        F.when(F.col("go") & F.col("go_test"), F.lit("go test")),
+        F.when(F.col("rust"), F.lit("cargo test")),
+    )
+    return seen.select(
+        "repo", *PATH_COUNTS, "languages", managers.alias("package_managers"), tools.alias("test_tools")
+    )
+
+
 # --- manifests -------------------------------------------------------------------------------
 
 def package_manifests(files: DataFrame) -> DataFrame:
@@ -131,83 +160,78 @@ def node_dependencies(files: DataFrame) -> DataFrame:
 
 
 def _as_facts(rows: DataFrame, **labels_by_concern) -> DataFrame:
-    """One (repo, concern, label) row per label of each given label array."""
+    """One (repo, concern, label) row per label of each given label array, repeats included."""
     def tag(concern, labels):
         return F.transform(
             labels, lambda x: F.struct(F.lit(concern).alias("concern"), x.alias("label"))
         )
 
     tagged = [tag(concern, labels) for concern, labels in labels_by_concern.items()]
-    return (
-        rows.select("repo", F.explode(F.concat(*tagged)).alias("fact"))
-        .select("repo", "fact.concern", "fact.label")
-        .distinct()
-    )
+    return rows.select("repo", F.inline(F.concat(*tagged)))
+
+
+def _framework_labels() -> dict:
+    """Labels of a ``dep`` that names a framework exactly."""
+    api = labels_where("dep = {}", V.NODE_API_FRAMEWORKS)
+    return {
+        "framework": F.concat(labels_where("dep = {}", V.NODE_UI_FRAMEWORKS), api),
+        "api_framework": api,
+        "test_framework": labels_where("dep = {}", V.NODE_TEST_FRAMEWORKS),
+    }
+
+
+def _keyword_labels(test: str) -> dict:
+    return {
+        "database": labels_where(test, V.DATABASE_KEYWORDS),
+        "integration": labels_where(test, V.INTEGRATION_KEYWORDS),
+    }
+
+
+NAMED, MENTIONED = "startswith(dep, {})", "contains(lower(content), {})"
 
 
 def node_frameworks(dependencies: DataFrame) -> DataFrame:
     """Frameworks named exactly by a dependency, as (repo, concern, label)."""
-    def named(table):
-        return labels_where("dep = {}", table)
-
-    api = named(V.NODE_API_FRAMEWORKS)
-    return _as_facts(
-        dependencies,
-        framework=F.concat(named(V.NODE_UI_FRAMEWORKS), api),
-        api_framework=api,
-        test_framework=named(V.NODE_TEST_FRAMEWORKS),
-    )
+    return _as_facts(dependencies, **_framework_labels()).distinct()
+
+
+def _python_facts(manifests: DataFrame) -> DataFrame:
+    web = labels_where(MENTIONED, V.PYTHON_WEB_FRAMEWORKS)
+    tests = labels_where(MENTIONED, {"pytest": "pytest"})
+    files = manifests.filter(basename(F.col("path")).isin(V.PYTHON_MANIFESTS))
+    return _as_facts(files, framework=web, api_framework=web, test_framework=tests)
 
 
-def _first_by_path(files: DataFrame, name: str, text: str, table: dict) -> DataFrame:
-    """API labels in the first manifest called ``name``. Labels, not contents, are aggregated."""
-    found = labels_where(f"contains({text}, {{}})", table)
-    firsts = (
-        files.filter(basename(F.col("path")) == name)
-        .groupBy("repo")
-        .agg(F.min_by(found, "path").alias("labels"))
+def _first_manifest_facts(manifests: DataFrame) -> DataFrame:
+    """API labels in each repository's first go.mod and first Cargo.toml.
+
+    The labels are aggregated, not the contents.
+    """
+    base, path = basename(F.col("path")), F.col("path")
+
+    def first(name, labels):
+        return F.coalesce(
+            F.min_by(labels, F.when(base == name, path)), F.array().cast("array<string>")
+        )
+
+    firsts = manifests.filter(base.isin("go.mod", "Cargo.toml")).groupBy("repo").agg(
+        F.concat(
+            first("go.mod", labels_where("contains(content, {})", V.GO_WEB_FRAMEWORKS)),
+            first("Cargo.toml", labels_where(MENTIONED, V.RUST_WEB_FRAMEWORKS)),
+        ).alias("labels")
     )
     return _as_facts(firsts, api_framework=F.col("labels"))
 
 
+def test_conventions(paths: DataFrame) -> DataFrame:
+    """Test tools implied by file names alone."""
+    return _as_facts(path_summary(paths), test_framework=F.col("test_tools"))
+
+
 def non_node_stacks(files: DataFrame) -> DataFrame:
     """Python, Go and Rust frameworks and test tools, as (repo, concern, label)."""
-    path, lowered = F.col("path"), F.lower("content")
-    base = basename(path)
-    web = labels_where("contains(lower(content), {})", V.PYTHON_WEB_FRAMEWORKS)
-    python = _as_facts(
-        files.filter(base.isin(V.PYTHON_MANIFESTS)),
-        framework=web,
-        api_framework=web,
-        test_framework=present(F.when(lowered.contains("pytest"), F.lit("pytest"))),
-    )
-    return reduce(
-        DataFrame.unionByName,
-        [
-            python,
-            test_conventions(files),
-            _first_by_path(files, "go.mod", "content", V.GO_WEB_FRAMEWORKS),
-            _first_by_path(files, "Cargo.toml", "lower(content)", V.RUST_WEB_FRAMEWORKS),
-        ],
-    ).distinct()
-
-
-def test_conventions(files: DataFrame) -> DataFrame:
-    """Test tools implied by file names alone."""
-    path = F.col("path")
-    base = basename(path)
-    seen = files.groupBy("repo").agg(
-        F.bool_or(path.rlike(V.PYTHON_TEST_FILE_PATTERN)).alias("py"),
-        F.bool_or(base == "go.mod").alias("go"),
-        F.bool_or(path.endswith("_test.go")).alias("go_test"),
-        F.bool_or(base == "Cargo.toml").alias("rust"),
-    )
-    tools = present(
-        F.when(F.col("py"), F.lit("pytest")),
-        F.when(F.col("go") & F.col("go_test"), F.lit("go test")),
-        F.when(F.col("rust"), F.lit("cargo test")),
-    )
-    return _as_facts(seen, test_framework=tools)
+    parts = [_python_facts(files), _first_manifest_facts(files), test_conventions(files)]
+    return reduce(DataFrame.unionByName, parts).distinct()
 
 
 def stores_and_integrations(files: DataFrame) -> DataFrame:
@@ -216,18 +240,26 @@ def stores_and_integrations(files: DataFrame) -> DataFrame:
     A keyword counts when a Node dependency starts with it or when another manifest's text
     contains it anywhere.
     """
-    named, written = "startswith(dep, {})", "contains(lower(content), {})"
-    by_name = _as_facts(
-        node_dependencies(files),
-        database=labels_where(named, V.DATABASE_KEYWORDS),
-        integration=labels_where(named, V.INTEGRATION_KEYWORDS),
-    )
-    by_text = _as_facts(
-        files.filter(basename(F.col("path")).isin(V.KEYWORD_MANIFESTS)),
-        database=labels_where(written, V.DATABASE_KEYWORDS),
-        integration=labels_where(written, V.INTEGRATION_KEYWORDS),
-    )
-    return by_name.unionByName(by_text).distinct()
+    by_name = _as_facts(declared_dependencies(package_manifests(files)), **_keyword_labels(NAMED))
+    others = files.filter(basename(F.col("path")).isin(V.KEYWORD_MANIFESTS))
+    return by_name.unionByName(_as_facts(others, **_keyword_labels(MENTIONED))).distinct()
+
+
+def manifest_facts(manifests: DataFrame) -> DataFrame:
+    """Everything manifests tell, with one shuffle after map-side removal of repeats.
+
+    ``manifests`` are the files named in READ_MANIFESTS. Dependencies are not made distinct
+    first: their labels are computed where they are read.
+    """
+    names = declared_dependencies(package_manifests(manifests))
+    others = manifests.filter(basename(F.col("path")).isin(V.KEYWORD_MANIFESTS))
+    parts = [
+        _as_facts(names, **_framework_labels(), **_keyword_labels(NAMED)),
+        _as_facts(others, **_keyword_labels(MENTIONED)),
+        _python_facts(manifests),
+        _first_manifest_facts(manifests),
+    ]
+    return reduce(DataFrame.unionByName, parts).distinct()
 
 
 # --- routes ----------------------------------------------------------------------------------
@@ -263,73 +295,40 @@ def endpoints(files: DataFrame) -> DataFrame:
 # --- one row per repository ----------------------------------------------------------------
 
 LABEL_COLUMNS = {
-    "language": "languages",
     "framework": "frameworks",
-    "package_manager": "package_managers",
     "api_framework": "api_frameworks",
     "test_framework": "test_frameworks",
     "database": "databases",
     "integration": "integrations",
 }
+PROFILE_LISTS = ["languages", "package_managers", *LABEL_COLUMNS.values()]
 
 
-def facts(files: DataFrame, manifests: DataFrame | None = None) -> DataFrame:
-    """All (repo, concern, label) facts.
-
-    ``files`` is read for paths only. Contents come from ``manifests``, the few files named in
-    READ_MANIFESTS, which a caller passes in when it has them at hand already.
-    """
-    if manifests is None:
-        manifests = files.filter(basename(F.col("path")).isin(READ_MANIFESTS))
-    paths = files.select("repo", "path")
-
-    def tagged(rows, concern):
-        return rows.select("repo", F.lit(concern).alias("concern"), F.col(concern).alias("label"))
-
-    return reduce(
-        DataFrame.unionByName,
-        [
-            tagged(languages(paths), "language"),
-            tagged(package_managers(paths), "package_manager"),
-            node_frameworks(node_dependencies(manifests)),
-            non_node_stacks(manifests),
-            test_conventions(paths),
-            stores_and_integrations(manifests),
-        ],
-    ).distinct()
-
-
-def profile(files: DataFrame, known_facts: DataFrame, found_endpoints: DataFrame) -> DataFrame:
+def profile(paths: DataFrame, manifests: DataFrame, found_endpoints: DataFrame) -> DataFrame:
     """One row per repository: label lists from fixed vocabularies, and counts of path lists.
 
     Path lists can be as long as the repository, so the row carries their lengths; the paths
-    themselves are the tables made by ``dependency_files`` and ``paths_where``.
+    themselves are the tables made by ``dependency_files`` and ``paths_where``. Contents are
+    read from ``manifests`` only.
     """
-    path = F.col("path")
-    counts = files.groupBy("repo").agg(
-        F.count("*").alias("file_count"),
-        F.count_if(basename(path).isin(V.DEPENDENCY_FILES)).alias("dependency_files"),
-        F.count_if(is_ci_file(path)).alias("ci_workflows"),
-        F.count_if(is_infra_file(path)).alias("infra_files"),
-        F.count_if(is_auth_file(path)).alias("auth_files"),
-        F.count_if(is_config_file(path)).alias("config_files"),
-    )
-    labels = known_facts.groupBy("repo").agg(
+    labels = manifest_facts(manifests).groupBy("repo").agg(
         *[
-            F.sort_array(F.collect_set(F.when(F.col("concern") == concern, F.col("label")))).alias(
-                column
-            )
+            F.collect_set(F.when(F.col("concern") == concern, F.col("label"))).alias(column)
             for concern, column in LABEL_COLUMNS.items()
         ]
     )
     routes = found_endpoints.groupBy("repo").agg(F.count("*").alias("api_endpoints"))
     none = F.array().cast("array<string>")
+    lists = {c: F.coalesce(c, none) for c in PROFILE_LISTS}
+    lists["test_frameworks"] = F.array_union(lists["test_frameworks"], "test_tools")
     return (
-        counts.join(labels, "repo", "left")
+        path_summary(paths)
+        .join(labels, "repo", "left")
         .join(routes, "repo", "left")
         .select(
-            *counts.columns,
-            *[F.coalesce(c, none).alias(c) for c in LABEL_COLUMNS.values()],
+            "repo",
+            *PATH_COUNTS,
+            *[F.sort_array(value).alias(name) for name, value in lists.items()],
             F.coalesce("api_endpoints", F.lit(0)).alias("api_endpoints"),
         )
     )

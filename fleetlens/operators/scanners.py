@@ -25,8 +25,8 @@ def union_pattern(patterns) -> str:
     return "|".join(f"(?:{p})" for p in patterns)
 
 
-SECRET_LINE = union_pattern(p for _, p in V.SECRET_RULES)
-CONFIG_LINE = union_pattern(p for _, _, p, _ in V.CONFIG_RULES)
+SECRET_LINE = V.led_by("-AtTsSaApP", union_pattern(p for _, p in V.SECRET_RULES))
+CONFIG_LINE = V.led_by("rRNAodDsShH", union_pattern(p for _, _, p, _ in V.CONFIG_RULES))
 
 
 # --- one pass over file contents -------------------------------------------------------------
@@ -56,12 +56,8 @@ class Evidence:
     @cached_property
     def api_labels(self) -> DataFrame:
         """API frameworks per repository, written once: two scanners and the report read them."""
-        known = discovery.node_frameworks(discovery.node_dependencies(self.manifests)).unionByName(
-            discovery.non_node_stacks(self.manifests)
-        )
-        return written(
-            known.filter("concern = 'api_framework'").select("repo", "label").distinct(), "labels"
-        )
+        known = discovery.manifest_facts(self.manifests).filter("concern = 'api_framework'")
+        return written(known.select("repo", "label"), "labels")
 
 
 def collect(files: DataFrame) -> Evidence:

@@ -5,6 +5,7 @@ from functools import partial
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
+from ..functions.columns import basename
 from ..functions.tables import written
 from ..operators import discovery, findings, scanners
 from ..sources import files as source
@@ -115,9 +116,8 @@ def node_deps(spark, folder):
 
 @query("node_frameworks", manifests(select="SELECT repo, concern, label FROM node_facts"))
 def node_frameworks(spark, folder):
-    return discovery.node_frameworks(
-        discovery.node_dependencies(views.manifest_files(spark, folder))
-    )
+    manifests = discovery.package_manifests(views.manifest_files(spark, folder))
+    return discovery.node_frameworks(discovery.declared_dependencies(manifests))
 
 
 @query("non_node_stacks", manifests(select="SELECT repo, concern, label FROM other_facts"))
@@ -171,12 +171,6 @@ def listed(*columns):
     return [F.array_join(c, ",").alias(c) for c in columns]
 
 
-def profile_of(files):
-    return discovery.profile(
-        files, discovery.facts(files), discovery.endpoints(files)
-    )
-
-
 PROFILE_SQL = """all_facts AS (
   SELECT repo, concern, label FROM node_facts UNION SELECT repo, concern, label FROM other_facts
   UNION SELECT repo, concern, label FROM store_facts
@@ -214,11 +208,13 @@ wide AS (
     ),
 )
 def discovery_profile(spark, folder):
-    rows = profile_of(views.application_files(spark, folder))
-    plain = [c for c in rows.columns if c not in discovery.LABEL_COLUMNS.values()]
+    files = views.application_files(spark, folder)
+    manifests = written(
+        files.filter(basename(F.col("path")).isin(discovery.READ_MANIFESTS)), "manifests"
+    )
+    rows = discovery.profile(files.select("repo", "path"), manifests, discovery.endpoints(files))
     return rows.select(
-        *[F.col(c).cast("long").alias(c) if c != "repo" else F.col(c) for c in plain],
-        *listed(*discovery.LABEL_COLUMNS.values()),
+        "repo", "api_endpoints", *discovery.PATH_COUNTS, *listed(*discovery.PROFILE_LISTS)
     )
 
 
@@ -360,9 +356,7 @@ def missing_lockfile(spark, folder):
 
 
 def api_labels(files):
-    return discovery.node_frameworks(discovery.node_dependencies(files)).unionByName(
-        discovery.non_node_stacks(files)
-    ).filter("concern = 'api_framework'")
+    return discovery.manifest_facts(files).filter("concern = 'api_framework'")
 
 
 @query(
@@ -406,7 +400,5 @@ def no_security_headers(spark, folder):
 )
 def missing_tests(spark, folder):
     files = views.application_files(spark, folder)
-    known = discovery.node_frameworks(discovery.node_dependencies(files)).unionByName(
-        discovery.non_node_stacks(files)
-    ).distinct()
+    known = discovery.manifest_facts(files).unionByName(discovery.test_conventions(files))
     return findings.missing_tests(files, known)
