@@ -3,7 +3,7 @@
 import re
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed_values as V
@@ -56,12 +56,12 @@ def looked_up(key: Column, table: dict) -> Column:
     return F.try_element_at(F.expr(f"map({pairs})"), key)
 
 
-def labels_where(test: str, table: dict) -> Column:
-    """Array of the labels whose keyword passes ``test``, SQL text with ``{}`` for the keyword."""
-    cases = ", ".join(
-        f"CASE WHEN {test.format(quoted(word))} THEN {quoted(label)} END" for word, label in table.items()
-    )
-    return F.expr(f"array_compact(array({cases}))")
+def fact_cases(concern: str, test: str, table: dict) -> list[str]:
+    """SQL giving ``concern:label`` for every keyword that passes ``test`` (``{}`` = the keyword)."""
+    return [
+        f"CASE WHEN {test.format(quoted(word))} THEN {quoted(f'{concern}:{label}')} END"
+        for word, label in table.items()
+    ]
 
 
 def normal_severity(spelling: Column) -> Column:
@@ -105,3 +105,8 @@ def array_of_rows(fields, rows) -> Column:
 def present(*conditional) -> Column:
     """Array of the given columns without the NULL ones, keeping their order."""
     return F.array_compact(F.array(*conditional))
+
+
+def explode_present(df: DataFrame, keep, columns, name: str) -> DataFrame:
+    """One row per given column that is not NULL. Stays in generated code, unlike array_compact."""
+    return df.select(*keep, F.explode(F.array(*columns)).alias(name)).filter(F.col(name).isNotNull())

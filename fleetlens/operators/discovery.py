@@ -16,10 +16,11 @@ from ..functions.columns import (
     basename,
     contains_any,
     extension,
-    labels_where,
+    fact_cases,
     literals,
     looked_up,
     present,
+    quoted,
 )
 from ..sources.files import is_route_file, lines_matching
 
@@ -159,73 +160,82 @@ def node_dependencies(files: DataFrame) -> DataFrame:
     return declared_dependencies(package_manifests(files)).select("repo", "dep").distinct()
 
 
-def _as_facts(rows: DataFrame, **labels_by_concern) -> DataFrame:
-    """One (repo, concern, label) row per label of each given label array, repeats included."""
-    def tag(concern, labels):
-        return F.transform(
-            labels, lambda x: F.struct(F.lit(concern).alias("concern"), x.alias("label"))
-        )
-
-    tagged = [tag(concern, labels) for concern, labels in labels_by_concern.items()]
-    return rows.select("repo", F.inline(F.concat(*tagged)))
+def _as_facts(rows: DataFrame, cases) -> DataFrame:
+    """One (repo, concern, label) row per case that holds, repeats included.
 
-
-def _framework_labels() -> dict:
-    """Labels of a ``dep`` that names a framework exactly."""
-    api = labels_where("dep = {}", V.NODE_API_FRAMEWORKS)
-    return {
-        "framework": F.concat(labels_where("dep = {}", V.NODE_UI_FRAMEWORKS), api),
-        "api_framework": api,
-        "test_framework": labels_where("dep = {}", V.NODE_TEST_FRAMEWORKS),
-    }
+    The cases are joined into one text in generated code. Nearly all rows give an empty text and
+    are dropped before anything is exploded.
+    """
+    found = rows.select("repo", F.expr(f"concat_ws('\\n', {', '.join(cases)})").alias("facts"))
+    return (
+        found.filter("facts <> ''")
+        .select("repo", F.explode(F.split("facts", "\n")).alias("fact"))
+        .select(
+            "repo",
+            F.substring_index("fact", ":", 1).alias("concern"),
+            F.regexp_replace("fact", "^[a-z_]+:", "").alias("label"),
+        )
+    )
 
 
-def _keyword_labels(test: str) -> dict:
-    return {
-        "database": labels_where(test, V.DATABASE_KEYWORDS),
-        "integration": labels_where(test, V.INTEGRATION_KEYWORDS),
-    }
+EXACT, NAMED, MENTIONED = "dep = {}", "startswith(dep, {})", "contains(lower(content), {})"
+FRAMEWORK_CASES = [
+    *fact_cases("framework", EXACT, V.NODE_UI_FRAMEWORKS),
+    *fact_cases("framework", EXACT, V.NODE_API_FRAMEWORKS),
+    *fact_cases("api_framework", EXACT, V.NODE_API_FRAMEWORKS),
+    *fact_cases("test_framework", EXACT, V.NODE_TEST_FRAMEWORKS),
+]
 
 
-NAMED, MENTIONED = "startswith(dep, {})", "contains(lower(content), {})"
+def _keyword_cases(test: str) -> list[str]:
+    return [
+        *fact_cases("database", test, V.DATABASE_KEYWORDS),
+        *fact_cases("integration", test, V.INTEGRATION_KEYWORDS),
+    ]
 
 
 def node_frameworks(dependencies: DataFrame) -> DataFrame:
     """Frameworks named exactly by a dependency, as (repo, concern, label)."""
-    return _as_facts(dependencies, **_framework_labels()).distinct()
+    return _as_facts(dependencies, FRAMEWORK_CASES).distinct()
 
 
 def _python_facts(manifests: DataFrame) -> DataFrame:
-    web = labels_where(MENTIONED, V.PYTHON_WEB_FRAMEWORKS)
-    tests = labels_where(MENTIONED, {"pytest": "pytest"})
-    files = manifests.filter(basename(F.col("path")).isin(V.PYTHON_MANIFESTS))
-    return _as_facts(files, framework=web, api_framework=web, test_framework=tests)
+    cases = [
+        *fact_cases("framework", MENTIONED, V.PYTHON_WEB_FRAMEWORKS),
+        *fact_cases("api_framework", MENTIONED, V.PYTHON_WEB_FRAMEWORKS),
+        *fact_cases("test_framework", MENTIONED, {"pytest": "pytest"}),
+    ]
+    return _as_facts(manifests.filter(basename(F.col("path")).isin(V.PYTHON_MANIFESTS)), cases)
 
 
 def _first_manifest_facts(manifests: DataFrame) -> DataFrame:
     """API labels in each repository's first go.mod and first Cargo.toml.
 
-    The labels are aggregated, not the contents.
+    The marks found in a manifest are aggregated, not its content.
     """
     base, path = basename(F.col("path")), F.col("path")
 
-    def first(name, labels):
-        return F.coalesce(
-            F.min_by(labels, F.when(base == name, path)), F.array().cast("array<string>")
-        )
+    def first(name, test, table):
+        words = ", ".join(f"{test.format(quoted(word))} AS `{word}`" for word in table)
+        return F.min_by(F.expr(f"struct({words})"), F.when(base == name, path))
 
     firsts = manifests.filter(base.isin("go.mod", "Cargo.toml")).groupBy("repo").agg(
-        F.concat(
-            first("go.mod", labels_where("contains(content, {})", V.GO_WEB_FRAMEWORKS)),
-            first("Cargo.toml", labels_where(MENTIONED, V.RUST_WEB_FRAMEWORKS)),
-        ).alias("labels")
+        first("go.mod", "contains(content, {})", V.GO_WEB_FRAMEWORKS).alias("go"),
+        first("Cargo.toml", MENTIONED, V.RUST_WEB_FRAMEWORKS).alias("rust"),
     )
-    return _as_facts(firsts, api_framework=F.col("labels"))
+    cases = [
+        f"CASE WHEN {side}.`{word}` THEN 'api_framework:{label}' END"
+        for side, table in (("go", V.GO_WEB_FRAMEWORKS), ("rust", V.RUST_WEB_FRAMEWORKS))
+        for word, label in table.items()
+    ]
+    return _as_facts(firsts, cases)
 
 
 def test_conventions(paths: DataFrame) -> DataFrame:
     """Test tools implied by file names alone."""
-    return _as_facts(path_summary(paths), test_framework=F.col("test_tools"))
+    return path_summary(paths).select(
+        "repo", F.lit("test_framework").alias("concern"), F.explode("test_tools").alias("label")
+    )
 
 
 def non_node_stacks(files: DataFrame) -> DataFrame:
@@ -240,9 +250,9 @@ def stores_and_integrations(files: DataFrame) -> DataFrame:
     A keyword counts when a Node dependency starts with it or when another manifest's text
     contains it anywhere.
     """
-    by_name = _as_facts(declared_dependencies(package_manifests(files)), **_keyword_labels(NAMED))
+    by_name = _as_facts(declared_dependencies(package_manifests(files)), _keyword_cases(NAMED))
     others = files.filter(basename(F.col("path")).isin(V.KEYWORD_MANIFESTS))
-    return by_name.unionByName(_as_facts(others, **_keyword_labels(MENTIONED))).distinct()
+    return by_name.unionByName(_as_facts(others, _keyword_cases(MENTIONED))).distinct()
 
 
 def manifest_facts(manifests: DataFrame) -> DataFrame:
@@ -254,8 +264,8 @@ def manifest_facts(manifests: DataFrame) -> DataFrame:
     names = declared_dependencies(package_manifests(manifests))
     others = manifests.filter(basename(F.col("path")).isin(V.KEYWORD_MANIFESTS))
     parts = [
-        _as_facts(names, **_framework_labels(), **_keyword_labels(NAMED)),
-        _as_facts(others, **_keyword_labels(MENTIONED)),
+        _as_facts(names, [*FRAMEWORK_CASES, *_keyword_cases(NAMED)]),
+        _as_facts(others, _keyword_cases(MENTIONED)),
         _python_facts(manifests),
         _first_manifest_facts(manifests),
     ]

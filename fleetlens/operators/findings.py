@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.columns import (
+    any_of,
+    explode_present,
     filled,
     is_active,
-    present,
     severity_rank,
     text_or_empty,
 )
@@ -18,30 +19,30 @@ ACTIVE = "status <> 'rejected'"
 
 # --- validity ------------------------------------------------------------------------------------
 
-def violation_codes() -> Column:
-    """Array of the rules a finding breaks; empty for a valid one."""
-    def unless(test, code):
-        return F.when(~F.coalesce(test, F.lit(False)), F.lit(code))
-
-    line, confidence = F.col("line"), F.col("confidence")
-    return present(
-        unless(F.col("id").rlike(V.FINDING_ID_PATTERN), "id"),
-        unless(F.char_length("title") > 0, "title"),
-        unless(F.col("severity").isin(V.SEVERITIES), "severity"),
-        unless(F.col("category").isin(V.CATEGORIES), "category"),
-        unless(F.col("status").isin(V.STATUSES), "status"),
-        unless((confidence >= 0) & (confidence <= 100), "confidence"),
-        F.when(line <= 0, F.lit("line")),
-    )
+def rules_broken() -> dict:
+    """Condition under which a finding breaks each rule. An absent value breaks it too."""
+    def lacks(test):
+        return ~F.coalesce(test, F.lit(False))
+
+    return {
+        "id": lacks(F.col("id").rlike(V.FINDING_ID_PATTERN)),
+        "title": lacks(F.char_length("title") > 0),
+        "severity": lacks(F.col("severity").isin(V.SEVERITIES)),
+        "category": lacks(F.col("category").isin(V.CATEGORIES)),
+        "status": lacks(F.col("status").isin(V.STATUSES)),
+        "confidence": lacks(F.col("confidence").between(0, 100)),
+        "line": F.coalesce(F.col("line") <= 0, F.lit(False)),
+    }
 
 
 def violations(findings: DataFrame) -> DataFrame:
-    return findings.select("repo", "id", "ordinal", F.explode(violation_codes()).alias("violation"))
+    codes = [F.when(broken, F.lit(code)) for code, broken in rules_broken().items()]
+    return explode_present(findings, ["repo", "id", "ordinal"], codes, "violation")
 
 
 def valid_files(findings: DataFrame) -> DataFrame:
     """Repositories with findings, and whether every one is valid: one bad row spoils the file."""
-    bad = F.size(violation_codes()) > 0
+    bad = any_of(rules_broken().values())
     return findings.groupBy("repo").agg(
         (~F.bool_or(bad)).alias("valid"), F.count("*").alias("findings")
     )

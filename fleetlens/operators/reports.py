@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
-from ..functions.columns import filled, is_active, present, sarif_level, severity_rank
+from ..functions.columns import explode_present, filled, is_active, sarif_level, severity_rank
 from ..functions.tables import numbered
 from .findings import ACTIVE, finding_line, remediation_order, severity_counts, top_risks
 
@@ -139,7 +139,7 @@ def finding_rows(findings: DataFrame) -> DataFrame:
 
     zero = F.lit(0)
     reason = F.coalesce(filled(F.col("description")), F.lit("rejected"))
-    shown = present(
+    shown = [
         row("Findings by Severity", active, rank, line),
         row("Findings by Category", active, category_no, line),
         row("Rate-Limiting Findings", active & (F.col("category") == "rate-limiting"), zero, line),
@@ -150,8 +150,8 @@ def finding_rows(findings: DataFrame) -> DataFrame:
             "Rejected Scanner Findings", ~active, zero,
             F.concat(F.lit("- **"), "id", F.lit("** "), "title", F.lit(" — "), reason),
         ),
-    )
-    body = findings.select("repo", "ordinal", F.explode(shown).alias("r")).select(
+    ]
+    body = explode_present(findings, ["repo", "ordinal"], shown, "r").select(
         "repo", "r.section_no", "r.part", F.col("ordinal").cast("long").alias("ordinal"), "r.text"
     )
     place = F.concat(F.col("place").cast("string"), F.lit(". "))

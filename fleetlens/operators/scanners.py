@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
-from ..functions.columns import any_of, basename, contains_any, present
+from ..functions.columns import any_of, basename, contains_any, explode_present, present
 from ..functions.schemas import as_findings
 from ..functions.tables import numbered, written
 from ..sources.files import explode_lines, is_risky_config, is_route_file, is_text
@@ -327,14 +327,9 @@ def route_gaps(inventory: DataFrame) -> DataFrame:
         )
         for kind, control, severity, category, title, description, impact, trigger, fix in ROUTE_GAPS
     ]
-    return (
-        inventory.filter("sensitive")
-        .select(
-            "repo", "file", "line", "pos", endpoint.alias("endpoint"),
-            F.explode(present(*gaps)).alias("gap"),
-        )
-        .select("repo", "file", "line", "pos", "endpoint", "gap.*")
-    )
+    keep = ["repo", "file", "line", "pos", endpoint.alias("endpoint")]
+    found = explode_present(inventory.filter("sensitive"), keep, gaps, "gap")
+    return found.select("repo", "file", "line", "pos", "endpoint", "gap.*")
 
 
 def routes(evidence: Evidence) -> DataFrame:

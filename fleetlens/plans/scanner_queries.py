@@ -34,7 +34,9 @@ secrets AS (
 
 
 def document_texts(spark, folder):
-    return views.table(spark, folder, "documents").select("doc_id", F.col("text").alias("content"))
+    return views.spread_table(spark, folder, "documents").select(
+        "doc_id", F.col("text").alias("content")
+    )
 
 
 @query(

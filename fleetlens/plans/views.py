@@ -15,10 +15,25 @@ from ..functions import fixed_values as V
 from ..functions.columns import quoted
 
 
+# A table read in fewer pieces than there are cores is dealt out over this many at most.
+SPREAD = 64
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A base table whose rows are costly to scan.
+
+    Small test tables are one row group, hence one task; those are dealt out over the cores. A
+    table large enough to be read in many pieces is left as it is.
+    """
+    rows = table(spark, folder, name)
+    cores = min(spark.sparkContext.defaultParallelism, SPREAD)
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def choose(number: str, options) -> str:
     """SQL for the option at ``number`` modulo their count."""
     listed = ", ".join("NULL" if o is None else quoted(o) for o in options)
@@ -41,7 +56,7 @@ DOCUMENT_EXTS = [".ts", ".py", ".go", ".md", ".yaml", ".tf"]
 
 def document_files(spark, folder) -> DataFrame:
     directory, suffix = choose("doc_id", DOCUMENT_DIRS), choose("doc_id", DOCUMENT_EXTS)
-    return table(spark, folder, "documents").selectExpr(
+    return spread_table(spark, folder, "documents").selectExpr(
         "source AS repo",
         f"concat({directory}, '/', doc_id, {suffix}) AS path",
         "text AS content",
@@ -77,7 +92,7 @@ def route_files(spark, folder) -> DataFrame:
         {choose("(event_id + j)", ROUTE_MIDDLEWARE)}, 'handler)',
         IF(event_id % 13 = 0, "; app.all('/health', handler)", ''))"""
     lines = f"transform(sequence(0, CAST(event_id % 3 AS INT)), j -> {line})"
-    return table(spark, folder, "events").selectExpr(
+    return spread_table(spark, folder, "events").selectExpr(
         "concat('repo_', user_id) AS repo",
         "concat('src/routes/', event_type, '_', event_id, IF(event_id % 11 = 0, '.test.ts', '.ts')) AS path",
         f"concat('// routes for ', event_type, '\\n', array_join({lines}, '\\n')) AS content",
@@ -140,10 +155,10 @@ def manifest_files(spark, folder) -> DataFrame:
         f"IF({when}, named_struct('path', '{path}', 'content', {content}), NULL)"
         for when, path, content in listed
     )
-    roots = table(spark, folder, "customer").selectExpr(
+    roots = spread_table(spark, folder, "customer").selectExpr(
         "concat('repo_', c_custkey) AS repo", f"inline(array_compact(array({files})))"
     )
-    packages = table(spark, folder, "orders").selectExpr(
+    packages = spread_table(spark, folder, "orders").selectExpr(
         "concat('repo_', o_custkey) AS repo",
         "concat('packages/p', o_orderkey, '/package.json') AS path",
         """IF(o_orderkey % 97 = 0, '{bad', concat(
@@ -234,7 +249,7 @@ CONFIG_LINES = [
 
 
 def config_source_files(spark, folder) -> DataFrame:
-    return table(spark, folder, "orders").selectExpr(
+    return spread_table(spark, folder, "orders").selectExpr(
         "concat('repo_', o_custkey) AS repo",
         "concat('conf/', o_orderstatus, '_', o_orderkey, IF(o_orderkey % 9 = 0, '.md', '.yaml')) AS path",
         f"concat('name: order_', o_orderkey, '\\n', {choose('o_orderkey', CONFIG_LINES)}, '\\nend') AS content",
@@ -521,7 +536,7 @@ def tool_runs(spark, folder, *tools: str) -> DataFrame:
     )
     size = f"IF(o_orderkey % 500 = 0, {LONG_DOCUMENT}, CAST(o_orderkey % 4 AS INT))"
     return (
-        table(spark, folder, "orders")
+        spread_table(spark, folder, "orders")
         .selectExpr(
             "concat('repo_', o_custkey) AS repo",
             "o_orderkey AS k",
