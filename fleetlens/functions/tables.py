@@ -62,7 +62,7 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def numbered(
-    df: DataFrame, by, order, name: str = "n", window_rows: int = WINDOW_ROWS
+    df: DataFrame, by, order, name: str = "n", window_rows: int | None = None
 ) -> DataFrame:
     """Number the rows of every ``by`` group from 1 in ``order``, whatever the group sizes.
 
@@ -72,6 +72,7 @@ def numbered(
     row count of the group's earlier slices. Only one count per (group, slice) crosses slices.
     """
     by, order = list(by), list(order)
+    window_rows = WINDOW_ROWS if window_rows is None else window_rows
     largest = df.groupBy(*by).count().agg(F.max("count")).first()[0]
     if largest is None or largest <= window_rows:
         window = Window.partitionBy(*by).orderBy(*order)

@@ -1,5 +1,8 @@
 """Source files as a table: reading trees, path filters, caps, lines."""
 
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -8,20 +11,44 @@ from ..functions.columns import any_of, basename, extension, literals
 from ..functions.tables import numbered
 
 
-def read_tree(spark: SparkSession, root: str, max_bytes: int | None = None) -> DataFrame:
+def _binary_files(spark: SparkSession, path: str) -> DataFrame | None:
+    """Files under ``path``, a folder or a glob; None when nothing is there."""
+    try:
+        return (
+            spark.read.format("binaryFile")
+            .option("recursiveFileLookup", True)
+            .option("ignoreMissingFiles", True)
+            .option("ignoreCorruptFiles", True)
+            .load(path)
+        )
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def read_tree(
+    spark: SparkSession, root: str, max_bytes: int | None = None, max_depth: int = 20
+) -> DataFrame:
     """Read ``root/<repo>/<path...>`` recursively as files(repo, path, content).
 
+    For object stores and other Hadoop file systems. Spark's listing leaves out names that start
+    with "." or "_" and everything below them. Hidden folders are added by one glob per folder
+    level; a listing below them leaves out hidden names again, which the next level's glob
+    brings, so every file is read exactly once. Hidden files and empty files stay invisible to
+    Spark's readers; where the tree is mounted on all nodes, ``repo_tree`` reads those as well.
+
     Bytes that are not UTF-8 become U+FFFD. Files that vanish or cannot be read while the scan
     runs are skipped. ``max_bytes`` leaves larger files out when set; the reader drops them by
     their listed length, before opening them.
     """
-    found = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .option("ignoreMissingFiles", True)
-        .option("ignoreCorruptFiles", True)
-        .load(root)
-    )
+    parts = [_binary_files(spark, root)]
+    for depth in range(1, max_depth + 1):
+        level = root.rstrip("/") + "/*" * depth
+        if _binary_files(spark, level) is None:
+            break
+        parts.append(_binary_files(spark, level + "/{.,_}*"))
+    found = reduce(DataFrame.unionByName, [p for p in parts if p is not None])
     if max_bytes is not None:
         found = found.filter(F.col("length") <= max_bytes)
     base = root.split(":", 1)[-1].strip("/")

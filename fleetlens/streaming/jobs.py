@@ -88,30 +88,30 @@ MUTATIONS = "repo string, day date, active boolean, mutation string"
 OPEN_STATE = "is_open boolean"
 
 
-def _advance(key, batches, state: GroupState):
-    """Walk a repository's audit runs in day order, carrying whether its issue is open."""
-    runs = pd.concat(list(batches)).sort_values("day", kind="stable")
-    was_open = bool(state.get[0]) if state.exists else False
-    open_after = runs["active"].astype(bool)
-    open_before = open_after.shift(1, fill_value=was_open)
-    mutation = pd.Series("noop", index=runs.index)
-    mutation[open_before & ~open_after] = "close"
-    mutation[~open_before & open_after] = "create"
-    mutation[open_before & open_after] = "update"
-    state.update((bool(open_after.iloc[-1]),))
-    yield pd.DataFrame(
-        {"repo": key[0], "day": runs["day"], "active": open_after, "mutation": mutation}
-    )
-
-
 def issue_states(runs: DataFrame) -> DataFrame:
     """Issue changes of arriving audit runs, one (repo, day, active) row per run.
 
     Findings are counted into runs before they get here, so a repository brings one small row
     per day whatever its size.
     """
+
+    def advance(key, batches, state: GroupState):
+        """Walk a repository's runs in day order, carrying whether its issue is open."""
+        days = pd.concat(list(batches)).sort_values("day", kind="stable")
+        was_open = bool(state.get[0]) if state.exists else False
+        open_after = days["active"].astype(bool)
+        open_before = open_after.shift(1, fill_value=was_open)
+        mutation = pd.Series("noop", index=days.index)
+        mutation[open_before & ~open_after] = "close"
+        mutation[~open_before & open_after] = "create"
+        mutation[open_before & open_after] = "update"
+        state.update((bool(open_after.iloc[-1]),))
+        yield pd.DataFrame(
+            {"repo": key[0], "day": days["day"], "active": open_after, "mutation": mutation}
+        )
+
     return runs.groupBy("repo").applyInPandasWithState(
-        _advance, MUTATIONS, OPEN_STATE, "append", GroupStateTimeout.NoTimeout
+        advance, MUTATIONS, OPEN_STATE, "append", GroupStateTimeout.NoTimeout
     )
 
 
