@@ -12,8 +12,6 @@ from .columns import quoted
 
 # A group up to this many rows is numbered by one window task; larger ones are sliced.
 WINDOW_ROWS = 1_000_000
-# A lookup side is broadcast only when it holds no more rows than this.
-BROADCAST_ROWS = 200_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -56,11 +54,6 @@ def lookup(spark: SparkSession, fields, rows) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(fields)})")
 
 
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint after counting at most ``limit + 1`` rows; larger tables join by shuffle."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
-
-
 def numbered(
     df: DataFrame, by, order, name: str = "n", window_rows: int | None = None
 ) -> DataFrame:

@@ -54,13 +54,6 @@ def test_written_table_is_computed_once(spark):
     assert rows.collect() == rows.collect()
 
 
-def test_broadcast_only_below_the_limit(spark):
-    small, large = spark.range(5), spark.range(50)
-    plan = lambda df: df._jdf.queryExecution().logical().toString()
-    assert "broadcast" in plan(tables.broadcast_if_small(small, 10)).lower()
-    assert "broadcast" not in plan(tables.broadcast_if_small(large, 10)).lower()
-
-
 def test_cluster_without_shared_folder_is_refused(monkeypatch):
     class Conf:
         def get(self, name, default=None):
