@@ -22,9 +22,16 @@ def basename(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
 
+def suffix(path: Column) -> Column:
+    """Lower-cased text after the last dot of the base name; NULL without a dot."""
+    base = basename(path)
+    return F.when(base.contains("."), F.lower(F.substring_index(base, ".", -1)))
+
+
 def extension(path: Column) -> Column:
-    """Lower-cased suffix of the base name. A leading dot alone starts no extension."""
-    return F.lower(F.regexp_extract(basename(path), r"(?s)^.+(\.[^.]*)\z", 1))
+    """Lower-cased extension with its dot. A dot that opens the name starts no extension."""
+    dotted = F.locate(".", basename(path), 2) > 0
+    return F.when(dotted, F.concat(F.lit("."), suffix(path))).otherwise(F.lit(""))
 
 
 def filled(text: Column) -> Column:

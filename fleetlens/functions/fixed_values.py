@@ -113,13 +113,11 @@ TEXT_EXTENSIONS = [
     ".json", ".yaml", ".yml", ".toml", ".ini", ".cfg", ".conf", ".env",
     ".properties", ".xml", ".html", ".sh", ".txt", ".md", ".gradle",
 ]
-CONFIG_NAME_PATTERNS = [
-    r"(?i)\.(?:ya?ml|toml|ini|cfg|conf|properties|json)\z",
-    r"(?i)\.config\.(?:js|ts|mjs|cjs)\z",
-    r"(?i)(?:config|settings|server|app)\.(?:js|ts|mjs|cjs|py|go|rb)\z",
-]
-ROUTE_FILE_PATTERN = r"(?i)\.(?:ts|tsx|js|jsx|mjs|cjs)\z"
-ROUTE_FILE_SKIP_PATTERN = r"(?i)\.(?:test|spec)\."
+RISKY_CONFIG_SUFFIXES = ["yaml", "yml", "toml", "ini", "cfg", "conf", "properties", "json"]
+RISKY_CODE_SUFFIXES = ["js", "ts", "mjs", "cjs", "py", "go", "rb"]
+RISKY_CODE_STEMS = ["config", "settings", "server", "app"]
+ROUTE_SUFFIXES = ["ts", "tsx", "js", "jsx", "mjs", "cjs"]
+ROUTE_SKIPPED_PARTS = [".test.", ".spec."]
 
 # --- fixed values: discovery lookups -------------------------------------------------------
 LANGUAGE_BY_EXTENSION = {
@@ -278,8 +276,8 @@ AUTH_PATH_HINTS = [
     "authorize",
     "middleware/auth",
 ]
-AUTH_CODE_PATTERN = r"(?i)\.(?:ts|tsx|js|jsx|py|go|rb|java|kt|php|cs|rs)\z"
-CONFIG_FILE_PATTERN = r"(?i)\.(?:ya?ml|toml|ini|cfg|conf|properties)\z"
+AUTH_CODE_SUFFIXES = ["ts", "tsx", "js", "jsx", "py", "go", "rb", "java", "kt", "php", "cs", "rs"]
+CONFIG_SUFFIXES = ["yaml", "yml", "toml", "ini", "cfg", "conf", "properties"]
 CI_PREFIXES = [".github/workflows/", ".circleci/", ".azure-pipelines/"]
 CI_PATHS = [".gitlab-ci.yml", "Jenkinsfile", "azure-pipelines.yml"]
 INFRA_NAMES = ["Dockerfile", "docker-compose.yml", "docker-compose.yaml", "Chart.yaml"]

@@ -21,6 +21,7 @@ from ..functions.columns import (
     looked_up,
     present,
     quoted,
+    suffix,
 )
 from ..sources.files import is_route_file, lines_matching
 
@@ -78,14 +79,14 @@ def is_infra_file(path: Column) -> Column:
 
 
 def is_auth_file(path: Column) -> Column:
-    return path.rlike(V.AUTH_CODE_PATTERN) & contains_any(F.lower(path), V.AUTH_PATH_HINTS)
+    return suffix(path).isin(V.AUTH_CODE_SUFFIXES) & contains_any(F.lower(path), V.AUTH_PATH_HINTS)
 
 
 def is_config_file(path: Column) -> Column:
     base = basename(path)
     return (
         base.startswith(".env")
-        | base.rlike(V.CONFIG_FILE_PATTERN)
+        | suffix(path).isin(V.CONFIG_SUFFIXES)
         | (base == "config.json")
         | base.endswith(".config.js")
         | base.endswith(".config.ts")
@@ -114,7 +115,7 @@ def path_summary(paths: DataFrame) -> DataFrame:
         F.collect_set(looked_up(extension(path), V.LANGUAGE_BY_EXTENSION)).alias("languages"),
         F.collect_set(looked_up(base, V.PACKAGE_MANAGER_BY_FILE)).alias("named"),
         F.bool_or(base == "package.json").alias("has_package"),
-        F.bool_or(path.rlike(V.PYTHON_TEST_FILE_PATTERN)).alias("py"),
+        F.bool_or(path.endswith(".py") & path.rlike(V.PYTHON_TEST_FILE_PATTERN)).alias("py"),
         F.bool_or(base == "go.mod").alias("go"),
         F.bool_or(path.endswith("_test.go")).alias("go_test"),
         F.bool_or(base == "Cargo.toml").alias("rust"),
@@ -194,9 +195,26 @@ def _keyword_cases(test: str) -> list[str]:
     ]
 
 
+FRAMEWORK_NAMES = [*V.NODE_UI_FRAMEWORKS, *V.NODE_API_FRAMEWORKS, *V.NODE_TEST_FRAMEWORKS]
+KEYWORDS = [*V.DATABASE_KEYWORDS, *V.INTEGRATION_KEYWORDS]
+
+
+def _telling_name() -> Column:
+    """Most dependencies tell nothing; one cheap test spares them the list of cases."""
+    return F.col("dep").rlike(_starts_with(KEYWORDS))
+
+
+def _text_facts(manifests: DataFrame) -> DataFrame:
+    texts = manifests.filter(
+        basename(F.col("path")).isin(V.KEYWORD_MANIFESTS) & contains_any(F.lower("content"), KEYWORDS)
+    )
+    return _as_facts(texts, _keyword_cases(MENTIONED))
+
+
 def node_frameworks(dependencies: DataFrame) -> DataFrame:
     """Frameworks named exactly by a dependency, as (repo, concern, label)."""
-    return _as_facts(dependencies, FRAMEWORK_CASES).distinct()
+    named = dependencies.filter(F.col("dep").isin(FRAMEWORK_NAMES))
+    return _as_facts(named, FRAMEWORK_CASES).distinct()
 
 
 def _python_facts(manifests: DataFrame) -> DataFrame:
@@ -250,9 +268,9 @@ def stores_and_integrations(files: DataFrame) -> DataFrame:
     A keyword counts when a Node dependency starts with it or when another manifest's text
     contains it anywhere.
     """
-    by_name = _as_facts(declared_dependencies(package_manifests(files)), _keyword_cases(NAMED))
-    others = files.filter(basename(F.col("path")).isin(V.KEYWORD_MANIFESTS))
-    return by_name.unionByName(_as_facts(others, _keyword_cases(MENTIONED))).distinct()
+    names = declared_dependencies(package_manifests(files)).filter(_telling_name())
+    by_name = _as_facts(names, _keyword_cases(NAMED))
+    return by_name.unionByName(_text_facts(files)).distinct()
 
 
 def manifest_facts(manifests: DataFrame) -> DataFrame:
@@ -261,11 +279,12 @@ def manifest_facts(manifests: DataFrame) -> DataFrame:
     ``manifests`` are the files named in READ_MANIFESTS. Dependencies are not made distinct
     first: their labels are computed where they are read.
     """
-    names = declared_dependencies(package_manifests(manifests))
-    others = manifests.filter(basename(F.col("path")).isin(V.KEYWORD_MANIFESTS))
+    names = declared_dependencies(package_manifests(manifests)).filter(
+        F.col("dep").isin(FRAMEWORK_NAMES) | _telling_name()
+    )
     parts = [
         _as_facts(names, [*FRAMEWORK_CASES, *_keyword_cases(NAMED)]),
-        _as_facts(others, _keyword_cases(MENTIONED)),
+        _text_facts(manifests),
         _python_facts(manifests),
         _first_manifest_facts(manifests),
     ]

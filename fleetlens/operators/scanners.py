@@ -68,43 +68,42 @@ def collect(files: DataFrame) -> Evidence:
     such a rule matches.
     """
     path, content = F.col("path"), F.col("content")
-    text = is_text(path)
-    manifest = basename(path).isin(discovery.READ_MANIFESTS)
-    rules = [
-        (is_route_file(path), V.ROUTE_CALL),
-        (text & is_risky_config(path), CONFIG_LINE),
-        (text, SECRET_LINE),
-    ]
+    # What applies to a file is decided once, not again for each of its lines.
+    kinds = files.select(
+        "repo",
+        "path",
+        "content",
+        is_text(path).alias("text"),
+        is_route_file(path).alias("routes"),
+        is_risky_config(path).alias("config"),
+        basename(path).isin(discovery.READ_MANIFESTS).alias("manifest"),
+    ).filter("text OR routes OR manifest")
+    rules = {"routes": V.ROUTE_CALL, "config": CONFIG_LINE, "text": SECRET_LINE}
 
     def hit(column: Column) -> Column:
-        return any_of(applies & column.rlike(pattern) for applies, pattern in rules)
+        return any_of(F.col(kind) & column.rlike(pattern) for kind, pattern in rules.items())
 
-    marked = files.filter(text | manifest | is_route_file(path)).select(
+    marked = kinds.select(
         "repo",
         "path",
-        (text & content.rlike(V.AUTHORIZATION_TOKEN)).alias("authorizes"),
-        (text & content.rlike(V.HEADER_MECHANISM)).alias("hardens"),
-        F.when(manifest, content).alias("manifest"),
+        *rules,
+        (F.col("text") & content.rlike(V.AUTHORIZATION_TOKEN)).alias("authorizes"),
+        (F.col("text") & content.rlike(V.HEADER_MECHANISM)).alias("hardens"),
+        F.when(F.col("manifest"), content).alias("manifest"),
         F.when(hit(content), F.split(content, V.LINE_BREAK)).alias("rows"),
-    )
-    whole = marked.filter("authorizes OR hardens OR manifest IS NOT NULL OR rows IS NOT NULL")
-    # Row -1 stands for the file itself, the others for its lines.
-    fanned = whole.select(
-        "repo",
-        "path",
-        "authorizes",
-        "hardens",
-        "manifest",
-        F.posexplode(
-            F.concat(F.array(F.lit(None).cast("string")), F.coalesce("rows", F.array().cast("array<string>")))
-        ).alias("line_no", "line"),
-    )
-    signals = fanned.filter((F.col("line_no") == 0) | hit(F.col("line"))).select(
-        "repo",
-        "path",
-        F.when(F.col("line_no") == 0, F.col("authorizes")).alias("authorizes"),
-        F.when(F.col("line_no") == 0, F.col("hardens")).alias("hardens"),
-        F.when(F.col("line_no") == 0, F.col("manifest")).alias("manifest"),
+    ).filter("authorizes OR hardens OR manifest IS NOT NULL OR rows IS NOT NULL")
+    # Row 0 stands for the file itself, the others for its lines.
+    rows = F.concat(F.expr("array(CAST(NULL AS STRING))"), F.coalesce("rows", F.expr("CAST(array() AS ARRAY<STRING>)")))
+    fanned = marked.select(
+        "repo", "path", *rules, "authorizes", "hardens", "manifest",
+        F.posexplode(rows).alias("line_no", "line"),
+    ).filter((F.col("line_no") == 0) | hit(F.col("line")))
+
+    def of_file(name):
+        return F.when(F.col("line_no") == 0, F.col(name)).alias(name)
+
+    signals = fanned.select(
+        "repo", "path", of_file("authorizes"), of_file("hardens"), of_file("manifest"),
         F.when(F.col("line_no") > 0, F.col("line_no")).alias("line_no"),
         "line",
     )

@@ -122,12 +122,12 @@ def node_frameworks(spark, folder):
 
 @query("non_node_stacks", manifests(select="SELECT repo, concern, label FROM other_facts"))
 def non_node_stacks(spark, folder):
-    return discovery.non_node_stacks(views.manifest_files(spark, folder))
+    return discovery.non_node_stacks(written(views.manifest_files(spark, folder), "files"))
 
 
 @query("datastores_integrations", manifests(select="SELECT repo, concern, label FROM store_facts"))
 def datastores_integrations(spark, folder):
-    return discovery.stores_and_integrations(views.manifest_files(spark, folder))
+    return discovery.stores_and_integrations(written(views.manifest_files(spark, folder), "files"))
 
 
 @query("ci_files", docs(select="SELECT repo, path FROM files WHERE dir = '.github/workflows'"))
@@ -167,6 +167,11 @@ def api_endpoints(spark, folder):
     return discovery.endpoints(views.route_files(spark, folder)).drop("text")
 
 
+def stored_application(spark, folder):
+    """The generated files as a stored table, which queries with several branches read."""
+    return written(views.application_files(spark, folder), "files")
+
+
 def listed(*columns):
     return [F.array_join(c, ",").alias(c) for c in columns]
 
@@ -208,10 +213,8 @@ wide AS (
     ),
 )
 def discovery_profile(spark, folder):
-    files = views.application_files(spark, folder)
-    manifests = written(
-        files.filter(basename(F.col("path")).isin(discovery.READ_MANIFESTS)), "manifests"
-    )
+    files = stored_application(spark, folder)
+    manifests = files.filter(basename(F.col("path")).isin(discovery.READ_MANIFESTS))
     rows = discovery.profile(files.select("repo", "path"), manifests, discovery.endpoints(files))
     return rows.select(
         "repo", "api_endpoints", *discovery.PATH_COUNTS, *listed(*discovery.PROFILE_LISTS)
@@ -367,7 +370,7 @@ def api_labels(files):
     ),
 )
 def no_authz_repos(spark, folder):
-    files = views.application_files(spark, folder)
+    files = stored_application(spark, folder)
     return scanners.repos_without(
         api_labels(files), scanners.with_content_match(files, V.AUTHORIZATION_TOKEN)
     )
@@ -381,7 +384,7 @@ def no_authz_repos(spark, folder):
     ),
 )
 def no_security_headers(spark, folder):
-    files = views.application_files(spark, folder)
+    files = stored_application(spark, folder)
     using = api_labels(files).filter(scanners.is_header_framework(F.col("label")))
     return scanners.repos_without(using, scanners.with_content_match(files, V.HEADER_MECHANISM))
 
@@ -399,6 +402,6 @@ def no_security_headers(spark, folder):
     ),
 )
 def missing_tests(spark, folder):
-    files = views.application_files(spark, folder)
+    files = stored_application(spark, folder)
     known = discovery.manifest_facts(files).unionByName(discovery.test_conventions(files))
     return findings.missing_tests(files, known)

@@ -72,13 +72,16 @@ def finding_ids(spark, folder):
 
 
 def fleet_files(spark, folder):
-    """Every derived repository together: applications, configuration, routes and documents."""
-    return (
+    """Every derived repository together: applications, configuration, routes and documents.
+
+    Generated files are stored first, as a fleet's files would be; documents are stored already.
+    """
+    generated = (
         views.application_files(spark, folder)
         .unionByName(views.config_source_files(spark, folder))
         .unionByName(views.route_files(spark, folder))
-        .unionByName(views.document_files(spark, folder))
     )
+    return written(generated, "files").unionByName(views.document_files(spark, folder))
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
-from ..functions.columns import any_of, basename, extension, literals
+from ..functions.columns import any_of, basename, extension, literals, suffix
 from ..functions.tables import numbered
 
 
@@ -97,14 +97,19 @@ def is_text(path: Column) -> Column:
 
 
 def is_route_file(path: Column) -> Column:
-    return path.rlike(V.ROUTE_FILE_PATTERN) & ~path.rlike(V.ROUTE_FILE_SKIP_PATTERN)
+    skipped = any_of(F.lower(path).contains(p) for p in V.ROUTE_SKIPPED_PARTS)
+    return suffix(path).isin(V.ROUTE_SUFFIXES) & ~skipped
 
 
 def is_risky_config(path: Column) -> Column:
     """Files the configuration scanner opens (wider than the discovery list of config files)."""
-    base = basename(path)
-    named = any_of(base.rlike(p) for p in V.CONFIG_NAME_PATTERNS)
-    return is_text(path) & (base.startswith(".env") | named)
+    ending = suffix(path)
+    named = F.lower(path).rlike("(?:" + "|".join(V.RISKY_CODE_STEMS) + r")\.[a-z]+\z")
+    return is_text(path) & (
+        basename(path).startswith(".env")
+        | ending.isin(V.RISKY_CONFIG_SUFFIXES)
+        | (ending.isin(V.RISKY_CODE_SUFFIXES) & named)
+    )
 
 
 def text_files(files: DataFrame, limit: int | None = None) -> DataFrame:
