@@ -484,7 +484,43 @@ def sarif_level_counts(spark, folder):
     return reports.sarif_level_counts(views.findings(spark, folder))
 
 
-@query("sarif_documents")
+def sql_json(**fields):
+    """SQL for a JSON object from SQL texts of its already encoded values."""
+    return "'{' || " + " || ',' || ".join(f"'\"{k}\":' || {v}" for k, v in fields.items()) + " || '}'"
+
+
+def encoded(column):
+    return f"CAST(to_json({column}) AS VARCHAR)"
+
+
+SARIF_RULE = sql_json(
+    id=encoded("rule_id"), name=encoded("rule_name"), shortDescription=sql_json(text=encoded("title")),
+    fullDescription=sql_json(text=encoded("full_description")), defaultConfiguration=sql_json(level=encoded("level")),
+    properties=sql_json(category=encoded("rule_name"), severity=encoded("severity")),
+)
+# An absent endpoint or line leaves its property out.
+SARIF_RESULT = (
+    "'{\"ruleId\":' || " + encoded("rule_id") + " || ',\"level\":' || " + encoded("level")
+    + " || ',\"message\":' || " + sql_json(text=encoded("message"))
+    + " || ',\"properties\":{\"status\":' || " + encoded("status") + " || ',\"confidence\":' || confidence"
+    + " || coalesce(',\"endpoint\":' || " + encoded("endpoint") + ", '') || ',\"source\":' || " + encoded("source")
+    + " || '},\"locations\":[{\"physicalLocation\":{\"artifactLocation\":' || " + sql_json(uri=encoded("uri"))
+    + " || coalesce(',\"region\":{\"startLine\":' || start_line || '}', '') || '}}]}'"
+)
+
+
+@query(
+    "sarif_documents",
+    with_views(
+        views.FINDINGS_SQL, SARIF_SQL,
+        select=f"""SELECT repo, (n - 1) // {reports.CHUNK_FINDINGS} AS chunk,
+          '{{"$schema":"{V.SARIF_SCHEMA}","version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"fleetlens",'
+          || '"version":"0.1.0","rules":[' || string_agg({SARIF_RULE}, ',' ORDER BY n) || ']}}}},"results":['
+          || string_agg({SARIF_RESULT}, ',' ORDER BY n) || ']}}]}}' AS text
+        FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY ordinal) AS n FROM sarif)
+        GROUP BY repo, (n - 1) // {reports.CHUNK_FINDINGS}""",
+    ),
+)
 def sarif_documents(spark, folder):
     return reports.sarif_documents(views.findings(spark, folder))
 

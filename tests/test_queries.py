@@ -18,10 +18,9 @@ def test_query_equals_sql(spark, connection, name):
     assert compare(queries()[name](spark, FOLDER), connection, oracle_sql()[name]).startswith("ok")
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - set(oracle_sql())))
-def test_query_without_sql_gives_rows(spark, name):
-    assert queries()[name](spark, FOLDER).count() > 0
+def test_every_query_has_a_twin():
+    assert set(queries()) == set(oracle_sql())
 
 
 def test_entry(spark):
-    assert entry(spark).columns == ["doc_id", "line_no", "kind", "secret_sha256", "secret_length"]
+    assert entry(spark).count() > 0

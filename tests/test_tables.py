@@ -54,17 +54,21 @@ def test_written_table_is_computed_once(spark):
     assert rows.collect() == rows.collect()
 
 
-def test_cluster_without_shared_folder_is_refused(monkeypatch):
-    class Conf:
-        def get(self, name, default=None):
-            return default
+class Session:
+    """Stands for a session in which spark.checkpoint.dir is unset."""
 
-    class Context:
-        master = "spark://host:7077"
+    def __init__(self, master):
+        self.sparkContext = type("Context", (), {"master": master})()
+        self.conf = type("Conf", (), {"get": lambda self, name, default=None: default})()
 
-    class Session:
-        conf = Conf()
-        sparkContext = Context()
 
+def test_unset_shared_folder():
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
-        tables.shared_folder(Session())
+        tables.shared_folder(Session("spark://host:7077"))
+    assert tables.shared_folder(Session("local[8]")) == tables.shared_folder(Session("local[2]"))
+
+
+def test_shared_folder_is_the_configured_one(spark):
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured is not None:
+        assert tables.fresh_path(spark, "x").startswith(configured.rstrip("/") + "/fleetlens/x-")
