@@ -39,14 +39,6 @@ CATEGORIES = [
     "test-coverage",
     "other",
 ]
-SCAN_STATUSES = [
-    "completed",
-    "skipped-unavailable",
-    "skipped-not-applicable",
-    "skipped-disabled",
-    "error",
-    "timeout",
-]
 ENDPOINT_CATEGORIES = ["api-security", "authentication", "authorization", "rate-limiting"]
 FINDING_ID_PATTERN = r"^RG-[A-Z]+-[0-9]{3,}\z"
 FINDING_ID_FORMAT = "RG-{area}-%03d"
@@ -72,6 +64,7 @@ SEVERITY_SPELLINGS = {
 }
 SEVERITY_FALLBACK = "medium"
 
+# Limits on files per repository are arguments for ``sources.files.cap``; none is on by default.
 # --- fixed values: limits ------------------------------------------------------------------
 MAX_FILES_PER_REPO = 200_000
 MAX_ROUTE_FILES = 5_000

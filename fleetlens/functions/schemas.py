@@ -2,7 +2,6 @@
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 FINDING_FIELDS = [
     ("repo", "string"),
@@ -35,12 +34,6 @@ FINDING_DEFAULTS = {
 }
 
 FILES = "repo string, path string, content string"
-ENDPOINTS = "repo string, method string, path string, file string, line int"
-SCAN_RUNS = (
-    "repo string, tool string, available boolean, status string, command string, "
-    "exit_code int, duration_ms double, stdout string, note string"
-)
-EMPTY_LIST = T.ArrayType(T.StringType())
 
 
 def as_findings(df: DataFrame, extra=()) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Writing results: findings tables, report rows, document chunks."""
+"""Writing results: findings tables, report rows and document chunks, Markdown."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +21,10 @@ def write_findings(findings: DataFrame, path: str, mode: str = "overwrite") -> N
 
 
 def write_rows(rows: DataFrame, path: str, order, mode: str = "overwrite") -> None:
-    """Report rows as JSON lines in global order: reading the files by name gives every report."""
+    """Report rows or document chunks as JSON lines in global order.
+
+    Reading the files by name gives every report in its order, however large.
+    """
     (
         rows.repartitionByRange("repo", *order)
         .sortWithinPartitions("repo", *order)
@@ -40,15 +43,3 @@ def write_markdown(rows: DataFrame, path: str, mode: str = "overwrite") -> None:
         .partitionBy("repo")
         .text(path)
     )
-
-
-def write_documents(chunks: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Document chunks (repo, chunk, text), one line each, under one folder per repository."""
-    (
-        chunks.repartitionByRange("repo", "chunk")
-        .sortWithinPartitions("repo", "chunk")
-        .select("repo", F.col("text").alias("value"))
-        .write.mode(mode)
-        .partitionBy("repo")
-        .text(path)
-    )

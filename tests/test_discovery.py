@@ -2,6 +2,7 @@ import json
 
 import pytest
 
+from fleetlens.functions import fixed_values as V
 from fleetlens.operators import discovery
 from fleetlens.sources import files as source
 from fleetlens.sources import repo_tree
@@ -181,6 +182,15 @@ def test_read_tree(spark, tmp_path):
     }
 
 
+def test_stored_files_table(spark, fleet, tmp_path):
+    files = fleet({"a": {"x.ts": "one\ntwo"}})
+    files.write.parquet(str(tmp_path / "files"))
+    stored = source.read_table(spark, str(tmp_path / "files"))
+    assert stored.collect() == files.collect()
+    capped = source.text_files(stored, V.MAX_TEXT_FILES)
+    assert [r.path for r in capped.collect()] == ["x.ts"]
+
+
 def test_lines_keep_trailing_empties_and_split_crlf(fleet):
     files = fleet({"a": {"f": "x\r\ny\n\n"}})
     rows = sorted((r.line_no, r.line) for r in source.explode_lines(files).collect())
