@@ -48,7 +48,7 @@ def path_of(url):
 
 
 def rules_table(spark: SparkSession, host_rules=HOST_RULES, patterns=PATTERNS) -> DataFrame:
-    """(rule, verdict, length, tokens, pattern, on_host): one row per rule and way to match it.
+    """(rule, verdict, length, tokens, pattern, on_host, way): one row per rule and way to match it.
 
     ``tokens`` are tokens that every match contains. A rule whose literal is one of several words
     has a row for each word. Host rules run over host and path, patterns over the lower-cased url.
@@ -57,14 +57,16 @@ def rules_table(spark: SparkSession, host_rules=HOST_RULES, patterns=PATTERNS) -
     for host, path, verdict in host_rules:
         tokens = re.findall(TOKEN, host) + re.findall(f"(?<=/){TOKEN}(?=/)", path)
         pattern = r"^(?:[^/]*[.])?" + re.escape(host) + re.escape(path)
-        rows.append((host + path, verdict, len(host + path), tokens, pattern, True))
+        rows.append((host + path, verdict, len(host + path), tokens, pattern, True, 0))
     for pattern, literals in patterns:
         first, rest = literals[0].split("|"), [x for x in literals[1:] if "|" not in x]
-        rows += [(pattern, "block", -1, [word, *rest], pattern, False) for word in first]
+        rows += [
+            (pattern, "block", -1, [word, *rest], pattern, False, way) for way, word in enumerate(first)
+        ]
     return lookup(
         spark,
-        ["rule", "verdict", "length", "tokens", "pattern", "on_host"],
-        [(a, b, c, " ".join(d), e, str(f)) for a, b, c, d, e, f in rows],
+        ["rule", "verdict", "length", "tokens", "pattern", "on_host", "way"],
+        [(a, b, c, " ".join(d), e, str(f), g) for a, b, c, d, e, f, g in rows],
     ).withColumns({"tokens": F.split("tokens", " "), "on_host": F.col("on_host") == "True"})
 
 
@@ -85,7 +87,7 @@ def judged(pages: DataFrame, rules: DataFrame) -> DataFrame:
     seen = url_tokens.join(wanted, "_token").groupBy("_token").count()
     each = rules.select("*", F.explode("tokens").alias("_token")).join(seen, "_token", "left")
     rarest = F.min_by("_token", F.struct(F.coalesce("count", F.lit(0)), "_token"))
-    index = each.groupBy("rule", "verdict", "length", "pattern", "on_host").agg(rarest.alias("_token"))
+    index = each.groupBy("rule", "way", "verdict", "length", "pattern", "on_host").agg(rarest.alias("_token"))
 
     over = F.when(F.col("on_host"), F.concat(host_of(F.col("_url")), path_of(F.col("_url")))).otherwise(lower)
     found = url_tokens.join(index, "_token").where(F.rlike(over, F.col("pattern")))
