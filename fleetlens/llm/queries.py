@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import mixing, secret_scan, url_filter
+from . import jaccard_join, lm_scores, mixing, secret_scan, url_filter
 from .common import table
 
 QUERIES = {}
@@ -115,3 +115,43 @@ def op9_url_filter(spark, sf_dir):
     return url_filter.judged(pages, url_filter.rules_table(spark)).select(
         "page_id", "host", "path", "rule", "verdict"
     )
+
+
+@query(
+    "op7_lm_scores",
+    r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w, row_number() OVER () AS r FROM documents),
+t AS (SELECT r, doc_id, unnest(w) AS c, generate_subscripts(w, 1) AS i FROM d),
+g AS (
+  SELECT r, doc_id, i, c, lag(c, 1) OVER o AS b, lag(c, 2) OVER o AS a
+  FROM t WINDOW o AS (PARTITION BY r ORDER BY i)
+),
+c1 AS (SELECT c, count(*) AS n1 FROM g GROUP BY ALL),
+c2 AS (SELECT b, c, count(*) AS n2 FROM g WHERE b IS NOT NULL GROUP BY ALL),
+c3 AS (SELECT a, b, c, count(*) AS n3 FROM g WHERE a IS NOT NULL GROUP BY ALL),
+s AS (
+  SELECT g.r, i,
+    CASE WHEN i > 2 AND n3 >= 2 THEN log10(n3 / ab.n2)
+         WHEN i > 1 AND bc.n2 >= 2 THEN log10(bc.n2 / b1.n1) + CASE WHEN i > 2 THEN log10(0.4) ELSE 0 END
+         ELSE log10(w1.n1 / (SELECT count(*) FROM t)) + CASE WHEN i > 2 THEN 2 WHEN i > 1 THEN 1 ELSE 0 END * log10(0.4)
+    END AS x,
+    CASE WHEN i > 2 THEN n3 >= 2 WHEN i > 1 THEN bc.n2 >= 2 ELSE true END AS longest
+  FROM g JOIN c1 w1 ON w1.c = g.c LEFT JOIN c1 b1 ON b1.c = g.b
+  LEFT JOIN c2 bc ON bc.b = g.b AND bc.c = g.c
+  LEFT JOIN c2 ab ON ab.b = g.a AND ab.c = g.b
+  LEFT JOIN c3 ON c3.a = g.a AND c3.b = g.b AND c3.c = g.c
+),
+e AS (SELECT r, count(*) AS n, sum(x) AS x, count(*) FILTER (longest) AS l FROM s GROUP BY r)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_words, round(coalesce(x, 0), 6) AS log10_sum, round(x / n, 6) AS log10_mean,
+       coalesce(l, 0)::BIGINT AS n_longest, coalesce(n - l, 0)::BIGINT AS n_backed_off
+FROM d LEFT JOIN e ON d.r = e.r
+""",
+)
+def op7_lm_scores(spark, sf_dir):
+    scores = lm_scores.scored(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return scores.withColumns({c: F.round(c, 6) for c in ("log10_sum", "log10_mean")})
+
+
+@query("op8_jaccard_join")
+def op8_jaccard_join(spark, sf_dir):
+    return jaccard_join.joined(table(spark, sf_dir, "documents").select("doc_id", "text"))
