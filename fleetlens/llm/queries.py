@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import jaccard_join, lm_scores, mixing, secret_scan, url_filter
+from . import jaccard_join, lm_scores, mixing, secret_scan, substring_dedup, url_filter
 from .common import table
 
 QUERIES = {}
@@ -155,3 +155,30 @@ def op7_lm_scores(spark, sf_dir):
 @query("op8_jaccard_join")
 def op8_jaccard_join(spark, sf_dir):
     return jaccard_join.joined(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query(
+    "op5_substring_dedup",
+    r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, row_number() OVER () AS r FROM documents),
+v AS (
+  SELECT r, doc_id, i, array_to_string(w[i:i + 12], ' ') AS x
+  FROM (SELECT r, doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)
+),
+m AS (SELECT x, min(doc_id) AS least FROM v GROUP BY x),
+c AS (
+  SELECT DISTINCT r, unnest(range(i, i + 13)) AS i FROM v JOIN m USING (x) WHERE least < doc_id
+),
+k AS (
+  SELECT d.r, t.i, t.c FROM d, LATERAL (SELECT unnest(w) AS c, generate_subscripts(w, 1) AS i) t
+  WHERE (d.r, t.i) NOT IN (SELECT (r, i) FROM c)
+),
+j AS (SELECT r, string_agg(c, ' ' ORDER BY i) AS kept, count(*) AS n FROM k GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN j ON d.r = j.r
+""",
+)
+def op5_substring_dedup(spark, sf_dir):
+    kept = substring_dedup.deduped(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -134,19 +134,30 @@ def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool) -
     return mixed(out ^ (size * np.uint64(0xD6E8FEB86659FD93)))
 
 
-def grams(words: Words, n: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every run of ``n`` words inside a document, and the index of its first word."""
+def grams(words: Words, n: int, seed: int = 0, inside_only: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every run of ``n`` words, and the index of its first word; by default of those inside a document."""
     h, total = words.hash, len(words.hash)
     if total < n:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     value = np.full(total - n + 1, seed * 2 + 1, np.uint64)
     for k in range(n):
         value = mixed(value * np.uint64(0x9FB21C651E98DF25) + h[k : total - n + 1 + k])
+    if not inside_only:
+        return value, np.arange(len(value))
     inside = words.doc[: total - n + 1] == words.doc[n - 1 :]
     at = np.flatnonzero(inside)
     return value[at], at
 
 
+def range_hashes(hashes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the words begin..end of each range."""
+    n = len(hashes)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(hashes * _powers(_BASE, n + 1)[:n], out=sums[1:])
+    out = (sums[end] - sums[begin]) * _powers(pow(_BASE, -1, 1 << 64), n + 1)[begin]
+    return mixed(out ^ ((end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)))
+
+
 def sliced(batch: pa.RecordBatch | pa.Table, column: str, most: int = 8 << 20):
     """Cut a batch into pieces of about ``most`` bytes of text; a longer text is a piece of its own."""
     sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
