@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import jaccard_join, lm_scores, mixing, secret_scan, substring_dedup, url_filter
+from . import jaccard_join, language_id, lm_scores, mixing, secret_scan, substring_dedup, url_filter
 from .common import table
 
 QUERIES = {}
@@ -182,3 +182,11 @@ FROM d LEFT JOIN j ON d.r = j.r
 def op5_substring_dedup(spark, sf_dir):
     kept = substring_dedup.deduped(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op2_language_id")
+def op2_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return language_id.identified(docs).select(
+        "doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score"
+    )
