@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import jaccard_join, language_id, lm_scores, mixing, secret_scan, substring_dedup, url_filter
+from . import decontamination, jaccard_join, language_id, lm_scores, mixing, secret_scan, substring_dedup, url_filter
 from .common import table
 
 QUERIES = {}
@@ -190,3 +190,9 @@ def op2_language_id(spark, sf_dir):
     return language_id.identified(docs).select(
         "doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score"
     )
+
+
+@query("op3_decontamination")
+def op3_decontamination(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontamination.leaks(docs, table(spark, sf_dir, "benchmark"))
