@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, language_id, lm_scores, mixing, secret_scan, substring_dedup, url_filter
+from . import decontamination, jaccard_join, language_id, lm_scores, mixing, near_vectors, secret_scan, substring_dedup, url_filter
 from .common import table
 
 QUERIES = {}
@@ -196,3 +196,8 @@ def op2_language_id(spark, sf_dir):
 def op3_decontamination(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontamination.leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+@query("op1_near_vectors")
+def op1_near_vectors(spark, sf_dir):
+    return near_vectors.linked(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
