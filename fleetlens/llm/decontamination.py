@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import written
 from .words import mixed, sliced
 
 WINDOW = 8
@@ -213,6 +214,7 @@ def leaks(
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
-    """``docs`` without those that hold a leak."""
-    bad = leaks(docs, benchmark, **settings).select(F.col("doc_id").alias("_leaked")).distinct()
+    """``docs`` without those that hold a leak. A row without an id can't be named and stays."""
+    found = leaks(docs, benchmark, **settings).select(F.col("doc_id").alias("_leaked")).distinct()
+    bad = written(found, "leaks")  # Spark broadcasts it if it is small, and can split the join if not
     return docs.join(bad, docs["doc_id"] == F.col("_leaked"), "left_anti")

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, language_id, lm_scores, mixing, near_vectors, secret_scan, substring_dedup, url_filter
+from . import decontamination, jaccard_join, language_id, license_scan, lm_scores, mixing, near_vectors, secret_scan, substring_dedup, url_filter
 from .common import table
 
 QUERIES = {}
@@ -201,3 +201,9 @@ def op3_decontamination(spark, sf_dir):
 @query("op1_near_vectors")
 def op1_near_vectors(spark, sf_dir):
     return near_vectors.linked(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query("op10_license_scan")
+def op10_license_scan(spark, sf_dir):
+    files = license_scan.as_files(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return license_scan.scanned(files).drop("text", "source")
