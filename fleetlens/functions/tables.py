@@ -4,16 +4,13 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from functools import cache
+from functools import cache, reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .columns import quoted
 
-# A group up to this many rows is numbered by one window task; larger ones are sliced.
-WINDOW_ROWS = 1_000_000
-
 
 @cache
 def local_folder() -> str:
@@ -60,38 +57,34 @@ def lookup(spark: SparkSession, fields, rows) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(fields)})")
 
 
-def numbered(
-    df: DataFrame, by, order, name: str = "n", window_rows: int | None = None
-) -> DataFrame:
+def numbered(df: DataFrame, by, order, name: str = "n") -> DataFrame:
     """Number the rows of every ``by`` group from 1 in ``order``, whatever the group sizes.
 
-    ``order`` must make the rows of a group distinct. When the largest group fits one task, a
-    window does it. Otherwise rows are range-partitioned over the whole (group, order) key, so
-    a huge group spreads over many slices; each slice is numbered on its own and shifted by the
-    row count of the group's earlier slices. Only one count per (group, slice) crosses slices.
+    ``order`` must make the rows of a group distinct; rows with a NULL key are a group of their own.
+    Rows are range-partitioned over the whole (group, order) key, so a huge group spreads over
+    many slices; each slice is numbered on its own and shifted by the row count of the group's
+    earlier slices. Only one count per (group, slice) crosses slices.
     """
     by, order = list(by), list(order)
-    window_rows = WINDOW_ROWS if window_rows is None else window_rows
-    largest = df.groupBy(*by).count().agg(F.max("count")).first()[0]
-    if largest is None or largest <= window_rows:
-        window = Window.partitionBy(*by).orderBy(*order)
-        return df.withColumn(name, F.row_number().over(window).cast("long"))
-
     # The slice number must not change between the two reads below, so it is written out.
     sliced = written(
         df.repartitionByRange(*by, *order).withColumn("_slice", F.spark_partition_id()), "sliced"
     )
     earlier = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    shift = (
-        sliced.groupBy(*by, "_slice")
-        .count()
-        .withColumn("_shift", F.coalesce(F.sum("count").over(earlier), F.lit(0)))
-        .drop("count")
+    shift = sliced.groupBy(*by, "_slice").count().select(
+        "_slice",
+        F.struct(*by).alias("_group"),
+        F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("_shift"),
     )
     within = Window.partitionBy(*by, "_slice").orderBy(*order)
+    numbers = sliced.withColumn("_at", F.row_number().over(within))
+    same = reduce(
+        Column.__and__,
+        [numbers[c].eqNullSafe(shift["_group"][c]) for c in by],
+        numbers["_slice"] == shift["_slice"],
+    )
     return (
-        sliced.withColumn("_at", F.row_number().over(within))
-        .join(shift, [*by, "_slice"])
+        numbers.join(shift, same)
         .withColumn(name, F.col("_at") + F.col("_shift"))
-        .drop("_at", "_shift", "_slice")
+        .select(*df.columns, name)
     )

@@ -8,6 +8,7 @@ not of the expected shape, gives no rows.
 Input rows have ``repo``, ``stdout`` and any further key columns, which are kept.
 """
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -19,7 +20,29 @@ from ..functions.schemas import as_findings
 from ..sources.tool_output import outputs_of
 from .discovery import STRICT_JSON
 
-CAP = V.MAX_FINDINGS_PER_TOOL
+
+@dataclass(frozen=True)
+class Limits:
+    """How much of a document is taken; everything where a limit is None."""
+
+    findings: int | None = None
+    evidence_chars: int | None = None
+    description_chars: int | None = None
+
+
+UNLIMITED = Limits()
+#: The limits that single audits customarily have.
+CUSTOMARY = Limits(V.MAX_FINDINGS_PER_TOOL, V.EVIDENCE_CHARS, V.DESCRIPTION_CHARS)
+
+
+def _first(items, most: int | None) -> Column:
+    items = F.col(items) if isinstance(items, str) else items
+    return items if most is None else F.slice(items, 1, most)
+
+
+def _cut(text, most: int | None) -> Column:
+    text = F.col(text) if isinstance(text, str) else text
+    return text if most is None else F.substring(text, 1, most)
 
 
 def _keys(runs: DataFrame):
@@ -65,10 +88,10 @@ def _findings(items: DataFrame, area: str, tool: str, keys, number: Column, **fi
     return as_findings(rows, extra=[*[k for k in keys if k != "repo"], "ordinal"])
 
 
-def semgrep(runs: DataFrame) -> DataFrame:
+def semgrep(runs: DataFrame, limits: Limits = UNLIMITED) -> DataFrame:
     keys = _keys(runs)
     results = _parsed("stdout", "results array<string>")["results"]
-    items = runs.select(*keys, F.posexplode(F.slice(results, 1, CAP)).alias("pos", "item")).select(
+    items = runs.select(*keys, F.posexplode(_first(results, limits.findings)).alias("pos", "item")).select(
         *keys,
         "pos",
         _parsed(
@@ -91,10 +114,10 @@ def semgrep(runs: DataFrame) -> DataFrame:
     )
 
 
-def gitleaks(runs: DataFrame) -> DataFrame:
+def gitleaks(runs: DataFrame, limits: Limits = UNLIMITED) -> DataFrame:
     keys = _keys(runs)
     leaks = _parsed("stdout", "array<string>")
-    items = runs.select(*keys, F.posexplode(F.slice(leaks, 1, CAP)).alias("pos", "item")).select(
+    items = runs.select(*keys, F.posexplode(_first(leaks, limits.findings)).alias("pos", "item")).select(
         *keys,
         "pos",
         _parsed(
@@ -110,7 +133,7 @@ def gitleaks(runs: DataFrame) -> DataFrame:
         file=filled(F.col("r.File")),
         line=line_number(F.col("r.StartLine")),
         description=text_or_empty(text),
-        evidence=F.substring(text_or_empty(F.col("r.Match")), 1, V.EVIDENCE_CHARS),
+        evidence=_cut(text_or_empty(F.col("r.Match")), limits.evidence_chars),
         impact=F.lit(V.LEAK_IMPACT),
         recommended_fix=F.lit(V.LEAK_FIX),
     )
@@ -128,11 +151,11 @@ def _advisory_title(r: str) -> Column:
     )
 
 
-def npm_vulnerabilities(runs: DataFrame) -> DataFrame:
+def npm_vulnerabilities(runs: DataFrame, limits: Limits = UNLIMITED) -> DataFrame:
     """Packages of the version 7 layout. The first object in ``via`` names the advisory."""
     keys = _keys(runs)
     packages = _opened(runs, keys, "vulnerabilities map<string,string>")
-    entries = F.slice(_js_entries("vulnerabilities"), 1, CAP)
+    entries = _first(_js_entries("vulnerabilities"), limits.findings)
     items = packages.select(*keys, F.posexplode(entries).alias("pos", "e")).select(
         *keys,
         "pos",
@@ -165,35 +188,37 @@ def npm_vulnerabilities(runs: DataFrame) -> DataFrame:
     )
 
 
-def npm_advisories(runs: DataFrame) -> DataFrame:
-    """Advisories of the version 6 layout, capped on their own, numbered after version 7 rows."""
+def npm_advisories(runs: DataFrame, limits: Limits = UNLIMITED) -> DataFrame:
+    """Advisories of the version 6 layout, limited on their own, numbered after version 7 rows."""
     keys = _keys(runs)
     both = _opened(runs, keys, "vulnerabilities map<string,string>, advisories map<string,string>")
-    before = F.least(F.coalesce(F.cardinality("vulnerabilities"), F.lit(0)), F.lit(CAP))
+    before = F.coalesce(F.cardinality("vulnerabilities"), F.lit(0))
+    if limits.findings is not None:
+        before = F.least(before, F.lit(limits.findings))
     items = both.select(
         *keys,
         before.alias("before"),
-        F.posexplode(F.slice(_js_entries("advisories"), 1, CAP)).alias("pos", "e"),
+        F.posexplode(_first(_js_entries("advisories"), limits.findings)).alias("pos", "e"),
     ).select(*keys, "before", "pos", _parsed("e.value", ADVISORY).alias("r"))
     return _findings(
         items, "NPM", "npm-audit", keys, F.col("before") + F.col("pos") + 1,
         title=_advisory_title("r"),
         severity=normal_severity(F.col("r.severity")),
         category=F.lit("dependency"),
-        description=F.substring(text_or_empty(F.col("r.overview")), 1, V.DESCRIPTION_CHARS),
+        description=_cut(text_or_empty(F.col("r.overview")), limits.description_chars),
         evidence=text_or_empty(F.col("r.url")),
     )
 
 
-def npm_audit(runs: DataFrame) -> DataFrame:
-    return npm_vulnerabilities(runs).unionByName(npm_advisories(runs))
+def npm_audit(runs: DataFrame, limits: Limits = UNLIMITED) -> DataFrame:
+    return npm_vulnerabilities(runs, limits).unionByName(npm_advisories(runs, limits))
 
 
-def pnpm_audit(runs: DataFrame) -> DataFrame:
+def pnpm_audit(runs: DataFrame, limits: Limits = UNLIMITED) -> DataFrame:
     keys = _keys(runs)
     advisories = _opened(runs, keys, "advisories map<string,string>")
     items = advisories.select(
-        *keys, F.posexplode(F.slice(_js_entries("advisories"), 1, CAP)).alias("pos", "e")
+        *keys, F.posexplode(_first(_js_entries("advisories"), limits.findings)).alias("pos", "e")
     ).select(*keys, "pos", _parsed("e.value", ADVISORY).alias("r"))
     text = F.coalesce(filled(F.col("r.overview")), F.col("r.title"), F.lit(""))
     return _findings(
@@ -201,25 +226,32 @@ def pnpm_audit(runs: DataFrame) -> DataFrame:
         title=_advisory_title("r"),
         severity=normal_severity(F.col("r.severity")),
         category=F.lit("dependency"),
-        description=F.substring(text, 1, V.DESCRIPTION_CHARS),
+        description=_cut(text, limits.description_chars),
         evidence=text_or_empty(F.col("r.url")),
     )
 
 
-OSV_SCHEMA = (
-    "results array<struct<packages:array<struct<"
-    "package:struct<ecosystem:string,name:string,version:string>,"
-    "vulnerabilities:array<struct<id:string,summary:string,"
-    "database_specific:struct<severity:string>>>>>>>"
-)
+OPTIONS = "map(" + ", ".join(f"'{k}', '{v}'" for k, v in STRICT_JSON.items()) + ")"
+
+
+def _each(items: str, schema: str) -> str:
+    """SQL of the elements of a JSON text array, each parsed on its own: an odd one becomes NULL and the others stay."""
+    return f"transform({items}, x -> from_json(x, '{schema}', {OPTIONS}))"
+
+
 # Vulnerabilities of all packages in document order, each with the key that makes it unique.
-OSV_LISTED = """flatten(transform(results, r -> coalesce(flatten(transform(r.packages, p ->
-    coalesce(transform(p.vulnerabilities, v -> named_struct(
-      'key', concat_ws(':', coalesce(p.package.ecosystem, ''), coalesce(p.package.name, ''),
-                       coalesce(p.package.version, ''), coalesce(v.id, '')),
-      'name', coalesce(p.package.name, ''), 'version', coalesce(p.package.version, ''),
-      'id', coalesce(v.id, ''), 'summary', coalesce(v.summary, ''),
-      'severity', v.database_specific.severity)), array()))), array())))"""
+OSV_LISTED = f"""flatten(transform({_each("results", "packages array<string>")}, r -> coalesce(flatten(transform(
+    transform({_each("r.packages", "package string, vulnerabilities array<string>")}, p -> named_struct(
+      'of', from_json(p.package, 'ecosystem string, name string, version string', {OPTIONS}),
+      'vulnerabilities', p.vulnerabilities)),
+    p -> coalesce(transform(
+      {_each("p.vulnerabilities", "id string, summary string, database_specific struct<severity:string>")},
+      v -> named_struct(
+        'key', concat_ws(':', coalesce(p.of.ecosystem, ''), coalesce(p.of.name, ''),
+                         coalesce(p.of.version, ''), coalesce(v.id, '')),
+        'name', coalesce(p.of.name, ''), 'version', coalesce(p.of.version, ''),
+        'id', coalesce(v.id, ''), 'summary', coalesce(v.summary, ''),
+        'severity', v.database_specific.severity)), array()))), array())))"""
 # The first of each key. Sorting by (key, place) puts repeats next to each other, so a document
 # of n vulnerabilities costs n log n and stays in its row.
 OSV_SORTED = "array_sort(transform(listed, (v, i) -> named_struct('key', v.key, 'i', i, 'v', v)))"
@@ -228,39 +260,39 @@ OSV_FIRSTS = """array_sort(transform(
     s -> named_struct('i', s.i, 'v', s.v)))"""
 
 
-def osv_scanner(runs: DataFrame) -> DataFrame:
+def osv_scanner(runs: DataFrame, limits: Limits = UNLIMITED) -> DataFrame:
     """Vulnerabilities per package; the same advisory for the same package version counts once."""
     keys = _keys(runs)
     firsts = (
-        _opened(runs, keys, OSV_SCHEMA)
+        _opened(runs, keys, "results array<string>")
         .selectExpr(*keys, f"{OSV_LISTED} AS listed")
         .selectExpr(*keys, f"{OSV_SORTED} AS placed")
         .selectExpr(*keys, f"{OSV_FIRSTS} AS firsts")
     )
-    items = firsts.selectExpr(*keys, f"posexplode(slice(firsts, 1, {CAP})) AS (pos, s)").selectExpr(
-        *keys, "pos", "s.v AS r"
-    )
+    items = firsts.select(
+        *keys, F.posexplode(_first("firsts", limits.findings)).alias("pos", "s")
+    ).selectExpr(*keys, "pos", "s.v AS r")
     return _findings(
         items, "OSV", "osv-scanner", keys, F.col("pos") + 1,
         title=F.concat("r.name", F.lit("@"), "r.version", F.lit(": "), "r.id"),
         severity=normal_severity(F.col("r.severity")),
         category=F.lit("dependency"),
-        description=F.substring("r.summary", 1, V.DESCRIPTION_CHARS),
+        description=_cut("r.summary", limits.description_chars),
         evidence=F.col("r.id"),
     )
 
 
-TRIVY_SCHEMA = (
-    "Results array<struct<Target:string,"
-    "Vulnerabilities:array<struct<PkgName:string,VulnerabilityID:string,Severity:string,"
-    "Title:string,Description:string,PrimaryURL:string>>,"
-    "Secrets:array<struct<RuleID:string,Title:string,Severity:string,StartLine:string>>,"
-    "Misconfigurations:array<struct<ID:string,Title:string,Severity:string,Description:string>>>>"
-)
+TRIVY_RESULT = "Target string, Vulnerabilities array<string>, Secrets array<string>, Misconfigurations array<string>"
+TRIVY_ITEMS = {
+    "Vulnerabilities": "PkgName string, VulnerabilityID string, Severity string, Title string, Description string, "
+    "PrimaryURL string",
+    "Secrets": "RuleID string, Title string, Severity string, StartLine string",
+    "Misconfigurations": "ID string, Title string, Severity string, Description string",
+}
 
 
-def trivy(runs: DataFrame) -> DataFrame:
-    """Per result: vulnerabilities, then secrets, then misconfigurations, under one shared cap."""
+def trivy(runs: DataFrame, limits: Limits = UNLIMITED) -> DataFrame:
+    """Per result: vulnerabilities, then secrets, then misconfigurations, under one shared limit."""
     keys = _keys(runs)
     none = F.lit(None).cast("string")
 
@@ -282,8 +314,12 @@ def trivy(runs: DataFrame) -> DataFrame:
 
     def items_of(result):
         target = result["Target"]
+
+        def items(name):
+            return F.transform(result[name], lambda x: _parsed(x, TRIVY_ITEMS[name]))
+
         vulnerable = F.transform(
-            result["Vulnerabilities"],
+            items("Vulnerabilities"),
             lambda v: row(
                 F.concat(text_or_empty(v["PkgName"]), F.lit(": "), text_or_empty(v["VulnerabilityID"])),
                 v["Severity"], "dependency", target, none,
@@ -292,7 +328,7 @@ def trivy(runs: DataFrame) -> DataFrame:
             ),
         )
         leaked = F.transform(
-            result["Secrets"],
+            items("Secrets"),
             lambda s: row(
                 F.concat(F.lit("Secret: "), F.coalesce(filled(s["RuleID"]), s["Title"], F.lit(""))),
                 s["Severity"], "secrets", target, s["StartLine"],
@@ -300,7 +336,7 @@ def trivy(runs: DataFrame) -> DataFrame:
             ),
         )
         misconfigured = F.transform(
-            result["Misconfigurations"],
+            items("Misconfigurations"),
             lambda m: row(
                 F.trim(
                     F.concat(
@@ -315,12 +351,15 @@ def trivy(runs: DataFrame) -> DataFrame:
             _elements(vulnerable, kind), _elements(leaked, kind), _elements(misconfigured, kind)
         )
 
-    results = _parsed("stdout", TRIVY_SCHEMA)["Results"]
+    # Level by level, so that an odd element costs itself and not the document.
+    results = F.transform(
+        _parsed("stdout", "Results array<string>")["Results"], lambda x: _parsed(x, TRIVY_RESULT)
+    )
     flat = F.flatten(F.transform(results, items_of))
-    items = runs.select(*keys, F.posexplode(F.slice(flat, 1, CAP)).alias("pos", "r"))
+    items = runs.select(*keys, F.posexplode(_first(flat, limits.findings)).alias("pos", "r"))
     cut = F.when(
         F.col("r.category") == "secrets", F.col("r.description")
-    ).otherwise(F.substring("r.description", 1, V.DESCRIPTION_CHARS))
+    ).otherwise(_cut("r.description", limits.description_chars))
     return _findings(
         items, "TRIVY", "trivy", keys, F.col("pos") + 1,
         title=F.col("r.title"),
@@ -344,10 +383,14 @@ INGESTERS = {
 }
 
 
-def ingest_all(scan_runs: DataFrame, ingesters=None) -> DataFrame:
-    """Findings of every completed run of every known tool; other tools give no rows."""
+def ingest_all(scan_runs: DataFrame, ingesters=None, limits: Limits = UNLIMITED) -> DataFrame:
+    """Findings of every completed run of every known tool; other tools give no rows.
+
+    With ``limits``, every ingest function must take them as its second argument.
+    """
     known = ingesters or INGESTERS
+    more = () if limits == UNLIMITED else (limits,)
     return reduce(
         DataFrame.unionByName,
-        [ingest(outputs_of(scan_runs, tool)) for tool, ingest in known.items()],
+        [ingest(outputs_of(scan_runs, tool), *more) for tool, ingest in known.items()],
     )

@@ -176,7 +176,7 @@ def ingested(spark, folder, tool, ingester=None):
     return (ingester or ingest.INGESTERS[tool])(runs).select(*INGEST_COLUMNS)
 
 
-def tool_sql(area, number, title, category, where="i < 200", file="NULL", line="NULL", description="''",
+def tool_sql(area, number, title, category, where="true", file="NULL", line="NULL", description="''",
              evidence="''", fix="''", severity="severity"):
     return tools(
         select=f"""SELECT repo, run_id, CAST({number} AS BIGINT) AS ordinal,
@@ -218,7 +218,7 @@ def ingest_semgrep(spark, folder):
     tool_sql(
         "GITLEAKS", "i + 1", "'Secret: ' || CASE WHEN i % 3 = 2 THEN 'd' || i ELSE 'r' || i END", "secrets",
         file="'f' || k || '.env'", line="nullif(i, 0)", description="'d' || i",
-        evidence="repeat('x', CAST(least(i % 100 + 150, 200) AS INTEGER))", fix=f"'{V.LEAK_FIX}'",
+        evidence="repeat('x', CAST(i % 100 + 150 AS INTEGER))", fix=f"'{V.LEAK_FIX}'",
         severity="'high'",
     ),
 )
@@ -247,9 +247,9 @@ FROM_LAST = "size - 1 - i"
 @query(
     "ingest_npm_v6",
     tool_sql(
-        "NPM", f"least(size, 200) + {FROM_LAST} + 1", "'Vulnerable dependency: mod' || i || ' — t' || k",
-        "dependency", where=f"{FROM_LAST} < 200",
-        description="CASE WHEN i % 2 = 0 THEN repeat('o', CAST(least(i % 100 + 250, 300) AS INTEGER)) ELSE '' END",
+        "NPM", f"size + {FROM_LAST} + 1", "'Vulnerable dependency: mod' || i || ' — t' || k",
+        "dependency",
+        description="CASE WHEN i % 2 = 0 THEN repeat('o', CAST(i % 100 + 250 AS INTEGER)) ELSE '' END",
         evidence="'u' || i",
     ),
 )
@@ -261,8 +261,7 @@ def ingest_npm_v6(spark, folder):
     "ingest_pnpm",
     tool_sql(
         "PNPM", f"{FROM_LAST} + 1", "'Vulnerable dependency: mod' || i || ' — t' || k", "dependency",
-        where=f"{FROM_LAST} < 200",
-        description="CASE WHEN i % 2 = 0 THEN repeat('o', CAST(least(i % 100 + 250, 300) AS INTEGER)) ELSE 't' || k END",
+        description="CASE WHEN i % 2 = 0 THEN repeat('o', CAST(i % 100 + 250 AS INTEGER)) ELSE 't' || k END",
         evidence="'u' || i",
     ),
 )
@@ -281,8 +280,7 @@ def ingest_pnpm(spark, folder):
           CAST(NULL AS VARCHAR) AS file, CAST(NULL AS INTEGER) AS line, 's' || i AS description,
           'G-' || (i % 2) AS evidence, '' AS recommended_fix
         FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY i) AS n FROM (
-          SELECT *, row_number() OVER (PARTITION BY run_id, i // 3, i % 2 ORDER BY i) AS r FROM items) WHERE r = 1)
-        WHERE n <= 200""",
+          SELECT *, row_number() OVER (PARTITION BY run_id, i // 3, i % 2 ORDER BY i) AS r FROM items) WHERE r = 1)""",
     ),
 )
 def ingest_osv(spark, folder):
@@ -301,8 +299,7 @@ def ingest_osv(spark, folder):
           CASE WHEN kind = 0 AND i % 2 = 0 THEN 't' || i WHEN kind = 1 THEN 't' || i ELSE 'd' || i END AS description,
           CASE WHEN kind = 0 THEN 'u' || i ELSE '' END AS evidence, '' AS recommended_fix
         FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY kind, i) AS n
-              FROM items, (VALUES (0), (1), (2)) t(kind) WHERE kind <> 1 OR i % 2 = 1)
-        WHERE n <= 200""",
+              FROM items, (VALUES (0), (1), (2)) t(kind) WHERE kind <> 1 OR i % 2 = 1)""",
     ),
 )
 def ingest_trivy(spark, folder):
@@ -334,9 +331,9 @@ def severity_normalise(spark, folder):
     ),
 )
 def tool_cap(spark, folder):
-    """Findings kept per document. The cap holds inside each document, so nothing is ranked."""
+    """Findings kept per document under the customary limits, which hold inside each document."""
     kept = [
-        ingest.ingest_all(views.tool_runs(spark, folder, tool), {tool: ingester})
+        ingest.ingest_all(views.tool_runs(spark, folder, tool), {tool: ingester}, ingest.CUSTOMARY)
         for tool, ingester in ingest.INGESTERS.items()
     ]
     return (

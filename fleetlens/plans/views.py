@@ -519,9 +519,12 @@ def tool_documents() -> dict:
         "gitleaks": f"concat('[', {gitleaks}, ']')",
         "npm-audit": f"""concat('{{"vulnerabilities":{{', {npm}, '}},"advisories":{{', {advisories}, '}}}}')""",
         "pnpm-audit": f"""concat('{{"advisories":{{', {advisories}, '}}}}')""",
-        "osv-scanner": f"""concat('{{"results":[', {osv}, ']}}')""",
+        # Every fifth document also has elements that are no records and give no findings.
+        "osv-scanner": f"""concat('{{"results":[', {osv}, IF(k % 5 = 0, concat(IF(size(indices) > 0, ',', ''),
+            '"odd",null,{{"packages":["odd",7,{{"package":"odd"}}]}}'), ''), ']}}')""",
         "trivy": f"""concat('{{"Results":[{{"Target":"t', k, '","Vulnerabilities":[', {vulnerabilities},
-            ']}},{{"Target":"","Secrets":[', {leaked}, '],"Misconfigurations":[', {misconfigured}, ']}}]}}')""",
+            ']}},{{"Target":"","Secrets":[', {leaked}, '],"Misconfigurations":[', {misconfigured}, ']}}',
+            IF(k % 5 = 0, ',"odd",null,{{"Target":"x","Vulnerabilities":"odd"}}', ''), ']}}')""",
         "pip-audit": "'{}'",
     }
 

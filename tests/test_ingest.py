@@ -10,11 +10,11 @@ RUNS = "repo string, run_id long, tool string, status string, stdout string"
 
 @pytest.fixture
 def run(spark):
-    def ingested(tool, *documents, status="completed"):
+    def ingested(tool, *documents, status="completed", limits=ingest.UNLIMITED):
         rows = [
             ("a", n, tool, status, d if isinstance(d, str) else json.dumps(d)) for n, d in enumerate(documents)
         ]
-        found = ingest.ingest_all(spark.createDataFrame(rows, RUNS))
+        found = ingest.ingest_all(spark.createDataFrame(rows, RUNS), limits=limits)
         assert violations(found).count() == 0
         return found.orderBy("run_id", "ordinal").collect()
 
@@ -49,7 +49,8 @@ def test_gitleaks(run):
     leak = {"RuleID": "aws-access-key", "Description": "AWS key", "File": "config.js", "StartLine": 3, "Match": "x" * 300}
     first, second = run("gitleaks", [leak, {"Description": "only text"}])
     assert (first.title, first.category, first.severity) == ("Secret: aws-access-key", "secrets", "high")
-    assert len(first.evidence) == 200 and first.line == 3
+    assert len(first.evidence) == 300 and first.line == 3
+    assert len(run("gitleaks", [leak], limits=ingest.CUSTOMARY)[0].evidence) == 200
     assert second.title == "Secret: only text" and second.line is None
 
 
@@ -72,7 +73,8 @@ def test_npm_both_layouts_share_numbering(run):
     assert rows[1].title == "Vulnerable dependency: plain" and rows[1].severity == "medium"
     assert rows[1].recommended_fix.startswith("No automatic fix")
     assert [r.title for r in rows[2:]] == ["Vulnerable dependency: early — t1", "Vulnerable dependency: late — t2"]
-    assert len(rows[2].description) == 300
+    assert len(rows[2].description) == 400
+    assert len(run("npm-audit", document, limits=ingest.CUSTOMARY)[2].description) == 300
 
 
 def test_pnpm(run):
@@ -104,7 +106,9 @@ def test_osv_keeps_first_of_each_advisory_in_order(run):
 
 def test_osv_cap_comes_after_removal_of_repeats(run):
     ids = [f"G-{n // 2}" for n in range(500)]
-    rows = run("osv-scanner", {"results": [{"packages": [osv("p", *ids)]}]})
+    document = {"results": [{"packages": [osv("p", *ids)]}]}
+    assert len(run("osv-scanner", document)) == 250
+    rows = run("osv-scanner", document, limits=ingest.CUSTOMARY)
     assert len(rows) == 200 and rows[-1].title == "p@1.0.0: G-199" and rows[-1].id == "RG-OSV-200"
 
 
@@ -122,10 +126,25 @@ def test_trivy_kinds_and_shared_cap(run):
         ("configuration", "low", "Misconfig: DS002 root user", None),
     ]
     many = {"Results": [{"Vulnerabilities": [{}] * 150, "Secrets": [{}] * 100, "Misconfigurations": [{}]}]}
-    rows = run("trivy", many)
+    assert len(run("trivy", many)) == 251
+    rows = run("trivy", many, limits=ingest.CUSTOMARY)
     assert len(rows) == 200 and [r.category for r in rows].count("secrets") == 50
 
 
+def test_odd_elements_cost_only_themselves(run):
+    good = osv("p", "G-1")
+    odd = {"results": ["odd", None, 3, {"packages": "odd"}, {"packages": ["odd", None, {"package": "x"}, good]}]}
+    assert [r.title for r in run("osv-scanner", odd)] == ["p@1.0.0: G-1"]
+    vulnerable = {"PkgName": "m", "VulnerabilityID": "C-1", "Severity": "LOW"}
+    odd = {"Results": ["odd", None, {"Target": "t", "Vulnerabilities": ["odd", vulnerable], "Secrets": "odd"}]}
+    assert [(r.title, r.severity) for r in run("trivy", odd)] == [(": ", "medium"), ("m: C-1", "low")]
+
+
+def test_no_limit_by_default(run):
+    many = [{"check_id": f"a.r{n}"} for n in range(205)]
+    assert len(run("semgrep", {"results": many})) == 205
+
+
 def test_lines_are_positive_whole_numbers(spark):
     from pyspark.sql import functions as F
 

@@ -17,9 +17,8 @@ def skewed(spark, rows=6000):
     return spark.createDataFrame(data, "repo string, path string, k int").repartition(6)
 
 
-@pytest.mark.parametrize("limit", [10**6, 100, 1])
-def test_numbering_is_the_same_for_any_group_size(spark, limit):
-    got = tables.numbered(skewed(spark), ["repo"], ["path", "k"], window_rows=limit).collect()
+def test_numbering_of_small_and_huge_groups(spark):
+    got = tables.numbered(skewed(spark), ["repo"], ["path", "k"]).collect()
     assert len(got) == 6000
     expected = {}
     for row in sorted(got, key=lambda r: (r.repo, r.path, r.k)):
@@ -35,14 +34,18 @@ def test_huge_group_is_cut_into_slices(spark):
     assert len(sizes) > 2 and max(sizes) < 1200
 
 
-def test_ids_are_the_same_when_sliced(spark, fleet, monkeypatch):
+def test_rows_with_a_null_key_are_a_group(spark):
+    rows = spark.createDataFrame([(None, 2), ("a", 1), (None, 1), ("a", 3)], "repo string, k int")
+    got = tables.numbered(rows, ["repo"], ["k"]).collect()
+    assert sorted((r.repo or "", r.k, r.n) for r in got) == [("", 1, 1), ("", 2, 2), ("a", 1, 1), ("a", 3, 2)]
+
+
+def test_ids_of_a_huge_repository(spark, fleet):
     config = "debug: true\norigin: '*'\n"
     repos = {"hot": {f"c{n:03d}.yaml": config for n in range(120)}, "b": {"x.yaml": config}}
-    evidence = scanners.collect(fleet(repos))
-    plain = sorted(map(tuple, scanners.seed_findings(evidence).select("repo", "id", "file", "line").collect()))
-    monkeypatch.setattr(tables, "WINDOW_ROWS", 5)
-    sliced = sorted(map(tuple, scanners.seed_findings(evidence).select("repo", "id", "file", "line").collect()))
-    assert plain == sliced and len(plain) == 242
+    rows = scanners.seed_findings(scanners.collect(fleet(repos))).collect()
+    hot = sorted((r for r in rows if r.repo == "hot"), key=lambda r: (r.file, r.line))
+    assert [r.id[-3:] for r in hot] == [f"{n:03d}" for n in range(1, 241)] and len(rows) == 242
 
 
 def test_numbering_of_nothing(spark):
