@@ -167,7 +167,9 @@ def _as_facts(rows: DataFrame, cases) -> DataFrame:
     The cases are joined into one text in generated code. Nearly all rows give an empty text and
     are dropped before anything is exploded.
     """
-    found = rows.select("repo", F.expr(f"concat_ws('\\n', {', '.join(cases)})").alias("facts"))
+    # The filter stays above the generator, so the cases are computed once.
+    facts = F.expr(f"concat_ws('\\n', {', '.join(cases)})").alias("facts")
+    found = rows.select("repo", F.inline(F.array(F.struct(facts))))
     return (
         found.filter("facts <> ''")
         .select("repo", F.explode(F.split("facts", "\n")).alias("fact"))
@@ -179,7 +181,7 @@ def _as_facts(rows: DataFrame, cases) -> DataFrame:
     )
 
 
-EXACT, NAMED, MENTIONED = "dep = {}", "startswith(dep, {})", "contains(lower(content), {})"
+EXACT, NAMED, MENTIONED = "dep = {}", "startswith(dep, {})", "contains(lowered, {})"
 FRAMEWORK_CASES = [
     *fact_cases("framework", EXACT, V.NODE_UI_FRAMEWORKS),
     *fact_cases("framework", EXACT, V.NODE_API_FRAMEWORKS),
@@ -204,9 +206,15 @@ def _telling_name() -> Column:
     return F.col("dep").rlike(_starts_with(KEYWORDS))
 
 
+def _lowered(manifests: DataFrame) -> DataFrame:
+    """Manifests with their text in lower case, made once however many keywords are sought in it."""
+    lowered = F.struct(F.lower("content").alias("lowered"))
+    return manifests.select("repo", "path", "content", F.inline(F.array(lowered)))
+
+
 def _text_facts(manifests: DataFrame) -> DataFrame:
-    texts = manifests.filter(
-        basename(F.col("path")).isin(V.KEYWORD_MANIFESTS) & contains_any(F.lower("content"), KEYWORDS)
+    texts = _lowered(manifests.filter(basename(F.col("path")).isin(V.KEYWORD_MANIFESTS))).filter(
+        contains_any(F.col("lowered"), KEYWORDS)
     )
     return _as_facts(texts, _keyword_cases(MENTIONED))
 
@@ -223,7 +231,8 @@ def _python_facts(manifests: DataFrame) -> DataFrame:
         *fact_cases("api_framework", MENTIONED, V.PYTHON_WEB_FRAMEWORKS),
         *fact_cases("test_framework", MENTIONED, {"pytest": "pytest"}),
     ]
-    return _as_facts(manifests.filter(basename(F.col("path")).isin(V.PYTHON_MANIFESTS)), cases)
+    python = manifests.filter(basename(F.col("path")).isin(V.PYTHON_MANIFESTS))
+    return _as_facts(_lowered(python), cases)
 
 
 def _first_manifest_facts(manifests: DataFrame) -> DataFrame:
@@ -237,7 +246,7 @@ def _first_manifest_facts(manifests: DataFrame) -> DataFrame:
         words = ", ".join(f"{test.format(quoted(word))} AS `{word}`" for word in table)
         return F.min_by(F.expr(f"struct({words})"), F.when(base == name, path))
 
-    firsts = manifests.filter(base.isin("go.mod", "Cargo.toml")).groupBy("repo").agg(
+    firsts = _lowered(manifests.filter(base.isin("go.mod", "Cargo.toml"))).groupBy("repo").agg(
         first("go.mod", "contains(content, {})", V.GO_WEB_FRAMEWORKS).alias("go"),
         first("Cargo.toml", MENTIONED, V.RUST_WEB_FRAMEWORKS).alias("rust"),
     )

@@ -83,14 +83,15 @@ def collect(files: DataFrame) -> Evidence:
     def hit(column: Column) -> Column:
         return any_of(F.col(kind) & column.rlike(pattern) for kind, pattern in rules.items())
 
-    marked = kinds.select(
-        "repo",
-        "path",
-        *rules,
+    # A filter is not pushed below a generator, so each pattern stands in the plan once.
+    marks = F.struct(
         (F.col("text") & content.rlike(V.AUTHORIZATION_TOKEN)).alias("authorizes"),
         (F.col("text") & content.rlike(V.HEADER_MECHANISM)).alias("hardens"),
-        F.when(F.col("manifest"), content).alias("manifest"),
+        F.when(F.col("manifest"), content).alias("manifest_text"),
         F.when(hit(content), F.split(content, V.LINE_BREAK)).alias("rows"),
+    )
+    marked = kinds.select("repo", "path", *rules, F.inline(F.array(marks))).withColumnRenamed(
+        "manifest_text", "manifest"
     ).filter("authorizes OR hardens OR manifest IS NOT NULL OR rows IS NOT NULL")
     # Row 0 stands for the file itself, the others for its lines.
     rows = F.concat(F.expr("array(CAST(NULL AS STRING))"), F.coalesce("rows", F.expr("CAST(array() AS ARRAY<STRING>)")))

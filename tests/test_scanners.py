@@ -180,3 +180,23 @@ def test_scanner_summary_shows_empty_scanners(spark, fleet):
     rows = scanners.scanner_summary(scanners.seed_findings(scanners.collect(files)), files).collect()
     counts = {r.source: r.findings for r in rows}
     assert counts["scanner:configuration"] == 0 and counts["scanner:routes"] == 2 and len(counts) == 6
+
+
+def test_each_content_pattern_stands_in_the_plan_once(fleet, monkeypatch):
+    """A filter over the marks must not make the scan match the patterns a second time."""
+    from fleetlens.functions import fixed_values as V
+    from fleetlens.operators import discovery, scanners
+
+    seen = {}
+
+    def written(df, name):
+        seen[name] = df._jdf.queryExecution().optimizedPlan().toString()
+        return df
+
+    monkeypatch.setattr(scanners, "written", written)
+    files = fleet({"a": {"x.py": "os", "requirements.txt": "flask"}})
+    scanners.collect(files)
+    assert seen["signals"].count(V.AUTHORIZATION_TOKEN[:40]) == 1
+    assert seen["signals"].count(V.HEADER_MECHANISM[:40]) == 1
+    facts = discovery._text_facts(files)._jdf.queryExecution().optimizedPlan().toString()
+    assert facts.count("lower(") == 1 and facts.count("concat_ws") == 1
