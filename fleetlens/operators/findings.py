@@ -83,25 +83,36 @@ def finding_line() -> Column:
     )
 
 
-def active_rejected(findings: DataFrame) -> DataFrame:
-    return findings.groupBy("repo").agg(
+def of_every_repo(counts: DataFrame, repos: DataFrame | None) -> DataFrame:
+    """Counts per repository with a row of zeros for those of ``repos`` that have no findings."""
+    if repos is None:
+        return counts
+    return repos.select("repo").distinct().join(counts, "repo", "left").fillna(0)
+
+
+def active_rejected(findings: DataFrame, repos: DataFrame | None = None) -> DataFrame:
+    counts = findings.groupBy("repo").agg(
         F.count("*").alias("total"),
         F.count_if(is_active(F.col("status"))).alias("active"),
         F.count_if(~is_active(F.col("status"))).alias("rejected"),
     )
+    return of_every_repo(counts, repos)
 
 
-def severity_counts(findings: DataFrame, where: Column | None = None) -> DataFrame:
+def severity_counts(
+    findings: DataFrame, where: Column | None = None, repos: DataFrame | None = None
+) -> DataFrame:
     """One dense count column per severity."""
     counted = F.lit(True) if where is None else where
-    return findings.groupBy("repo").agg(
+    counts = findings.groupBy("repo").agg(
         *[F.count_if(counted & (F.col("severity") == s)).alias(s) for s in V.SEVERITIES]
     )
+    return of_every_repo(counts, repos)
 
 
-def by_severity(findings: DataFrame) -> DataFrame:
+def by_severity(findings: DataFrame, repos: DataFrame | None = None) -> DataFrame:
     """Active findings per severity; all five levels show, with zeros."""
-    counts = severity_counts(findings, is_active(F.col("status")))
+    counts = severity_counts(findings, is_active(F.col("status")), repos)
     pairs = F.array(
         *[
             F.struct(F.lit(n).alias("rank"), F.lit(s).alias("severity"), F.col(s).alias("findings"))
@@ -219,10 +230,10 @@ def at_or_above(findings: DataFrame, threshold: str) -> DataFrame:
     return findings.filter(blocks(threshold))
 
 
-def gate_verdict(findings: DataFrame, threshold: str) -> DataFrame:
-    return findings.groupBy("repo").agg(
-        F.count_if(blocks(threshold)).alias("blocking")
-    ).withColumn("failed", F.col("blocking") > 0)
+def gate_verdict(findings: DataFrame, threshold: str, repos: DataFrame | None = None) -> DataFrame:
+    """Blocking findings and the verdict; a repository of ``repos`` without findings passes."""
+    counts = findings.groupBy("repo").agg(F.count_if(blocks(threshold)).alias("blocking"))
+    return of_every_repo(counts, repos).withColumn("failed", F.col("blocking") > 0)
 
 
 def confidence_pass(findings: DataFrame, minimum: int = V.MINIMUM_CONFIDENCE) -> DataFrame:
@@ -233,15 +244,18 @@ def confidence_pass(findings: DataFrame, minimum: int = V.MINIMUM_CONFIDENCE) ->
     )
 
 
-def status_counts(findings: DataFrame, minimum: int = V.MINIMUM_CONFIDENCE) -> DataFrame:
+def status_counts(
+    findings: DataFrame, minimum: int = V.MINIMUM_CONFIDENCE, repos: DataFrame | None = None
+) -> DataFrame:
     passed = confidence_pass(findings, minimum)
-    return passed.groupBy("repo").agg(
+    counts = passed.groupBy("repo").agg(
         *[
             F.count_if(F.col("status") == s).alias(s.replace("-", "_"))
             for s in V.STATUSES
         ],
         F.count_if("reclassified").alias("reclassified"),
     )
+    return of_every_repo(counts, repos)
 
 
 # --- fleet rollup ----------------------------------------------------------------------------------

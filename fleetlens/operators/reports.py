@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..functions.columns import explode_present, filled, is_active, sarif_level, severity_rank
 from ..functions.tables import numbered
-from .findings import ACTIVE, finding_line, remediation_order, severity_counts, top_risks
+from .findings import ACTIVE, active_rejected, finding_line, remediation_order, severity_counts, top_risks
 
 CHUNK_FINDINGS = 1_000
 SECTION_NO = {title: n for n, title in enumerate(V.REPORT_SECTIONS, start=1)}
@@ -48,8 +48,14 @@ def sarif_level_counts(findings: DataFrame) -> DataFrame:
     return sarif_results(findings).groupBy("repo", "level").agg(F.count("*").alias("results"))
 
 
-def sarif_documents(findings: DataFrame, tool: str = "fleetlens", version: str = "0.1.0") -> DataFrame:
-    """SARIF 2.1.0 texts (repo, chunk, text); each chunk is a whole document of its findings."""
+def sarif_documents(
+    findings: DataFrame, tool: str = "fleetlens", version: str = "0.1.0", repos: DataFrame | None = None
+) -> DataFrame:
+    """SARIF 2.1.0 texts (repo, chunk, chunks, text); each chunk is a whole document of its findings.
+
+    ``automationDetails.id`` is repository/chunk/chunks in every document. A repository of
+    ``repos`` without active findings has one document without results.
+    """
     rows = _chunked(sarif_results(findings))
     rule = F.struct(
         F.col("rule_id").alias("id"),
@@ -71,7 +77,7 @@ def sarif_documents(findings: DataFrame, tool: str = "fleetlens", version: str =
         F.array(F.struct(place.alias("physicalLocation"))).alias("locations"),
     )
     packed = F.sort_array(F.collect_list(F.struct("n", rule.alias("rule"), result.alias("result"))))
-    chunks = rows.groupBy("repo", "chunk").agg(packed.alias("items"))
+    chunks = _with_chunks(rows, rows.groupBy("repo", "chunk").agg(packed.alias("items")), repos)
     driver = F.struct(
         F.lit(tool).alias("name"),
         F.lit(version).alias("version"),
@@ -79,6 +85,7 @@ def sarif_documents(findings: DataFrame, tool: str = "fleetlens", version: str =
     )
     run = F.struct(
         F.struct(driver.alias("driver")).alias("tool"),
+        F.struct(F.concat_ws("/", "repo", "chunk", "chunks").alias("id")).alias("automationDetails"),
         F.transform("items", lambda x: x["result"]).alias("results"),
     )
     document = F.struct(
@@ -86,7 +93,7 @@ def sarif_documents(findings: DataFrame, tool: str = "fleetlens", version: str =
         F.lit("2.1.0").alias("version"),
         F.array(run).alias("runs"),
     )
-    return chunks.select("repo", "chunk", F.to_json(document).alias("text"))
+    return chunks.select("repo", "chunk", "chunks", F.to_json(document).alias("text"))
 
 
 # --- JSON ----------------------------------------------------------------------------------------
@@ -98,22 +105,47 @@ def _chunked(rows: DataFrame) -> DataFrame:
     )
 
 
+def _with_chunks(rows: DataFrame, packed: DataFrame, repos: DataFrame | None) -> DataFrame:
+    """Packed chunks with the number of chunks of their repository; with ``repos``, at least one for each."""
+    counts = rows.groupBy("repo").agg((F.max("chunk") + 1).alias("chunks"))
+    if repos is None:
+        return packed.join(counts, "repo")
+    kind = packed.schema["items"].dataType
+    return (
+        repos.select("repo").distinct()
+        .join(counts, "repo", "left")
+        .join(packed, "repo", "left")
+        .select(
+            "repo",
+            F.coalesce("chunk", F.lit(0)).alias("chunk"),
+            F.coalesce("chunks", F.lit(1)).alias("chunks"),
+            F.coalesce("items", F.array().cast(kind)).alias("items"),
+        )
+    )
+
+
 JSON_FIELDS = [
     "id", "title", "severity", "category", "status", "confidence", "file", "line", "endpoint",
-    "description", "evidence", "impact", "trigger_condition", "recommended_fix", "source",
+    "description", "evidence", "impact", "trigger_condition", "reproduction", "recommended_fix", "source",
 ]
 
 
-def json_documents(findings: DataFrame) -> DataFrame:
-    """Findings of a repository as JSON texts (repo, chunk, text). Absent values stay as null."""
+def json_documents(findings: DataFrame, repos: DataFrame | None = None) -> DataFrame:
+    """Findings of a repository as JSON texts (repo, chunk, chunks, text). Absent values stay as null.
+
+    A repository of ``repos`` without findings has one text with an empty list.
+    """
     packed = F.sort_array(F.collect_list(F.struct("n", F.struct(*JSON_FIELDS).alias("finding"))))
-    chunks = _chunked(findings).groupBy("repo", "chunk").agg(packed.alias("items"))
+    rows = _chunked(findings)
+    chunks = _with_chunks(rows, rows.groupBy("repo", "chunk").agg(packed.alias("items")), repos)
     document = F.struct(
         F.col("repo").alias("repository"),
+        "chunk",
+        "chunks",
         F.transform("items", lambda x: x["finding"]).alias("findings"),
     )
     return chunks.select(
-        "repo", "chunk", F.to_json(document, {"ignoreNullFields": "false"}).alias("text")
+        "repo", "chunk", "chunks", F.to_json(document, {"ignoreNullFields": "false"}).alias("text")
     )
 
 
@@ -172,13 +204,10 @@ def finding_rows(findings: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, [body, top, order])
 
 
-def heading_rows(findings: DataFrame) -> DataFrame:
+def heading_rows(findings: DataFrame, repos: DataFrame | None = None) -> DataFrame:
     """Summary line and the per-severity headings with their counts, zeros included."""
-    counts = severity_counts(findings, is_active(F.col("status"))).join(
-        findings.groupBy("repo").agg(
-            F.count("*").alias("total"), F.count_if(is_active(F.col("status"))).alias("active")
-        ),
-        "repo",
+    counts = severity_counts(findings, is_active(F.col("status")), repos).join(
+        active_rejected(findings, repos), "repo"
     )
     summary = F.format_string(
         "- **Total findings:** %d (%d active, %d rejected)",
@@ -309,5 +338,5 @@ def markdown_rows(repos: DataFrame, findings: DataFrame, *parts: DataFrame) -> D
     """All rows of all reports; ``parts`` are further row tables such as ``technology_rows``."""
     return reduce(
         DataFrame.unionByName,
-        [section_rows(repos), heading_rows(findings), finding_rows(findings), *parts],
+        [section_rows(repos), heading_rows(findings, repos), finding_rows(findings), *parts],
     )

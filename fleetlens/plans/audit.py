@@ -100,14 +100,14 @@ def write_reports(spark: SparkSession, target: str):
     ]
     order = ["section_no", "part", "ordinal"]
     sinks.write_rows(reports.markdown_rows(profiles, rows, *parts), f"{target}/report_lines", order)
-    sinks.write_rows(reports.json_documents(rows), f"{target}/report_json", ["chunk"])
-    sinks.write_rows(reports.sarif_documents(rows), f"{target}/report_sarif", ["chunk"])
+    sinks.write_rows(reports.json_documents(rows, profiles), f"{target}/report_json", ["chunk"])
+    sinks.write_rows(reports.sarif_documents(rows, repos=profiles), f"{target}/report_sarif", ["chunk"])
 
 
 def decide(spark: SparkSession, target: str, settings: Settings, open_issues: DataFrame):
     """Gate verdicts and issue changes."""
     rows, profiles = load(spark, target, "findings"), load(spark, target, "discovery")
-    save(findings.gate_verdict(rows, settings.fail_on), target, "gate")
+    save(findings.gate_verdict(rows, settings.fail_on, profiles), target, "gate")
     save(findings.issue_mutations(profiles, rows, open_issues), target, "issue_mutations")
     save(findings.issue_rows(rows), target, "issue_rows")
 

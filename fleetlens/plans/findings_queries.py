@@ -95,15 +95,23 @@ def findings_fallback(spark, folder):
 
 # --- report views -------------------------------------------------------------------------------------
 
+# Every repository, with its findings if it has any.
+EVERY_REPO = "(SELECT 'repo_' || c_custkey AS repo FROM customer) LEFT JOIN findings USING (repo)"
+
+
+def every_repo(spark, folder):
+    return views.table(spark, folder, "customer").selectExpr("concat('repo_', c_custkey) AS repo")
+
+
 @query(
     "active_rejected",
     found(
-        select=f"""SELECT repo, count(*) AS total, count(*) FILTER ({ACTIVE}) AS active,
-          count(*) FILTER (NOT ({ACTIVE})) AS rejected FROM findings GROUP BY repo"""
+        select=f"""SELECT repo, count(id) AS total, count(*) FILTER ({ACTIVE}) AS active,
+          count(*) FILTER (NOT ({ACTIVE})) AS rejected FROM {EVERY_REPO} GROUP BY ALL"""
     ),
 )
 def active_rejected(spark, folder):
-    return ops.active_rejected(views.findings(spark, folder))
+    return ops.active_rejected(views.findings(spark, folder), every_repo(spark, folder))
 
 
 @query(
@@ -111,13 +119,13 @@ def active_rejected(spark, folder):
     found(
         select=f"""SELECT r.repo, CAST(s.rank AS INTEGER) AS rank, s.severity,
           count(*) FILTER (f.severity = s.severity AND {ACTIVE}) AS findings
-        FROM (SELECT DISTINCT repo FROM findings) r
+        FROM (SELECT 'repo_' || c_custkey AS repo FROM customer) r
           CROSS JOIN (VALUES {", ".join(f"({n}, '{s}')" for n, s in enumerate(V.SEVERITIES))}) s(rank, severity)
-          JOIN findings f ON f.repo = r.repo GROUP BY ALL"""
+          LEFT JOIN findings f ON f.repo = r.repo GROUP BY ALL"""
     ),
 )
 def by_severity(spark, folder):
-    return ops.by_severity(views.findings(spark, folder))
+    return ops.by_severity(views.findings(spark, folder), every_repo(spark, folder))
 
 
 @query("by_category", found(select=f"SELECT repo, category, count(*) AS findings FROM findings WHERE {ACTIVE} GROUP BY ALL"))
@@ -207,11 +215,11 @@ def severity_gate(spark, folder):
     "gate_verdict",
     found(
         select=f"""SELECT repo, count(*) FILTER ({ACTIVE} AND rank <= 2) AS blocking,
-          count(*) FILTER ({ACTIVE} AND rank <= 2) > 0 AS failed FROM findings GROUP BY repo"""
+          count(*) FILTER ({ACTIVE} AND rank <= 2) > 0 AS failed FROM {EVERY_REPO} GROUP BY ALL"""
     ),
 )
 def gate_verdict(spark, folder):
-    return ops.gate_verdict(views.findings(spark, folder), "medium")
+    return ops.gate_verdict(views.findings(spark, folder), "medium", every_repo(spark, folder))
 
 
 PASS_SQL = f"""passed AS (SELECT * REPLACE (CASE WHEN status = 'potential' AND confidence < {V.MINIMUM_CONFIDENCE}
@@ -235,17 +243,18 @@ def confidence_pass(spark, folder):
         views.FINDINGS_SQL, PASS_SQL,
         select="SELECT repo, "
         + ", ".join(f"count(*) FILTER (status = '{s}') AS {s.replace('-', '_')}" for s in V.STATUSES)
-        + ", count(*) FILTER (reclassified) AS reclassified FROM passed GROUP BY repo",
+        + ", count(*) FILTER (reclassified) AS reclassified FROM "
+        + "(SELECT 'repo_' || c_custkey AS repo FROM customer) LEFT JOIN passed USING (repo) GROUP BY repo",
     ),
 )
 def status_counts(spark, folder):
-    return ops.status_counts(views.findings(spark, folder))
+    return ops.status_counts(views.findings(spark, folder), repos=every_repo(spark, folder))
 
 
-@query("severity_counts", found(select=f"SELECT repo, {sql_counts(ACTIVE)} FROM findings GROUP BY repo"))
+@query("severity_counts", found(select=f"SELECT repo, {sql_counts(ACTIVE)} FROM {EVERY_REPO} GROUP BY ALL"))
 def severity_counts(spark, folder):
     rows = views.findings(spark, folder)
-    return ops.severity_counts(rows, F.col("status") != "rejected")
+    return ops.severity_counts(rows, F.col("status") != "rejected", every_repo(spark, folder))
 
 
 # --- fleet rollup -------------------------------------------------------------------------------------
@@ -513,16 +522,20 @@ SARIF_RESULT = (
     "sarif_documents",
     with_views(
         views.FINDINGS_SQL, SARIF_SQL,
-        select=f"""SELECT repo, (n - 1) // {reports.CHUNK_FINDINGS} AS chunk,
+        select=f"""SELECT repo, chunk, chunks,
           '{{"$schema":"{V.SARIF_SCHEMA}","version":"2.1.0","runs":[{{"tool":{{"driver":{{"name":"fleetlens",'
-          || '"version":"0.1.0","rules":[' || string_agg({SARIF_RULE}, ',' ORDER BY n) || ']}}}},"results":['
-          || string_agg({SARIF_RESULT}, ',' ORDER BY n) || ']}}]}}' AS text
-        FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY ordinal) AS n FROM sarif)
-        GROUP BY repo, (n - 1) // {reports.CHUNK_FINDINGS}""",
+          || '"version":"0.1.0","rules":[' || coalesce(string_agg({SARIF_RULE}, ',' ORDER BY n) FILTER (n > 0), '')
+          || ']}}}},"automationDetails":{{"id":"' || repo || '/' || chunk || '/' || chunks || '"}},"results":['
+          || coalesce(string_agg({SARIF_RESULT}, ',' ORDER BY n) FILTER (n > 0), '') || ']}}]}}' AS text
+        FROM (SELECT *, coalesce((n - 1) // {reports.CHUNK_FINDINGS}, 0) AS chunk,
+                coalesce((max(n) OVER (PARTITION BY repo) - 1) // {reports.CHUNK_FINDINGS} + 1, 1) AS chunks
+              FROM (SELECT 'repo_' || c_custkey AS repo FROM customer) LEFT JOIN
+                (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY ordinal) AS n FROM sarif) USING (repo))
+        GROUP BY repo, chunk, chunks""",
     ),
 )
 def sarif_documents(spark, folder):
-    return reports.sarif_documents(views.findings(spark, folder))
+    return reports.sarif_documents(views.findings(spark, folder), repos=every_repo(spark, folder))
 
 
 JSON_SQL = ", ".join(f"{name} := {name}" for name in reports.JSON_FIELDS)
@@ -531,14 +544,18 @@ JSON_SQL = ", ".join(f"{name} := {name}" for name in reports.JSON_FIELDS)
 @query(
     "report_json",
     found(
-        select=f"""SELECT repo, (n - 1) // {reports.CHUNK_FINDINGS} AS chunk, CAST(to_json(struct_pack(repository := repo,
-            findings := list(struct_pack({JSON_SQL}) ORDER BY n))) AS VARCHAR) AS text
-        FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY ordinal) AS n FROM findings)
-        GROUP BY repo, (n - 1) // {reports.CHUNK_FINDINGS}"""
+        select=f"""SELECT repo, chunk, chunks, CAST(to_json(struct_pack(repository := repo, chunk := chunk, chunks := chunks,
+            findings := coalesce(list(struct_pack({JSON_SQL}) ORDER BY n) FILTER (n > 0), []))) AS VARCHAR) AS text
+        FROM (SELECT *, coalesce((n - 1) // {reports.CHUNK_FINDINGS}, 0) AS chunk,
+                coalesce((max(n) OVER (PARTITION BY repo) - 1) // {reports.CHUNK_FINDINGS} + 1, 1) AS chunks,
+                CAST([] AS VARCHAR[]) AS reproduction
+              FROM (SELECT 'repo_' || c_custkey AS repo FROM customer) LEFT JOIN
+                (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY ordinal) AS n FROM findings) USING (repo))
+        GROUP BY repo, chunk, chunks"""
     ),
 )
 def report_json(spark, folder):
-    return reports.json_documents(views.findings(spark, folder))
+    return reports.json_documents(views.findings(spark, folder), every_repo(spark, folder))
 
 
 CATEGORY_NO = f"list_position({views.sql_list(V.CATEGORIES)}, category)"
@@ -569,12 +586,13 @@ def report_lines(spark, folder):
     "findings_sink",
     found(
         select="""SELECT repo, ordinal, id, title, severity, category, status, confidence, file, line, endpoint,
-          description, evidence, impact, trigger_condition, recommended_fix, source FROM findings"""
+          description, evidence, impact, trigger_condition, CAST([] AS VARCHAR[]) AS reproduction, recommended_fix, source
+          FROM findings"""
     ),
 )
 def findings_sink(spark, folder):
     """Write the findings, then read them back."""
     path = fresh_path(spark, "findings")
-    rows = views.findings(spark, folder).drop("reproduction")
+    rows = views.findings(spark, folder)
     sinks.write_findings(rows, path)
     return spark.read.schema(rows.schema).parquet(path).select(*rows.columns)
