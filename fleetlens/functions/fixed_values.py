@@ -67,9 +67,7 @@ SEVERITY_FALLBACK = "medium"
 # Limits on files per repository are arguments for ``sources.files.cap``; none is on by default.
 # --- fixed values: limits ------------------------------------------------------------------
 MAX_FILES_PER_REPO = 200_000
-MAX_ROUTE_FILES = 5_000
 MAX_TEXT_FILES = 5_000
-MAX_CONFIG_FILES = 3_000
 MAX_FINDINGS_PER_TOOL = 200
 EVIDENCE_CHARS = 200
 DESCRIPTION_CHARS = 300

@@ -305,11 +305,12 @@ def gap_rows(gaps: DataFrame) -> DataFrame:
         F.concat(F.lit("`"), "endpoint", F.lit("`")),
         "auth_required", "authorization_checked", "rate_limited", "input_validated", "sensitive",
     )
-    return gaps.select(
+    # In the order of the files and of the calls within them.
+    return numbered(gaps, ["repo"], ["file", "line", "pos"], "ordinal").select(
         "repo",
         F.lit(SECTION_NO["API Endpoints With Missing Controls"]).alias("section_no"),
         F.lit(0).alias("part"),
-        F.col("line").cast("long").alias("ordinal"),
+        "ordinal",
         F.concat(F.lit("| "), cells, F.lit(" |")).alias("text"),
     )
 

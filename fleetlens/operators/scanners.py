@@ -6,6 +6,7 @@ findings without an id: they name their ``area`` and the columns ``part, file, l
 order them. ``identified`` numbers the hits of all scanners in one go.
 """
 
+import re
 from dataclasses import dataclass, field
 from functools import cached_property, reduce
 
@@ -13,10 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
-from ..functions.columns import any_of, basename, contains_any, explode_present, present
+from ..functions.columns import any_of, basename, contains_any, explode_present
 from ..functions.schemas import as_findings
 from ..functions.tables import numbered, written
-from ..sources.files import explode_lines, is_risky_config, is_route_file, is_text
+from ..sources.files import explode_lines, is_risky_config, is_route_file, is_text, lines_matching
 from . import discovery
 
 
@@ -401,7 +402,7 @@ def security_headers(evidence: Evidence) -> DataFrame:
 
 # --- configuration and custom rules ------------------------------------------------------------
 
-def rule_hits(lines: DataFrame, rules) -> DataFrame:
+def rule_hits(lines: DataFrame, rules, first: int = 0) -> DataFrame:
     """Apply (label, severity, pattern, fix) rules to lines; a line may hit several.
 
     Each pattern is a literal, so it is compiled once per task, not once per line and rule.
@@ -417,9 +418,9 @@ def rule_hits(lines: DataFrame, rules) -> DataFrame:
                 F.lit(fix).alias("fix"),
             ),
         )
-        for n, (label, severity, pattern, fix) in enumerate(rules)
+        for n, (label, severity, pattern, fix) in enumerate(rules, first)
     ]
-    return lines.select(*keys, F.explode(present(*hits)).alias("hit")).select(*keys, "hit.*")
+    return explode_present(lines, keys, hits, "hit").select(*keys, "hit.*")
 
 
 def config_hits(lines: DataFrame) -> DataFrame:
@@ -447,25 +448,40 @@ def configuration(evidence: Evidence) -> DataFrame:
     )
 
 
-MAX_CUSTOM_RULES = 2_000
+#: Custom rules that one pass over the files applies.
+RULES_PER_PASS = 200
+CLASS = re.compile(r"\[\^?\]?[^\]]*\]")
+ANCHORED = re.compile(r"[\^$]|\\[AzZG]|\(\?<?[=!]")
+BACK_REFERENCE = re.compile(r"\\[1-9]|\\k<")
 
 
 def load_rules(rules: DataFrame) -> list[tuple]:
-    """Read a rule table (label, severity, pattern, fix) to the driver, refusing an outsized one."""
-    rows = (
-        rules.select("label", "severity", "pattern", "fix")
-        .orderBy("label")
-        .limit(MAX_CUSTOM_RULES + 1)
-        .collect()
-    )
-    if len(rows) > MAX_CUSTOM_RULES:
-        raise ValueError(f"more than {MAX_CUSTOM_RULES} rules; split the rule table")
-    return [tuple(r) for r in rows]
+    """Read a rule table (label, severity, pattern, fix) to the driver, in the order of all its columns."""
+    fields = ["label", "severity", "pattern", "fix"]
+    return [tuple(r) for r in rules.select(*fields).orderBy(*fields).collect()]
 
 
 def custom_rules(files: DataFrame, rules) -> DataFrame:
-    """Scan every line of ``files`` with rules given as data."""
-    return rule_hits(explode_lines(files), rules)
+    """Scan ``files`` with rules given as data, however many.
+
+    Only lines that some rule of a batch matches meet the rules one by one. Where no rule of the
+    batch looks at the edges of a line, files without any match are dropped before their lines are made.
+    Patterns that refer back to a group can't be joined with others, so their batch goes without both.
+    """
+    rules = list(rules) or [("", "", "(?!)", "")]  # no rules: one that never matches
+    passes = []
+    for first in range(0, len(rules), RULES_PER_PASS):
+        batch = rules[first : first + RULES_PER_PASS]
+        patterns = [pattern for _, _, pattern, _ in batch]
+        every = union_pattern(patterns)
+        if any(BACK_REFERENCE.search(p) for p in patterns):
+            lines = explode_lines(files)
+        elif any(ANCHORED.search(CLASS.sub("", p)) for p in patterns):
+            lines = explode_lines(files).filter(F.col("line").rlike(every))
+        else:
+            lines = lines_matching(files, every).filter(F.col("line").rlike(every))
+        passes.append(rule_hits(lines, batch, first))
+    return reduce(DataFrame.unionByName, passes)
 
 
 # --- all scanners ------------------------------------------------------------------------------

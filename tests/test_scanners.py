@@ -160,6 +160,19 @@ def test_custom_rules_from_a_table(spark, fleet):
     assert sorted((r.line_no, r.label) for r in rows) == [(1, "todo"), (3, "fixme")]
 
 
+def test_custom_rules_in_batches(fleet, monkeypatch):
+    monkeypatch.setattr(scanners, "RULES_PER_PASS", 2)
+    rules = [
+        ("a", "low", "TODO", ""), ("b", "low", "[^a]FIX", ""), ("c", "low", r"(x)\1", ""), ("d", "low", "end$", ""), ("e", "low", "(?i)todo", ""),
+    ]
+    files = fleet({"a": {"x.ts": "TODO one\naFIX bFIX\nxx the end\ntodo"}})
+    rows = scanners.custom_rules(files, rules).collect()
+    assert sorted((r.line_no, r.rule_no, r.label) for r in rows) == [
+        (1, 0, "a"), (1, 4, "e"), (2, 1, "b"), (3, 2, "c"), (3, 3, "d"), (4, 4, "e"),
+    ]
+    assert scanners.custom_rules(files, []).count() == 0
+
+
 def test_plug_in_scanner(spark, fleet):
     from pyspark.sql import functions as F
 
