@@ -15,6 +15,7 @@ from ..functions import fixed_values as V
 from ..functions.columns import (
     basename,
     contains_any,
+    explode_present,
     extension,
     fact_cases,
     literals,
@@ -97,6 +98,20 @@ def paths_where(files: DataFrame, test) -> DataFrame:
     return files.filter(test(F.col("path"))).select("repo", "path")
 
 
+def path_lists(paths: DataFrame) -> DataFrame:
+    """(repo, concern, path): the files behind the counts of a profile, one row per file and concern."""
+    path = F.col("path")
+    tests = {
+        "dependency_files": basename(path).isin(V.DEPENDENCY_FILES),
+        "ci_workflows": is_ci_file(path),
+        "infra_files": is_infra_file(path),
+        "auth_files": is_auth_file(path),
+        "config_files": is_config_file(path),
+    }
+    concerns = [F.when(test, F.lit(concern)) for concern, test in tests.items()]
+    return explode_present(paths, ["repo", "path"], concerns, "concern").select("repo", "concern", "path")
+
+
 def path_summary(paths: DataFrame) -> DataFrame:
     """What file names alone tell, in one aggregation per repository.
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..functions.columns import filled, finding_id, line_number, normal_severity, text_or_empty
 from ..functions.schemas import as_findings
+from ..functions.tables import numbered, written
 from ..sources.tool_output import outputs_of
 from .discovery import STRICT_JSON
 
@@ -394,3 +395,15 @@ def ingest_all(scan_runs: DataFrame, ingesters=None, limits: Limits = UNLIMITED)
         DataFrame.unionByName,
         [ingest(outputs_of(scan_runs, tool), *more) for tool, ingest in known.items()],
     )
+
+
+def with_unique_ids(found: DataFrame) -> DataFrame:
+    """Ids that run on over all documents of a tool in a repository, by run and place.
+
+    Without a ``run_id`` documents can't be told apart, and their findings are taken in turn.
+    """
+    keys = [c for c in ("run_id", "ordinal") if c in found.columns]
+    order = [*keys, "title", "severity", "file", "line", "description", "evidence"]
+    ranked = numbered(written(found, "ingested"), ["repo", "source"], order, "_number")
+    prefix = F.regexp_replace("id", "[0-9]+$", "")
+    return ranked.withColumn("id", F.concat(prefix, F.format_string("%03d", "_number"))).drop("_number")

@@ -52,7 +52,8 @@ def in_document_order(rows: DataFrame) -> DataFrame:
 def collect_evidence(files: DataFrame, outputs: DataFrame, observed: DataFrame, target: str, settings: Settings):
     """Discovery, scan coverage, API inventory and seed findings.
 
-    ``outputs`` are tool documents (repo, tool, status, stdout); ``observed`` says how the tools
+    ``outputs`` are tool documents (repo, tool, status, stdout), with ``run_id`` if a repository has several
+    of one tool; ``observed`` says how the tools
     ended (repo, tool, outcome, exit_code).
     """
     names = source.excluded_names(settings.exclude, settings.output_directory)
@@ -64,6 +65,7 @@ def collect_evidence(files: DataFrame, outputs: DataFrame, observed: DataFrame,
     profiles = save(
         discovery.profile(evidence.files, evidence.manifests, inventory), target, "discovery"
     )
+    save(discovery.path_lists(evidence.files), target, "discovery_paths")
     limits = profiles.select(
         "repo",
         F.array(*[F.lit(t) for t in settings.disabled]).cast("array<string>").alias("disabled"),
@@ -73,14 +75,16 @@ def collect_evidence(files: DataFrame, outputs: DataFrame, observed: DataFrame,
         "dependency_files",
     )
     save(coverage.status_matrix(limits, observed), target, "scans")
-    seeds = scanners.seed_findings(evidence, [as_findings(ingest.ingest_all(outputs))])
+    seeds = scanners.seed_findings(evidence, [as_findings(ingest.with_unique_ids(ingest.ingest_all(outputs)))])
     save(in_document_order(seeds), target, "seed_findings")
 
 
 def review(spark: SparkSession, target: str, settings: Settings, reviewed: DataFrame | None = None):
     """Take reviewed findings where valid, else the seeds, and apply the confidence pass."""
     seeds = load(spark, target, "seed_findings")
-    rows = seeds if reviewed is None else findings.with_fallback(reviewed.select(seeds.columns), seeds)
+    rows = seeds
+    if reviewed is not None:
+        rows = findings.with_fallback(findings.with_defaults(reviewed.select(seeds.columns)), seeds)
     save(findings.confidence_pass(rows, settings.minimum_confidence), target, "findings")
 
 

@@ -40,6 +40,13 @@ def test_findings_of_scanners_and_tools(result):
     assert [r.file for r in rows if r.id == "RG-CONF-001"] == ["conf/app.yaml"]
 
 
+def test_path_lists_are_saved(result):
+    load, _ = result
+    assert {(r.repo, r.concern, r.path) for r in load("discovery_paths").collect()} >= {
+        ("a", "dependency_files", "package.json"), ("a", "config_files", "conf/app.yaml"), ("a", "auth_files", "src/routes/auth.ts"),
+    }
+
+
 def test_gate_and_issues(result):
     load, _ = result
     gate = {(r.repo, r.blocking, r.failed) for r in load("gate").collect()}

@@ -140,6 +140,16 @@ def test_odd_elements_cost_only_themselves(run):
     assert [(r.title, r.severity) for r in run("trivy", odd)] == [(": ", "medium"), ("m: C-1", "low")]
 
 
+def test_ids_are_unique_over_documents(spark):
+    document = json.dumps({"results": [{"check_id": "a.x"}, {"check_id": "a.y"}]})
+    rows = [("a", n, "semgrep", "completed", document) for n in (7, 3)] + [("b", 1, "semgrep", "completed", document)]
+    found = ingest.with_unique_ids(ingest.ingest_all(spark.createDataFrame(rows, RUNS))).collect()
+    assert sorted((r.repo, r.run_id, r.id[-3:], r.title[-1]) for r in found) == [
+        ("a", 3, "001", "x"), ("a", 3, "002", "y"), ("a", 7, "003", "x"), ("a", 7, "004", "y"),
+        ("b", 1, "001", "x"), ("b", 1, "002", "y"),
+    ]
+
+
 def test_no_limit_by_default(run):
     many = [{"check_id": f"a.r{n}"} for n in range(205)]
     assert len(run("semgrep", {"results": many})) == 205
