@@ -4,6 +4,7 @@ import pytest
 from check_sql import base_tables, compare
 
 from __spark_entry__ import entry, oracle_sql, queries
+from fleetlens.plans.queries import QUERIES, SQL
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -13,13 +14,17 @@ def connection():
     return base_tables(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, connection, name):
-    assert compare(queries()[name](spark, FOLDER), connection, oracle_sql()[name]).startswith("ok")
+    assert compare(QUERIES[name](spark, FOLDER), connection, SQL[name]).startswith("ok")
 
 
 def test_every_query_has_a_twin():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(SQL)
+
+
+def test_the_entry_point_has_all_of_them():
+    assert set(QUERIES) <= set(queries()) and set(SQL) <= set(oracle_sql()) <= set(queries())
 
 
 def test_entry(spark):
