@@ -18,9 +18,11 @@ Other columns are not used.
 
 import re
 from functools import partial
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,88 +45,100 @@ UNITS = frozenset(
     "kb mb gb tb bit bits byte bytes people students times".split()
 )
 #: Tokens: a number, a word, a sentence end, or a sign for a unit.
-TOKEN = re.compile(r"(?P<n>\d+(?:[.,:/]\d+)*)|(?P<w>[^\W\d_]+(?:['’][^\W\d_]+)*)|(?P<e>[.!?\n|])|(?P<u>[%€$£°])")
+TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+(?:['’][^\W\d_]+)*|[.!?\n|%€$£°]")
+ENDS, SIGNS = frozenset(".!?\n|"), frozenset("%€$£°")
 NUMBER, NAME, UNIT = "\x00n", "\x00p", "\x00u"
 
 
-def templates(text: str) -> list[tuple[str, str]]:
-    """(template token, its value) of a text; the value of a word is the word itself."""
-    out: list[tuple[str, str]] = []
-    start, after_number, previous = True, False, None
-    for match in TOKEN.finditer(text):
-        kind, token = match.lastgroup, match[0]
-        if kind == "e":
-            start = start or token != "." or not after_number
-            after_number, previous = False, None
+def templates(text: str) -> tuple[list[str], dict[int, str]]:
+    """Template tokens of a text, and the values of its slots by position."""
+    tokens: list[str] = []
+    values: dict[int, str] = {}
+    start, number, name = True, False, False
+    for token in TOKEN.findall(text):
+        first = token[0]
+        if token.islower():  # most tokens: a word in lower case can only be itself or a unit
+            lower = token
+        elif first in ENDS:
+            start = start or token != "." or not number
+            number = name = False
             continue
-        lower = token.lower()
-        if kind == "n":
-            out.append((NUMBER, token))
-        elif kind == "u" or (after_number and lower in UNITS):
-            if kind == "u" and not after_number:
-                continue
-            out.append((UNIT, lower))
-        elif not start and token[0] != lower[0] and token != token.upper():
-            if previous == NAME:
-                out[-1] = (NAME, out[-1][1] + " " + lower)
+        elif first.isdigit():
+            values[len(tokens)] = token
+            tokens.append(NUMBER)
+            start, number, name = False, True, False
+            continue
+        elif first in SIGNS and not number:
+            continue
+        else:
+            lower = token.lower()
+        if number and (lower in UNITS or first in SIGNS):
+            values[len(tokens)] = lower
+            tokens.append(UNIT)
+        elif not start and first != lower[0] and token != token.upper():
+            if name:
+                values[len(tokens) - 1] += " " + lower
             else:
-                out.append((NAME, lower))
-            after_number, previous = False, NAME
+                values[len(tokens)] = lower
+                tokens.append(NAME)
+            number, name = False, True
             continue
         else:
-            out.append((lower, lower))
-        start, after_number, previous = False, kind == "n", None
-    return out
+            tokens.append(lower)
+        start = number = name = False
+    return tokens, values
 
 
-def _hash(word: str, known: dict) -> int:
-    value = known.get(word)
-    if value is None:
-        if len(known) > 1_000_000:
-            known.clear()
-        raw = np.frombuffer(word.encode("utf-8", "surrogatepass"), np.uint8).astype(np.uint64)
-        value = 0xCBF29CE484222325
-        for byte in raw.tolist():
-            value = ((value ^ byte) * 0x100000001B3) & 0xFFFFFFFFFFFFFFFF
-        known[word] = value
-    return value
+class Codes(dict):
+    """64-bit code of every token seen; forgets all when it has grown large."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        value = self[token] = xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass"))
+        return value
 
 
 def _windows(batches, bits: np.ndarray | None, window: int, least_words: int):
     """(id, window, place, length, slots, values) of the windows whose hash the bit map has."""
-    known: dict[str, int] = {}
+    known = Codes()
+    slot_codes = np.array([known[t] for t in (NUMBER, NAME, UNIT)], np.uint64)
     for batch in batches:
         for part in sliced(batch, "text", SLICE_BYTES):
-            ids, places, lengths, hashes, values, slots = [], [], [], [], [], []
-            for doc, text in zip(part.column("id").to_pylist(), part.column("text").to_pylist(), strict=True):
-                tokens = templates(text or "")
-                n = len(tokens) - window + 1
-                if n < 1:
-                    continue
-                codes = np.array([_hash(t, known) for t, _ in tokens], np.uint64)
-                slot = np.array([t[0] == "\x00" for t, _ in tokens])
-                total = np.concatenate([[0], np.cumsum(~slot)])
-                value = np.full(n, window, np.uint64)
-                for k in range(window):
-                    value = mixed(value * np.uint64(0x9FB21C651E98DF25) + codes[k : k + n])
-                keep = total[window:] - total[:-window] >= least_words
-                if bits is not None:
-                    at = (value % np.uint64(MAP_BITS)).astype(np.int64)
-                    keep &= (bits[at >> 3] >> (at & 7)) & 1 == 1
-                for i in np.flatnonzero(keep):
-                    some = tokens[i : i + window]
-                    ids.append(doc)
-                    places.append(i)
-                    lengths.append(len(tokens))
-                    hashes.append(value[i])
-                    slots.append([k for k, (t, _) in enumerate(some) if t[0] == "\x00"])
-                    values.append([v for t, v in some if t[0] == "\x00"])
+            cut = [templates(text or "") for text in part.column("text").to_pylist()]
+            lengths = np.array([len(t) for t, _ in cut])
+            begin = np.cumsum(lengths) - lengths
+            codes = np.fromiter(
+                map(known.__getitem__, chain.from_iterable(t for t, _ in cut)), np.uint64, int(lengths.sum())
+            )
+            n = max(len(codes) - window + 1, 0)
+            words = np.concatenate([[0], np.cumsum(~np.isin(codes, slot_codes))])
+            value = np.full(n, window, np.uint64)
+            for k in range(window):
+                value = mixed(value * np.uint64(0x9FB21C651E98DF25) + codes[k : k + n])
+            keep = words[window:][:n] - words[:n] >= least_words
+            if bits is not None:
+                at = (value % np.uint64(MAP_BITS)).astype(np.int64)
+                keep &= (bits[at >> 3] >> (at & 7)) & 1 == 1
+            at = np.flatnonzero(keep)
+            doc = np.searchsorted(begin, at, side="right") - 1
+            inside = at + window <= begin[doc] + lengths[doc]
+            at, doc = at[inside], doc[inside]
+            place = at - begin[doc]
+            slots = [
+                [k for k in range(window) if i + k in cut[d][1]]
+                for d, i in zip(doc.tolist(), place.tolist(), strict=True)
+            ]
+            values = [
+                [cut[d][1][i + k] for k in ks]
+                for d, i, ks in zip(doc.tolist(), place.tolist(), slots, strict=True)
+            ]
             yield pa.RecordBatch.from_pydict(
                 {
-                    "id": pa.array(ids, pa.int64()),
-                    "window": pa.array(np.array(hashes, np.uint64).view(np.int64)),
-                    "place": pa.array(places, pa.int32()),
-                    "length": pa.array(lengths, pa.int32()),
+                    "id": part.column("id").take(pa.array(doc, pa.int64())),
+                    "window": pa.array(value[at].view(np.int64)),
+                    "place": pa.array(place, pa.int32()),
+                    "length": pa.array(lengths[doc], pa.int32()),
                     "slots": pa.array(slots, pa.list_(pa.int32())),
                     "values": pa.array(values, pa.list_(pa.string())),
                 }

@@ -163,9 +163,9 @@ def test_decontamination(spark, docs):
 
 
 def test_templates():
-    tokens = decontamination.templates("Ann Lee ran 3.5 km. Then Bob paid $20 to Ann Lee")
-    assert [t for t, _ in tokens] == ["ann", decontamination.NAME, "ran", decontamination.NUMBER, decontamination.UNIT, "then", decontamination.NAME, "paid", decontamination.NUMBER, "to", decontamination.NAME]
-    assert tokens[-1][1] == "ann lee"
+    tokens, values = decontamination.templates("Ann Lee ran 3.5 km. Then Bob paid $20 to Ann Lee")
+    assert tokens == ["ann", decontamination.NAME, "ran", decontamination.NUMBER, decontamination.UNIT, "then", decontamination.NAME, "paid", decontamination.NUMBER, "to", decontamination.NAME]
+    assert values == {1: "lee", 3: "3.5", 4: "km", 6: "bob", 8: "20", 10: "ann lee"}
 
 
 def test_secrets_equal_brute_force(docs):
