@@ -43,6 +43,8 @@ TEMPLATES = [
     ("MPL-2.0", "This file is subject to the terms of the Mozilla Public License, version 2.0"),
     ("Proprietary", "All rights reserved. Proprietary and confidential. Unauthorized copying is prohibited"),
 ]
+#: Words of any text, which are anchors only if a template has too little else. Fixed values.
+ORDINARY = frozenset("a all and any are at be by for from in into is it not of on or that the this to was with without work".split())
 THRESHOLD = 0.75
 TOKEN = r"[a-z0-9]+(?:[.][0-9]+)*"
 LICENCE_FILE = r"(?i)^(licen[sc]e|copying|notice)([.-].*)?$"
@@ -69,8 +71,9 @@ def anchors(rows, threshold: float = THRESHOLD) -> list[str]:
     chosen: set[str] = set()
     for k in {r[1] for r in rows}:
         left = sum(w * w for _, i, t, w in rows if i == k and t not in chosen)
-        # Long tokens first: they are rare in ordinary text.
-        for _, _, token, weight in sorted((r for r in rows if r[1] == k), key=lambda r: (-len(r[2]), r[2])):
+        # Long tokens first and ordinary words last, since anchors should be rare in ordinary text.
+        mine = [r for r in rows if r[1] == k]
+        for _, _, token, weight in sorted(mine, key=lambda r: (r[2] in ORDINARY, -len(r[2]), r[2])):
             if math.sqrt(max(left, 0)) < threshold - 1e-9:
                 break
             if token not in chosen:
@@ -99,7 +102,9 @@ def headers(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD)
         .agg(F.count("*").alias("tf"))
         .join(weights, "token", "left")
         .withColumn("value", F.col("tf") * F.coalesce("idf", F.lit(other)))
+        .drop("idf")
     )
+    counted = written(counted, "tokens")  # read for dot products and for lengths
     # One row per unit and template it shares a token with, and one without a template for the length.
     unit = ["path", "line"]
     dots = counted.join(postings, "token").select(*unit, "licence", "statement", (F.col("value") * F.col("weight")).alias("dot"))
