@@ -70,11 +70,11 @@ def described(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -
 
     def keys(table: pa.Table):
         every, _, index = shingle_sets(words_of(table.column("text"), lower=True), shingle)
-        return every, np.bincount(index, minlength=len(every)), 0
+        return every, np.bincount(index, minlength=len(every))
 
     def describe(table: pa.Table, tallied: pa.Table) -> pa.Table:
         every, doc, index = shingle_sets(words_of(table.column("text"), lower=True), shingle)
-        df = packs.counts_in_order(tallied)[0].astype(np.int64)[index]
+        df = packs.counts_in_order(tallied).astype(np.int64)[index]
         hashes = every[index]
         n_docs = table.num_rows
         order = np.lexsort((hashes, df, doc))

@@ -6,7 +6,8 @@ Counts are over all documents. Tables of bigrams and trigrams keep n-grams seen
 ``MIN_COUNT`` times, so a document's own single occurrence is no evidence for it.
 
 N-grams are hashed to 64 bits and counted by hash ranges (see ``packs``); the counts are joined to
-the n-grams of each document and the logarithms summed per document.
+the n-grams of each document and the logarithms summed per document. Longer n-grams are only counted
+where all their bigrams are in the table, since others can't be seen often enough either.
 
 Edge cases: a null or empty text has 0 words, sum 0 and a null mean. Repeated rows count as often
 as they occur and score alike. Null ids are kept. Other columns are not used.
@@ -15,9 +16,11 @@ as they occur and score alike. Null ids are kept. Other columns are not used.
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import packs
-from .words import grams, words_of
+from .common import n_words
+from .words import Words, grams, words_of
 
 ORDER = 3
 MIN_COUNT = 2
@@ -25,8 +28,25 @@ BACKOFF = 0.4
 SCHEMA = "doc_id long, n_words long, log10_sum double, log10_mean double, n_longest long, n_backed_off long"
 
 
-def _grams(words, order: int):
-    return [grams(words, n, seed=n) for n in range(1, order + 1)]
+def _short(words: Words, order: int):
+    """Unigrams and bigrams: (hashes, first words) of each, all distinct hashes, and where each is among them."""
+    each = [grams(words, n, seed=n) for n in range(1, min(order, 2) + 1)]
+    found, back, counts = np.unique(
+        np.concatenate([h for h, _ in each]), return_inverse=True, return_counts=True
+    )
+    return each, found, np.split(back, [len(each[0][0])]), counts
+
+
+def _long(words: Words, order: int, repeated: np.ndarray):
+    """(hashes, first words) of the longer n-grams whose bigrams all start at a ``repeated`` word."""
+    out = []
+    for n in range(3, order + 1):
+        hashes, at = grams(words, n, seed=n)
+        some = np.ones(len(at), bool)
+        for k in range(n - 1):
+            some &= repeated[at + k]
+        out.append((hashes[some], at[some]))
+    return out
 
 
 def scored(
@@ -34,19 +54,37 @@ def scored(
 ) -> DataFrame:
     """One row per document: words, sum and mean of log10 scores, words scored by the longest n-gram
     their place allows, and by a shorter one."""
+    total = docs.agg(F.sum(n_words(F.col("text")))).first()[0] or 0
+
+    def short_keys(table: pa.Table):
+        _, found, _, counts = _short(words_of(table.column("text")), order)
+        return found, counts
+
+    def starts(words: Words, short, found: np.ndarray) -> np.ndarray:
+        repeated = np.zeros(len(words.hash), bool)
+        each, _, back, _ = short
+        if len(each) > 1:
+            repeated[each[1][1]] = found[back[1]] >= min_count
+        return repeated
 
-    def keys(table: pa.Table):
+    def long_keys(table: pa.Table, tallied: pa.Table):
         words = words_of(table.column("text"))
-        found, counts = np.unique(np.concatenate([h for h, _ in _grams(words, order)]), return_counts=True)
-        return found, counts, len(words.hash)
+        repeated = starts(words, _short(words, order), packs.counts_in_order(tallied))
+        hashes = [h for h, _ in _long(words, order, repeated)]
+        return np.unique(np.concatenate([np.zeros(0, np.uint64), *hashes]), return_counts=True)
 
     def score(table: pa.Table, tallied: pa.Table) -> pa.Table:
         words = words_of(table.column("text"))
-        found, total = packs.counts_in_order(tallied)
-        each = _grams(words, order)
-        sizes = np.cumsum([len(h) for h, _ in each])[:-1]
-        _, back = np.unique(np.concatenate([h for h, _ in each]), return_inverse=True)
-        counts = np.split(found[back].astype(np.float64), sizes)
+        found = packs.counts_in_order(tallied)
+        short = _short(words, order)
+        each, keys, back, _ = short
+        counts = [found[b].astype(np.float64) for b in back]
+        long = _long(words, order, starts(words, short, found))
+        if long:
+            _, back = np.unique(np.concatenate([h for h, _ in long]), return_inverse=True)
+            sizes = np.cumsum([len(h) for h, _ in long])[:-1]
+            counts += np.split(found[len(keys) :][back].astype(np.float64), sizes)
+            each = each + long
         n = len(words.hash)
         # by_end[k]: count of the (k + 1)-gram that ends at each word, 0 where there is none.
         by_end, by_start = [], []
@@ -85,4 +123,8 @@ def scored(
         )
 
     rows, n = packs.packed(docs)
-    return packs.beside(rows, packs.tally(rows, n, keys), score, SCHEMA)
+    known = packs.tally(rows, n, short_keys)
+    if order > 2:
+        longer = packs.tally(rows, n, long_keys, known)
+        known = known.union(longer.withColumn("part", F.col("part") + n))  # after the short ones
+    return packs.beside(rows, known, score, SCHEMA)

@@ -98,11 +98,11 @@ def deduped(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
 
     def keys(table: pa.Table):
         cut = Segments(table, window, anchor)
-        return cut.anchors, cut.anchor_docs, 0
+        return cut.anchors, cut.anchor_docs
 
     def ship(table: pa.Table, tallied: pa.Table) -> pa.Table:
         cut = Segments(table, window, anchor)
-        repeated = packs.counts_in_order(tallied)[0] > 1
+        repeated = packs.counts_in_order(tallied) > 1
         wanted = np.flatnonzero(repeated[np.searchsorted(cut.anchors, cut.anchor)])
         at = packs.range_starts(cut.anchor[wanted], n)
         words, rows = cut.words, []
