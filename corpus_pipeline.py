@@ -30,13 +30,15 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows that repeat an id and its text count once. A row without an id can't be named and stays.
     """
-    found = jaccard_join.joined(docs.select("doc_id", "text"), PERCENT, SHINGLE)
-    first = written(
-        found.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_first")).distinct(),
-        "kept",
-    )
-    named = docs.join(first, F.col("doc_id") == F.col("_first")).drop("_first").dropDuplicates(["doc_id", "text"])
-    return named.union(docs.where(F.col("doc_id").isNull()))
+    found = written(jaccard_join.joined(docs.select("doc_id", "text"), PERCENT, SHINGLE), "near")
+    first = F.col("doc_id") == F.col("component_id")
+    repeated = found.where(first).groupBy("doc_id").count().where("count > 1").select("doc_id")
+    twice = written(repeated.withColumnRenamed("doc_id", "_id"), "repeated")
+    gone = written(found.where(~first).select(F.col("doc_id").alias("_id")).union(twice).distinct(), "gone")
+    # Few documents go, so Spark can broadcast their ids; the texts of the others stay where they are.
+    once = docs.join(gone, F.col("doc_id") == F.col("_id"), "left_anti")
+    again = docs.join(twice, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.union(again)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
