@@ -162,6 +162,27 @@ def test_decontamination(spark, docs):
     assert decontamination.leaks(docs(rows), items.limit(0)).collect() == []
 
 
+def test_decontamination_names_that_open_sentences(spark, docs):
+    item = "Alice has 5 apples. Bob has 3 apples. How many apples do they have together?"
+    other = item.replace("Alice", "Carl").replace("Bob", "Dan").replace("5", "7").replace("3", "4")
+    rows = [(1, "Some words before. " + other), (2, item), (3, "Alice has a dog. Bob has none. How old are they?"), (4, "Mary Ann " + other[5:])]
+    items = spark.createDataFrame([(10, item)], "item_id long, text string")
+    found = [(r.doc_id, r.place, r.exact) for r in decontamination.leaks(docs(rows), items).collect()]
+    assert sorted(x[0] for x in found) == [1, 2, 4]
+    assert {x[0] for x in found if x[2]} == {2}
+    assert {r.doc_id for r in decontamination.clean(docs(rows), items).collect()} == {3}
+
+
+def test_decontamination_in_another_case(spark, docs):
+    items = spark.createDataFrame([(10, ITEM)], "item_id long, text string")
+    rows = [(1, ITEM.upper()), (2, ITEM.lower()), (3, "An ordinary sentence. " + ITEM.upper()), (4, ITEM.title()), (5, ITEM)]
+    found = {r.doc_id: r for r in decontamination.leaks(docs(rows), items).collect()}
+    assert set(found) == {1, 2, 3, 4, 5} and all(r.exact for r in found.values())
+    assert decontamination.leaks(docs([(6, ITEM)]), items).count() == 1
+    upper = spark.createDataFrame([(10, ITEM.upper())], "item_id long, text string")
+    assert decontamination.leaks(docs([(6, ITEM)]), upper).count() == 1
+
+
 def test_templates():
     tokens, values = decontamination.templates("Ann Lee ran 3.5 km. Then Bob paid $20 to Ann Lee")
     assert tokens == ["ann", decontamination.NAME, "ran", decontamination.NUMBER, decontamination.UNIT, "then", decontamination.NAME, "paid", decontamination.NUMBER, "to", decontamination.NAME]
