@@ -4,8 +4,8 @@ Texts become templates: numbers, units after a number, and names (capitalised wo
 sentence, neighbours as one) turn into typed placeholders, all else into lower-cased words. Windows of
 template tokens of documents and benchmark items are joined by hash. Matches along one diagonal of a
 document and an item are one alignment; its slots are the placeholders it covers, and they are
-consistent if equal values in the item stand against equal values in the document and the other way
-round. An alignment is a leak if it is consistent and covers enough tokens, so a question with other
+consistent if equal names in the item stand against equal names in the document and the other way
+round. Numbers and units that happen to be equal on one side say nothing and are free. An alignment is a leak if it is consistent and covers enough tokens, so a question with other
 numbers or names is found, and ``exact`` tells whether all its slots have the same values.
 
 A text is read three ways, and windows are joined within each: with the words that open a sentence as
@@ -198,12 +198,13 @@ def _windows(batches, bits: np.ndarray | None, window: int, least_words: int):
                     caps = looks[at + window] - looks[at]
                     plain = (caps == 0) | (2 * caps > words[at + window] - words[at])
                 ends = np.append(source[1:], total)
-                slots, values = [], []
+                slots, values, named = [], [], []
                 for i, d in zip(at.tolist(), owns.tolist(), strict=True):
                     tokens, given, first = cut[d][0], cut[d][1], int(begin[d])
                     ks = np.flatnonzero(slot[i : i + window]).tolist()
                     spans = [(int(source[i + k]) - first, int(ends[i + k]) - first) for k in ks]
                     slots.append(ks)
+                    named.append(name[[int(source[i + k]) for k in ks]].tolist() if ks else [])
                     values.append([given[a] if a in given else " ".join(tokens[a:b]) for a, b in spans])
                 yield pa.RecordBatch.from_pydict(
                     {
@@ -213,6 +214,7 @@ def _windows(batches, bits: np.ndarray | None, window: int, least_words: int):
                         "length": pa.array(sizes[owns], pa.int32()),
                         "slots": pa.array(slots, pa.list_(pa.int32())),
                         "values": pa.array(values, pa.list_(pa.string())),
+                        "named": pa.array(named, pa.list_(pa.bool_())),
                         "reading": pa.array(np.full(len(at), reading), pa.int32()),
                         "plain": pa.array(plain),
                         "home": pa.array(home[source[at]] - home_begin[owns], pa.int32()),
@@ -223,7 +225,7 @@ def _windows(batches, bits: np.ndarray | None, window: int, least_words: int):
 #: ``place`` and ``length`` count tokens of the reading, ``home`` those of the first; ``plain`` windows join any.
 SCHEMA = (
     "id long, window long, place int, length int, slots array<int>, values array<string>, "
-    "reading int, plain boolean, home int"
+    "named array<boolean>, reading int, plain boolean, home int"
 )
 
 
@@ -273,6 +275,7 @@ def leaks(
             F.transform("b.slots", lambda k: k + F.col("b.place")).alias("place"),
             F.col("b.values").alias("asked"),
             F.col("d.values").alias("given"),
+            F.col("b.named").alias("named"),
         ).alias("slots"),
     )
     # An alignment has at most the item's tokens as members, so its sets are bounded by one item.
@@ -285,9 +288,10 @@ def leaks(
         F.array_sort(F.collect_set("at")).alias("starts"),
         F.collect_set("slot").alias("filled"),
     )
-    one_way = F.size(F.array_distinct(F.transform("filled", lambda s: s["asked"])))
-    other_way = F.size(F.array_distinct(F.transform("filled", lambda s: s["given"])))
-    both = F.size(F.array_distinct(F.transform("filled", lambda s: F.struct(s["asked"], s["given"]))))
+    names = F.filter("filled", lambda s: s["named"])
+    one_way = F.size(F.array_distinct(F.transform(names, lambda s: s["asked"])))
+    other_way = F.size(F.array_distinct(F.transform(names, lambda s: s["given"])))
+    both = F.size(F.array_distinct(F.transform(names, lambda s: F.struct(s["asked"], s["given"]))))
     # Each window adds the tokens that earlier ones do not cover.
     tokens = F.aggregate(
         "starts",

@@ -183,6 +183,14 @@ def test_decontamination_in_another_case(spark, docs):
     assert decontamination.leaks(docs([(6, ITEM)]), upper).count() == 1
 
 
+def test_decontamination_numbers_are_free(spark, docs):
+    item = "There are 7 red balls and 3 blue balls in a box while 7 more are on the old table near it."
+    items = spark.createDataFrame([(10, item)], "item_id long, text string")
+    rows = [(1, item.replace("7", "4").replace("3", "4")), (2, item.replace("7", "9", 1)), (3, item)]
+    found = {r.doc_id: (r.exact, r.n_slots) for r in decontamination.leaks(docs(rows), items).collect()}
+    assert found == {1: (False, 3), 2: (False, 3), 3: (True, 3)}
+
+
 def test_templates():
     tokens, values = decontamination.templates("Ann Lee ran 3.5 km. Then Bob paid $20 to Ann Lee")
     assert tokens == ["ann", decontamination.NAME, "ran", decontamination.NUMBER, decontamination.UNIT, "then", decontamination.NAME, "paid", decontamination.NUMBER, "to", decontamination.NAME]
