@@ -1,8 +1,9 @@
 """URL filters: pattern rules found by their rarest literal token.
 
 Every rule is a regular expression over the url, with literal tokens that any matching url
-must contain. Rules are indexed by the token that the fewest urls have. The tokens of a url
-fetch candidate rules from the index, and only those candidates run their expression.
+must contain, bounded on both sides. Rules are indexed by the token that the fewest urls have. The
+tokens of a url fetch candidate rules from the index, and only those candidates run their expression.
+A rule without such a token runs over all urls.
 
 Edge cases: a null url, or one without ``://``, has empty host and path and is judged by the
 patterns alone (a null url matches none). Repeated urls are judged once and joined back to
@@ -24,15 +25,16 @@ HOST_RULES = [
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 ]
-#: (expression over the lower-cased url, its literal tokens): what blocks a url no host rule fits.
+#: (expression over the lower-cased url, its literal tokens): what blocks a url no host rule fits. Only
+#: words that stand as whole tokens in every match are listed; before pills and after php more may follow.
 PATTERNS = [
     (r"://([^/?#]*[.-])?(casino|bets|poker)[.-]", ["casino|bets|poker"]),
     (r"://([^/?#]*[.-])?cheap-[a-z]+[.]", ["cheap"]),
-    (r"://([^/?#]*[.-])?[a-z]*-?pills[.-]", ["pills"]),
+    (r"://([^/?#]*[.-])?[a-z]*-?pills[.-]", []),
     (r"://([^/?#]*[.-])?adult-[a-z]+[.]", ["adult"]),
     (r"[?&]replytocom=[0-9]+", ["replytocom"]),
     (r"[?&](phpsessid|jsessionid)=", ["phpsessid|jsessionid"]),
-    (r"/wp-login[.]php", ["wp", "login", "php"]),
+    (r"/wp-login[.]php", ["wp", "login"]),
 ]
 TOKEN = "[a-z0-9]+"
 
@@ -50,8 +52,8 @@ def path_of(url):
 def rules_table(spark: SparkSession, host_rules=HOST_RULES, patterns=PATTERNS) -> DataFrame:
     """(rule, verdict, length, tokens, pattern, on_host, way): one row per rule and way to match it.
 
-    ``tokens`` are tokens that every match contains. A rule whose literal is one of several words
-    has a row for each word. Host rules run over host and path, patterns over the lower-cased url.
+    ``tokens`` are whole tokens of every match, none if there is no such token. A rule whose literal is one
+    of several words has a row for each word. Host rules run over host and path, patterns over the lower-cased url.
     """
     rows = []
     for host, path, verdict in host_rules:
@@ -59,7 +61,7 @@ def rules_table(spark: SparkSession, host_rules=HOST_RULES, patterns=PATTERNS) -
         pattern = r"^(?:[^/]*[.])?" + re.escape(host) + re.escape(path)
         rows.append((host + path, verdict, len(host + path), tokens, pattern, True, 0))
     for pattern, literals in patterns:
-        first, rest = literals[0].split("|"), [x for x in literals[1:] if "|" not in x]
+        first, rest = (literals or [""])[0].split("|"), [x for x in literals[1:] if "|" not in x]
         rows += [
             (pattern, "block", -1, [word, *rest], pattern, False, way) for way, word in enumerate(first)
         ]
@@ -67,7 +69,7 @@ def rules_table(spark: SparkSession, host_rules=HOST_RULES, patterns=PATTERNS) -
         spark,
         ["rule", "verdict", "length", "tokens", "pattern", "on_host", "way"],
         [(a, b, c, " ".join(d), e, str(f), g) for a, b, c, d, e, f, g in rows],
-    ).withColumns({"tokens": F.split("tokens", " "), "on_host": F.col("on_host") == "True"})
+    ).withColumns({"tokens": F.array_remove(F.split("tokens", " "), ""), "on_host": F.col("on_host") == "True"})
 
 
 def judged(pages: DataFrame, rules: DataFrame) -> DataFrame:
@@ -90,7 +92,10 @@ def judged(pages: DataFrame, rules: DataFrame) -> DataFrame:
     index = each.groupBy("rule", "way", "verdict", "length", "pattern", "on_host").agg(rarest.alias("_token"))
 
     over = F.when(F.col("on_host"), F.concat(host_of(F.col("_url")), path_of(F.col("_url")))).otherwise(lower)
-    found = url_tokens.join(index, "_token").where(F.rlike(over, F.col("pattern")))
+    fitting = F.rlike(over, F.col("pattern"))
+    ruled = ["_url", "rule", "length", "verdict"]
+    found = url_tokens.join(index, "_token").where(fitting).select(*ruled)
+    found = found.union(urls.join(rules.where(F.size("tokens") == 0), fitting).select(*ruled))
     best = F.when(F.col("length") >= 0, F.struct("length", "rule", "verdict"))
     verdicts = found.groupBy("_url").agg(
         F.max(best).alias("_best"), F.min(F.when(F.col("length") < 0, F.col("rule"))).alias("_pattern")

@@ -278,6 +278,14 @@ def test_url_filter(spark):
     assert url_filter.judged(pages.limit(0), rules).collect() == []
 
 
+def test_url_rules_without_a_whole_token(spark):
+    urls = ["http://mypills.example.org/", "http://x.bestpills-now.org/a", "http://u.org/wp-login.php5", "http://u.org/wp-login.php", "http://u.org/pillsbox", "http://u.org/php/wp/login"]
+    urls += [f"http://u{i}.org/wp/login/{i}" for i in range(5)]  # php is the rarest token
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = {r.url: r.verdict for r in url_filter.judged(pages, url_filter.rules_table(spark)).collect()}
+    assert [got[u] for u in urls] == ["block"] * 4 + ["allow"] * 7
+
+
 def test_licences(spark):
     mit = "some code here\n// Released under the MIT License.\nmore code"
     rows = [
