@@ -108,7 +108,7 @@ def tally(
         pack = table.column("pack")[0].as_py() if table.num_rows else 0
         parts = np.flatnonzero(np.diff(at))
         rows = [
-            (squeezed(differences(found[a:b])), squeezed(counts[a:b].astype(np.uint32)))
+            (squeezed(differences(found[a:b])), squeezed(counts[a:b].astype(np.int64)))
             for a, b in zip(at[parts], at[parts + 1], strict=True)
         ]
         return pa.table(
@@ -122,15 +122,15 @@ def tally(
 
     def count(table: pa.Table) -> pa.Table:
         blocks = [np.cumsum(restored(b, np.uint64), dtype=np.uint64) for b in table.column("keys").to_pylist()]
-        counts = [restored(b, np.uint32) for b in table.column("counts").to_pylist()]
+        counts = [restored(b, np.int64) for b in table.column("counts").to_pylist()]
         every = np.concatenate(blocks)
         order = np.argsort(every)
         ranked = every[order]
         begins = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]])) if len(ranked) else []
-        sums = np.add.reduceat(np.concatenate(counts)[order].astype(np.int64), begins) if len(ranked) else []
-        back = np.empty(len(every), np.uint32)
+        sums = np.add.reduceat(np.concatenate(counts)[order], begins) if len(ranked) else []
+        back = np.empty(len(every), np.int64)  # zero high bytes shrink to almost nothing
         if len(ranked):
-            back[order] = np.repeat(np.minimum(sums, 2**32 - 1), np.diff(np.append(begins, len(ranked))))
+            back[order] = np.repeat(sums, np.diff(np.append(begins, len(ranked))))
         stops = np.cumsum([len(b) for b in blocks])[:-1]
         return pa.table(
             {
@@ -152,8 +152,8 @@ def counts_in_order(table: pa.Table) -> np.ndarray:
     """Counts of a pack's sorted keys from its rows of a tally."""
     order = np.argsort(table.column("part").to_numpy())
     blobs = table.column("found").to_pylist()
-    found = [restored(blobs[i], np.uint32) for i in order]
-    return np.concatenate(found) if found else np.zeros(0, np.uint32)
+    found = [restored(blobs[i], np.int64) for i in order]
+    return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
 def beside(packs: DataFrame, other: DataFrame, function, schema: str) -> DataFrame:

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fleetlens.llm import graph, jaccard_join, near_vectors
+from fleetlens.llm import graph, jaccard_join, near_vectors, packs
 
 
 def prose(rng, n, vocabulary=400):
@@ -66,6 +66,15 @@ def test_jaccard_odd_rows(spark, docs):
     assert jaccard_join.joined(docs([])).collect() == []
 
 
+def test_tally_beyond_32_bits(docs):
+    rows, n = packs.packed(docs([(i, f"text {i}") for i in range(40)]))
+    held = rows.select("pack").distinct().count()
+    key = lambda table: (np.array([5], np.uint64), np.array([5_000_000_000]))
+    blobs = packs.tally(rows, n, key).toArrow()
+    got = packs.counts_in_order(blobs)
+    assert held > 1 and got.tolist() == [held * 5_000_000_000] * held
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 460)] + [(5, 5)]
