@@ -1,6 +1,7 @@
 """Licence scans with DataFrame operations only: sparse TF-IDF cosine, then inheritance along paths.
 
-Units are the lines of every file and, for licence files, the whole text as well. Units and
+Units are the lines of every file, windows of two to four neighbouring lines (for statements that are
+wrapped) and, for licence files, the whole text as well. Units and
 templates are TF-IDF vectors over tokens, with document frequencies from the templates; the tokens
 of a unit are joined to the postings of the templates, and dot products summed per unit and
 template. A file's licence is the template with the highest cosine of its units, if that reaches
@@ -24,6 +25,19 @@ from pyspark.sql import functions as F
 
 from ..functions.tables import lookup, written
 
+#: Licences named by an SPDX line, and the text of one licence that has no title in many files. Fixed values.
+SPDX = ("Apache-2.0", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-3.0", "MIT", "MPL-2.0")
+MIT_TEXT = (
+    "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated "
+    "documentation files (the Software), to deal in the Software without restriction, including without limitation the "
+    "rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
+    "permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright "
+    "notice and this permission notice shall be included in all copies or substantial portions of the Software. THE "
+    "SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE "
+    "WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS "
+    "OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR "
+    "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+)
 #: (licence, statement), fixed values. Several statements may stand for one licence.
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0"),
@@ -42,10 +56,36 @@ TEMPLATES = [
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software"),
     ("MPL-2.0", "This file is subject to the terms of the Mozilla Public License, version 2.0"),
     ("Proprietary", "All rights reserved. Proprietary and confidential. Unauthorized copying is prohibited"),
+    ("Proprietary", "All rights reserved"),
+    ("Proprietary", "Proprietary and confidential. Unauthorized copying is prohibited"),
+    # Titles, some with their date, which keeps versions apart. One without a version counts as the closest one.
+    ("Apache-2.0", "Apache License, Version 2.0"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International"),
+    ("CC0-1.0", "CC0 1.0 Universal"),
+    ("GPL-2.0", "GNU General Public License, version 2"),
+    ("GPL-3.0", "GNU General Public License, version 3"),
+    ("LGPL-3.0", "GNU Lesser General Public License, version 3"),
+    ("Apache-2.0", "Apache License, Version 2.0, January 2004"),
+    ("GPL-2.0", "GNU General Public License, Version 2, June 1991"),
+    ("GPL-3.0", "GNU General Public License, Version 3, 29 June 2007"),
+    ("LGPL-3.0", "GNU Lesser General Public License, Version 3, 29 June 2007"),
+    ("MIT", "MIT License"),
+    ("MPL-2.0", "Mozilla Public License, version 2.0"),
+    # Notices and whole texts.
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version"),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"),
+    ("MIT", MIT_TEXT),
+    *((name, f"SPDX-License-Identifier: {name}") for name in SPDX),
 ]
 #: Words of any text, which are anchors only if a template has too little else. Fixed values.
 ORDINARY = frozenset("a all and any are at be by for from in into is it not of on or that the this to was with without work".split())
 THRESHOLD = 0.75
+#: Most neighbouring lines that are compared as one unit.
+LINES = 4
 TOKEN = r"[a-z0-9]+(?:[.][0-9]+)*"
 LICENCE_FILE = r"(?i)^(licen[sc]e|copying|notice)([.-].*)?$"
 
@@ -91,7 +131,15 @@ def headers(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD)
     anchor = rf"(?i)(?<![a-z0-9])(?=[{''.join(sorted({a[0] for a in anchors(rows, threshold)}))}])(?:{'|'.join(map(re.escape, anchors(rows, threshold)))})(?![a-z0-9])"
     named = F.coalesce(F.element_at(F.split("path", "/"), -1).rlike(LICENCE_FILE), F.lit(False))
     lines = F.split("text", "\n")
-    units = F.when(named, F.concat(lines, F.array("text"))).otherwise(lines)
+    n = F.size(lines)
+    windows = [
+        # Only full windows; shorter ones at the end are units of a smaller size.
+        F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i, k=k: F.array_join(F.slice(lines, i, k), "\n")))
+        .otherwise(F.array().cast("array<string>"))
+        for k in range(2, LINES + 1)
+    ]
+    parts = F.concat(lines, *windows)
+    units = F.when(named, F.concat(parts, F.array("text"))).otherwise(parts)
     tokens = F.regexp_extract_all(F.lower("unit"), F.lit(TOKEN), F.lit(0))
     counted = (
         files.where(F.col("text").rlike(anchor))

@@ -304,6 +304,20 @@ def test_licences(spark):
     assert license_scan.scanned(files.limit(0)).collect() == []
 
 
+def test_licence_notices_titles_and_wrapped_statements(spark):
+    wrapped = "code\n# This work is licensed under\n# the GNU General Public\n# License, version 3\nmore code of another kind"
+    texts = {
+        "All rights reserved.": "Proprietary", "MIT License": "MIT", "SPDX-License-Identifier: MIT": "MIT", "// SPDX-License-Identifier: Apache-2.0": "Apache-2.0",
+        "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991": "GPL-2.0", "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007": "GPL-3.0", wrapped: "GPL-3.0",
+        "Apache License\nVersion 2.0, January 2004": "Apache-2.0", license_scan.MIT_TEXT: "MIT", "the rights of all people": None, "a license to drive": None,
+    }
+    rows = [(f"f{i}.txt", t) for i, t in enumerate(texts)]
+    got = {r.text: r.licence for r in license_scan.scanned(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert got == texts
+    bare = spark.createDataFrame([("x", "GNU GENERAL PUBLIC LICENSE")], "path string, text string")
+    assert license_scan.scanned(bare).first().licence in ("GPL-2.0", "GPL-3.0")
+
+
 def test_licence_cosine_equals_brute_force(spark):
     import re
 
