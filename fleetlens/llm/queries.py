@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, language_id, license_scan, lm_scores, mixing, near_vectors, secret_scan, substring_dedup, url_filter
+from . import decontamination, jaccard_join, language_id, license_scan, lm_scores, mixing, near_vectors, secret_scan, substring_dedup, token_alignment, url_filter
 from .common import table
 
 QUERIES = {}
@@ -207,3 +207,10 @@ def op1_near_vectors(spark, sf_dir):
 def op10_license_scan(spark, sf_dir):
     files = license_scan.as_files(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return license_scan.scanned(files).drop("text", "source")
+
+
+@query("op13_token_alignment")
+def op13_token_alignment(spark, sf_dir):
+    rows = token_alignment.aligned(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest)
