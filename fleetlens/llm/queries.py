@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import decontamination, jaccard_join, language_id, license_scan, lm_scores, mixing, near_vectors, secret_scan, substring_dedup, token_alignment, url_filter
+from . import byte_dedup, decontamination, jaccard_join, language_id, license_scan, lm_scores, mixing, near_vectors, secret_scan, substring_dedup, token_alignment, url_filter
 from .common import table
 
 QUERIES = {}
@@ -214,3 +214,45 @@ def op13_token_alignment(spark, sf_dir):
     rows = token_alignment.aligned(table(spark, sf_dir, "documents").select("doc_id", "text"))
     digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
     return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest)
+
+
+@query(
+    "op11_suffix_dedup",
+    r"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, row_number() OVER () AS r FROM documents
+),
+v AS (
+  SELECT r, i, md5_number(substr(h, 2 * i + 1, 800)) AS x
+  FROM (SELECT r, h, unnest(range(0, len(h) // 2 - 399)) AS i FROM d WHERE len(h) >= 800)
+),
+m AS (SELECT x FROM v GROUP BY x HAVING count(*) > 1),
+p AS (SELECT r, i FROM v JOIN m USING (x)),
+e AS (SELECT r, i, lag(i) OVER (PARTITION BY r ORDER BY i) AS before FROM p),
+s AS (
+  SELECT r, min(i) AS a, max(i) + 400 AS b
+  FROM (SELECT r, i, sum(CASE WHEN before >= i - 400 THEN 0 ELSE 1 END) OVER (PARTITION BY r ORDER BY i) AS k FROM e)
+  GROUP BY r, k
+),
+g AS (SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS low FROM s),
+k AS (
+  SELECT d.r, any_value(d.h) AS h, count(g.a) AS n_spans, coalesce(sum(g.b - g.a), 0) AS n_removed,
+         coalesce(string_agg(substr(d.h, 2 * g.low + 1, 2 * (g.a - g.low)), '' ORDER BY g.a), '')
+           || substr(any_value(d.h), 2 * coalesce(max(g.b), 0) + 1) AS kept
+  FROM d LEFT JOIN g ON d.r = g.r GROUP BY d.r
+)
+SELECT doc_id, (len(d.h) // 2)::BIGINT AS n_bytes, n_removed::BIGINT AS n_removed, n_spans::BIGINT AS n_spans,
+       sha256(unhex(kept)) AS kept_sha256
+FROM d JOIN k ON d.r = k.r
+""",
+)
+def op11_suffix_dedup(spark, sf_dir):
+    kept = byte_dedup.deduped(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
+    return kept.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
