@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import byte_dedup, decontamination, jaccard_join, language_id, license_scan, lm_scores, mixing, near_vectors, secret_scan, substring_dedup, token_alignment, url_filter
+from . import byte_dedup, collocations, decontamination, jaccard_join, language_id, license_scan, lm_scores, mixing, near_vectors, secret_scan, substring_dedup, token_alignment, url_filter
 from .common import table
 
 QUERIES = {}
@@ -256,3 +256,44 @@ def op11_suffix_dedup(spark, sf_dir):
         F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query(
+    "op12_collocations",
+    r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, 'und') AS lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents
+),
+p AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')), '[^\x20\x09]+') AS w FROM d),
+g AS (
+  SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM p, (SELECT unnest(range(1, 6)) AS m) WHERE len(w) >= m)
+),
+n AS (SELECT lang, sum(len(w))::HUGEINT AS n FROM p GROUP BY lang),
+f AS (SELECT lang, m, phrase, count(*)::HUGEINT AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+c AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1),
+k AS (
+  SELECT lang, phrase, a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM c)
+),
+s AS (
+  SELECT k.lang, k.phrase, k.a, k, h.f AS l, t.f AS r, n.n, (1000 * k.a * n.n) // (h.f * t.f) AS score
+  FROM k JOIN f h ON h.lang = k.lang AND h.phrase = head JOIN f t ON t.lang = k.lang AND t.phrase = tail
+  JOIN n ON n.lang = k.lang
+),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+x AS (
+  SELECT b.* FROM b WHERE NOT EXISTS (
+    SELECT 1 FROM c WHERE c.lang = b.lang AND 100 * c.a >= 100 * b.a AND len(c.w) > len(string_split(b.phrase, ' '))
+      AND contains(' ' || c.phrase || ' ', ' ' || b.phrase || ' ')
+  )
+)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM x)
+WHERE rank <= 2000
+""",
+)
+def op12_collocations(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
