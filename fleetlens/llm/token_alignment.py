@@ -39,12 +39,12 @@ from .words import mixed, sliced
 FOLDER = "/opt/tokenizers"
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Ends of A and B in a piece, and bytes of text that are tokenized before pieces are cut.
-PIECE_ENDS = 1 << 20
-SLICE_BYTES = 4 << 20
+PIECE_ENDS = 1 << 19
+SLICE_BYTES = 3 << 20
 #: Compression of tokens; sequences of ids repeat as words do.
 LEVEL = 6
 #: Pieces that answer to one hash range, on average.
-PIECES_A_RANGE = 4
+PIECES_A_RANGE = 8
 #: How the pre-tokenizer of A cuts a text (fixed value of that vocabulary).
 A_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -166,6 +166,16 @@ def _pieces(key: int, table: pa.RecordBatch, a_path: str, b_path: str, step: int
     a_ends, b_ends = np.cumsum(a_size), np.cumsum(b_size)
     i, j = cuts(a_ends, b_ends, step)
     upto = np.maximum(np.append(0, a_ends)[i], np.append(0, b_ends)[j])  # last byte at which a piece has an end
+    # A document that a diagonal parts has its pieces to itself: it begins and ends with a cut.
+    inner = upto[1:-1][upto[1:-1] < (doc_ends[-1] if len(ids) else 0)]
+    parted = np.unique(np.searchsorted(doc_ends, inner, side="right"))
+    borders = np.concatenate([doc_ends[parted] - ends[parted], doc_ends[parted]])
+    some_i = np.concatenate([i[1:-1], np.searchsorted(a_ends, borders, side="right")])
+    some_j = np.concatenate([j[1:-1], np.searchsorted(b_ends, borders, side="right")])
+    at, once = np.unique(some_i + some_j, return_index=True)
+    once = once[(at > 0) & (at < len(a) + len(b))]
+    i, j = np.concatenate([[0], some_i[once], [len(a)]]), np.concatenate([[0], some_j[once], [len(b)]])
+    upto = np.maximum(np.append(0, a_ends)[i], np.append(0, b_ends)[j])
     stop = np.searchsorted(doc_ends, upto, side="right")
     stop[-1] = len(ids)
     for p in range(len(i) - 1):
@@ -423,7 +433,7 @@ def pieces(docs: DataFrame, a_path: str, b_path: str, step: int, slice_bytes: in
         for batch in batches:
             for some in sliced(batch, "text", slice_bytes):
                 rows = list(_pieces(key, some, a_path, b_path, step))
-                key += max(some.num_rows, len(rows))
+                key += some.num_rows + len(rows)
                 yield pa.RecordBatch.from_pylist(rows, PIECE_FIELDS)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -474,12 +484,11 @@ def aligned(
         blocks = [(None, row, p, found[x:y], np.ones(y - x, np.int64)) for p, (x, y) in enumerate(zip(at[:-1], at[1:], strict=True)) if x < y]
         return block_table(blocks)
 
-    def answered(result, wanted, schema: str):
+    def answered(result, schema: str):
         def apply(rows: pa.Table, answers: pa.Table) -> pa.Table:
-            row = rows.to_pylist()[0]
-            if not wanted(row):
+            if not rows.num_rows:  # answers to a piece that isn't wanted here
                 return _fields(schema).empty_table()
-            return result(Piece(row, a_size, b_size), *_answers(answers))
+            return result(Piece(rows.to_pylist()[0], a_size, b_size), *_answers(answers))
 
         return apply
 
@@ -494,7 +503,9 @@ def aligned(
         .where("piece IS NOT NULL")
     )
     answers = written(answers, "answers")
-    known = cut.groupBy("piece").cogroup(answers.groupBy("piece"))  # its exchanges are used twice
-    whole = known.applyInArrow(answered(_whole, lambda row: True, DOC_SCHEMA), DOC_SCHEMA)
-    parts = known.applyInArrow(answered(_parts, lambda row: row["goes_on"] or row["came_in"], PART_SCHEMA), PART_SCHEMA)
+    beside = answers.groupBy("piece")
+    whole = cut.where("size(ids) > int(goes_on) + int(came_in)").groupBy("piece").cogroup(beside)
+    parts = cut.where("goes_on OR came_in").groupBy("piece").cogroup(beside)
+    whole = whole.applyInArrow(answered(_whole, DOC_SCHEMA), DOC_SCHEMA)
+    parts = parts.applyInArrow(answered(_parts, PART_SCHEMA), PART_SCHEMA)
     return whole.union(parts.groupBy("row").applyInArrow(_stitch, DOC_SCHEMA))
