@@ -264,12 +264,13 @@ OSV_FIRSTS = """array_sort(transform(
 def osv_scanner(runs: DataFrame, limits: Limits = UNLIMITED) -> DataFrame:
     """Vulnerabilities per package; the same advisory for the same package version counts once."""
     keys = _keys(runs)
-    firsts = (
-        _opened(runs, keys, "results array<string>")
-        .selectExpr(*keys, f"{OSV_LISTED} AS listed")
-        .selectExpr(*keys, f"{OSV_SORTED} AS placed")
-        .selectExpr(*keys, f"{OSV_FIRSTS} AS firsts")
-    )
+
+    def opened(rows: DataFrame, expression: str, name: str) -> DataFrame:
+        # Behind a generator, so that a later reference to it (Spark infers one from every explode) is not computed anew.
+        return rows.selectExpr(*keys, f"inline(array(named_struct('{name}', {expression})))")
+
+    listed = opened(_opened(runs, keys, "results array<string>"), OSV_LISTED, "listed")
+    firsts = opened(opened(listed, OSV_SORTED, "placed"), OSV_FIRSTS, "firsts")
     items = firsts.select(
         *keys, F.posexplode(_first("firsts", limits.findings)).alias("pos", "s")
     ).selectExpr(*keys, "pos", "s.v AS r")

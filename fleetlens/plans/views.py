@@ -576,3 +576,114 @@ OBSERVATIONS_SQL = """observations AS (
          CASE event_type WHEN 'error' THEN 'critical' WHEN 'purchase' THEN 'high' WHEN 'signup' THEN 'medium'
            WHEN 'click' THEN 'low' ELSE 'informational' END AS severity
   FROM events)"""
+
+
+# --- events as runs, findings and issues ------------------------------------------------------------
+
+def audit_events(spark, folder) -> DataFrame:
+    """What happened to a repository: audit runs, findings, and issues opened and closed."""
+    return table(spark, folder, "events").selectExpr(
+        "concat('repo_', user_id) AS repo",
+        "event_id",
+        "ts",
+        """CASE event_type WHEN 'view' THEN 'run' WHEN 'signup' THEN 'open' WHEN 'click' THEN 'closed'
+           ELSE 'finding' END AS kind""",
+    )
+
+
+# --- orders and line items as periods, in days ------------------------------------------------------
+
+# Most issues are open for days or weeks, some for years, and some still are.
+OPEN_DAYS = "CASE WHEN o_orderkey % 50 = 7 THEN 1500 ELSE 1 + (o_orderkey % 12) * (o_orderkey % 12) END"
+
+
+def issue_periods(spark, folder) -> DataFrame:
+    return table(spark, folder, "orders").selectExpr(
+        "concat('repo_', o_custkey) AS repo",
+        "o_orderkey AS issue",
+        "CAST(unix_date(CAST(o_orderdate AS DATE)) AS LONG) AS opened",
+        f"IF(o_orderkey % 23 = 0, NULL, unix_date(CAST(o_orderdate AS DATE)) + {OPEN_DAYS}) AS closed",
+    )
+
+
+def sighting_periods(spark, folder) -> DataFrame:
+    """When a finding was first and last seen; a few were seen on no whole day, or are still there."""
+    return table(spark, folder, "lineitem").selectExpr(
+        "concat('repo_', l_suppkey) AS repo",
+        "l_orderkey * 10 + l_linenumber AS finding",
+        "CAST(unix_date(CAST(l_shipdate AS DATE)) AS LONG) AS first_seen",
+        "IF(l_orderkey % 101 = 0, NULL, unix_date(CAST(l_shipdate AS DATE)) + l_linenumber * 3 - 3) AS last_seen",
+    )
+
+
+ISSUE_PERIODS_SQL = f"""SELECT 'repo_' || o_custkey AS repo, o_orderkey AS issue,
+  CAST(o_orderdate AS DATE) - DATE '1970-01-01' AS opened,
+  CASE WHEN o_orderkey % 23 <> 0 THEN CAST(o_orderdate AS DATE) - DATE '1970-01-01' + {OPEN_DAYS} END AS closed
+  FROM orders"""
+SIGHTING_PERIODS_SQL = """SELECT 'repo_' || l_suppkey AS repo, l_orderkey * 10 + l_linenumber AS finding,
+  CAST(l_shipdate AS DATE) - DATE '1970-01-01' AS first_seen,
+  CASE WHEN l_orderkey % 101 <> 0 THEN CAST(l_shipdate AS DATE) - DATE '1970-01-01' + l_linenumber * 3 - 3 END AS last_seen
+  FROM lineitem"""
+
+
+# --- orders as files with two versions ----------------------------------------------------------------
+
+def edited_files(spark, folder, edited: bool) -> DataFrame:
+    """One file per order, before or after an edit that depends on the order.
+
+    A file is a name, then steps (unique lines), each followed by a risk (lines that repeat), then an end.
+    """
+    steps = "sequence(1, CAST(k % 4 + 2 AS INT))"
+
+    def lines(keep="true", risk="j % 3"):
+        return f"flatten(transform(filter({steps}, j -> {keep}), j -> array(concat('step ', j, ' of ', k), concat('risk ', {risk}))))"
+
+    def text(*parts):
+        return f"array_join(concat({', '.join(parts)}), '\\n')"
+
+    name, end = "array(concat('name ', k))", "array('end')"
+    added = "transform(sequence(1, CAST(k % 3 + 1 AS INT)), i -> concat('added ', i, ' to ', k))"
+    plain = text(name, lines(), end)
+    cases = {
+        2: text(added, name, lines(), end),
+        3: text(name, lines(keep="j > 1"), end),
+        5: text(name, lines(risk="IF(j = 2, 9, j % 3)"), end),
+        6: text(name, "array('risk 1')", lines(), end),
+        7: text(name, lines(), end, "array('risk 7')"),
+    }
+    content = plain if not edited else f"CASE k % 8 {' '.join(f'WHEN {n} THEN {c}' for n, c in cases.items())} ELSE {plain} END"
+    rows = table(spark, folder, "orders").selectExpr("concat('repo_', o_custkey) AS repo", "o_orderkey AS k")
+    files = rows.where("k % 8 <> 4" if edited else "true").selectExpr("repo", "concat('conf/', k, '.txt') AS path", f"{content} AS content")
+    fresh = rows.where("k % 16 = 1" if edited else "false").selectExpr("repo", "concat('new/', k, '.txt') AS path", "'risk 4' AS content")
+    return files.unionByName(fresh)
+
+
+def risk_lines(files: DataFrame) -> DataFrame:
+    """A finding for every line that tells a risk."""
+    return (
+        files.select("repo", "path", F.posexplode(F.split("content", "\n")).alias("pos", "rule"))
+        .where(F.col("rule").startswith("risk "))
+        .select("repo", "path", (F.col("pos") + 1).alias("line"), "rule")
+    )
+
+
+EDITS_SQL = """risks AS (
+  SELECT 'repo_' || o_custkey AS repo, 'conf/' || o_orderkey || '.txt' AS path, o_orderkey AS k, o_orderkey % 8 AS e, j,
+         'risk ' || (j % 3) AS rule, CAST(2 * j + 1 AS INTEGER) AS line
+  FROM (SELECT *, unnest(range(1, o_orderkey % 4 + 3)) AS j FROM orders)),
+fates AS (
+  SELECT repo, path, rule, line AS was_line,
+         CASE WHEN e = 4 OR (e = 3 AND j = 1) OR (e = 5 AND j = 2) THEN NULL
+              ELSE CAST(line + CASE e WHEN 2 THEN k % 3 + 1 WHEN 3 THEN -2 WHEN 6 THEN 1 ELSE 0 END AS INTEGER) END AS now_line
+  FROM risks),
+fresh AS (
+  SELECT 'repo_' || o_custkey AS repo, 'conf/' || o_orderkey || '.txt' AS path,
+         CASE o_orderkey % 8 WHEN 5 THEN 'risk 9' WHEN 6 THEN 'risk 1' ELSE 'risk 7' END AS rule,
+         CAST(CASE o_orderkey % 8 WHEN 5 THEN 5 WHEN 6 THEN 2 ELSE 2 * (o_orderkey % 4 + 2) + 3 END AS INTEGER) AS now_line
+  FROM orders WHERE o_orderkey % 8 > 4
+  UNION ALL SELECT 'repo_' || o_custkey, 'new/' || o_orderkey || '.txt', 'risk 4', 1 FROM orders WHERE o_orderkey % 16 = 1),
+changes AS (
+  SELECT repo, path, rule, was_line, now_line,
+         CASE WHEN now_line IS NULL THEN 'gone' WHEN now_line = was_line THEN 'kept' ELSE 'moved' END AS change,
+         CAST(1 AS BIGINT) AS n FROM fates
+  UNION ALL SELECT repo, path, rule, NULL, now_line, 'new', 1 FROM fresh)"""
