@@ -37,7 +37,10 @@ HOT = 1000
 #: Windows of a segment at most; a run over periodic text is cut.
 LONGEST = 4096
 #: Shards per pack.
-SHARDS = 3
+SHARDS = 2
+#: Bytes of text per pack, and windows whose grams are hashed at once.
+PACK_BYTES = 2 << 20
+CHUNK = 1 << 18
 
 
 class Hashes:
@@ -53,11 +56,11 @@ class Hashes:
         size = (end - begin).astype(np.uint64)
         return mixed((self.sums[end] - self.sums[begin]) * self.down[begin] ^ size * np.uint64(0xD6E8FEB86659FD93))
 
-    def rolling(self, width: int) -> np.ndarray:
-        n = len(self.sums) - width
-        if n < 1:
+    def rolling(self, width: int, low: int, high: int) -> np.ndarray:
+        """Hashes of the ``width`` bytes from each of low..high."""
+        if high <= low:
             return np.zeros(0, np.uint64)
-        return mixed((self.sums[width:] - self.sums[:n]) * self.down[:n])
+        return mixed((self.sums[low + width : high + width] - self.sums[low:high]) * self.down[low:high])
 
 
 def sliding(values: np.ndarray, width: int, best) -> np.ndarray:
@@ -82,19 +85,25 @@ class Cut:
         self.data, self.offsets = texts_of(table.column("text"))
         n = len(self.data)
         self.hashes = Hashes(self.data)
-        grams = self.hashes.rolling(anchor)
-        least = sliding(grams, window - anchor + 1, np.minimum)
-        inside = np.zeros(n + 1, np.int64)
         lengths = np.diff(self.offsets)
-        some = lengths >= window
-        np.add.at(inside, self.offsets[:-1][some], 1)
-        np.add.at(inside, self.offsets[1:][some] - window + 1, -1)
-        self.inside = np.cumsum(inside[: len(least)]) > 0
-        least = np.where(self.inside, least, np.uint64(0))  # 0: no window
-        # Anchors are the grams that are least in some window. Where one gram is least at several places, each counts.
-        spread = np.concatenate([np.zeros(window - anchor, np.uint64), least, np.zeros(window - anchor, np.uint64)])
-        anchored = sliding(spread, window - anchor + 1, np.maximum) == grams if len(least) else np.zeros(0, bool)
-        self.anchors, self.anchor_counts = np.unique(grams[: len(anchored)][anchored], return_counts=True)
+        inside = np.repeat(np.arange(2 * len(lengths)) % 2 == 0, np.stack([np.maximum(lengths - window + 1, 0), np.minimum(lengths, window - 1)], axis=1).reshape(-1))
+        more = window - anchor  # a window holds the grams that begin at it and up to here behind it
+        total = max(n - window + 1, 0)
+        least, found = np.zeros(total, np.uint64), [np.zeros(0, np.uint64)]
+        for begin in range(0, total, CHUNK):
+            stop = min(begin + CHUNK, total)
+            low = max(begin - more, 0)
+            grams = self.hashes.rolling(anchor, low, stop + more)
+            here = sliding(grams, more + 1, np.minimum)
+            here[~inside[low:stop]] = 0  # no window
+            least[begin:stop] = here[begin - low :]
+            # Anchors are the grams that are least in some window. Where one gram is least at several places, each counts.
+            upto = stop + (more if stop == total else 0)
+            spread = np.zeros(upto - begin + more, np.uint64)
+            spread[low - begin + more : stop - begin + more] = here
+            grams = grams[begin - low : upto - low]
+            found.append(grams[sliding(spread, more + 1, np.maximum) == grams])
+        self.anchors, self.anchor_counts = np.unique(np.concatenate(found), return_counts=True)
         edge = np.flatnonzero(np.diff(least, prepend=np.uint64(0), append=np.uint64(0)))
         begin, stop = edge[:-1], edge[1:]
         real = least[begin] != 0 if len(begin) else np.zeros(0, bool)
@@ -267,7 +276,12 @@ def shard_search(window: int):
 
 
 def deduped(
-    docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, hot: int = HOT, shards: int = SHARDS
+    docs: DataFrame,
+    window: int = WINDOW,
+    anchor: int = ANCHOR,
+    hot: int = HOT,
+    shards: int = SHARDS,
+    pack_bytes: int = PACK_BYTES,
 ) -> DataFrame:
     """(doc_id, n_bytes, spans, kept) of every document: removed byte ranges, and the bytes that stay."""
 
@@ -332,7 +346,7 @@ def deduped(
             repeated[place[packs.counts_in_order(by_kind[2])[back] > 1]] = True
         return _without(table, cut, repeated[:-1], window)
 
-    rows, n = packs.packed(docs)
+    rows, n = packs.packed(docs, pack_bytes)
     known = packs.tally(rows, n, keys)
     shipped = packs.beside(
         rows, known, ship, "pack int, part int, kinds binary, sizes binary, weights binary, text binary"
@@ -352,8 +366,10 @@ def deduped(
 def _without(table: pa.Table, cut: Cut, repeated: np.ndarray, window: int) -> pa.Table:
     """The texts without the bytes of repeated windows."""
     n = len(cut.data)
-    upto = np.concatenate([np.zeros(window, np.int64), np.cumsum(repeated)])  # windows never cross texts
-    removed = upto[window:] > upto[:n]
+    upto = np.zeros(n + window, np.int32)
+    np.cumsum(repeated, out=upto[window:])
+    removed = upto[window:] > upto[:n]  # windows never cross texts
+    del upto
     edge = np.zeros(n + 1, bool)
     edge[1:n] = removed[1:] & ~removed[:-1]
     if n:
@@ -374,7 +390,7 @@ def _without(table: pa.Table, cut: Cut, repeated: np.ndarray, window: int) -> pa
     )
     n_docs = len(cut.offsets) - 1
     lists = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=n_docs))]).astype(np.int32)
-    kept = np.concatenate([[0], np.cumsum(~removed)])[cut.offsets].astype(np.int32)
+    kept = np.concatenate([[0], np.cumsum(~removed, dtype=np.int32)])[cut.offsets].astype(np.int32)
     return pa.table(
         {
             "doc_id": table.column("doc_id"),

@@ -7,30 +7,32 @@ FIRST = 7
 
 
 def suffix_array(symbols: np.ndarray) -> np.ndarray:
-    """Positions of all suffixes in order; the end of the array sorts before every symbol.
+    """Positions of all suffixes (fewer than 2^31) in order; the end of the array sorts before every symbol.
 
     Suffixes are grouped by their first symbols. Each round refines the groups that hold more than one
     suffix by the group of the suffix that lies the known depth further on, which doubles the depth.
     """
     n = len(symbols)
-    padded = np.zeros(n + FIRST, np.uint64)
-    padded[:n] = symbols.astype(np.uint64) + np.uint64(1)
+    padded = np.zeros(n + FIRST, np.uint16)
+    padded[:n] = symbols + np.uint16(1)
     key = np.zeros(n, np.uint64)
     for k in range(FIRST):
-        key = key << np.uint64(9) | padded[k : k + n]
-    order = np.argsort(key)
+        key <<= np.uint64(9)
+        key |= padded[k : k + n]
+    order = np.argsort(key).astype(np.int32)
     key = key[order]
     # The group of a suffix is the first place of its group, counted from 1; 0 is beyond the end.
     starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if n else np.zeros(0, np.int64)
     sizes = np.diff(np.append(starts, n))
-    group = np.zeros(n + 1, np.int64)
-    group[order] = np.repeat(starts, sizes) + 1
-    places = np.flatnonzero(np.repeat(sizes > 1, sizes))
+    del key
+    group = np.zeros(n + 1, np.int32)
+    group[order] = np.repeat(starts.astype(np.int32), sizes) + 1
+    places = np.flatnonzero(np.repeat(sizes > 1, sizes)).astype(np.int32)
     depth = FIRST
     while len(places):
         some = order[places]
-        further = group[np.minimum(some + depth, n)]
-        key = group[some] << 32 | further
+        key = group[some].astype(np.int64) << 32
+        key |= group[np.minimum(some.astype(np.int64) + depth, n)]
         refined = np.argsort(key)
         some, key = some[refined], key[refined]
         order[places] = some
@@ -54,15 +56,15 @@ def common_prefixes(symbols: np.ndarray, order: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     padded = np.zeros(n + 4, np.uint16)
     padded[:n] = symbols
-    before = np.full(n, -1, np.int64)
+    before = np.full(n, -1, np.int32)
     before[order[1:]] = order[:-1]
-    text_at = np.arange(n)
+    text_at = np.arange(n, dtype=np.int32)
     follows = (text_at > 0) & (before > 0)
     follows[follows] = padded[text_at[follows] - 1] == padded[before[follows] - 1]
     compared = np.flatnonzero(~follows & (before >= 0))
     four = np.ndarray((n + 1,), np.uint64, padded.tobytes(), strides=(2,))
-    shared = np.zeros(n, np.int64)
-    left, right, depth = compared, before[compared], 0
+    shared = np.zeros(n, np.int32)
+    left, right, depth = compared, before[compared].astype(np.int64), 0
     while len(left):
         x = four[np.minimum(left + depth, n)] ^ four[np.minimum(right + depth, n)]
         same = x == 0

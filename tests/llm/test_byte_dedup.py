@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from fleetlens.llm import byte_dedup, packs
+from fleetlens.llm import byte_dedup
 from fleetlens.llm.suffix_array import common_prefixes, suffix_array
 
 
@@ -62,11 +62,10 @@ def test_equals_plain_version(spark, rows, hot):
 
 def test_many_packs_and_short_segments(spark, rows, monkeypatch):
     monkeypatch.setattr(byte_dedup, "LONGEST", 7)
-    monkeypatch.setattr(packs, "PACK_BYTES", 500)
-    monkeypatch.setattr(packs.packed, "__defaults__", (500,))
+    monkeypatch.setattr(byte_dedup, "CHUNK", 37)
     want = sorted(map(repr, plain(rows, 20)))
     for hot in (1000, 30):
-        assert found(spark, rows, window=20, anchor=8, hot=hot) == want
+        assert found(spark, rows, window=20, anchor=8, hot=hot, pack_bytes=500) == want
 
 
 def test_anchor_as_long_as_a_window(spark, rows):
