@@ -35,7 +35,9 @@ LEAST = 100
 LONGEST = 5
 TOP = 2000
 #: Orders of n-grams that are summarised together; each level needs what survived the one before.
-LEVELS = ((1, 2), (3,), (4, 5))
+LEVELS = ((1, 2), (3, 4, 5))
+#: Bytes of text per pack.
+PACK_BYTES = 2 << 20
 #: Bits of a short hash beyond those of the number of n-grams.
 SPARE_BITS = 8
 #: Hexadecimal digits of the language's hash, before each text.
@@ -171,14 +173,14 @@ def _sent(table: pa.Table, keys: np.ndarray, counts: np.ndarray, n: int) -> pa.T
     )
 
 
-def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
+def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, pack_bytes: int = PACK_BYTES) -> DataFrame:
     """(code, size, phrase, f): phrases of 1 to ``longest`` words and at least ``least`` occurrences in their
     language, whose hash is ``code``; and, with size 0, the words of each language in a pack."""
     levels = [tuple(n for n in orders if n <= longest) for orders in LEVELS]
     levels = [orders for orders in levels if orders]
     header = F.lpad(F.hex(F.xxhash64(F.coalesce("lang", F.lit("und")))), HEADER, "0")
-    rows, n = packs.packed(docs.select("doc_id", F.concat(header, F.coalesce("text", F.lit(""))).alias("text")))
-    bits = min(64, math.ceil(math.log2(n * packs.PACK_BYTES)) + SPARE_BITS)
+    rows, n = packs.packed(docs.select("doc_id", F.concat(header, F.coalesce("text", F.lit(""))).alias("text")), pack_bytes)
+    bits = min(64, math.ceil(math.log2(n * pack_bytes)) + SPARE_BITS)
     mask = np.uint64(((1 << 64) - 1) & ~((1 << (64 - bits)) - 1))
 
     def opened(table: pa.Table, answers: pa.Table | None, done: int) -> Phrases:
@@ -283,9 +285,11 @@ def _among(keys: np.ndarray, found: np.ndarray) -> np.ndarray:
     return found[np.minimum(np.searchsorted(found, keys), len(found) - 1)] == keys
 
 
-def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP) -> DataFrame:
+def collocations(
+    docs: DataFrame, least: int = LEAST, longest: int = LONGEST, top: int = TOP, pack_bytes: int = PACK_BYTES
+) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): the first ``top`` phrases of each language."""
-    known = written(frequent(docs.select("doc_id", "text", "lang"), least, longest), "phrases")
+    known = written(frequent(docs.select("doc_id", "text", "lang"), least, longest, pack_bytes), "phrases")
     totals = known.where("size = 0").groupBy("code").agg(F.sum("f").alias("n"))
     parts = known.where("size > 0").select("code", F.col("phrase").alias("part"), F.col("f").alias("part_f"))
     candidates = known.where("size > 1").withColumnRenamed("f", "a")

@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from fleetlens.llm import collocations, packs
+from fleetlens.llm import collocations
 
 DOCS = "doc_id long, text string, lang string"
 
@@ -64,10 +64,11 @@ def test_equals_plain_version(spark, rows, least, top):
 
 
 def test_many_packs(spark, rows, monkeypatch):
-    """Small packs and summaries that overflow give the same."""
-    monkeypatch.setattr(packs.packed, "__defaults__", (2000,))
+    """Small packs, short hashes and one level per order give the same."""
+    monkeypatch.setattr(collocations, "LEVELS", ((1,), (2,), (3,), (4,), (5,)))
+    monkeypatch.setattr(collocations, "SPARE_BITS", -3)
     docs = spark.createDataFrame(rows, DOCS)
-    assert sorted(map(tuple, collocations.collocations(docs, 6).collect())) == plain(rows, 6)
+    assert sorted(map(tuple, collocations.collocations(docs, 6, pack_bytes=2000).collect())) == plain(rows, 6)
 
 
 def test_no_documents_and_other_columns(spark):
