@@ -7,11 +7,13 @@ first |x| - ceil(t |x|) + k shingles, so
 * a small set is indexed under every pair of the first shingles with k = 2,
 * a large set is put on the list of each of the first shingles with k = 1.
 
-The boundary size is where the estimated number of subset keys and list entries is least; sets
-just below it are on the lists as well, so that no pair across it is lost. Shingles of one document only
-can't be shared and make no keys. Equal sets are one class and joined once.
+The boundary size is where subset keys and list entries cost least; sets just below it are on the
+lists as well, so that no pair across it is lost. Shingles of one document only can't be shared and make
+no keys. Equal sets are one class, named by its fingerprint, and joined once.
 
-Sets under a common key belong to one cluster. Clusters are compared in blocks, every pair of
+Keys are never rows of their own. A pack of sets sends each distinct key once, with its least set, to the
+key's hash range, and gets back the least set that any pack has for it: the key's hub. Sets with a
+common hub belong to one cluster. Clusters are compared in blocks, every pair of
 blocks in a task of its own, so a large group of near copies is split and no list of
 pairs is ever made: a task returns links as one row per set.
 
@@ -38,6 +40,10 @@ PERCENT = 85
 BLOCK_LEAST, BLOCK_MOST, BLOCKS = 128, 1024, 24
 #: Shingles counted at once when blocks are compared.
 COLUMNS = 4096
+#: What a list entry costs in subset keys: it also meets sets that share one rare shingle by chance.
+LIST_COST = 2
+#: Keys and list entries per pack of sets.
+PACK_KEYS = 400_000
 
 
 def shingle_sets(words: Words, n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,10 +106,6 @@ def described(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -
                     pa.array(lists, pa.int32(), mask=np.append(~can | (np.diff(lists) == 0), False)),
                     pa.array(hashes[keep].view(np.int64)),
                 ),
-                "dfs": pa.ListArray.from_arrays(
-                    pa.array(lists, pa.int32(), mask=np.append(~can | (np.diff(lists) == 0), False)),
-                    pa.array(np.minimum(df[keep], 2**31 - 1).astype(np.int32)),
-                ),
             }
         )
 
@@ -112,19 +114,16 @@ def described(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -
         rows,
         packs.tally(rows, n, keys),
         describe,
-        "doc_id long, n long, f1 long, f2 long, lone long, tokens array<long>, dfs array<int>",
+        "doc_id long, n long, f1 long, f2 long, lone long, tokens array<long>",
     )
 
 
 def _boundary(sets: DataFrame, percent: int) -> int:
-    """Largest size of a small set: where subset keys of small and list entries of large sets are fewest."""
+    """Largest size of a small set: where subset keys of small and list entries of large sets cost least."""
     first = F.col("first")
     costs = (
         sets.groupBy(F.floor(4 * F.log2("n")).alias("step"))
-        .agg(
-            F.sum(first * (first + 1) / 2).alias("subsets"),
-            F.sum(F.aggregate(F.slice("dfs", 1, first.cast("int")), F.lit(0.0), lambda s, x: s + x)).alias("scan"),
-        )
+        .agg(F.sum(first * (first + 1) / 2).alias("subsets"), F.sum(first).alias("entries"))
         .collect()
     )  # a row per quarter of a power of two
     best, least = 0, math.inf
@@ -132,30 +131,97 @@ def _boundary(sets: DataFrame, percent: int) -> int:
         size = math.ceil(2 ** ((border + 1) / 4)) - 1
         low = percent * size / 100
         cost = sum(r["subsets"] for r in costs if r["step"] <= border)
-        cost += sum(r["scan"] for r in costs if 2 ** ((r["step"] + 1) / 4) > low)
-        if cost < least:
+        cost += LIST_COST * sum(r["entries"] for r in costs if 2 ** ((r["step"] + 1) / 4) > low)
+        if cost <= least:
             best, least = size, cost
     return best
 
 
-def _keys(sets: DataFrame, border: int, percent: int) -> DataFrame:
-    """(key, id): subset keys of small sets and list keys of large ones."""
-    first = F.col("first").cast("int")
-    tokens = F.slice("tokens", 1, first + 1)
-    pairs = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.size(tokens) - 1),
-            lambda i: F.transform(
-                F.slice("tokens", i + 1, first + 1 - i),
-                lambda x: F.xxhash64(F.element_at("tokens", i), x),
-            ),
+def _keys(table: pa.Table, border: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Subset keys of small sets and list keys of large ones, and the set of each."""
+    ids, n, first = (table.column(c).to_numpy() for c in ("id", "n", "first"))
+    lists = table.column("tokens").combine_chunks()
+    lists = lists if isinstance(lists, pa.ListArray) else pa.concat_arrays(lists.chunks)
+    flat, at = lists.flatten().to_numpy().view(np.uint64), lists.offsets.to_numpy().astype(np.int64)
+    begin, size = at[:-1] - at[0], np.minimum(np.diff(at), first + 1)
+    keys, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    small = np.flatnonzero(n <= border)
+    for j in range(1, int(size[small].max(initial=0))):
+        small = small[size[small] > j]
+        for i in range(j):
+            pair = flat[begin[small] + i] * np.uint64(0x9FB21C651E98DF25) + flat[begin[small] + j]
+            keys.append(mixed(pair + np.uint64(1)))
+            owners.append(ids[small])
+    large = np.flatnonzero(n * 100 > border * percent)
+    size = np.minimum(size, first)[large]
+    ends = np.cumsum(size)
+    index = np.repeat(begin[large] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+    return np.concatenate([*keys, mixed(flat[index])]), np.concatenate([*owners, np.repeat(ids[large], size)])
+
+
+def _hubs(sets: DataFrame, border: int, percent: int) -> DataFrame:
+    """(id, hub): distinct pairs of a set and the least set with which it shares a key."""
+    first = F.col("first")
+    pairs = F.when(F.col("n") <= border, first * (first + 1) / 2).otherwise(0)
+    entries = F.when(F.col("n") * 100 > border * percent, first).otherwise(0)
+    total = sets.agg(F.sum(pairs + entries)).first()[0] or 0
+    n = max(int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / PACK_KEYS))
+    dealt = sets.select(F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("pack"), "id", "n", "first", "tokens")
+
+    def least_first(table: pa.Table):
+        """Sorted distinct keys of a pack and the least set of each."""
+        keys, owners = _keys(table, border, percent)
+        order = np.lexsort((owners, keys))
+        keys, owners = keys[order], owners[order]
+        new = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
+        return keys[new], owners[new]
+
+    def send(table: pa.Table) -> pa.Table:
+        keys, least = least_first(table)
+        at = packs.range_starts(keys, n)
+        parts = np.flatnonzero(np.diff(at))
+        pack = table.column("pack")[0].as_py() if table.num_rows else 0
+        blocks = [(packs.squeezed(packs.differences(keys[a:b])), packs.squeezed(least[a:b])) for a, b in zip(at[parts], at[parts + 1], strict=True)]
+        return pa.table(
+            {
+                "pack": pa.array([pack] * len(parts), pa.int32()),
+                "part": pa.array(parts, pa.int32()),
+                "keys": pa.array([k for k, _ in blocks], pa.binary()),
+                "least": pa.array([x for _, x in blocks], pa.binary()),
+            }
         )
-    )
-    small = sets.where((F.col("n") <= border) & (F.size(tokens) > 1)).select(F.explode(pairs).alias("key"), "id")
-    large = sets.where(F.col("n") * 100 > border * percent).select(
-        F.explode(F.transform(F.slice("tokens", 1, first), lambda x: F.xxhash64(x))).alias("key"), "id"
-    )
-    return small.union(large)
+
+    def meet(table: pa.Table) -> pa.Table:
+        """The least set of each key over all packs, given back in the order sent, as what must be added to the own one."""
+        blocks = [np.cumsum(packs.restored(b, np.uint64), dtype=np.uint64) for b in table.column("keys").to_pylist()]
+        least = np.concatenate([packs.restored(b, np.int64) for b in table.column("least").to_pylist()])
+        found, back = np.unique(np.concatenate(blocks), return_inverse=True)
+        hub = np.full(len(found), np.iinfo(np.int64).max)
+        np.minimum.at(hub, back, least)
+        below = (hub[back].view(np.uint64) - least.view(np.uint64)).view(np.int64)  # mostly 0, and may wrap
+        stops = np.cumsum([len(b) for b in blocks])[:-1]
+        return pa.table(
+            {
+                "pack": table.column("pack"),
+                "part": table.column("part"),
+                "hub": pa.array([packs.squeezed(x) for x in np.split(below, stops)], pa.binary()),
+            }
+        )
+
+    def edges(table: pa.Table, answers: pa.Table) -> pa.Table:
+        found, least = least_first(table)
+        order = np.argsort(answers.column("part").to_numpy())
+        blobs = answers.column("hub").to_pylist()
+        below = np.concatenate([np.zeros(0, np.int64), *(packs.restored(blobs[k], np.int64) for k in order)])
+        hubs = (least.view(np.uint64) + below.view(np.uint64)).view(np.int64)
+        keys, owners = _keys(table, border, percent)
+        hub = hubs[np.searchsorted(found, keys)]
+        pair = np.unique(np.stack([owners, hub])[:, owners != hub], axis=1)
+        return pa.table({"a": pa.array(pair[0]), "b": pa.array(pair[1])})
+
+    sent = dealt.groupBy("pack").applyInArrow(send, "pack int, part int, keys binary, least binary")
+    answers = sent.groupBy("part").applyInArrow(meet, "pack int, part int, hub binary")
+    return dealt.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(edges, "a long, b long")
 
 
 def _compare(percent: int):
@@ -210,34 +276,30 @@ def joined(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> D
     """
     rows = written(described(docs, percent, shingle), "sets")
     same = ["n", "f1", "f2"]
+    # A class is named by its fingerprint, so ids that stand on several rows don't mix classes.
     classes = written(
         rows.where(F.col("n") > 0)
         .groupBy(*same)
-        .agg(F.min("doc_id").alias("id"), F.count("*").alias("weight")),
+        .agg(F.min("doc_id").alias("least"), F.count("*").alias("weight"))
+        .withColumn("id", F.xxhash64(*same)),
         "classes",
     )
-    # Null-free keys: a class is found by its fingerprint and least id, so copies don't meet here.
+    # One row of each class; copies have other ids and don't meet here.
     sets = written(
         rows.where(F.col("tokens").isNotNull())
-        .join(classes, [*(rows[c] == classes[c] for c in same), rows["doc_id"] == classes["id"]])
+        .join(classes, [*(rows[c] == classes[c] for c in same), rows["doc_id"] == classes["least"]])
         .select(
             classes["id"],
             rows["n"],
             "weight",
             (rows["n"] - F.ceil(rows["n"] * percent / F.lit(100)) + 1 - F.col("lone")).alias("first"),
             "tokens",
-            "dfs",
         )
         .dropDuplicates(["id"]),
         "candidates",
     )
-    keys = _keys(sets, _boundary(sets, percent), percent)
-    hubs = written(
-        keys.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("far")).where("hub < far").drop("far"),
-        "hubs",
-    )
-    near = keys.join(hubs, "key").where(F.col("id") != F.col("hub"))
-    clusters = written(components(near.select(F.col("id").alias("a"), F.col("hub").alias("b"))), "clusters")
+    near = _hubs(sets, _boundary(sets, percent), percent)
+    clusters = written(components(near), "clusters")
     size = F.col("count")
     block_size = F.least(F.greatest(size / BLOCKS, F.lit(BLOCK_LEAST)), F.lit(BLOCK_MOST))
     sizes = written(
@@ -248,7 +310,7 @@ def joined(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> D
     )
     other = F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1))
     links = written(
-        sets.drop("first", "dfs")
+        sets.drop("first")
         .join(placed, "id")
         .withColumn("other", other)
         .withColumn("low", F.least("block", "other"))
@@ -258,14 +320,16 @@ def joined(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -> D
         .applyInArrow(_compare(percent), "id long, root long, links long"),
         "links",
     )
-    groups = components(links.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    groups = written(components(links.select(F.col("id").alias("a"), F.col("root").alias("b"))), "groups")
     counts = links.groupBy("id").agg(F.sum("links").alias("links"))
+    # Components are named by their smallest document.
+    named = groups.join(classes.select("id", "least"), "id").groupBy("component").agg(F.min("least").alias("first_doc"))
     known = written(
-        classes.join(groups, "id", "left")
+        classes.join(groups.join(named, "component"), "id", "left")
         .join(counts, "id", "left")
         .select(
             *same,
-            F.coalesce("component", "id").alias("component"),
+            F.coalesce("first_doc", "least").alias("component"),
             (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("links"),
         ),
         "known",

@@ -66,6 +66,27 @@ def test_jaccard_odd_rows(spark, docs):
     assert jaccard_join.joined(docs([])).collect() == []
 
 
+def test_jaccard_one_id_on_two_texts(docs):
+    """Classes of rows that share their least id stay apart."""
+    rng = random.Random(8)
+    a, b = prose(rng, 200), prose(rng, 200)
+    near_a, near_b = [*a[:-2], "tail"], [*b[:-2], "end"]
+    rows = [(1, a), (1, b), (2, near_b), (3, near_a)]
+    got = jaccard_join.joined(docs([(i, " ".join(w)) for i, w in rows])).collect()
+    assert sorted((r.doc_id, r.component_id, r.n_links) for r in got) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1)]
+
+
+def test_jaccard_keys_grow_with_the_sets(docs):
+    """A group of long near copies beside longer texts takes list entries and not the square of them."""
+    rng = random.Random(9)
+    base = prose(rng, 200, 10**6)
+    near = [[*base[:k], f"new{k}", *base[k + 1 :]] for k in range(0, 200, 2)]
+    long = [prose(rng, 250, 3000) for _ in range(60)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(near + long)]
+    sets = jaccard_join.described(docs(rows)).where("tokens IS NOT NULL").selectExpr("n", "n - ceil(n * 0.85) + 1 - lone AS first")
+    assert jaccard_join._boundary(sets, 85) < 100
+
+
 def test_tally_beyond_32_bits(docs):
     rows, n = packs.packed(docs([(i, f"text {i}") for i in range(40)]))
     held = rows.select("pack").distinct().count()
