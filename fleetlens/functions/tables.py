@@ -4,6 +4,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from contextlib import contextmanager
 from functools import cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -37,6 +38,28 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/fleetlens/{name}-{uuid.uuid4().hex}"
 
 
+_records: list[list[str]] = []
+
+
+@contextmanager
+def recorded():
+    """Collects the folders of the tables that are written meanwhile, for ``removed``."""
+    paths: list[str] = []
+    _records.append(paths)
+    try:
+        yield paths
+    finally:
+        _records.remove(paths)
+
+
+def removed(spark: SparkSession, paths) -> None:
+    """Remove written tables that nothing reads any more."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in paths:
+        folder = hadoop(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def written(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` once and read it back.
 
@@ -44,6 +67,8 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     size of the result when it picks join strategies.
     """
     path = fresh_path(df.sparkSession, name)
+    for paths in _records:
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -57,6 +57,19 @@ def test_written_table_is_computed_once(spark):
     assert rows.collect() == rows.collect()
 
 
+def test_recorded_tables_can_be_removed(spark):
+    with tables.recorded() as outer:
+        first = tables.written(spark.range(3), "first")
+        with tables.recorded() as inner:
+            second = tables.written(spark.range(4), "second")
+    tables.written(spark.range(5), "third")
+    assert len(outer) == 2 and inner == outer[1:]
+    tables.removed(spark, inner)
+    assert first.count() == 3
+    with pytest.raises(Exception):  # noqa: B017
+        second.collect()
+
+
 class Session:
     """Stands for a session in which spark.checkpoint.dir is unset."""
 
