@@ -89,6 +89,40 @@ def test_pipeline_stages(spark, docs, folder):
     assert not any("abcdefgh12345" in (r.text or "") for r in out)
 
 
+def test_stages_keep_extra_columns(spark, docs, folder):
+    """Columns that are called like something a stage computes keep their values."""
+    from pyspark.sql import functions as F
+
+    names = ["_id", "_leaked", "score", "lang_pred", "size", "target", "copies", "base", "spans", "_rest", "component_id", "pack"]
+    words = [f"ward{i} melo{i % 3} tine{i % 5} sola{i % 7}" for i in range(40)]
+    rows = [(i, " ".join(words[i : i + 25]) + f" token = abcdefgh1234{i}", "en", "s", 1) for i in range(0, 12, 3)]
+    rows += [(50, rows[0][1], "en", "s", 1), (None, "plain words here", "en", "t", 1)]
+    full = docs(rows).select("*", *[F.concat(F.lit(name), F.coalesce("doc_id", F.lit(-1)).cast("string")).alias(name) for name in names])
+    path = folder(documents=full.select(*names[:5], *docs([]).columns, *names[5:]), benchmark=spark.createDataFrame([(1, "none of it")], "item_id long, text string"))
+    step = spark.read.parquet(f"{path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        kept = stage(spark, step, path)
+        assert kept.columns == step.columns
+        step = folder(documents=kept)
+        step = spark.read.parquet(f"{step}/documents.parquet")
+        found = step.collect()
+        assert found and all(r[name] == f"{name}{-1 if r.doc_id is None else r.doc_id}" for r in found for name in names)
+
+
+def test_stages_remove_their_tables(spark, docs, folder):
+    import os
+
+    from fleetlens.functions.tables import shared_folder
+
+    rows = [(i, " ".join(f"w{i}x{k} common{k % 9}" for k in range(50)), "en", "s", 1) for i in range(20)]
+    path = folder(documents=docs(rows), benchmark=spark.createDataFrame([(1, "none of it")], "item_id long, text string"))
+    top = os.path.join(shared_folder(spark), "fleetlens")
+    before = set(os.listdir(top)) if os.path.isdir(top) else set()
+    out = corpus_pipeline.run(spark, path)
+    left = {x.rpartition("-")[0] for x in set(os.listdir(top)) - before}
+    assert out.count() and "pipeline-source_mix" in left and not {"sets", "classes", "pipeline-jaccard_join"} & left
+
+
 def test_pipeline_of_nothing(spark, docs, folder):
     path = folder(documents=docs([]), benchmark=spark.createDataFrame([], "item_id long, text string"))
     assert corpus_pipeline.run(spark, path).collect() == []
