@@ -11,6 +11,9 @@ A piece emits one overlap per end, between the token that ends there and the tok
 list that is open, so every overlapping pair comes once. Both lists ending at one byte close a group. A
 document that lies in several pieces has its groups, sums and distinct pairs put together from them.
 
+A space between two other characters begins a token of either kind, so texts are cut there and the tokens of
+recurring words are looked up.
+
 How many documents hold an id pair linked is counted by hash ranges of the A id, so the highest count
 of an A id is known in the same place; a piece asks for its distinct pairs once.
 
@@ -21,6 +24,7 @@ Null ids are kept. Other columns are not used.
 
 import json
 import math
+import re
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -43,11 +47,18 @@ PIECE_ENDS = 1 << 19
 SLICE_BYTES = 3 << 20
 #: Compression of tokens; sequences of ids repeat as words do.
 LEVEL = 6
-#: Pieces that answer to one hash range, on average.
-PIECES_A_RANGE = 8
+#: Pieces in a pack, which asks for its distinct pairs once; and packs that answer to one hash range, on average.
+PACK_PIECES = 16
+PACKS_A_RANGE = 4
+#: Words that a task remembers with their tokens, and characters of the longest of them.
+KNOWN_WORDS, KNOWN_CHARS = 1 << 18, 64
 #: How the pre-tokenizer of A cuts a text (fixed value of that vocabulary).
 A_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
+#: Where a text may be cut without a change of its tokens. No token has a space after another character
+#: (checked for B when it is loaded; the pattern of A allows none).
+CUT = re.compile(r"(?<=\S) (?=\S)")
+
 DOC_SCHEMA = (
     "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
 )
@@ -117,7 +128,33 @@ def b_encoder(path: str):
             return bytes([int(piece[3:-1], 16)])
         return piece.replace("▁", " ").encode()
 
-    return model.encode, Vocabulary.of([token(i) for i in range(model.vocab_size())])
+    tokens = [token(i) for i in range(model.vocab_size())]
+    if any(re.search(rb"[^ ] ", t) for i, t in enumerate(tokens) if not model.is_control(i) and not model.is_unknown(i)):
+        raise ValueError(f"{path} has a piece with a space behind another character")
+    return model.encode, Vocabulary.of(tokens)
+
+
+class Words:
+    """Tokens of both kinds, word by word; those of words seen before are looked up."""
+
+    def __init__(self, a_path: str, b_path: str):
+        self.a_encode, self.a = a_encoder(a_path)
+        self.b_encode, self.b = b_encoder(b_path)
+        self.known: dict[str, tuple[list[int], list[int]]] = {}
+
+    def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        a, b = [], []
+        for word in CUT.split(text):
+            found = self.known.get(word)
+            if found is None:
+                found = self.a_encode(" " + word), self.b_encode(word)  # B puts the space before it by itself
+                if len(word) <= KNOWN_CHARS:
+                    if len(self.known) >= KNOWN_WORDS:
+                        self.known.clear()
+                    self.known[word] = found
+            a += found[0]
+            b += found[1]
+        return np.array(a, np.int64), np.array(b, np.int64)
 
 
 def cuts(a_ends: np.ndarray, b_ends: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
@@ -143,26 +180,23 @@ def cuts(a_ends: np.ndarray, b_ends: np.ndarray, step: int) -> tuple[np.ndarray,
     return np.concatenate([[0], i, [n]]), np.concatenate([[0], j, [m]])
 
 
-def _pieces(key: int, table: pa.RecordBatch, a_path: str, b_path: str, step: int):
+def _pieces(key: int, table: pa.RecordBatch, words: Words, step: int):
     """Rows of the piece table for some documents, numbered from ``key`` on."""
-    a_encode, a_vocabulary = a_encoder(a_path)
-    b_encode, b_vocabulary = b_encoder(b_path)
     ids = table.column("doc_id").to_pylist()
     a_all, b_all, ends = [], [], np.zeros(len(ids), np.int64)
     for k, text in enumerate(table.column("text").to_pylist()):
         if not text:
             continue
         whole = np.frombuffer(b" " + text.encode(), np.uint8)
-        a = np.array(a_encode(" " + text), np.int64)
-        b = np.array(b_encode(text), np.int64)
-        if a_vocabulary.spells(a, whole) and b_vocabulary.spells(b, whole):
+        a, b = words.tokens(text)
+        if words.a.spells(a, whole) and words.b.spells(b, whole):
             a_all.append(a)
             b_all.append(b)
             ends[k] = len(whole)
     doc_ends = np.cumsum(ends)
     a = np.concatenate([np.zeros(0, np.int64), *a_all])
     b = np.concatenate([np.zeros(0, np.int64), *b_all])
-    a_size, b_size = a_vocabulary.size[a], b_vocabulary.size[b]
+    a_size, b_size = words.a.size[a], words.b.size[b]
     a_ends, b_ends = np.cumsum(a_size), np.cumsum(b_size)
     i, j = cuts(a_ends, b_ends, step)
     upto = np.maximum(np.append(0, a_ends)[i], np.append(0, b_ends)[j])  # last byte at which a piece has an end
@@ -188,11 +222,14 @@ def _pieces(key: int, table: pa.RecordBatch, a_path: str, b_path: str, step: int
         a_base = int(a_ends[i[p]] - a_size[i[p]]) if i[p] < len(a) else int(upto[p])
         b_base = int(b_ends[j[p]] - b_size[j[p]]) if j[p] < len(b) else int(upto[p])
         before = int(doc_ends[first - 1]) if first else 0
+        came_in = bool(p and before < int(upto[p]))
+        pack = key + p // PACK_PIECES
         yield {
+            "pack": -1 - pack if came_in or goes_on else pack,  # apart, as they are put together apart
             "piece": key + p,
             "first": key + first,
             "goes_on": bool(goes_on),
-            "came_in": bool(p and before < int(upto[p])),
+            "came_in": came_in,
             "ids": ids[docs],
             "doc_ends": doc_ends[docs].tolist(),
             "bases": [a_base, b_base],
@@ -204,6 +241,7 @@ def _pieces(key: int, table: pa.RecordBatch, a_path: str, b_path: str, step: int
 
 PIECE_FIELDS = pa.schema(
     [
+        ("pack", pa.int64()),
         ("piece", pa.int64()),
         ("first", pa.int64()),
         ("goes_on", pa.bool_()),
@@ -217,7 +255,7 @@ PIECE_FIELDS = pa.schema(
     ]
 )
 PIECE_SCHEMA = (
-    "piece long, first long, goes_on boolean, came_in boolean, ids array<long>, doc_ends array<long>, "
+    "pack long, piece long, first long, goes_on boolean, came_in boolean, ids array<long>, doc_ends array<long>, "
     "bases array<long>, counts array<long>, a binary, b binary"
 )
 
@@ -251,19 +289,7 @@ class Piece:
             self.whole[0] = False
         if self.n_docs and row["goes_on"]:
             self.whole[-1] = False
-        # Distinct pairs in the order in which they are asked for, and the pair of every overlap.
-        key = self.pair_a << 16 | self.pair_b
-        found, self.back = np.unique(key, return_inverse=True)
-        order = np.argsort(mixed((found >> 16).astype(np.uint64)), kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        self.keys, self.back = found[order], place[self.back]
-
-    def range_starts(self, n: int) -> np.ndarray:
-        """Where each of ``n`` hash ranges of A ids begins among the keys, with their number at the end."""
-        hashes = mixed((self.keys >> 16).astype(np.uint64))
-        borders = np.array([(k << 64) // n for k in range(1, n)], np.uint64)
-        return np.concatenate([[0], np.searchsorted(hashes, borders), [len(self.keys)]]).astype(np.int64)
+        self.keys, self.back = np.unique(self.pair_a << 16 | self.pair_b, return_inverse=True)
 
     def documents_with(self) -> np.ndarray:
         """Of each key, how many of the documents that lie in this piece alone hold it."""
@@ -312,6 +338,14 @@ class Piece:
         return out[0], out[1], per_doc[keep]
 
 
+def _ranged(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of distinct pairs by the hash of their A id, and where each of ``n`` hash ranges begins in it, with the end."""
+    hashes = mixed((keys >> 16).astype(np.uint64))
+    order = np.argsort(hashes, kind="stable")
+    borders = np.array([(k << 64) // n for k in range(1, n)], np.uint64)
+    return order, np.concatenate([[0], np.searchsorted(hashes[order], borders), [len(keys)]]).astype(np.int64)
+
+
 def _joined(pairs: pa.Array, sizes: np.ndarray) -> pa.Array:
     offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
     return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets), pairs), ";")
@@ -405,7 +439,7 @@ def _counted(table: pa.Table) -> pa.Table:
     stops = np.cumsum([len(x) for x in blocks])[:-1]
     return pa.table(
         {
-            "piece": table.column("piece"),
+            "pack": table.column("pack"),
             "part": table.column("part"),
             "counts": pa.array([squeezed(x) for x in np.split(total[back], stops)], pa.binary()),
             "best": pa.array([squeezed(x) for x in np.split(best[back], stops)], pa.binary()),
@@ -414,7 +448,7 @@ def _counted(table: pa.Table) -> pa.Table:
 
 
 def _answers(table: pa.Table) -> list[np.ndarray]:
-    """Counts and best counts of a piece's keys."""
+    """Counts and best counts of a pack's pairs, in the order in which they were sent."""
     order = np.argsort(table.column("part").to_numpy())
     out = []
     for name in ("counts", "best"):
@@ -430,9 +464,10 @@ def pieces(docs: DataFrame, a_path: str, b_path: str, step: int, slice_bytes: in
         from pyspark import TaskContext
 
         key = TaskContext.get().partitionId() << 40
+        words = Words(a_path, b_path)
         for batch in batches:
             for some in sliced(batch, "text", slice_bytes):
-                rows = list(_pieces(key, some, a_path, b_path, step))
+                rows = list(_pieces(key, some, words, step))
                 key += some.num_rows + len(rows)
                 yield pa.RecordBatch.from_pylist(rows, PIECE_FIELDS)
 
@@ -453,59 +488,77 @@ def aligned(
     # Tokens are made once and written: numbers of pieces and rows stay the same, and a lost executor costs no tokenizing.
     cut = written(pieces(docs, a_path, b_path, step, slice_bytes), "pieces")
     least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n = max(least, math.ceil(cut.count() / PIECES_A_RANGE))
-
-    def ask(batches):
-        """Blocks of distinct pairs: of a piece with the documents that lie in it alone, of others for each document."""
-        for batch in batches:
-            for row in batch.to_pylist():
-                piece = Piece(row, a_size, b_size)
-                at, counts = piece.range_starts(n), piece.documents_with()
-                blocks = [(piece.number, None, p, piece.keys[x:y], counts[x:y]) for p, (x, y) in enumerate(zip(at[:-1], at[1:], strict=True)) if x < y]
-                for d in np.flatnonzero(~piece.whole):
-                    keys = piece.keys[np.unique(piece.back[piece.doc == d])]
-                    blocks.append((None, piece.first + int(d), None, keys, np.ones(len(keys), np.int64)))
-                yield from block_table(blocks).to_batches()
+    n = max(least, math.ceil(cut.select("pack").distinct().count() / PACKS_A_RANGE))
+
+    def pieces_of(rows: pa.Table):
+        for row in sorted(rows.to_pylist(), key=lambda r: r["piece"]):
+            yield row, Piece(row, a_size, b_size)
+
+    def ask(rows: pa.Table) -> pa.Table:
+        """Blocks of distinct pairs: of the pack with the documents that lie in one piece, and of each other document."""
+        keys, counts, shared = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+        for _, piece in pieces_of(rows):
+            keys.append(piece.keys)
+            counts.append(piece.documents_with())
+            for d in np.flatnonzero(~piece.whole):
+                shared.append((piece.first + int(d), piece.keys[np.unique(piece.back[piece.doc == d])]))
+        found, back = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.zeros(len(found), np.int64)
+        np.add.at(total, back, np.concatenate(counts))
+        blocks = ranged_blocks(rows.column("pack")[0].as_py(), None, found, total)
+        return block_table(blocks + [(None, row, None, some, np.ones(len(some), np.int64)) for row, some in shared])
+
+    def ranged_blocks(pack, row, keys: np.ndarray, counts: np.ndarray):
+        order, at = _ranged(keys, n)
+        keys, counts = keys[order], counts[order]
+        return [(pack, row, int(p), keys[at[p] : at[p + 1]], counts[at[p] : at[p + 1]]) for p in np.flatnonzero(np.diff(at))]
 
     def block_table(blocks) -> pa.Table:
-        kinds = [("piece", pa.int64()), ("row", pa.int64()), ("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]
-        cells = [(p, r, k, squeezed(differences(keys)), squeezed(counts.astype(np.int64))) for p, r, k, keys, counts in blocks]
+        kinds = [("pack", pa.int64()), ("row", pa.int64()), ("part", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary())]
+        cells = [(p, r, k, squeezed(differences(keys)), squeezed(counts)) for p, r, k, keys, counts in blocks]
         columns = list(zip(*cells, strict=True)) or [()] * 5
         return pa.table([pa.array(c, t) for c, (_, t) in zip(columns, kinds, strict=True)], names=[k for k, _ in kinds])
 
     def once(table: pa.Table) -> pa.Table:
         """Distinct pairs of a document that lies in several pieces, as blocks that expect no answer."""
-        row = table.column("row")[0].as_py()
         found = np.unique(np.concatenate([np.cumsum(restored(x, np.int64)) for x in table.column("keys").to_pylist()]))
-        hashes = mixed((found >> 16).astype(np.uint64))
-        found = found[np.argsort(hashes, kind="stable")]
-        borders = np.array([(k << 64) // n for k in range(1, n)], np.uint64)
-        at = np.concatenate([[0], np.searchsorted(np.sort(hashes), borders), [len(found)]])
-        blocks = [(None, row, p, found[x:y], np.ones(y - x, np.int64)) for p, (x, y) in enumerate(zip(at[:-1], at[1:], strict=True)) if x < y]
-        return block_table(blocks)
-
-    def answered(result, schema: str):
+        return block_table(ranged_blocks(None, table.column("row")[0].as_py(), found, np.ones(len(found), np.int64)))
+
+    def answered(result, wanted, schema: str):
         def apply(rows: pa.Table, answers: pa.Table) -> pa.Table:
-            if not rows.num_rows:  # answers to a piece that isn't wanted here
+            some = rows.filter(pa.array([wanted(r) for r in rows.select(["ids", "goes_on", "came_in"]).to_pylist()]))
+            if not some.num_rows:
                 return _fields(schema).empty_table()
-            return result(Piece(rows.to_pylist()[0], a_size, b_size), *_answers(answers))
+            found = [np.zeros(0, np.int64), *(piece.keys for _, piece in pieces_of(rows))]
+            found = np.unique(np.concatenate(found))
+            order, _ = _ranged(found, n)
+            counts, best = (np.empty(len(found), np.int64) for _ in range(2))
+            counts[order], best[order] = _answers(answers)
+            out = []
+            for _, piece in pieces_of(some):
+                at = np.searchsorted(found, piece.keys)
+                out.append(result(piece, counts[at], best[at]))
+            return pa.concat_tables(out)
 
         return apply
 
-    block_schema = "piece long, row long, part int, keys binary, counts binary"
-    asked = written(cut.mapInArrow(ask, block_schema), "pairs")
+    def has_whole(row: dict) -> bool:
+        return len(row["ids"]) > row["goes_on"] + row["came_in"]
+
+    def has_part(row: dict) -> bool:
+        return row["goes_on"] or row["came_in"]
+
+    block_schema = "pack long, row long, part int, keys binary, counts binary"
+    asked = written(cut.groupBy("pack").applyInArrow(ask, block_schema), "pairs")
     shared = asked.where("row IS NOT NULL").groupBy("row").applyInArrow(once, block_schema)
     answers = (
         asked.where("row IS NULL")
         .union(shared)
         .groupBy("part")
-        .applyInArrow(_counted, "piece long, part int, counts binary, best binary")
-        .where("piece IS NOT NULL")
+        .applyInArrow(_counted, "pack long, part int, counts binary, best binary")
+        .where("pack IS NOT NULL")
     )
-    answers = written(answers, "answers")
-    beside = answers.groupBy("piece")
-    whole = cut.where("size(ids) > int(goes_on) + int(came_in)").groupBy("piece").cogroup(beside)
-    parts = cut.where("goes_on OR came_in").groupBy("piece").cogroup(beside)
-    whole = whole.applyInArrow(answered(_whole, DOC_SCHEMA), DOC_SCHEMA)
-    parts = parts.applyInArrow(answered(_parts, PART_SCHEMA), PART_SCHEMA)
+    known = cut.groupBy("pack").cogroup(written(answers, "answers").groupBy("pack"))  # its exchanges are used twice
+    whole = known.applyInArrow(answered(_whole, has_whole, DOC_SCHEMA), DOC_SCHEMA)
+    parts = known.applyInArrow(answered(_parts, has_part, PART_SCHEMA), PART_SCHEMA)
     return whole.union(parts.groupBy("row").applyInArrow(_stitch, DOC_SCHEMA))
