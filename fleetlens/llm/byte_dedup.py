@@ -26,6 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 
 from . import packs
+from .memory import lean, lean_beside
 from .suffix_array import common_prefixes, suffix_array
 from .words import _BASE, _CODE, _table, mixed, texts_of
 
@@ -187,6 +188,7 @@ def window_classes(data, begin, end, windows, weight, window: int):
     return (kind, windows_in_order[new], occurrences), np.repeat(begin, windows) + _steps(windows)
 
 
+@lean
 def merged_counts(table: pa.Table) -> pa.Table:
     """Sums over all runs of one hash range, given back to each run in its order.
 
@@ -222,6 +224,7 @@ def _merged(a, b=None):
 def runs_merged(rows: DataFrame, known: DataFrame, n: int, runs) -> DataFrame:
     """(pack, part, found): ``runs(table, tallied)`` of every pack, merged over all packs by hash ranges."""
 
+    @lean_beside
     def send(table: pa.Table, tallied: pa.Table) -> pa.Table:
         keys, counts = runs(table, tallied)
         at = packs.range_starts(keys, n)
@@ -247,6 +250,7 @@ def runs_merged(rows: DataFrame, known: DataFrame, n: int, runs) -> DataFrame:
 def shard_search(window: int):
     """Finds the repeated windows of one shard: a bit per window of every segment sent, in the order sent."""
 
+    @lean
     def search(table: pa.Table) -> pa.Table:
         sizes = [packs.restored(x, np.int32).astype(np.int64) for x in table.column("sizes").to_pylist()]
         weights = np.concatenate([packs.restored(x, np.int64) for x in table.column("weights").to_pylist()])
@@ -285,6 +289,7 @@ def deduped(
 ) -> DataFrame:
     """(doc_id, n_bytes, spans, kept) of every document: removed byte ranges, and the bytes that stay."""
 
+    @lean
     def keys(table: pa.Table):
         cut = Cut(table, window, anchor)
         return cut.anchors, cut.anchor_counts
@@ -295,6 +300,7 @@ def deduped(
         counts = cut.counts_of(packs.counts_in_order(tallied))
         return cut, np.flatnonzero((counts > 1) & (counts <= hot)), np.flatnonzero(counts > hot)
 
+    @lean_beside
     def ship(table: pa.Table, tallied: pa.Table) -> pa.Table:
         cut, some, _ = ways(table, tallied)
         sample, weight, _ = cut.distinct(some)
@@ -325,6 +331,7 @@ def deduped(
         cut, _, heated = ways(table, tallied)
         return cut.hot_runs(heated)
 
+    @lean_beside
     def remove(table: pa.Table, answers: pa.Table) -> pa.Table:
         by_kind = [answers.filter(pa.compute.equal(answers.column("what"), k)) for k in range(3)]
         cut, some, heated = ways(table, by_kind[0])

@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tables import written
 from . import packs
+from .memory import lean, lean_beside
 from .words import _hashes, mixed, texts_of
 
 #: Least occurrences of a phrase, words of the longest one, and phrases returned for each language.
@@ -197,6 +198,7 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, pack_b
         return phrases
 
     def survive(level: int):
+        @lean
         def of_range(table: pa.Table) -> pa.Table:
             blocks = _blocks(table)
             kept = heavy(blocks, least)
@@ -217,6 +219,7 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, pack_b
 
 
     def send(level: int):
+        @lean_beside
         def of_pack(table: pa.Table, known: pa.Table | None) -> pa.Table:
             keys, counts, _ = opened(table, known, level).level(levels[level], mask)
             return _sent(table, keys, counts, n)
@@ -231,10 +234,12 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, pack_b
         found = written(sent.groupBy("part").applyInArrow(survive(level), answer_schema), "survivors")
         answers = answers.union(found)
 
+    @lean_beside
     def exact(table: pa.Table, known: pa.Table) -> pa.Table:
         hashes, _, _ = opened(table, known, len(levels)).survivors()
         return _sent(table, *np.unique(hashes, return_counts=True), n)
 
+    @lean
     def count(table: pa.Table) -> pa.Table:
         """Exact counts of frequent phrases for the first pack that has them, 0 for the others."""
         order = np.argsort(table.column("pack").to_numpy(), kind="stable")
@@ -255,6 +260,7 @@ def frequent(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, pack_b
             }
         )
 
+    @lean_beside
     def spell(table: pa.Table, known: pa.Table) -> pa.Table:
         phrases = opened(table, known, len(levels))
         hashes, at, orders = phrases.survivors()

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tables import written
+from .memory import lean, lean_beside
 from .packs import differences, restored, squeezed
 from .words import mixed, sliced
 
@@ -427,6 +428,7 @@ def _stitch(table: pa.Table) -> pa.Table:
     return pa.Table.from_pylist([row], _fields(DOC_SCHEMA))
 
 
+@lean
 def _counted(table: pa.Table) -> pa.Table:
     """Of one hash range: the documents of every pair, and the most that any pair of its A id has."""
     blocks = [np.cumsum(restored(x, np.int64)) for x in table.column("keys").to_pylist()]
@@ -494,6 +496,7 @@ def aligned(
         for row in sorted(rows.to_pylist(), key=lambda r: r["piece"]):
             yield row, Piece(row, a_size, b_size)
 
+    @lean
     def ask(rows: pa.Table) -> pa.Table:
         """Blocks of distinct pairs: of the pack with the documents that lie in one piece, and of each other document."""
         keys, counts, shared = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
@@ -525,6 +528,7 @@ def aligned(
         return block_table(ranged_blocks(None, table.column("row")[0].as_py(), found, np.ones(len(found), np.int64)))
 
     def answered(result, wanted, schema: str):
+        @lean_beside
         def apply(rows: pa.Table, answers: pa.Table) -> pa.Table:
             some = rows.filter(pa.array([wanted(r) for r in rows.select(["ids", "goes_on", "came_in"]).to_pylist()]))
             if not some.num_rows:
