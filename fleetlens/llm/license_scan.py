@@ -8,11 +8,14 @@ template. A file's licence is the template with the highest cosine of its units,
 a threshold. A file without one takes that of the nearest directory above it that holds a
 licence file: every directory is joined with its ancestors by path.
 
-Before a text is cut up it must hold an anchor token. Anchors are chosen so that the other tokens
-of a template together stay below the threshold, so no unit is lost.
+Before tokens are joined, a unit must pass a bound that needs no template: what its tokens weigh at most in
+any template, over the root of the sum of their squared weights. Each line is cut into tokens once; bounds of
+windows and whole texts add up from those of their lines. No cosine is above its bound, so no unit is lost, and only
+units that may well be statements become rows.
 
 Edge cases: null and empty texts have no units but inherit. A null path has no directory and the
-result of all null paths together. Rows with the same path are one file. Ties go to the first licence by name. An empty
+result of all null paths together. Rows with the same path
+are one file, whose licence is the best of any of them; their lines are never put together. Ties go to the first licence by name. An empty
 path part counts as a directory. Other columns pass through, except those named like results.
 """
 
@@ -81,8 +84,6 @@ TEMPLATES = [
     ("MIT", MIT_TEXT),
     *((name, f"SPDX-License-Identifier: {name}") for name in SPDX),
 ]
-#: Words of any text, which are anchors only if a template has too little else. Fixed values.
-ORDINARY = frozenset("a all and any are at be by for from in into is it not of on or that the this to was with without work".split())
 THRESHOLD = 0.75
 #: Most neighbouring lines that are compared as one unit.
 LINES = 4
@@ -103,23 +104,57 @@ def vectors(templates=TEMPLATES) -> tuple[list[tuple[str, int, str, float]], dic
     return rows, idf, math.log(1 + total) + 1
 
 
-def anchors(rows, threshold: float = THRESHOLD) -> list[str]:
-    """Tokens one of which every unit that reaches the threshold holds.
+def bounds(rows, idf: dict[str, float]) -> dict[str, tuple[float, float]]:
+    """For each template token what one occurrence adds at most to a dot product, and at least to the squared length."""
+    most: dict[str, float] = {}
+    for _, _, token, weight in rows:
+        most[token] = max(most.get(token, 0.0), weight)
+    return {t: (most[t] * idf[t], idf[t] ** 2) for t in idf}
 
-    By Cauchy-Schwarz, the cosine with a template is at most the norm of the shared part of it.
-    """
-    chosen: set[str] = set()
-    for k in {r[1] for r in rows}:
-        left = sum(w * w for _, i, t, w in rows if i == k and t not in chosen)
-        # Long tokens first and ordinary words last, since anchors should be rare in ordinary text.
-        mine = [r for r in rows if r[1] == k]
-        for _, _, token, weight in sorted(mine, key=lambda r: (r[2] in ORDINARY, -len(r[2]), r[2])):
-            if math.sqrt(max(left, 0)) < threshold - 1e-9:
-                break
-            if token not in chosen:
-                chosen.add(token)
-                left -= weight * weight
-    return sorted(chosen)
+
+def candidates(files: DataFrame, rows, idf: dict[str, float], other: float, threshold: float) -> DataFrame:
+    """(row, path, line, unit): units whose bound reaches the threshold."""
+    weights = F.create_map(
+        *[x for t, (dot, square) in sorted(bounds(rows, idf).items()) for x in (F.lit(t), F.struct(F.lit(dot).alias("d"), F.lit(square).alias("s")))]
+    )
+    none = F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("s"))
+    unknown = F.struct(F.lit(0.0).alias("d"), F.lit(other**2).alias("s"))
+
+    def added(items):
+        return F.aggregate(items, none, lambda x, y: F.struct((x["d"] + y["d"]).alias("d"), (x["s"] + y["s"]).alias("s")))
+
+    def weighed(line):
+        tokens = F.regexp_extract_all(F.lower(line), F.lit(TOKEN), F.lit(0))
+        return added(F.transform(tokens, lambda t: F.coalesce(F.try_element_at(weights, t), unknown)))
+
+    def reached(x):
+        return (x["s"] > 0) & (x["d"] >= (threshold - 1e-9) * F.sqrt(x["s"]))
+
+    named = F.coalesce(F.element_at(F.split("path", "/"), -1).rlike(LICENCE_FILE), F.lit(False))
+    lines = F.split("text", "\n")
+    # Behind a generator, so that lines are cut into tokens once and not for every window.
+    cut = files.where("text IS NOT NULL").select(
+        F.monotonically_increasing_id().alias("row"),
+        "path",
+        named.alias("named"),
+        F.inline(F.array(F.struct(lines.alias("lines"), F.transform(lines, weighed).alias("parts")))),
+    )
+    n = F.size("lines")
+
+    def windows(size: int):
+        """Places of the windows of ``size`` lines that reach the bound; shorter ones at the end are units of a smaller size."""
+        starts = F.when(n >= size, F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+        passed = F.filter(starts, lambda i: reached(added(F.slice("parts", i, size))))
+        return F.transform(passed, lambda i: F.struct(i.alias("at"), F.lit(size).alias("size")))
+
+    whole = F.when(F.col("named") & reached(added(F.col("parts"))), F.array(F.struct(F.lit(1).alias("at"), n.alias("size"))))
+    units = F.concat(*[windows(k) for k in range(1, LINES + 1)], F.coalesce(whole, F.array().cast("array<struct<at:int,size:int>>")))
+    return cut.select("row", "path", "lines", F.explode(units).alias("u")).select(
+        "row",
+        "path",
+        F.struct("u.at", "u.size").alias("line"),
+        F.array_join(F.slice("lines", F.col("u.at"), F.col("u.size")), "\n").alias("unit"),
+    )
 
 
 def headers(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -128,41 +163,26 @@ def headers(files: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD)
     rows, idf, other = vectors(templates)
     postings = lookup(spark, ["licence", "statement", "token", "weight"], rows)
     weights = lookup(spark, ["token", "idf"], sorted(idf.items()))
-    anchor = rf"(?i)(?<![a-z0-9])(?=[{''.join(sorted({a[0] for a in anchors(rows, threshold)}))}])(?:{'|'.join(map(re.escape, anchors(rows, threshold)))})(?![a-z0-9])"
-    named = F.coalesce(F.element_at(F.split("path", "/"), -1).rlike(LICENCE_FILE), F.lit(False))
-    lines = F.split("text", "\n")
-    n = F.size(lines)
-    windows = [
-        # Only full windows; shorter ones at the end are units of a smaller size.
-        F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i, k=k: F.array_join(F.slice(lines, i, k), "\n")))
-        .otherwise(F.array().cast("array<string>"))
-        for k in range(2, LINES + 1)
-    ]
-    parts = F.concat(lines, *windows)
-    units = F.when(named, F.concat(parts, F.array("text"))).otherwise(parts)
     tokens = F.regexp_extract_all(F.lower("unit"), F.lit(TOKEN), F.lit(0))
+    # Row numbers hold for one run only, so the units are written before both sides of a join read them.
+    units = written(candidates(files, rows, idf, other, threshold), "units")
     counted = (
-        files.where(F.col("text").rlike(anchor))
-        .select("path", F.posexplode(units).alias("line", "unit"))
-        .where(F.col("unit").rlike(anchor))
-        .select("path", "line", F.explode(tokens).alias("token"))
-        .groupBy("path", "line", "token")
+        units.select("row", "path", "line", F.explode(tokens).alias("token"))
+        .groupBy("row", "path", "line", "token")
         .agg(F.count("*").alias("tf"))
         .join(weights, "token", "left")
         .withColumn("value", F.col("tf") * F.coalesce("idf", F.lit(other)))
         .drop("idf")
     )
-    counted = written(counted, "tokens")  # read for dot products and for lengths
     # One row per unit and template it shares a token with, and one without a template for the length.
-    unit = ["path", "line"]
-    dots = counted.join(postings, "token").select(*unit, "licence", "statement", (F.col("value") * F.col("weight")).alias("dot"))
+    unit = ["row", "line"]
+    dots = counted.join(postings, "token").select(*unit, "path", "licence", "statement", (F.col("value") * F.col("weight")).alias("dot"))
     lengths = counted.groupBy(*unit).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"))
-    scores = dots.groupBy(*unit, "licence", "statement").agg(F.sum("dot").alias("dot"))
-    same = scores["path"].eqNullSafe(lengths["path"]) & (scores["line"] == lengths["line"])
+    scores = dots.groupBy(*unit, "path", "licence", "statement").agg(F.sum("dot").alias("dot"))
     best = F.max_by(F.struct("licence", "score"), F.struct("score", F.col("back")))
     return (
-        scores.join(lengths, same)
-        .select(scores["path"], "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
+        scores.join(lengths, unit)
+        .select("path", "licence", F.round(F.col("dot") / F.col("norm"), 6).alias("score"))
         .where(F.col("score") >= threshold)
         .withColumn("back", F.lit(0) - F.array_position(F.array(*[F.lit(x) for x in sorted({t for t, _ in templates})]), F.col("licence")))
         .groupBy("path")
@@ -227,6 +247,7 @@ def as_files(docs: DataFrame) -> DataFrame:
     """Documents as files of their source: hundreds of ids share a directory, thousands its parent, and the
     first id of a hundred is the directory's licence file."""
     i = F.col("doc_id")
-    name = F.when(i % 100 == 0, F.lit("LICENSE")).otherwise(F.concat(i.cast("string"), F.lit(".txt")))
+    unnamed = F.concat(F.lit("no-id-"), F.md5(F.coalesce("text", F.lit(""))))  # a row without an id is a file of its own
+    name = F.when(i % 100 == 0, F.lit("LICENSE")).otherwise(F.concat(F.coalesce(i.cast("string"), unnamed), F.lit(".txt")))
     path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.floor(i / 1000), F.floor(i / 100), name)
     return docs.withColumn("path", path)

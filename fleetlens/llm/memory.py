@@ -1,6 +1,7 @@
 """Python workers outlive their tasks; what a group needed for a moment is given back to the system after it."""
 
 import ctypes
+import gc
 import sys
 
 import pyarrow as pa
@@ -15,10 +16,24 @@ def give_back() -> None:
             trim(0)
 
 
+def fresh_start() -> None:
+    """Drop what earlier tasks of this worker left.
+
+    Functions travel by value, so every task has globals of its own, with tables and tokenizers kept in them. They
+    hang in cycles, which Python would collect by their number and not by their size.
+    """
+    gc.collect()
+    give_back()
+
+
 def lean(function):
-    """A function of one table that gives back what it used."""
+    """A function of one table that begins with a clean worker and gives back what it used."""
+    begun = []
 
     def run(table):
+        if not begun:
+            begun.append(True)
+            fresh_start()
         result = function(table)
         give_back()
         return result
@@ -28,8 +43,12 @@ def lean(function):
 
 def lean_beside(function):
     """The same for a function of two tables."""
+    begun = []
 
     def run(table, other):
+        if not begun:
+            begun.append(True)
+            fresh_start()
         result = function(table, other)
         give_back()
         return result

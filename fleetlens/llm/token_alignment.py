@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.tables import written
-from .memory import lean, lean_beside
+from .memory import fresh_start, lean, lean_beside
 from .packs import differences, restored, squeezed
 from .words import mixed, sliced
 
@@ -465,6 +465,7 @@ def pieces(docs: DataFrame, a_path: str, b_path: str, step: int, slice_bytes: in
     def tokenize(batches):
         from pyspark import TaskContext
 
+        fresh_start()
         key = TaskContext.get().partitionId() << 40
         words = Words(a_path, b_path)
         for batch in batches:

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 from collections import Counter
 
 import brute
@@ -319,7 +320,6 @@ def test_licence_notices_titles_and_wrapped_statements(spark):
 
 
 def test_licence_cosine_equals_brute_force(spark):
-    import re
 
     lines = ["Licensed under CC BY-NC 4.0, see the file", "the General Public License version 2 or 3", "This work is licensed under the GNU General Public License, version 3. mit"]
     rows, idf, other = license_scan.vectors()
@@ -333,3 +333,49 @@ def test_licence_cosine_equals_brute_force(spark):
         files = spark.createDataFrame([("f", line)], "path string, text string")
         got = license_scan.headers(files, threshold=0.1).collect()
         assert got[0].score == best[0]
+
+
+def test_licence_windows_equal_brute_force(spark):
+    """The best cosine over all lines, windows and whole licence files, with nothing lost to the bound."""
+
+    rng = random.Random(10)
+    words = "the and or of to in is software license version public mit general 2.0 3.0 plain text here".split()
+    statements = [t for _, t in license_scan.TEMPLATES]
+    texts = []
+    for _ in range(60):
+        lines = [" ".join(rng.choice(words) for _ in range(rng.randrange(9))) for _ in range(rng.randrange(7))]
+        for _ in range(rng.randrange(3)):
+            parts = rng.choice(statements).split()
+            cut = rng.randrange(len(parts) + 1)
+            lines[rng.randrange(len(lines) + 1) :] = [" ".join(parts[:cut]), " ".join(parts[cut:])]
+        texts.append("\n".join(lines))
+    paths = [f"d{k}/{'LICENSE' if k % 4 == 0 else 'x.txt'}" for k in range(len(texts))]
+    rows, idf, other = license_scan.vectors()
+    want = {}
+    for path, text in zip(paths, texts, strict=True):
+        lines = text.split("\n")
+        units = [lines[i : i + k] for k in range(1, 5) for i in range(len(lines) - k + 1)] + ([lines] if path.endswith("LICENSE") else [])
+        best = 0.0
+        for unit in units:
+            tf = Counter(re.findall(license_scan.TOKEN, "\n".join(unit).lower()))
+            norm = sum((n * idf.get(t, other)) ** 2 for t, n in tf.items()) ** 0.5
+            dots = Counter()
+            for _, k, token, weight in rows:
+                dots[k] += tf[token] * idf[token] * weight
+            best = max([best, *(d / norm for d in dots.values() if norm)])
+        if round(best, 6) >= license_scan.THRESHOLD:
+            want[path] = round(best, 6)
+    files = spark.createDataFrame(list(zip(paths, texts, strict=True)), "path string, text string").repartition(3)
+    got = {r.path: r.score for r in license_scan.headers(files).collect()}
+    assert want.keys() == got.keys() and len(want) > 10
+    assert all(abs(got[p] - want[p]) < 2e-6 for p in want)
+
+
+def test_licence_rows_of_one_path_and_without_id(spark, docs):
+    mit, gpl = "Released under the MIT License", "This work is licensed under the GNU General Public License, version 3"
+    files = spark.createDataFrame([("a/x", f"one\n{mit}"), ("a/x", f"two\n{gpl}"), ("a/y", "x\n" * 3 + mit)], "path string, text string")
+    got = {(r.path, r.text): r.licence for r in license_scan.scanned(files).collect()}
+    assert got["a/y", "x\n" * 3 + mit] == "MIT" and len({v for (p, _), v in got.items() if p == "a/x"}) == 1
+    unnamed = license_scan.as_files(docs([(None, mit, "en", "s"), (None, gpl, "en", "s"), (None, None, "en", "s"), (7, "x", "en", None)]))
+    got = {r.text: r.licence for r in license_scan.scanned(unnamed).collect()}
+    assert got == {mit: "MIT", gpl: "GPL-3.0", None: None, "x": None}
