@@ -11,9 +11,6 @@ A piece emits one overlap per end, between the token that ends there and the tok
 list that is open, so every overlapping pair comes once. Both lists ending at one byte close a group. A
 document that lies in several pieces has its groups, sums and distinct pairs put together from them.
 
-A space between two other characters begins a token of either kind, so texts are cut there and the tokens of
-recurring words are looked up.
-
 How many documents hold an id pair linked is counted by hash ranges of the A id, so the highest count
 of an A id is known in the same place; a piece asks for its distinct pairs once.
 
@@ -24,7 +21,6 @@ Null ids are kept. Other columns are not used.
 
 import json
 import math
-import re
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -51,15 +47,9 @@ LEVEL = 6
 #: Pieces in a pack, which asks for its distinct pairs once; and packs that answer to one hash range, on average.
 PACK_PIECES = 16
 PACKS_A_RANGE = 4
-#: Words that a task remembers with their tokens, and characters of the longest of them.
-KNOWN_WORDS, KNOWN_CHARS = 1 << 18, 64
 #: How the pre-tokenizer of A cuts a text (fixed value of that vocabulary).
 A_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
-#: Where a text may be cut without a change of its tokens. No token has a space after another character
-#: (checked for B when it is loaded; the pattern of A allows none).
-CUT = re.compile(r"(?<=\S) (?=\S)")
-
 DOC_SCHEMA = (
     "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
 )
@@ -113,7 +103,7 @@ def a_encoder(path: str):
         tokens[i] = token
     # Ids follow the order of merges, so the ranks give the same tokens as the file's own list of merges.
     encoder = tiktoken.Encoding(path, pat_str=A_PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return encoder.encode_ordinary, Vocabulary.of(tokens)
+    return lambda text: encoder.encode_to_numpy(text, disallowed_special=()), Vocabulary.of(tokens)
 
 
 @lru_cache(maxsize=2)
@@ -129,33 +119,19 @@ def b_encoder(path: str):
             return bytes([int(piece[3:-1], 16)])
         return piece.replace("▁", " ").encode()
 
-    tokens = [token(i) for i in range(model.vocab_size())]
-    if any(re.search(rb"[^ ] ", t) for i, t in enumerate(tokens) if not model.is_control(i) and not model.is_unknown(i)):
-        raise ValueError(f"{path} has a piece with a space behind another character")
-    return model.encode, Vocabulary.of(tokens)
+    return model.encode, Vocabulary.of([token(i) for i in range(model.vocab_size())])
 
 
-class Words:
-    """Tokens of both kinds, word by word; those of words seen before are looked up."""
+class Tokenizers:
+    """Both tokenizers; texts are tokenized as a whole, which costs less than to look up their words."""
 
     def __init__(self, a_path: str, b_path: str):
         self.a_encode, self.a = a_encoder(a_path)
         self.b_encode, self.b = b_encoder(b_path)
-        self.known: dict[str, tuple[list[int], list[int]]] = {}
 
     def tokens(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        a, b = [], []
-        for word in CUT.split(text):
-            found = self.known.get(word)
-            if found is None:
-                found = self.a_encode(" " + word), self.b_encode(word)  # B puts the space before it by itself
-                if len(word) <= KNOWN_CHARS:
-                    if len(self.known) >= KNOWN_WORDS:
-                        self.known.clear()
-                    self.known[word] = found
-            a += found[0]
-            b += found[1]
-        return np.array(a, np.int64), np.array(b, np.int64)
+        # B puts the space before the text by itself.
+        return self.a_encode(" " + text).astype(np.int64), np.array(self.b_encode(text), np.int64)
 
 
 def cuts(a_ends: np.ndarray, b_ends: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
@@ -181,7 +157,7 @@ def cuts(a_ends: np.ndarray, b_ends: np.ndarray, step: int) -> tuple[np.ndarray,
     return np.concatenate([[0], i, [n]]), np.concatenate([[0], j, [m]])
 
 
-def _pieces(key: int, table: pa.RecordBatch, words: Words, step: int):
+def _pieces(key: int, table: pa.RecordBatch, both: Tokenizers, step: int):
     """Rows of the piece table for some documents, numbered from ``key`` on."""
     ids = table.column("doc_id").to_pylist()
     a_all, b_all, ends = [], [], np.zeros(len(ids), np.int64)
@@ -189,15 +165,15 @@ def _pieces(key: int, table: pa.RecordBatch, words: Words, step: int):
         if not text:
             continue
         whole = np.frombuffer(b" " + text.encode(), np.uint8)
-        a, b = words.tokens(text)
-        if words.a.spells(a, whole) and words.b.spells(b, whole):
+        a, b = both.tokens(text)
+        if both.a.spells(a, whole) and both.b.spells(b, whole):
             a_all.append(a)
             b_all.append(b)
             ends[k] = len(whole)
     doc_ends = np.cumsum(ends)
     a = np.concatenate([np.zeros(0, np.int64), *a_all])
     b = np.concatenate([np.zeros(0, np.int64), *b_all])
-    a_size, b_size = words.a.size[a], words.b.size[b]
+    a_size, b_size = both.a.size[a], both.b.size[b]
     a_ends, b_ends = np.cumsum(a_size), np.cumsum(b_size)
     i, j = cuts(a_ends, b_ends, step)
     upto = np.maximum(np.append(0, a_ends)[i], np.append(0, b_ends)[j])  # last byte at which a piece has an end
@@ -467,10 +443,10 @@ def pieces(docs: DataFrame, a_path: str, b_path: str, step: int, slice_bytes: in
 
         fresh_start()
         key = TaskContext.get().partitionId() << 40
-        words = Words(a_path, b_path)
+        both = Tokenizers(a_path, b_path)
         for batch in batches:
             for some in sliced(batch, "text", slice_bytes):
-                rows = list(_pieces(key, some, words, step))
+                rows = list(_pieces(key, some, both, step))
                 key += some.num_rows + len(rows)
                 yield pa.RecordBatch.from_pylist(rows, PIECE_FIELDS)
 

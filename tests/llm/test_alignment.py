@@ -93,18 +93,18 @@ def test_one_long_document_in_many_pieces(spark, brute):
     assert sorted(repr(tuple(r)) for r in got) == brute(rows)
 
 
-def test_words_give_the_tokens_of_the_whole(brute):
-    """Random mixtures of white space, signs and letters of many kinds, cut at single spaces."""
+def test_tokens_of_odd_texts(brute):
+    """Random mixtures of white space, signs and letters of many kinds give the tokens that the files' own libraries give."""
     import random
 
     rng = random.Random(13)
     signs = [*"  \t\n\r\x0b\x1c\x1f\x85\xa0\u2003\u3000\u200b abcXYZ019.,;:!?''s're-éßж中𝒳🙂\u0301\x00\x7f", " a", " 1", "  b", "<s>", "<0x41>"]
     rows = [(i, "".join(rng.choice(signs) for _ in range(rng.randrange(1, 30)))) for i in range(1500)]
-    words = token_alignment.Words(*(f"{token_alignment.FOLDER}/{f}" for f in (token_alignment.A_FILE, token_alignment.B_FILE)))
+    both = token_alignment.Tokenizers(*(f"{token_alignment.FOLDER}/{f}" for f in (token_alignment.A_FILE, token_alignment.B_FILE)))
     want = {r[0]: r[1:3] for r in map(eval, brute(rows))}
     for i, text in rows:
-        a, b = words.tokens(text)
-        spelt = words.a.spells(a, np.frombuffer((" " + text).encode(), np.uint8)) and words.b.spells(b, np.frombuffer((" " + text).encode(), np.uint8))
+        a, b = both.tokens(text)
+        spelt = both.a.spells(a, np.frombuffer((" " + text).encode(), np.uint8)) and both.b.spells(b, np.frombuffer((" " + text).encode(), np.uint8))
         assert want[i] == ((len(a), len(b)) if spelt else (0, 0)), repr(text)
 
 
