@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from ..functions.tables import written
 from . import packs
 from .graph import components
+from .memory import lean, lean_beside
 from .words import Words, grams, mixed, words_of
 
 SHINGLE = 4
@@ -74,10 +75,12 @@ def described(docs: DataFrame, percent: int = PERCENT, shingle: int = SHINGLE) -
     """(doc_id, n, f1, f2, lone, tokens): set size, 128-bit fingerprint, how many shingles no other
     document has, and the other ones from rare to common; tokens are null if the set can't link."""
 
+    @lean
     def keys(table: pa.Table):
         every, _, index = shingle_sets(words_of(table.column("text"), lower=True), shingle)
         return every, np.bincount(index, minlength=len(every))
 
+    @lean_beside
     def describe(table: pa.Table, tallied: pa.Table) -> pa.Table:
         every, doc, index = shingle_sets(words_of(table.column("text"), lower=True), shingle)
         df = packs.counts_in_order(tallied).astype(np.int64)[index]
@@ -176,6 +179,7 @@ def _hubs(sets: DataFrame, border: int, percent: int) -> DataFrame:
         new = np.concatenate([[True], keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, bool)
         return keys[new], owners[new]
 
+    @lean
     def send(table: pa.Table) -> pa.Table:
         keys, least = least_first(table)
         at = packs.range_starts(keys, n)
@@ -191,6 +195,7 @@ def _hubs(sets: DataFrame, border: int, percent: int) -> DataFrame:
             }
         )
 
+    @lean
     def meet(table: pa.Table) -> pa.Table:
         """The least set of each key over all packs, given back in the order sent, as what must be added to the own one."""
         blocks = [np.cumsum(packs.restored(b, np.uint64), dtype=np.uint64) for b in table.column("keys").to_pylist()]
@@ -208,6 +213,7 @@ def _hubs(sets: DataFrame, border: int, percent: int) -> DataFrame:
             }
         )
 
+    @lean_beside
     def edges(table: pa.Table, answers: pa.Table) -> pa.Table:
         found, least = least_first(table)
         order = np.argsort(answers.column("part").to_numpy())
@@ -225,6 +231,7 @@ def _hubs(sets: DataFrame, border: int, percent: int) -> DataFrame:
 
 
 def _compare(percent: int):
+    @lean
     def compare(table: pa.Table) -> pa.Table:
         """Links among the sets of one pair of blocks: each set's number of linked rows and a link root."""
         ids = table.column("id").to_numpy()
