@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.columns import basename
-from ..functions.tables import written
+from ..functions.tables import fresh_path, written
 from ..operators import discovery, findings, scanners
+from ..operators import discovery_delta as delta
 from ..sources import files as source
 from . import views
 from .registry import query, with_views
@@ -201,16 +202,19 @@ wide AS (
   FROM all_facts GROUP BY repo)"""
 
 
+PROFILE_ROWS_SQL = with_views(
+    views.MANIFESTS_SQL, PROFILE_SQL,
+    select="""SELECT counts.repo, file_count, dependency_files, config_files,
+      CAST(0 AS BIGINT) AS ci_workflows, CAST(0 AS BIGINT) AS infra_files, CAST(0 AS BIGINT) AS auth_files,
+      CAST(0 AS BIGINT) AS api_endpoints, languages, frameworks, package_managers, api_frameworks,
+      test_frameworks, databases, integrations
+    FROM counts JOIN wide ON counts.repo = wide.repo""",
+)
+
+
 @query(
     "discovery_profile",
-    with_views(
-        views.MANIFESTS_SQL, PROFILE_SQL,
-        select="""SELECT counts.repo, file_count, dependency_files, config_files,
-          CAST(0 AS BIGINT) AS ci_workflows, CAST(0 AS BIGINT) AS infra_files, CAST(0 AS BIGINT) AS auth_files,
-          CAST(0 AS BIGINT) AS api_endpoints, languages, frameworks, package_managers, api_frameworks,
-          test_frameworks, databases, integrations
-        FROM counts JOIN wide ON counts.repo = wide.repo""",
-    ),
+    PROFILE_ROWS_SQL,
 )
 def discovery_profile(spark, folder):
     files = stored_application(spark, folder)
@@ -221,6 +225,19 @@ def discovery_profile(spark, folder):
     )
 
 
+@query("discovery_delta", PROFILE_ROWS_SQL)
+def discovery_delta(spark, folder):
+    """The same profile, from an earlier state of the fleet and the files that were added, edited and removed since."""
+    files = stored_application(spark, folder)
+    store = fresh_path(spark, "contents")
+    delta.store_contents(files, store, digits=1)
+    state = delta.begun(views.earlier_files(files))
+    now = delta.advanced(
+        state, written(delta.digests(files), "digests"), lambda wanted: delta.stored_contents(spark, store, wanted, digits=1)
+    )
+    return delta.profile(now).select("repo", "api_endpoints", *discovery.PATH_COUNTS, *listed(*discovery.PROFILE_LISTS))
+
+
 @query(
     "discovery_incremental",
     docs(

@@ -1,16 +1,45 @@
 """Streaming queries. Each drains its source and gives the sink as a table."""
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tables import fresh_path
+from ..functions.tables import fresh_path, written
 from ..streaming import jobs
 from . import views
-from .registry import query, with_views
+from .registry import SQL, query, with_views
 from .scanner_queries import SECRET_SQL
 
 
+PARTS = 3
+
+
+def dealt(rows: DataFrame, by: str, path: str, first: int = 0, parts: int = PARTS) -> str:
+    """Write ``rows`` as ``parts`` files in the order of ``by``, each later than the one before."""
+    low, high = rows.agg(F.min(by), F.max(by)).first()
+    borders = [low + (high - low) * k / parts for k in range(1, parts)] if low is not None else []
+    for k in range(parts):
+        part = rows
+        if k and borders:
+            part = part.where(F.col(by) >= F.lit(borders[k - 1]))
+        if k < len(borders):
+            part = part.where(F.col(by) < F.lit(borders[k]))
+        part.coalesce(1).write.parquet(f"{path}/part={first + k}")
+    return path
+
+
+def part_stream(spark, path: str, schema) -> DataFrame:
+    """One micro-batch per file."""
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path).drop("part")
+
+
+def streamed(rows: DataFrame, by: str, name: str) -> DataFrame:
+    """``rows`` as a stream that comes in several micro-batches, in the order of ``by``."""
+    path = dealt(rows, by, fresh_path(rows.sparkSession, name))
+    return part_stream(rows.sparkSession, path, rows.schema)
+
+
 def event_stream(spark, folder):
-    return jobs.stream_table(spark, folder, "events.parquet").select(
+    return streamed(views.table(spark, folder, "events"), "ts", "events").select(
         views.repo_of(F.col("user_id")).alias("repo"),
         "event_id",
         "event_type",
@@ -28,9 +57,8 @@ def event_stream(spark, folder):
     ),
 )
 def stream_scan(spark, folder):
-    texts = jobs.stream_table(spark, folder, "documents.parquet").select(
-        "doc_id", F.col("text").alias("content")
-    )
+    docs = views.table(spark, folder, "documents").select("doc_id", F.col("text").alias("content"))
+    texts = streamed(docs, "doc_id", "documents")
     return jobs.run_to_table(jobs.scan(texts).drop("pos"), "stream-scan")
 
 
@@ -63,10 +91,7 @@ def stream_issue_state(spark, folder):
         F.to_date("ts").alias("day"),
         views.observed_severity().alias("severity"),
     )
-    path = fresh_path(spark, "runs")
-    jobs.audit_runs(observed).write.parquet(f"{path}/runs.parquet")
-    schema = spark.read.parquet(f"{path}/runs.parquet").schema
-    runs = spark.readStream.schema(schema).parquet(f"{path}/runs.parquet")
+    runs = streamed(jobs.audit_runs(observed).withColumn("n", F.unix_date("day")), "n", "runs").drop("n")
     return jobs.run_to_table(jobs.issue_states(runs), "stream-issues")
 
 
@@ -80,3 +105,59 @@ def stream_issue_state(spark, folder):
 )
 def stream_daily_counts(spark, folder):
     return jobs.run_to_table(jobs.daily_counts(event_stream(spark, folder), "1 hour"), "stream-daily")
+
+
+ISSUE_STATE_SQL = SQL["stream_issue_state"]
+
+
+@query("stream_issue_corrections", ISSUE_STATE_SQL)
+def stream_issue_corrections(spark, folder):
+    """The issue life cycle where some days come last, in two runs of which the second goes on from the first's checkpoint."""
+    observed = views.table(spark, folder, "events").select(
+        views.repo_of(F.col("user_id")).alias("repo"), F.to_date("ts").alias("day"), views.observed_severity().alias("severity")
+    )
+    runs = written(jobs.audit_runs(observed).withColumn("n", F.unix_date("day")), "runs")
+    late = F.pmod(F.xxhash64("repo", "day"), F.lit(11)) == 0
+    path = dealt(runs.where(~late), "n", fresh_path(spark, "runs"))
+    sink = fresh_path(spark, "corrections")
+    for more in (None, runs.where(late)):
+        if more is not None:
+            dealt(more, "n", path, first=PARTS, parts=1)
+        stream = part_stream(spark, path, runs.schema).drop("n")
+        told = jobs.run_to_table(jobs.issue_corrections(stream), "corrections", sink)
+    return jobs.latest(told)
+
+
+@query(
+    "stream_run_findings",
+    with_views(
+        views.OBSERVATIONS_SQL,
+        select="""SELECT r.repo, r.event_id AS run_id, f.event_id AS finding
+          FROM (SELECT * FROM observations WHERE event_type = 'view') r
+          LEFT JOIN (SELECT * FROM observations WHERE event_type IN ('error', 'purchase')) f
+          ON r.repo = f.repo AND f.ts >= r.ts AND f.ts < r.ts + INTERVAL 6 HOUR""",
+    ),
+)
+def stream_run_findings(spark, folder):
+    """Findings within six hours of each run; a last row far ahead moves the watermark past all others."""
+    events = views.audit_events(spark, folder).withColumn("ts", jobs.utc_instant(F.col("ts")))
+    last = events.agg(F.max("ts").alias("ts")).where("ts IS NOT NULL")
+    ends = [last.selectExpr("'end' AS repo", "-1L AS event_id", "ts + INTERVAL 30 DAYS AS ts", f"'{kind}' AS kind") for kind in ("run", "finding")]
+    path = dealt(events, "ts", fresh_path(spark, "audit-events"))
+    dealt(ends[0].unionByName(ends[1]), "ts", path, first=PARTS, parts=1)
+    stream = part_stream(spark, path, events.schema)
+    runs = stream.where("kind = 'run'").select("repo", F.col("event_id").alias("run_id"), F.col("ts").alias("run_ts"))
+    found = stream.where("kind = 'finding'").select("repo", F.col("event_id").alias("finding"), F.col("ts").alias("found_ts"))
+    return jobs.run_to_table(jobs.run_findings(runs, found, "6 HOURS", "1 hour"), "run-findings").where("run_id >= 0")
+
+
+@query(
+    "stream_findings_table",
+    with_views(views.OBSERVATIONS_SQL, select="SELECT repo, event_id AS finding, severity FROM observations WHERE severity <> 'informational'"),
+)
+def stream_findings_table(spark, folder):
+    """A findings table kept batch by batch with a ledger."""
+    found = event_stream(spark, folder).where("severity <> 'informational'").select("repo", F.col("event_id").alias("finding"), "severity")
+    path = fresh_path(spark, "findings-table")
+    jobs.keep_table(found, path)
+    return jobs.kept_table(spark, path, "repo string, finding long, severity string, batch long")

@@ -287,6 +287,18 @@ def application_files(spark, folder) -> DataFrame:
     return server_files(spark, folder).unionByName(manifest_files(spark, folder))
 
 
+def earlier_files(files: DataFrame) -> DataFrame:
+    """The fleet before its last changes: a fifth of the files did not exist, a fifth was different, and others are gone now."""
+    turn = "pmod(xxhash64(repo, path), 5)"
+    kept = files.where(f"{turn} <> 0").selectExpr(
+        "repo", "path", f"""IF({turn} = 1, concat('{{"dependencies":{{"koa":"1","stripe":"2"}}}} django pytest gin ', length(content)), content) AS content"""
+    )
+    lost = files.where(f"{turn} = 2").selectExpr(
+        "repo", "concat('a/', path) AS path", """IF(path LIKE '%go.mod', 'require github.com/gofiber/fiber v2', content) AS content"""
+    )
+    return kept.unionByName(lost)
+
+
 # --- orders as findings -----------------------------------------------------------------------------
 
 FINDING_SOURCES = ["scanner:routes", "tool:semgrep", "scanner:secrets", "manual"]

@@ -77,3 +77,75 @@ def test_stream_scan_equals_batch(spark, batches):
     batch = jobs.scan(spark.createDataFrame([r for part in texts for r in part], "doc_id int, content string"))
     assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, batch.collect()))
     assert rows.filter(F.col("line_no") == 2).count() == 3
+
+
+def test_a_late_day_corrects_the_next(spark, batches, tmp_path):
+    """Several micro-batches, a restart from the checkpoint, and a day that comes last."""
+    schema = "repo string, day date, active boolean"
+    parts = [[("a", day(1), True), ("b", day(1), False)], [("a", day(3), True), ("b", day(4), True)], [("a", day(4), False)]]
+    stream = batches(schema, *parts)
+    path = str(tmp_path / "run")
+    first = jobs.run_to_table(jobs.issue_corrections(stream), "corrections", path)
+    assert {(r.repo, r.day.day, r.mutation) for r in jobs.latest(first).collect()} == {
+        ("a", 1, "create"), ("a", 3, "update"), ("a", 4, "close"), ("b", 1, "noop"), ("b", 4, "create"),
+    }
+    late = [("a", day(2), False), ("b", day(2), True), ("a", day(4), False)]
+    spark.createDataFrame(late, schema).coalesce(1).write.parquet(str(tmp_path / "in/late"))
+    told = jobs.run_to_table(jobs.issue_corrections(stream), "corrections", path)
+    assert {(r.repo, r.day.day, r.mutation) for r in jobs.latest(told).collect()} == {
+        ("a", 1, "create"), ("a", 2, "close"), ("a", 3, "create"), ("a", 4, "close"), ("b", 1, "noop"), ("b", 2, "create"), ("b", 4, "update"),
+    }
+    assert told.where("version > 0").count() == 2
+
+
+def test_corrections_equal_a_recount():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(50):
+        known, last = {}, {}
+        days = [(rng.randrange(30), rng.random() < 0.5) for _ in range(25)]
+        for k in range(0, 25, 5):
+            rows, known = jobs.corrected(known, dict(days[k : k + 5]))
+            last |= {d: (a, m) for d, a, m, _ in rows}
+        final = dict(days)
+        was = False
+        for d in sorted(final):
+            want = ("update" if was else "create") if final[d] else ("close" if was else "noop")
+            assert last[d] == (final[d], want)
+            was = final[d]
+
+
+def test_runs_with_and_without_findings(batches):
+    schema = "kind string, repo string, n int, ts timestamp"
+    parts = [
+        [("run", "a", 1, at(1)), ("found", "a", 10, at(1, 2)), ("run", "b", 2, at(1))],
+        [("found", "b", 11, at(1, 7)), ("run", "a", 3, at(2)), ("found", "a", 12, at(1, 3))],
+        [("run", "end", -1, at(20)), ("found", "end", -1, at(20))],
+    ]
+    stream = batches(schema, *parts)
+    runs = stream.where("kind = 'run'").selectExpr("repo", "n AS run_id", "ts AS run_ts")
+    found = stream.where("kind = 'found'").selectExpr("repo", "n AS finding", "ts AS found_ts")
+    rows = jobs.run_to_table(jobs.run_findings(runs, found, "6 HOURS", "2 days"), "run-findings").where("run_id > 0").collect()
+    assert sorted((r.run_id, r.finding or 0) for r in rows) == [(1, 10), (1, 12), (2, 0), (3, 0)]
+
+
+def test_kept_table_survives_a_failure_between_write_and_commit(spark, batches, tmp_path):
+    schema = "repo string, n int"
+    stream = batches(schema, [("a", 1), ("b", 2)], [("a", 3)], [("c", 4)])
+    path, failed = str(tmp_path / "kept"), []
+
+    def broken(session, at, batch, rows):
+        if batch == 1 and not failed:
+            failed.append(batch)
+            raise RuntimeError("lost before the commit")
+        jobs.commit(session, at, batch, rows)
+
+    with pytest.raises(Exception, match="lost before the commit"):
+        jobs.keep_table(stream, path, broken)
+    kept = "repo string, n int, batch long"
+    assert sorted(r.n for r in jobs.kept_table(spark, path, kept).collect()) == [1, 2]
+    jobs.keep_table(stream, path, broken)
+    assert sorted(r.n for r in jobs.kept_table(spark, path, kept).collect()) == [1, 2, 3, 4]
+    jobs.keep_table(stream, path)  # nothing new
+    assert jobs.committed(spark, path) == {0, 1, 2}
