@@ -13,8 +13,10 @@ share no filter; closer pairs are missed far less. Because the code is random, t
 the data. A pair that shares several filters counts under the smallest. Long lists are cut into
 blocks, and every pair of blocks is a task. Equal vectors are one class and compared once.
 
-Edge cases: vectors that are null, zero, of another length than most (ties: the shorter), or that hold null or non-finite
-components link with nothing. Rows with a null id link with nothing, have a null component and are
+Vectors of different lengths have codes and filters of their own.
+
+Edge cases: vectors that are null, empty or zero, or that hold null or non-finite components, link with nothing.
+Vectors link with those of their own length only, whatever their size. Rows with a null id link with nothing, have a null component and are
 not kept. Repeated rows are members of their class and count as links. Other columns are not used.
 """
 
@@ -109,7 +111,14 @@ def _unit(column) -> np.ndarray:
         lists = pa.concat_arrays(lists.chunks)
     flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     rows = flat.reshape(len(lists), -1)
-    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    with np.errstate(over="ignore"):
+        norm = np.linalg.norm(rows, axis=1, keepdims=True)
+    odd = ~((norm > 1e-150) & (norm < 1e150))[:, 0]
+    if odd.any():  # squares that leave the range of doubles
+        rows = rows.copy()
+        rows[odd] /= np.abs(rows[odd]).max(axis=1, keepdims=True)
+        norm[odd] = np.linalg.norm(rows[odd], axis=1, keepdims=True)
+    return rows / norm
 
 
 def _compare(cosine: float):
@@ -160,23 +169,25 @@ def linked(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row of ``vectors(vec_id, embedding)``."""
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     e = F.col("embedding").cast("array<double>")
-    norm = F.aggregate(e, F.lit(0.0), lambda s, x: s + x * x)
-    # A null component makes the sum null, a non-finite one makes it infinite or not a number.
-    good = F.col("vec_id").isNotNull() & (norm > 0) & (norm < F.lit(math.inf))
-    lengths = rows.where(good).groupBy(F.size("embedding").alias("n")).count()
-    usual = lengths.orderBy(F.desc("count"), "n").limit(1).collect()
-    if not usual:
+    finite = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(math.inf)))
+    good = F.col("vec_id").isNotNull() & finite & F.exists(e, lambda x: x != 0)
+    lengths = rows.where(good).groupBy(F.size("embedding").alias("n")).count().orderBy("n").collect()
+    if not lengths:
         none = F.lit(0).cast("long").alias("n_links")
         return vectors.select(
             F.col("vec_id").cast("long").alias("vec_id"), none,
             F.col("vec_id").cast("long").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"),
         )
-    dims, count = usual[0]
-    per_code = max(LEAST_FILTERS, count * FILTERS_PER_VECTOR) / CODES
-    code = ProductCodes(dims, max(2, math.ceil(per_code ** (1 / BLOCKS)))).fit(cosine)
+    codes, first = {}, 0
+    for dims, count in lengths:
+        if count > 1:  # a single vector of its length has no partner
+            per_code = max(LEAST_FILTERS, count * FILTERS_PER_VECTOR) / CODES
+            code = ProductCodes(dims, max(2, math.ceil(per_code ** (1 / BLOCKS)))).fit(cosine)
+            codes[dims] = code, first
+            first += code.filters
 
     same = ["h1", "h2"]
-    usable = F.coalesce(good & (F.size("embedding") == dims), F.lit(False))
+    usable = F.coalesce(good, F.lit(False))
     hashed = rows.select(
         "vec_id",
         "embedding",
@@ -191,7 +202,18 @@ def linked(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
 
     def decode(batches):
         for batch in batches:
-            row, name = code.decode(_unit(batch.column("embedding")))
+            lists = batch.column("embedding")
+            sizes = np.diff(lists.offsets.to_numpy())
+            found = [np.zeros((2, 0), np.int64)]
+            for dims in np.unique(sizes):
+                if int(dims) in codes:
+                    code, first = codes[int(dims)]
+                    mine = np.flatnonzero(sizes == dims)
+                    row, name = code.decode(_unit(lists.take(pa.array(mine))))
+                    found.append(np.stack([mine[row], name + first]))
+            row, name = np.concatenate(found, axis=1)
+            order = np.argsort(row, kind="stable")
+            row, name = row[order], name[order]
             offsets = np.searchsorted(row, np.arange(batch.num_rows + 1)).astype(np.int32)
             yield pa.RecordBatch.from_pydict(
                 {"id": batch.column("id"), "filters": pa.ListArray.from_arrays(pa.array(offsets), pa.array(name))}

@@ -152,3 +152,13 @@ def test_vectors_odd_rows(spark):
         (5, 0, 5, True), (6, 0, 6, True), (7, 0, 7, True), (8, 0, 8, True),
     ]
     assert near_vectors.linked(spark.createDataFrame([], schema)).collect() == []
+
+
+def test_vectors_of_every_length(spark):
+    rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (4, [1.0, 2.0, 3.0]), (5, [1.0, 2.0, 3.0]), (6, [1e200, 1e200]), (7, [1.0, 1.0])]
+    rows += [(8, [2.0, 4.0, 6.1]), (9, [1e-200, 0.0]), (10, [3.0]), (11, [5.0]), (12, [-5.0]), (13, []), (14, [1.0, 2.0, 3.0, 4.0])]
+    got = near_vectors.linked(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {
+        1: (2, 1), 2: (2, 1), 3: (0, 3), 4: (2, 4), 5: (2, 4), 6: (1, 6), 7: (1, 6), 8: (2, 4), 9: (2, 1),
+        10: (1, 10), 11: (1, 10), 12: (0, 12), 13: (0, 13), 14: (0, 14),
+    }
