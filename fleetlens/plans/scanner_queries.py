@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.columns import finding_id, normal_severity
-from ..functions.tables import numbered, written
-from ..operators import coverage, ingest, scanners
+from ..functions.tables import lookup, numbered, written
+from ..operators import coverage, ingest, rule_index, scanners
 from ..sources import files as source
 from ..sources.tool_output import outputs_of, usable_outputs
 from . import views
@@ -162,6 +162,30 @@ def custom_rule_scan(spark, folder):
     return scanners.custom_rules(document_texts(spark, folder), CUSTOM_RULES)
 
 
+def word_rules(spark, folder):
+    """The custom rules, and one for every long first word of a document."""
+    fixed = lookup(spark, ["rule_no", "label", "severity", "pattern", "fix"], [(n, *rule) for n, rule in enumerate(CUSTOM_RULES)])
+    words = views.table(spark, folder, "documents").select(F.regexp_extract("text", "^[A-Za-z]{8,}", 0).alias("label")).where("label <> ''").distinct()
+    numbered = words.select(F.xxhash64("label").alias("rule_no"), "label", F.lit("low").alias("severity"), F.col("label").alias("pattern"), F.lit("").alias("fix"))
+    return fixed.unionByName(numbered)
+
+
+@query(
+    "custom_rule_index",
+    "WITH "
+    + SECRET_SQL
+    + """, words AS (SELECT DISTINCT regexp_extract(text, '^[A-Za-z]{8,}') AS label FROM documents),
+    rules AS (SELECT * FROM (VALUES """
+    + ", ".join(f"('{label}', '{severity}', '{pattern}', '{fix}')" for label, severity, pattern, fix in CUSTOM_RULES)
+    + """) t(label, severity, pattern, fix))
+    SELECT doc_id, line_no, label, severity, fix FROM lines, rules WHERE regexp_matches(line, pattern)
+    UNION ALL SELECT doc_id, line_no, label, 'low', '' FROM lines, words WHERE label <> '' AND contains(line, label)""",
+)
+def custom_rule_index(spark, folder):
+    """All rules in one pass over the contents, found by their literals."""
+    return rule_index.scan(document_texts(spark, folder), word_rules(spark, folder)).drop("rule_no")
+
+
 # --- tool ingestion ----------------------------------------------------------------------------------
 
 tools = partial(with_views, views.TOOL_ITEMS_SQL)
