@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..functions.columns import finding_id, normal_severity
 from ..functions.tables import lookup, numbered, written
-from ..operators import coverage, ingest, rule_index, scanners
+from ..operators import coverage, ingest, ingest_rejects, rule_index, scanners
 from ..sources import files as source
 from ..sources.tool_output import outputs_of, usable_outputs
 from . import views
@@ -439,3 +439,24 @@ def scope_matrix(spark, folder):
     return coverage.scope_matrix(views.settings(spark, folder)).drop(
         "tool_order", "binary", "applies_when"
     )
+
+
+@query(
+    "ingest_rejects",
+    f"""WITH d AS (
+      SELECT 'repo_' || o_custkey AS repo, o_orderkey AS run_id, o_orderkey AS k,
+             CASE WHEN o_orderkey % 500 = 0 THEN {views.LONG_DOCUMENT} ELSE o_orderkey % 4 END AS size
+      FROM orders WHERE o_orderkey % 31 <> 0),
+    t AS (SELECT * FROM (VALUES {", ".join(f"('{t}')" for t in ingest_rejects.LAYOUTS)}) t(tool)),
+    odd AS (SELECT * FROM d WHERE k % 29 <> 0 AND k % 37 <> 0 AND k % 5 = 0)
+    SELECT repo, run_id, tool, '' AS place, CASE WHEN k % 29 = 0 THEN 'not json' ELSE 'empty' END AS reason
+      FROM d, t WHERE k % 29 = 0 OR k % 37 = 0
+    UNION ALL SELECT repo, run_id, 'osv-scanner', '/results/' || (size + j), 'not a record' FROM odd, (VALUES (0), (1)) x(j)
+    UNION ALL SELECT repo, run_id, 'osv-scanner', '/results/' || (size + 2) || '/packages/' || j, 'not a record'
+      FROM odd, (VALUES (0), (1)) x(j)
+    UNION ALL SELECT repo, run_id, 'trivy', '/Results/' || j, 'not a record' FROM odd, (VALUES (2), (3)) x(j)
+    UNION ALL SELECT repo, run_id, 'trivy', '/Results/4/Vulnerabilities', 'not a list' FROM odd""",
+)
+def rejected_elements(spark, folder):
+    """What the ingest functions pass over, with place and reason."""
+    return ingest_rejects.rejects(views.tool_runs(spark, folder))

@@ -163,3 +163,29 @@ def test_lines_are_positive_whole_numbers(spark):
     cases = {"10": 10, "10.0": 10, "1e1": 10, " 7 ": 7, "0": None, "-3": None, "2.5": None, "": None, "x": None, "10d": None, "NaN": None}
     rows = spark.createDataFrame([(k,) for k in cases], "t string").select("t", line_number(F.col("t")).alias("n"))
     assert {r.t: r.n for r in rows.collect()} == cases
+
+
+def test_rejects_tell_place_and_reason(spark):
+    from fleetlens.operators.ingest_rejects import rejects
+
+    docs = [
+        ("semgrep", '{"results":[{"check_id":"a"},3,null,[]]}', "completed"), ("semgrep", "{bad", "completed"), ("semgrep", " ", "completed"),
+        ("semgrep", None, "completed"), ("semgrep", "[]", "completed"), ("semgrep", '{"results":{}}', "completed"), ("semgrep", "{bad", "error"),
+        ("gitleaks", '[{"a":1},"x"]', "completed"), ("gitleaks", "{}", "completed"), ("npm-audit", '{"vulnerabilities":{"p":1,"q":{}},"advisories":null}', "completed"),
+        ("osv-scanner", '{"results":[{"packages":[{"vulnerabilities":[{},"v"]},{"vulnerabilities":"x"}]}]}', "completed"), ("other", "{bad", "completed"),
+    ]
+    runs = spark.createDataFrame([("r", n, *d) for n, d in enumerate(docs)], "repo string, run_id int, tool string, stdout string, status string")
+    got = sorted((r.run_id, r.place, r.reason) for r in rejects(runs).collect())
+    assert got == [
+        (0, "/results/1", "not a record"), (0, "/results/2", "not a record"), (0, "/results/3", "not a record"), (1, "", "not json"),
+        (2, "", "empty"), (3, "", "empty"), (5, "/results", "not a list"), (7, "/1", "not a record"), (8, "", "not a list"),
+        (9, "/vulnerabilities/p", "not a record"), (10, "/results/0/packages/0/vulnerabilities/1", "not a record"),
+        (10, "/results/0/packages/1/vulnerabilities", "not a list"),
+    ]
+
+
+def test_osv_document_is_parsed_once(spark):
+    """The list of results is parsed in one place of the plan, however often its elements are looked at."""
+    runs = spark.createDataFrame([("r", "{}")], "repo string, stdout string")
+    plan = ingest.osv_scanner(runs)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("StructField(results,") <= 1 and plan.count("array_sort") <= 2
