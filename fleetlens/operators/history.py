@@ -145,3 +145,45 @@ def overlaps(
             )
         )
     return pairs[0].unionByName(pairs[1])
+
+
+def ages(observations: DataFrame, rule: str = "rule", days: int = 7) -> DataFrame:
+    """Streaks of every finding over the runs of its repository.
+
+    ``observations`` are (repo, rule, day) sightings, day a whole number; a repository is run on the days on which
+    it has any. A streak is a finding's unbroken series of those runs. One row per streak: its number, first and
+    last day, runs in it, whether it is still open, days until the run that found it gone, and the most sightings within
+    any ``days`` days of it. Sightings of a day are counted first, so windows hold a row per day, however many sightings there are.
+    """
+    daily = observations.dropna(subset=["repo", "day"]).groupBy("repo", rule, "day").agg(F.count("*").alias("seen"))
+    by_day = Window.partitionBy("repo").orderBy("day")
+    runs = (
+        observations.dropna(subset=["repo", "day"]).select("repo", "day").distinct()
+        .withColumn("run", F.row_number().over(by_day))
+        .withColumn("next_run", F.lead("day").over(by_day))
+    )
+    finding = Window.partitionBy("repo", rule)
+    recent = finding.orderBy("day").rangeBetween(1 - days, 0)
+    numbered = (
+        daily.join(runs, ["repo", "day"])
+        .withColumn("island", F.col("run") - F.row_number().over(finding.orderBy("day")))
+        .withColumn("recent", F.sum("seen").over(recent))
+    )
+    streaks = numbered.groupBy("repo", rule, "island").agg(
+        F.min("day").alias("first_day"),
+        F.max("day").alias("last_day"),
+        F.count("*").alias("runs"),
+        F.max_by(F.struct("next_run"), "day").getField("next_run").alias("gone_day"),
+        F.max("recent").alias("most_seen"),
+    )
+    return streaks.select(
+        "repo",
+        rule,
+        F.row_number().over(finding.orderBy("first_day")).cast("long").alias("streak"),
+        "first_day",
+        "last_day",
+        "runs",
+        F.col("gone_day").isNull().alias("open"),
+        (F.col("gone_day") - F.col("first_day")).alias("repair_days"),
+        "most_seen",
+    )

@@ -64,3 +64,33 @@ def finding_diff(spark, folder):
     """What became of the findings of a run after the edits that the view plants."""
     before, after = (views.edited_files(spark, folder, edited) for edited in (False, True))
     return versions.finding_diff(before, after, *(views.risk_lines(files) for files in (before, after)))
+
+
+@query(
+    "finding_ages",
+    with_views(
+        views.OBSERVATIONS_SQL,
+        """sightings AS (SELECT repo, event_type AS rule, CAST(day - DATE '1970-01-01' AS BIGINT) AS day, count(*) AS seen
+          FROM observations GROUP BY ALL),
+        runs AS (SELECT repo, day, row_number() OVER w AS run, lead(day) OVER w AS next_run
+          FROM (SELECT DISTINCT repo, day FROM sightings) WINDOW w AS (PARTITION BY repo ORDER BY day)),
+        islands AS (
+          SELECT s.*, next_run, run - row_number() OVER (PARTITION BY s.repo, rule ORDER BY s.day) AS island,
+                 sum(seen) OVER (PARTITION BY s.repo, rule ORDER BY s.day RANGE BETWEEN 6 PRECEDING AND CURRENT ROW) AS recent
+          FROM sightings s JOIN runs r ON s.repo = r.repo AND s.day = r.day),
+        streaks AS (
+          SELECT repo, rule, min(day) AS first_day, max(day) AS last_day, count(*) AS runs, max(recent)::BIGINT AS most_seen,
+                 CASE WHEN count(next_run) < count(*) THEN NULL ELSE max(next_run) END AS gone_day
+          FROM islands GROUP BY repo, rule, island)""",
+        select="""SELECT repo, rule, row_number() OVER (PARTITION BY repo, rule ORDER BY first_day) AS streak, first_day, last_day, runs,
+          gone_day IS NULL AS "open", gone_day - first_day AS repair_days, most_seen FROM streaks""",
+    ),
+)
+def finding_ages(spark, folder):
+    """How long findings lasted, how often they came back, and how long they took to go."""
+    seen = views.table(spark, folder, "events").select(
+        views.repo_of(F.col("user_id")).alias("repo"),
+        F.col("event_type").alias("rule"),
+        F.unix_date(F.to_date("ts")).cast("long").alias("day"),
+    )
+    return history.ages(seen)

@@ -191,3 +191,19 @@ def test_unchanged_contents_are_not_moved(spark):
     after = spark.createDataFrame([("r", "a", "x"), ("r", "b", "z\ny")], schema)
     found = spark.createDataFrame([("r", "a", 1, "A")], "repo string, path string, line int, rule string")
     assert [r.change for r in versions.finding_diff(before, after, found, found).collect()] == ["kept"]
+
+
+# --- ages -----------------------------------------------------------------------------------------------
+
+def test_ages(spark):
+    rows = [("a", "x", d) for d in (1, 2, 2, 2, 5, 9, 10)] + [("a", "y", d) for d in (2, 5, 20)] + [(None, "x", 1), ("a", "x", None), ("b", None, 3)]
+    seen = spark.createDataFrame(rows, "repo string, rule string, day long")
+    got = {(r.repo, r.rule, r.streak): tuple(r)[3:] for r in history.ages(seen, days=4).collect()}
+    assert got == {
+        # runs of a: 1, 2, 5, 9, 10, 20
+        ("a", "x", 1): (1, 10, 5, False, 19, 4),
+        ("a", "y", 1): (2, 5, 2, False, 7, 2),
+        ("a", "y", 2): (20, 20, 1, True, None, 1),
+        ("b", None, 1): (3, 3, 1, True, None, 1),
+    }
+    assert history.ages(seen.limit(0)).collect() == []
