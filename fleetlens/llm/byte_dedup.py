@@ -104,7 +104,8 @@ class Cut:
             spread[low - begin + more : stop - begin + more] = here
             grams = grams[begin - low : upto - low]
             found.append(grams[sliding(spread, more + 1, np.maximum) == grams])
-        self.anchors, self.anchor_counts = np.unique(np.concatenate(found), return_counts=True)
+        # Least hashes are small; scrambled once more they spread over all hash ranges.
+        self.anchors, self.anchor_counts = np.unique(mixed(np.concatenate(found)), return_counts=True)
         edge = np.flatnonzero(np.diff(least, prepend=np.uint64(0), append=np.uint64(0)))
         begin, stop = edge[:-1], edge[1:]
         real = least[begin] != 0 if len(begin) else np.zeros(0, bool)
@@ -112,7 +113,7 @@ class Cut:
         pieces = -(-(stop - begin) // LONGEST)
         self.begin = np.repeat(begin, pieces) + _steps(pieces) * LONGEST
         self.windows = np.minimum(np.repeat(stop, pieces) - self.begin, LONGEST)
-        self.value = least[self.begin] if len(self.begin) else np.zeros(0, np.uint64)
+        self.value = mixed(least[self.begin]) if len(self.begin) else np.zeros(0, np.uint64)
         self.end = self.begin + self.windows + window - 1
 
     def counts_of(self, found: np.ndarray) -> np.ndarray:
