@@ -61,7 +61,11 @@ class Hashes:
         """Hashes of the ``width`` bytes from each of low..high."""
         if high <= low:
             return np.zeros(0, np.uint64)
-        return mixed((self.sums[low + width : high + width] - self.sums[low:high]) * self.down[low:high])
+        out = self.sums[low + width : high + width] - self.sums[low:high]
+        out *= self.down[low:high]
+        out ^= out >> np.uint64(32)  # one round is enough to pick the least
+        out *= np.uint64(0x9FB21C651E98DF25)
+        return out
 
 
 def sliding(values: np.ndarray, width: int, best) -> np.ndarray:
@@ -81,7 +85,7 @@ def sliding(values: np.ndarray, width: int, best) -> np.ndarray:
 class Cut:
     """Windows of a pack, and their segments."""
 
-    def __init__(self, table: pa.Table, window: int, anchor: int):
+    def __init__(self, table: pa.Table, window: int, anchor: int, counted: bool = False):
         self.window = window
         self.data, self.offsets = texts_of(table.column("text"))
         n = len(self.data)
@@ -98,14 +102,14 @@ class Cut:
             here = sliding(grams, more + 1, np.minimum)
             here[~inside[low:stop]] = 0  # no window
             least[begin:stop] = here[begin - low :]
+            if not counted:
+                continue
             # Anchors are the grams that are least in some window. Where one gram is least at several places, each counts.
             upto = stop + (more if stop == total else 0)
             spread = np.zeros(upto - begin + more, np.uint64)
             spread[low - begin + more : stop - begin + more] = here
             grams = grams[begin - low : upto - low]
             found.append(grams[sliding(spread, more + 1, np.maximum) == grams])
-        # Least hashes are small; scrambled once more they spread over all hash ranges.
-        self.anchors, self.anchor_counts = np.unique(mixed(np.concatenate(found)), return_counts=True)
         edge = np.flatnonzero(np.diff(least, prepend=np.uint64(0), append=np.uint64(0)))
         begin, stop = edge[:-1], edge[1:]
         real = least[begin] != 0 if len(begin) else np.zeros(0, bool)
@@ -113,7 +117,10 @@ class Cut:
         pieces = -(-(stop - begin) // LONGEST)
         self.begin = np.repeat(begin, pieces) + _steps(pieces) * LONGEST
         self.windows = np.minimum(np.repeat(stop, pieces) - self.begin, LONGEST)
+        # Least hashes are small; scrambled once more they spread over all hash ranges.
         self.value = mixed(least[self.begin]) if len(self.begin) else np.zeros(0, np.uint64)
+        # Every anchor is that of some segment, so only its occurrences take the second look at all grams.
+        self.anchors, self.anchor_counts = np.unique(mixed(np.concatenate(found)) if counted else self.value, return_counts=True)
         self.end = self.begin + self.windows + window - 1
 
     def counts_of(self, found: np.ndarray) -> np.ndarray:
@@ -292,7 +299,7 @@ def deduped(
 
     @lean
     def keys(table: pa.Table):
-        cut = Cut(table, window, anchor)
+        cut = Cut(table, window, anchor, counted=True)
         return cut.anchors, cut.anchor_counts
 
     def ways(table: pa.Table, tallied: pa.Table):
@@ -329,6 +336,8 @@ def deduped(
         )
 
     def hot_keys(table: pa.Table, tallied: pa.Table):
+        if not (packs.counts_in_order(tallied) > hot).any():
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         cut, _, heated = ways(table, tallied)
         return cut.hot_runs(heated)
 
