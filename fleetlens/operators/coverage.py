@@ -62,7 +62,8 @@ def status_matrix(repos: DataFrame, observed: DataFrame) -> DataFrame:
     """Status of every tool for every repository; the first rule that holds decides.
 
     ``observed`` has (repo, tool, outcome, exit_code) for the tools found on the host; a tool
-    without a row there was unavailable.
+    without a row there was unavailable. It holds up to nine rows per repository, made from a column or
+    two, so Spark would take it for far smaller than it is; the hint keeps it from being broadcast.
     """
     disabled = is_disabled(F.col("disabled"), F.col("tool"))
     gated = ~gate_open(F.col("gate"), F.col("security"), F.col("dependencies"))
@@ -96,7 +97,7 @@ def status_matrix(repos: DataFrame, observed: DataFrame) -> DataFrame:
     ran = F.col("status").isin("completed", "error", "timeout")
     return (
         applicability(repos)
-        .join(observed, ["repo", "tool"], "left")
+        .join(observed.hint("merge"), ["repo", "tool"], "left")
         .select(
             "repo",
             "tool_order",
