@@ -121,14 +121,14 @@ def completion(matrix: DataFrame) -> DataFrame:
 def limitations(matrix: DataFrame, tested: DataFrame) -> DataFrame:
     """Caveats of each audit, in order: fixed ones, tools that were missing, no test framework.
 
-    ``tested`` has (repo, has_tests).
+    ``tested`` has (repo, has_tests), a row for every repository, and is not broadcast either.
     """
     missing = F.sort_array(
         F.collect_list(
             F.when(F.col("status") == "skipped-unavailable", F.struct("tool_order", "tool"))
         )
     )
-    per_repo = matrix.groupBy("repo").agg(missing.alias("missing")).join(tested, "repo", "left")
+    per_repo = matrix.groupBy("repo").agg(missing.alias("missing")).join(tested.hint("merge"), "repo", "left")
     names = F.array_join(F.transform("missing", lambda t: t["tool"]), ", ")
     lines = present(
         *[F.lit(text) for text in V.LIMITATIONS],
