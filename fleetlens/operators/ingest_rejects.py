@@ -1,15 +1,15 @@
 """What ingestion passes over, with the reason: documents that are no JSON, lists that are none, elements that are no records.
 
-A document is parsed once, into a VARIANT. Its lists are opened level by level as arrays of variants, so an odd
-element is told by its place and costs nothing else. Together with the findings, the rejects account for every
+A document is parsed once, into a VARIANT. Its lists are opened level by level as arrays of variants within its row, so
+an odd element is told by its place and costs nothing else. Together with the findings, the rejects account for every
 element that a tool wrote.
 """
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import quoted
+
 #: For each tool its lists of records, the lists within those, and so on: (path, how it is written, lists within).
 LAYOUTS = {
     "semgrep": [("results", "ARRAY", [])],
@@ -21,47 +21,53 @@ LAYOUTS = {
 }
 
 
-def _behind(rows: DataFrame, keep, **columns) -> DataFrame:
-    """Columns behind a generator, so that later references don't compute them anew."""
-    fields = ", ".join(f"'{name}', {expression}" for name, expression in columns.items())
-    return rows.selectExpr(*keep, f"inline(array(named_struct({fields})))")
+#: The place of a whole document, and no rejects, as SQL.
+_WHOLE = "''"
+NONE = "CAST(array() AS ARRAY<STRUCT<place: STRING, reason: STRING>>)"
+
+
+def _reject(place: str, reason: str) -> str:
+    return f"array(named_struct('place', {place}, 'reason', '{reason}'))"
+
+
+def _let(name: str, value: str, then: str) -> str:
+    """SQL of the array ``then``, in which ``value`` is computed once and called ``name``."""
+    return f"flatten(transform(array({value}), {name} -> {then}))"
 
 
-def _below(rows: DataFrame, keys, lists) -> list[DataFrame]:
-    """Rejects (keys, place, reason) among the ``lists`` of the records ``v`` of ``rows``."""
-    out = []
+def _below(record: str, place: str, lists, depth: int = 0) -> str:
+    """SQL for the array of rejects among the ``lists`` of a record."""
+    found = []
     for path, kind, within in lists:
-        steps = f"$.{path}" if path else "$"
-        named = f"concat(place, '/{path}')" if path else "place"
-        found = _behind(rows, keys, place=named, items=f"try_variant_get(v, '{steps}', 'variant')")
-        found = _behind(found, [*keys, "place"], items="items", kind="schema_of_variant(items)").where("kind IS NOT NULL AND kind <> 'VOID'")
-        right = F.col("kind").startswith(kind)
-        out.append(found.where(~right).select(*keys, "place", F.lit("not a list").alias("reason")))
+        held, items, x, at = (f"{name}{depth}" for name in ("held", "items", "x", "at"))
+        steps, named = (f"$.{path}", f"concat({place}, '/{path}')") if path else ("$", place)
+        below = f"concat({named}, '/', {at})"
+        deeper = _below(x, below, within, depth + 1) if within else NONE
+        each = f"IF(coalesce(startswith(schema_of_variant({x}), 'OBJECT'), false), {deeper}, {_reject(below, 'not a record')})"
         if kind == "ARRAY":
-            each = "posexplode(try_variant_get(items, '$', 'array<variant>')) AS (at, v)"
+            opened = f"try_variant_get({held}, '$', 'array<variant>')"
+            elements = f"flatten(transform({items}, ({x}, {at}) -> {each}))"
         else:
-            each = "explode(try_variant_get(items, '$', 'map<string,variant>')) AS (at, v)"
-        opened = found.where(right).selectExpr(*keys, "place", each).selectExpr(*keys, "concat(place, '/', at) AS place", "v")
-        opened = _behind(opened, [*keys, "place"], v="v", record="coalesce(startswith(schema_of_variant(v), 'OBJECT'), false)")
-        out.append(opened.where("NOT record").select(*keys, "place", F.lit("not a record").alias("reason")))
-        if within:
-            out += _below(opened.where("record").select(*keys, "place", "v"), keys, within)
-    return out
+            opened = f"try_variant_get({held}, '$', 'map<string,variant>')"
+            elements = f"flatten(map_values(transform_values({items}, ({at}, {x}) -> {each})))"
+        listed = _let(items, opened, f"IF({items} IS NULL, {_reject(named, 'not a list')}, {elements})")
+        absent = f"{held} IS NULL OR is_variant_null({held})"
+        found.append(_let(held, f"try_variant_get({record}, '{steps}', 'variant')", f"IF({absent}, {NONE}, {listed})"))
+    return f"concat({', '.join(found)})"
 
 
 def rejects(scan_runs: DataFrame, layouts=None) -> DataFrame:
     """(repo, run_id, tool, place, reason) for the completed runs of known tools.
 
     ``place`` is the path within the document, empty for the whole; reasons are empty, not json, not a list and not a record. A
-    list that is absent or null is none, and nothing is rejected.
+    list that is absent or null is none, and nothing is rejected. The runs are read once and each document gives its
+    rejects inside its row, so more tools or deeper lists cost no more passes.
     """
-    keys = ["repo", "run_id"]
-    out = []
-    for tool, lists in (layouts or LAYOUTS).items():
-        runs = scan_runs.where((F.col("status") == "completed") & (F.col("tool") == tool))
-        docs = _behind(runs, keys, place="''", stdout="stdout", v="try_parse_json(stdout)")
-        blank = F.trim(F.coalesce("stdout", F.lit(""))) == ""
-        bad = docs.where("v IS NULL").select(*keys, "place", F.when(blank, "empty").otherwise("not json").alias("reason"))
-        parts = [bad, *_below(docs.where("v IS NOT NULL").select(*keys, "place", "v"), keys, lists)]
-        out += [p.select(*keys, F.lit(tool).alias("tool"), "place", "reason") for p in parts]
-    return reduce(DataFrame.unionByName, out)
+    layouts = layouts or LAYOUTS
+    runs = scan_runs.where((F.col("status") == "completed") & F.col("tool").isin(*layouts))
+    # Behind a generator, so that the document is parsed once.
+    docs = runs.selectExpr("repo", "run_id", "tool", "inline(array(named_struct('stdout', stdout, 'v', try_parse_json(stdout))))")
+    blank = "trim(coalesce(stdout, '')) = ''"
+    by_tool = " ".join(f"WHEN {quoted(tool)} THEN {_below('v', _WHOLE, lists)}" for tool, lists in layouts.items())
+    found = f"CASE WHEN v IS NULL THEN IF({blank}, {_reject(_WHOLE, 'empty')}, {_reject(_WHOLE, 'not json')}) ELSE CASE tool {by_tool} END END"
+    return docs.selectExpr("repo", "run_id", "tool", f"inline({found})")

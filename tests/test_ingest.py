@@ -189,3 +189,20 @@ def test_osv_document_is_parsed_once(spark):
     runs = spark.createDataFrame([("r", "{}")], "repo string, stdout string")
     plan = ingest.osv_scanner(runs)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("StructField(results,") <= 1 and plan.count("array_sort") <= 2
+
+
+def test_rejects_read_the_runs_once(spark, tmp_path):
+    from fleetlens.operators.ingest_rejects import rejects
+
+    spark.createDataFrame(
+        [("r", 1, "trivy", "completed", '{"Results":[7,{"Secrets":{"a":1}}]}'), ("r", 2, "npm-audit", "completed", '{"advisories":{"a":1,"b":{}}}'),
+         ("r", 3, "gitleaks", "completed", None), ("r", 4, "gitleaks", "completed", "{}"), ("r", 5, "semgrep", "completed", '{"results":null}'),
+         ("r", 6, "osv-scanner", "completed", '{"results":[{"packages":[null,{"vulnerabilities":[[]]}]}]}')],
+        "repo string, run_id long, tool string, status string, stdout string",
+    ).write.parquet(str(tmp_path / "runs"))
+    found = rejects(spark.read.parquet(str(tmp_path / "runs")))
+    assert sorted((r.run_id, r.place, r.reason) for r in found.collect()) == [
+        (1, "/Results/0", "not a record"), (1, "/Results/1/Secrets", "not a list"), (2, "/advisories/a", "not a record"), (3, "", "empty"),
+        (4, "", "not a list"), (6, "/results/0/packages/0", "not a record"), (6, "/results/0/packages/1/vulnerabilities/0", "not a record"),
+    ]
+    assert found._jdf.queryExecution().executedPlan().toString().count("Scan parquet") == 1
