@@ -15,8 +15,10 @@ from ..functions import fixed_values as V
 from ..functions.columns import quoted
 
 
-# A table read in fewer pieces than there are cores is dealt out over this many at most.
+# A table read by fewer tasks than there are cores is dealt out over this many at least, if there are as many cores.
 SPREAD = 64
+# Rows of a table beyond twice which a task is too long; such tables are dealt out in pieces of this many.
+PIECE_ROWS = 50_000
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -26,12 +28,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def spread_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A base table whose rows are costly to scan.
 
-    Small test tables are one row group, hence one task; those are dealt out over the cores. A
-    table large enough to be read in many pieces is left as it is.
+    A row group is read by one task, however many pieces its file is cut into, so what counts is how many
+    rows each task finds (told by the footers). Where tasks are few or long, the rows are dealt out evenly; a
+    table that is read in many short tasks is left as it is.
     """
     rows = table(spark, folder, name)
+    tasks = rows.groupBy(F.spark_partition_id().alias("task")).count()
+    n, most, total = tasks.agg(F.count("*"), F.max("count"), F.sum("count")).first()
     cores = min(spark.sparkContext.defaultParallelism, SPREAD)
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    if n >= cores and most <= 2 * PIECE_ROWS:
+        return rows
+    return rows.repartition(max(cores, -(-(total or 0) // PIECE_ROWS)))
 
 
 def choose(number: str, options) -> str:

@@ -213,3 +213,15 @@ def test_each_content_pattern_stands_in_the_plan_once(fleet, monkeypatch):
     assert seen["signals"].count(V.HEADER_MECHANISM[:40]) == 1
     facts = discovery._text_facts(files)._jdf.queryExecution().optimizedPlan().toString()
     assert facts.count("lower(") == 1 and facts.count("concat_ws") == 1
+
+
+def test_long_row_groups_are_dealt_out(spark, tmp_path, monkeypatch):
+    from fleetlens.plans import views
+
+    monkeypatch.setattr(views, "PIECE_ROWS", 100)
+    spark.range(4000).coalesce(1).write.parquet(str(tmp_path / "long.parquet"))
+    rows = views.spread_table(spark, str(tmp_path), "long")
+    most = rows.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert most <= 200 and rows.count() == 4000
+    spark.range(0).write.parquet(str(tmp_path / "none.parquet"))
+    assert views.spread_table(spark, str(tmp_path), "none").count() == 0
