@@ -13,6 +13,7 @@ from ..functions.columns import (
     text_or_empty,
 )
 from ..functions.schemas import FINDING_DEFAULTS
+from ..functions.tables import written
 
 ACTIVE = "status <> 'rejected'"
 
@@ -49,8 +50,12 @@ def valid_files(findings: DataFrame) -> DataFrame:
 
 
 def with_fallback(reviewed: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Reviewed findings where a repository's file is valid as a whole, seed findings elsewhere."""
-    good = valid_files(reviewed).filter("valid").select("repo")
+    """Reviewed findings where a repository's file is valid as a whole, seed findings elsewhere.
+
+    A task holds the names of its share of the valid repositories and streams the findings past them, so findings
+    are neither sorted nor held, and the names are never whole in one place.
+    """
+    good = written(valid_files(reviewed).filter("valid").select("repo"), "valid").hint("shuffle_hash")
     return reviewed.join(good, "repo", "left_semi").unionByName(
         seeds.join(good, "repo", "left_anti")
     )

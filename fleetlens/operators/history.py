@@ -12,6 +12,10 @@ from ..functions.tables import written
 TIES = 64
 #: Rows of one key and bin beyond which the bin is split.
 HOT_BIN = 10_000
+#: Levels are rounded up to a multiple of this: fewer levels to look on, and bins at most 2^(this - 1) times as long as their periods.
+LEVEL_STEP = 4
+#: Rows are first counted by hashes of their bins to so many cells; only bins in crowded cells are counted one by one.
+CELLS = 1 << 18
 #: Where a period without an end stops; far behind any day, second or microsecond.
 FOREVER = 1 << 62
 
@@ -72,9 +76,10 @@ def as_of(
 
 
 def _level(start: Column, stop: Column) -> Column:
-    """Least level whose bins, of 2^level, are as long as the period; it then lies in two bins at most."""
+    """Least level in use whose bins, of 2^level, are as long as the period; it then lies in two bins at most."""
     length = stop - start
-    return F.when(length <= 1, F.lit(0)).otherwise(F.length(F.bin(length - 1)))
+    least = F.when(length <= 1, F.lit(0)).otherwise(F.length(F.bin(length - 1)))
+    return F.least(F.ceil(least / LEVEL_STEP) * LEVEL_STEP, F.lit(63)).cast("int")
 
 
 def _bins(level: Column) -> Column:
@@ -94,7 +99,8 @@ def overlaps(
 
     A period is filed in the one or two bins of the level that fits its length, and looks for longer ones in
     the one or two bins of every level above that occurs. So a long period costs no more rows than a short
-    one. A pair belongs to the bin in which the later of both starts. A bin with many rows is split.
+    one. A pair belongs to the bin in which the later of both starts. A bin with many rows is split; such bins are
+    few and written first, so the rows are shuffled once, with the join.
     """
     by = list(by)
     names = [*by, *(c for c in left.columns if c not in by), *(c for c in right.columns if c not in by), "start", "stop"]
@@ -124,9 +130,13 @@ def overlaps(
             .select(*by, F.col("_at").alias("_level"), "_bin", *[F.col(c).alias(f"{c}2") for c in ("_row", "_start", "_stop")])
         )
         place = [*by, "_level", "_bin"]
-        crowded = (
-            filed.groupBy(*place).count().where(F.col("count") > hot_bin)
-            .select(*place, F.ceil(F.col("count") / hot_bin).cast("int").alias("_chunks"))
+        cell = F.pmod(F.xxhash64(*place), F.lit(CELLS)).alias("_cell")
+        full = written(filed.groupBy(cell).count().where(F.col("count") > hot_bin).select("_cell"), "cells")
+        crowded = written(
+            filed.select(*place, cell).join(full, "_cell", "left_semi")
+            .groupBy(*place).count().where(F.col("count") > hot_bin)
+            .select(*place, F.ceil(F.col("count") / hot_bin).cast("int").alias("_chunks")),
+            "crowded",
         )
         chunk = F.pmod(F.xxhash64("_row", "_start", "_stop"), F.coalesce("_chunks", F.lit(1))).cast("int")
         every = F.sequence(F.lit(0), F.coalesce("_chunks", F.lit(1)) - 1)
