@@ -143,7 +143,8 @@ def overlaps(
         filed = filed.join(crowded, place, "left").withColumn("_chunk", chunk).drop("_chunks")
         asked = asked.join(crowded, place, "left").withColumn("_chunk", F.explode(every)).drop("_chunks")
         later = F.greatest("_start", "_start2")
-        met = filed.join(asked, [*place, "_chunk"]).where(
+        # Both sides are fanned out, which Spark's estimates leave out, so neither may be broadcast.
+        met = filed.join(asked.hint("merge"), [*place, "_chunk"]).where(
             (later < F.least("_stop", "_stop2")) & (F.col("_bin") == F.call_function("shiftright", later, F.col("_level")))
         )
         mine, other = ("_row", "_row2") if n == 0 else ("_row2", "_row")

@@ -207,3 +207,18 @@ def test_ages(spark):
         ("b", None, 1): (3, 3, 1, True, None, 1),
     }
     assert history.ages(seen.limit(0)).collect() == []
+
+
+def test_overlaps_shuffle_each_side_once(spark, tmp_path, monkeypatch):
+    """Looking up crowded bins moves no rows, neighbouring levels share their bins, and nothing fanned out is broadcast."""
+    spark.range(3000).selectExpr("id % 7 AS repo", "id", "id % 500 AS s").write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    left = rows.selectExpr("repo", "id AS issue", "s AS opened", "s + 1 + id % 90 AS closed")
+    right = rows.selectExpr("repo", "id AS finding", "s AS seen", "s + 1 + id % 9 AS last")
+    found = history.overlaps(left, right, ["repo"], ("opened", "closed"), ("seen", "last"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == 2 and plan.count("Exchange hashpartitioning") == 4
+    levels = left.select(history._level(history.F.col("opened"), history.F.col("closed")).alias("n")).distinct().collect()
+    assert {r.n for r in levels} == {0, 4, 8}
+    last = spark.range(1).select(history._level(history.F.lit(0), history.F.lit(history.FOREVER)).alias("n")).first().n
+    assert last <= 63
