@@ -13,9 +13,14 @@ from .scanner_queries import SECRET_SQL
 PARTS = 3
 
 
+#: Rows in a file of a part, about; a part with more has several files, so no task writes or reads it whole.
+FILE_ROWS = 100_000
+
+
 def dealt(rows: DataFrame, by: str, path: str, first: int = 0, parts: int = PARTS) -> str:
-    """Write ``rows`` as ``parts`` files in the order of ``by``, each later than the one before."""
-    low, high = rows.agg(F.min(by), F.max(by)).first()
+    """Write ``rows`` as ``parts`` parts in the order of ``by``, each later than the one before and of as many files as the others."""
+    low, high, total = rows.agg(F.min(by), F.max(by), F.count("*")).first()
+    files = max(1, -(-total // (parts * FILE_ROWS)))
     borders = [low + (high - low) * k / parts for k in range(1, parts)] if low is not None else []
     for k in range(parts):
         part = rows
@@ -23,13 +28,22 @@ def dealt(rows: DataFrame, by: str, path: str, first: int = 0, parts: int = PART
             part = part.where(F.col(by) >= F.lit(borders[k - 1]))
         if k < len(borders):
             part = part.where(F.col(by) < F.lit(borders[k]))
-        part.coalesce(1).write.parquet(f"{path}/part={first + k}")
+        name = f"{path}/part={first + k}"
+        (part.coalesce(1) if files == 1 else part.repartition(files)).write.parquet(name)
+        # Files without rows make up the number where a part has too few rows to fill them.
+        for _ in range(files - file_count(rows, name) if parts > 1 else 0):
+            rows.limit(0).coalesce(1).write.mode("append").parquet(name)
     return path
 
 
+def file_count(rows: DataFrame, path: str) -> int:
+    return len(rows.sparkSession.read.schema(rows.schema).parquet(path).inputFiles())
+
+
 def part_stream(spark, path: str, schema) -> DataFrame:
-    """One micro-batch per file."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path).drop("part")
+    """One micro-batch per part."""
+    files = len(spark.read.schema(schema).parquet(f"{path}/part=0").inputFiles())
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path).drop("part")
 
 
 def streamed(rows: DataFrame, by: str, name: str) -> DataFrame:
@@ -91,7 +105,8 @@ def stream_issue_state(spark, folder):
         F.to_date("ts").alias("day"),
         views.observed_severity().alias("severity"),
     )
-    runs = streamed(jobs.audit_runs(observed).withColumn("n", F.unix_date("day")), "n", "runs").drop("n")
+    counted = written(jobs.audit_runs(observed).withColumn("n", F.unix_date("day")), "counted")
+    runs = streamed(counted, "n", "runs").drop("n")
     return jobs.run_to_table(jobs.issue_states(runs), "stream-issues")
 
 

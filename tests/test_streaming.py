@@ -149,3 +149,21 @@ def test_kept_table_survives_a_failure_between_write_and_commit(spark, batches,
     assert sorted(r.n for r in jobs.kept_table(spark, path, kept).collect()) == [1, 2, 3, 4]
     jobs.keep_table(stream, path)  # nothing new
     assert jobs.committed(spark, path) == {0, 1, 2}
+
+
+def test_parts_have_files_of_bounded_size_and_one_batch_each(spark, tmp_path, monkeypatch):
+    from fleetlens.plans import stream_queries as queries
+
+    monkeypatch.setattr(queries, "FILE_ROWS", 50)
+    rows = spark.range(1000).selectExpr("id", "CASE WHEN id < 990 THEN id % 50 ELSE 99 + id % 2 END AS at")
+    path = queries.dealt(rows, "at", str(tmp_path / "parts"))
+    files = [queries.file_count(rows, f"{path}/part={k}") for k in range(queries.PARTS)]
+    assert files == [7] * queries.PARTS  # also the last part, of ten rows
+    seen = {}
+
+    def note(batch, number):
+        seen[number] = sorted(r["at"] for r in batch.collect())
+
+    stream = queries.part_stream(spark, path, rows.schema)
+    stream.writeStream.foreachBatch(note).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert [len(seen[k]) for k in sorted(seen)] == [len([1 for i in range(990) if i % 50 < 100 / 3]), len([1 for i in range(990) if i % 50 > 100 / 3]), 10]
