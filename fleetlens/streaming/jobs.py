@@ -5,6 +5,7 @@ available into parquet. Checkpoints and sinks live in the shared folder.
 """
 
 from collections.abc import Callable
+from datetime import date
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -91,6 +92,9 @@ def daily_counts(observations: DataFrame, delay: str) -> DataFrame:
 
 MUTATIONS = "repo string, day date, active boolean, mutation string"
 OPEN_STATE = "is_open boolean"
+#: Change of an issue by whether it was and is open.
+CHANGES = {(False, False): "noop", (False, True): "create", (True, True): "update", (True, False): "close"}
+EPOCH = date(1970, 1, 1).toordinal()
 
 
 def issue_states(runs: DataFrame) -> DataFrame:
@@ -102,18 +106,16 @@ def issue_states(runs: DataFrame) -> DataFrame:
 
     def advance(key, batches, state: GroupState):
         """Walk a repository's runs in day order, carrying whether its issue is open."""
-        days = pd.concat(list(batches)).sort_values("day", kind="stable")
-        was_open = bool(state.get[0]) if state.exists else False
-        open_after = days["active"].astype(bool)
-        open_before = open_after.shift(1, fill_value=was_open)
-        mutation = pd.Series("noop", index=days.index)
-        mutation[open_before & ~open_after] = "close"
-        mutation[~open_before & open_after] = "create"
-        mutation[open_before & open_after] = "update"
-        state.update((bool(open_after.iloc[-1]),))
-        yield pd.DataFrame(
-            {"repo": key[0], "day": days["day"], "active": open_after, "mutation": mutation}
-        )
+        rows = [row for batch in batches for row in zip(batch["day"].tolist(), batch["active"].tolist(), strict=True)]
+        rows.sort(key=lambda row: (row[0] is None, row[0]))
+        is_open = bool(state.get[0]) if state.exists else False
+        out = []
+        # Plain lists: a repository has few days in a batch, and pandas costs more than the walk.
+        for day, active in rows:
+            was_open, is_open = is_open, bool(active)
+            out.append((key[0], day, is_open, CHANGES[was_open, is_open]))
+        state.update((is_open,))
+        yield pd.DataFrame(out, columns=["repo", "day", "active", "mutation"])
 
     return runs.groupBy("repo").applyInPandasWithState(
         advance, MUTATIONS, OPEN_STATE, "append", GroupStateTimeout.NoTimeout
@@ -148,7 +150,7 @@ def corrected(known: dict[int, tuple[bool, int]], fresh: dict[int, bool]):
     out = []
     for day in sorted(touched):
         was = day in before and active[before[day]]
-        mutation = ("update" if was else "create") if active[day] else ("close" if was else "noop")
+        mutation = CHANGES[bool(was), bool(active[day])]
         versions[day] = versions.get(day, -1) + 1
         out.append((day, active[day], mutation, versions[day]))
     first = order[-1] - KEPT_DAYS if order else 0
@@ -165,15 +167,12 @@ def issue_corrections(runs: DataFrame) -> DataFrame:
         known = {d: (a, v) for d, a, v in zip(*state.get, strict=True)} if state.exists else {}
         fresh = {}
         for batch in batches:
-            days = (pd.to_datetime(batch["day"]) - pd.Timestamp(0)).dt.days
-            fresh |= {int(d): bool(a) for d, a in zip(days, batch["active"], strict=True)}
+            fresh |= {d.toordinal() - EPOCH: bool(a) for d, a in zip(batch["day"].tolist(), batch["active"].tolist(), strict=True)}
         rows, known = corrected(known, fresh)
         days = sorted(known)
         state.update((days, [known[d][0] for d in days], [known[d][1] for d in days]))
-        out = pd.DataFrame(rows, columns=["day", "active", "mutation", "version"])
-        out["day"] = (pd.Timestamp(0) + pd.to_timedelta(out["day"], unit="D")).dt.date
-        out.insert(0, "repo", key[0])
-        yield out
+        out = [(key[0], date.fromordinal(day + EPOCH), *rest) for day, *rest in rows]
+        yield pd.DataFrame(out, columns=["repo", "day", "active", "mutation", "version"])
 
     return runs.groupBy("repo").applyInPandasWithState(
         advance, CORRECTIONS, DAY_STATE, "append", GroupStateTimeout.NoTimeout
