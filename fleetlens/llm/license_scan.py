@@ -8,10 +8,11 @@ template. A file's licence is the template with the highest cosine of its units,
 a threshold. A file without one takes that of the nearest directory above it that holds a
 licence file: every directory is joined with its ancestors by path.
 
-Before tokens are joined, a unit must pass a bound that needs no template: what its tokens weigh at most in
-any template, over the root of the sum of their squared weights. Each line is cut into tokens once; bounds of
-windows and whole texts add up from those of their lines. No cosine is above its bound, so no unit is lost, and only
-units that may well be statements become rows.
+Before tokens are joined, a unit must pass three bounds. The first needs no template: what its tokens weigh at most in
+any template, over the root of the sum of their squared weights. Each line is cut into tokens once; this bound of
+windows and whole texts adds up from those of their lines. The second takes the squares of what a token's copies weigh
+together, also over several lines; the third the greatest dot product with one statement. No cosine is above its bounds,
+so no unit is lost, and only units that are all but sure to be statements become rows: lists of tokens and windows stay inside their row.
 
 Edge cases: null and empty texts have no units but inherit. A null path has no directory and the
 result of all null paths together. Rows with the same path
@@ -19,6 +20,7 @@ are one file, whose licence is the best of any of them; their lines are never pu
 path part counts as a directory. Other columns pass through, except those named like results.
 """
 
+import json
 import math
 import re
 from collections import Counter
@@ -104,51 +106,84 @@ def vectors(templates=TEMPLATES) -> tuple[list[tuple[str, int, str, float]], dic
     return rows, idf, math.log(1 + total) + 1
 
 
-def bounds(rows, idf: dict[str, float]) -> dict[str, tuple[float, float]]:
-    """For each template token what one occurrence adds at most to a dot product, and at least to the squared length."""
-    most: dict[str, float] = {}
-    for _, _, token, weight in rows:
-        most[token] = max(most.get(token, 0.0), weight)
-    return {t: (most[t] * idf[t], idf[t] ** 2) for t in idf}
+def bounds(rows, idf: dict[str, float]) -> dict[str, tuple[float, float, list[float]]]:
+    """For each template token what one occurrence adds at most to a dot product, the square of its idf, and what it adds to each statement's."""
+    each = {t: [0.0] * (1 + max(k for _, k, _, _ in rows)) for t in idf}
+    for _, k, token, weight in rows:
+        each[token][k] = weight * idf[token]
+    return {t: (max(dots), idf[t] ** 2, dots) for t, dots in each.items()}
 
 
 def candidates(files: DataFrame, rows, idf: dict[str, float], other: float, threshold: float) -> DataFrame:
-    """(row, path, line, unit): units whose bound reaches the threshold."""
-    weights = F.create_map(
-        *[x for t, (dot, square) in sorted(bounds(rows, idf).items()) for x in (F.lit(t), F.struct(F.lit(dot).alias("d"), F.lit(square).alias("s")))]
-    )
-    none = F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("s"))
-    unknown = F.struct(F.lit(0.0).alias("d"), F.lit(other**2).alias("s"))
+    """(row, path, line, unit): units whose bounds reach the threshold."""
+    table = bounds(rows, idf)
+    weights = F.from_json(F.lit(json.dumps({t: {"d": d, "s": s} for t, (d, s, _) in table.items()})), "map<string,struct<d:double,s:double>>")
+    dots_of = F.from_json(F.lit(json.dumps({t: dots for t, (_, _, dots) in table.items()})), "map<string,array<double>>")
+    nothing = F.array_repeat(F.lit(0.0), len(next(iter(table.values()))[2]))
+
+    def weighed(unknown, known):
+        """Bounds of a unit from the number of its other tokens and its template tokens, sorted: k copies of one add k * k squares."""
 
-    def added(items):
-        return F.aggregate(items, none, lambda x, y: F.struct((x["d"] + y["d"]).alias("d"), (x["s"] + y["s"]).alias("s")))
+        def step(x, t):
+            copy, w = F.when(x["last"] == t, x["copy"] + 1).otherwise(1), F.try_element_at(weights, t)
+            return F.struct(t.alias("last"), copy.alias("copy"), (x["d"] + w["d"]).alias("d"), (x["s"] + (2 * copy - 1) * w["s"]).alias("s"))
 
-    def weighed(line):
-        tokens = F.regexp_extract_all(F.lower(line), F.lit(TOKEN), F.lit(0))
-        return added(F.transform(tokens, lambda t: F.coalesce(F.try_element_at(weights, t), unknown)))
+        start = F.struct(F.lit("").alias("last"), F.lit(0).alias("copy"), F.lit(0.0).alias("d"), (unknown * other**2).alias("s"))
+        return F.aggregate(known, start, step)
 
     def reached(x):
         return (x["s"] > 0) & (x["d"] >= (threshold - 1e-9) * F.sqrt(x["s"]))
 
+    def close(x):
+        """The greatest dot product with one statement, over the same length."""
+        dots = F.aggregate(x["known"], nothing, lambda sums, t: F.zip_with(sums, F.try_element_at(dots_of, t), lambda u, v: u + v))
+        return F.array_max(dots) >= (threshold - 1e-9) * F.sqrt(x["sum"]["s"])
+
     named = F.coalesce(F.element_at(F.split("path", "/"), -1).rlike(LICENCE_FILE), F.lit(False))
+    # Each list is made by a step of its own, so that it is made once though later steps look at it more than once.
     lines = F.split("text", "\n")
-    # Behind a generator, so that lines are cut into tokens once and not for every window.
+    tokens = F.transform(lines, lambda line: F.regexp_extract_all(F.lower(line), F.lit(TOKEN), F.lit(0)))
+    split = F.transform(tokens, lambda t: F.struct(F.size(t).alias("n"), F.sort_array(F.filter(t, lambda x: x.isin(list(idf)))).alias("known")))
+    counted = F.transform(split, lambda x: F.struct((x["n"] - F.size(x["known"])).alias("unknown"), x["known"].alias("known")))
+    parts = F.transform(
+        counted, lambda x: F.struct(x["unknown"].alias("unknown"), x["known"].alias("known"), weighed(x["unknown"], x["known"]).alias("sum"))
+    )
     cut = files.where("text IS NOT NULL").select(
         F.monotonically_increasing_id().alias("row"),
         "path",
         named.alias("named"),
-        F.inline(F.array(F.struct(lines.alias("lines"), F.transform(lines, weighed).alias("parts")))),
+        F.inline(F.array(F.struct(lines.alias("lines"), parts.alias("parts")))),
     )
     n = F.size("lines")
 
+    def passing(places, size):
+        """``places`` where a unit of ``size`` lines may reach the threshold: by what its lines add up to, then by its own copies, then by one statement."""
+
+        def added(i):
+            none = F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("s"))
+            return F.aggregate(
+                F.slice("parts", i, size), none, lambda x, y: F.struct((x["d"] + y["sum"]["d"]).alias("d"), (x["s"] + y["sum"]["s"]).alias("s"))
+            )
+
+        def merged(i):
+            held = F.slice("parts", i, size)
+            return F.struct(
+                i.alias("at"),
+                F.aggregate(held, F.lit(0), lambda x, y: x + y["unknown"]).alias("unknown"),
+                F.sort_array(F.flatten(F.transform(held, lambda y: y["known"]))).alias("known"),
+            )
+
+        units = F.transform(F.filter(places, lambda i: reached(added(i))), merged)
+        whole = F.transform(units, lambda x: F.struct(x["at"].alias("at"), x["known"].alias("known"), weighed(x["unknown"], x["known"]).alias("sum")))
+        near = F.filter(whole, lambda x: reached(x["sum"]))
+        return F.transform(F.filter(near, close), lambda x: F.struct(x["at"].alias("at"), F.lit(size).alias("size")))
+
     def windows(size: int):
-        """Places of the windows of ``size`` lines that reach the bound; shorter ones at the end are units of a smaller size."""
-        starts = F.when(n >= size, F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-        passed = F.filter(starts, lambda i: reached(added(F.slice("parts", i, size))))
-        return F.transform(passed, lambda i: F.struct(i.alias("at"), F.lit(size).alias("size")))
+        """Windows of ``size`` lines; shorter ones at the end are units of a smaller size."""
+        return passing(F.when(n >= size, F.sequence(F.lit(1), F.greatest(n - size + 1, F.lit(1)))).otherwise(F.array().cast("array<int>")), size)
 
-    whole = F.when(F.col("named") & reached(added(F.col("parts"))), F.array(F.struct(F.lit(1).alias("at"), n.alias("size"))))
-    units = F.concat(*[windows(k) for k in range(1, LINES + 1)], F.coalesce(whole, F.array().cast("array<struct<at:int,size:int>>")))
+    whole = passing(F.when(F.col("named"), F.array(F.lit(1))).otherwise(F.array().cast("array<int>")), n)
+    units = F.concat(*[windows(k) for k in range(1, LINES + 1)], whole)
     return cut.select("row", "path", "lines", F.explode(units).alias("u")).select(
         "row",
         "path",

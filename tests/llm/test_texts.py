@@ -379,3 +379,15 @@ def test_licence_rows_of_one_path_and_without_id(spark, docs):
     unnamed = license_scan.as_files(docs([(None, mit, "en", "s"), (None, gpl, "en", "s"), (None, None, "en", "s"), (7, "x", "en", None)]))
     got = {r.text: r.licence for r in license_scan.scanned(unnamed).collect()}
     assert got == {mit: "MIT", gpl: "GPL-3.0", None: None, "x": None}
+
+
+def test_licence_units_of_common_words_stay_inside_their_row(spark):
+    """Prose of template words is no candidate: copies count by their square, over lines too, and one statement must give the product."""
+    rows, idf, other = license_scan.vectors()
+    rng = random.Random(4)
+    common = "the of and to in or any a is by it as".split()
+    prose = ["\n".join(" ".join(rng.choice(common) for _ in range(40)) for _ in range(6)) for _ in range(20)]
+    mit = "Released under the MIT License"
+    files = spark.createDataFrame([(f"d/{'LICENSE' if i % 5 == 0 else i}", t) for i, t in enumerate([*prose, f"x\n{mit}\ny"])], "path string, text string")
+    units = [r.unit for r in license_scan.candidates(files, rows, idf, other, license_scan.THRESHOLD).collect()]
+    assert mit in units and all("MIT" in u for u in units)
