@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from fleetlens.llm import byte_dedup
-from fleetlens.llm.suffix_array import common_prefixes, suffix_array
+from fleetlens.llm.suffix_array import common_prefixes, prefix_groups, suffix_array
 
 
 def plain(rows, window):
@@ -92,3 +92,61 @@ def test_suffix_array(n, letters):
         a, b = (text[order[k - 1] :], text[order[k] :]) if k else ([], [])
         same = [x == y for x, y in zip(a, b, strict=False)]
         assert shared == (same.index(False) if False in same else len(same))
+
+
+@pytest.mark.parametrize("depth", [1, 6, 7, 20, 64, 400])
+@pytest.mark.parametrize("letters", [1, 3, 257])
+@pytest.mark.parametrize("n", [0, 1, 9, 700])
+def test_prefix_groups(n, letters, depth):
+    """Positions are one group exactly where the next symbols are equal, and no deeper."""
+    symbols = np.random.default_rng(n + depth).integers(0, letters, n).astype(np.uint16)
+    symbols[n // 2 :] = symbols[: n - n // 2]
+    text = symbols.tolist()
+    groups = prefix_groups(symbols, depth).tolist()
+    seen = {}
+    for i, group in enumerate(groups):
+        assert seen.setdefault(group, text[i : i + depth]) == text[i : i + depth]
+    assert len(seen) == len({tuple(text[i : i + depth]) for i in range(n)})
+
+
+def test_deep_copies_are_not_sorted_to_their_ends():
+    """Long copies of one text take no more rounds than a window needs."""
+    text = np.random.default_rng(1).integers(1, 5, 5000).astype(np.uint16)
+    symbols = np.concatenate([text, [0], text, [0]])
+    rounds = []
+    sort = np.argsort
+
+    def counted(keys):
+        rounds.append(len(keys))
+        return sort(keys)
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(np, "argsort", counted)
+        prefix_groups(symbols.astype(np.uint16), 400)
+    assert len(rounds) == 5  # 7, 21, 63, 189 and 400 symbols
+
+
+def test_window_shared_with_many_texts(spark):
+    """Bytes go exactly where a window repeats, also within one text; ``n_bytes`` is the whole text's length."""
+    rng = random.Random(3)
+    body = ["".join(rng.choice("abcdefgh ") for _ in range(700)) for _ in range(3)]
+    rows = [(1, body[0]), (2, body[0][:399] + "#" + body[1]), (3, "-" + body[1][50:450]), (4, body[2] * 2), (5, body[2][300:])]
+    assert found(spark, rows) == sorted(map(repr, plain(rows, 400)))
+
+
+def test_prefix_groups_of_a_long_text():
+    """Beyond 2^21 symbols a round looks at two groups instead of three."""
+    symbols = np.random.default_rng(2).integers(0, 2, (1 << 21) + 9).astype(np.uint16)
+    groups = prefix_groups(symbols, 17)[:-16]
+    codes = sum(symbols[k : len(symbols) - 16 + k].astype(np.int64) << (16 - k) for k in range(17))
+    order = np.argsort(codes, kind="stable")
+    assert ((np.diff(codes[order]) > 0) == (np.diff(groups[order]) > 0)).all()
+    assert (np.diff(groups[order]) >= 0).all()
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 8, 21, 300])
+def test_sliding(width):
+    values = np.random.default_rng(width).integers(0, 99, 200).astype(np.uint64)
+    for best in (np.minimum, np.maximum):
+        want = [best.reduce(values[k : k + width]) for k in range(len(values) - width + 1)]
+        assert byte_dedup.sliding(values, width, best).tolist() == want
