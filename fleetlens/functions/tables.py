@@ -82,15 +82,44 @@ def lookup(spark: SparkSession, fields, rows) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(fields)})")
 
 
+# Rows of a group up to which one task numbers it, and rows that a task of a larger table gets.
+GROUP_ROWS = 100_000
+TASK_ROWS = 250_000
+
+
 def numbered(df: DataFrame, by, order, name: str = "n") -> DataFrame:
     """Number the rows of every ``by`` group from 1 in ``order``, whatever the group sizes.
 
     ``order`` must make the rows of a group distinct; rows with a NULL key are a group of their own.
+    Groups of up to ``GROUP_ROWS`` rows are numbered by a window: one shuffle, which carries only the columns
+    that are read later. Larger groups, of which there are few, are numbered in slices.
+    """
+    by, order = list(by), list(order)
+    sizes = df.groupBy(*by).agg(F.count("*").alias("_rows"))
+    most, total = sizes.agg(F.max("_rows"), F.sum("_rows")).first()
+
+    def whole(rows: DataFrame) -> DataFrame:
+        tasks = -(-(total or 0) // TASK_ROWS)
+        if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+            rows = rows.repartition(tasks, *by)
+        return rows.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
+
+    if (most or 0) <= GROUP_ROWS:
+        return whole(df)
+    keys = [f"_key{k}" for k in range(len(by))]
+    large = written(sizes.filter(F.col("_rows") > GROUP_ROWS).select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)]), "large")
+    same = reduce(Column.__and__, [df[c].eqNullSafe(large[k]) for c, k in zip(by, keys, strict=True)])
+    sliced = _numbered_in_slices(df.join(large, same, "left_semi"), by, order, name)
+    return whole(df.join(large, same, "left_anti")).unionByName(sliced)
+
+
+def _numbered_in_slices(df: DataFrame, by: list, order: list, name: str) -> DataFrame:
+    """The same for groups of any size.
+
     Rows are range-partitioned over the whole (group, order) key, so a huge group spreads over
     many slices; each slice is numbered on its own and shifted by the row count of the group's
     earlier slices. Only one count per (group, slice) crosses slices.
     """
-    by, order = list(by), list(order)
     # The slice number must not change between the two reads below, so it is written out.
     sliced = written(
         df.repartitionByRange(*by, *order).withColumn("_slice", F.spark_partition_id()), "sliced"

@@ -88,3 +88,24 @@ def test_shared_folder_is_the_configured_one(spark):
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured is not None:
         assert tables.fresh_path(spark, "x").startswith(configured.rstrip("/") + "/fleetlens/x-")
+
+
+def test_groups_beyond_the_limit_are_numbered_in_slices(spark, monkeypatch):
+    """Small groups by a window and large ones, one of them with a null key, in slices: the same numbers."""
+    monkeypatch.setattr(tables, "GROUP_ROWS", 100)
+    monkeypatch.setattr(tables, "TASK_ROWS", 500)
+    rows = skewed(spark).unionByName(spark.range(300).selectExpr("CAST(NULL AS STRING) AS repo", "'p' AS path", "CAST(id AS INT) AS k"))
+    got = tables.numbered(rows, ["repo"], ["path", "k"]).collect()
+    assert len(got) == 6300
+    expected = {}
+    for row in sorted(got, key=lambda r: (r.repo or "", r.path, r.k)):
+        expected[row.repo] = expected.get(row.repo, 0) + 1
+        assert row.n == expected[row.repo]
+
+
+def test_numbering_shuffles_only_the_columns_that_are_read(spark):
+    """One shuffle, and no join; a long text that nobody reads stays where it is."""
+    rows = tables.written(skewed(spark).withColumn("description", F.repeat(F.lit("long "), 90)))
+    plan = tables.numbered(rows, ["repo"], ["path", "k"]).select("repo", "k", "n")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    assert "description" not in plan
