@@ -176,6 +176,10 @@ def node_dependencies(files: DataFrame) -> DataFrame:
     return declared_dependencies(package_manifests(files)).select("repo", "dep").distinct()
 
 
+def _lines(cases) -> str:
+    return f"concat_ws('\\n', {', '.join(cases)})"
+
+
 def _as_facts(rows: DataFrame, cases) -> DataFrame:
     """One (repo, concern, label) row per case that holds, repeats included.
 
@@ -183,7 +187,7 @@ def _as_facts(rows: DataFrame, cases) -> DataFrame:
     are dropped before anything is exploded.
     """
     # The filter stays above the generator, so the cases are computed once.
-    facts = F.expr(f"concat_ws('\\n', {', '.join(cases)})").alias("facts")
+    facts = F.expr(_lines(cases)).alias("facts")
     found = rows.select("repo", F.inline(F.array(F.struct(facts))))
     return (
         found.filter("facts <> ''")
@@ -240,14 +244,16 @@ def node_frameworks(dependencies: DataFrame) -> DataFrame:
     return _as_facts(named, FRAMEWORK_CASES).distinct()
 
 
+PYTHON_CASES = [
+    *fact_cases("framework", MENTIONED, V.PYTHON_WEB_FRAMEWORKS),
+    *fact_cases("api_framework", MENTIONED, V.PYTHON_WEB_FRAMEWORKS),
+    *fact_cases("test_framework", MENTIONED, {"pytest": "pytest"}),
+]
+
+
 def _python_facts(manifests: DataFrame) -> DataFrame:
-    cases = [
-        *fact_cases("framework", MENTIONED, V.PYTHON_WEB_FRAMEWORKS),
-        *fact_cases("api_framework", MENTIONED, V.PYTHON_WEB_FRAMEWORKS),
-        *fact_cases("test_framework", MENTIONED, {"pytest": "pytest"}),
-    ]
     python = manifests.filter(basename(F.col("path")).isin(V.PYTHON_MANIFESTS))
-    return _as_facts(_lowered(python), cases)
+    return _as_facts(_lowered(python), PYTHON_CASES)
 
 
 def _first_manifest_facts(manifests: DataFrame) -> DataFrame:
@@ -315,6 +321,41 @@ def manifest_facts(manifests: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
+def _begins(words) -> str:
+    """Pattern of all ``words``, with one branch per first character."""
+    rest = {}
+    for word in sorted(set(words)):
+        rest.setdefault(word[0], []).append(re.escape(word[1:]))
+    branches = "|".join(f"{re.escape(c)}(?:{'|'.join(ends)})" for c, ends in rest.items())
+    return f"(?=[{''.join(map(re.escape, rest))}])(?:{branches})"
+
+
+def file_labels(first: str = "") -> Column:
+    """``concern:label`` lines that a file (``path``, ``content``) gives by itself, each once; empty for most files.
+
+    They are the facts of ``manifest_facts`` for a repository of this one file, told inside its row. Those of
+    a go.mod or Cargo.toml, of which only a repository's first one counts, begin with ``first``.
+    """
+    # One element is transformed where a text is parsed or lowered once for many tests.
+    base = "substring_index(path, '/', -1)"
+    keys = ", ".join(f"coalesce(map_keys(m.{block}), CAST(array() AS ARRAY<STRING>))" for block in DEPENDENCY_BLOCKS)
+    strict = ", ".join(quoted(x) for option in STRICT_JSON.items() for x in option)
+    # A text without the quoted beginning of a telling name, and without an escape that could spell one, need not be parsed.
+    hopeful = quoted(f'"{_begins([*FRAMEWORK_NAMES, *KEYWORDS])}|\\\\')
+    names = f"transform(array(from_json(content, {quoted(MANIFEST_SCHEMA)}, map({strict}))), m -> concat({keys}))[0]"
+    telling = f"filter({names}, dep -> dep IN ({literals(FRAMEWORK_NAMES)}) OR dep RLIKE {quoted(_starts_with(KEYWORDS))})"
+    by_name = f"array_join(transform({telling}, dep -> {_lines([*FRAMEWORK_CASES, *_keyword_cases(NAMED)])}), '\\n')"
+    go = fact_cases(f"{first}api_framework", "contains(content, {})", V.GO_WEB_FRAMEWORKS)
+    rust = fact_cases(f"{first}api_framework", MENTIONED, V.RUST_WEB_FRAMEWORKS)
+    by_text = f"""transform(array(lower(content)), lowered -> concat_ws('\\n', {_lines(_keyword_cases(MENTIONED))},
+        CASE WHEN {base} IN ({literals(V.PYTHON_MANIFESTS)}) THEN {_lines(PYTHON_CASES)}
+             WHEN {base} = 'go.mod' THEN {_lines(go)} WHEN {base} = 'Cargo.toml' THEN {_lines(rust)} END))[0]"""
+    told = f"""CASE WHEN {base} = 'package.json' THEN CASE WHEN content RLIKE {hopeful} THEN {by_name} END
+        WHEN {base} IN ({literals(V.KEYWORD_MANIFESTS)}) THEN {by_text} END"""
+    once = f"transform(array({told}), told -> IF(told <> '', array_join(array_distinct(split(told, '\\n')), '\\n'), ''))[0]"
+    return F.expr(f"CASE WHEN {base} IN ({literals(READ_MANIFESTS)}) THEN {once} ELSE '' END")
+
+
 # --- routes ----------------------------------------------------------------------------------
 
 def route_calls(lines: DataFrame) -> DataFrame:
@@ -345,6 +386,13 @@ def endpoints(files: DataFrame) -> DataFrame:
     return route_calls(lines_matching(files.filter(is_route_file(F.col("path"))), V.ROUTE_CALL))
 
 
+def route_count(path: Column, content: Column) -> Column:
+    """How many calls ``endpoints`` finds in a file, counted inside its row."""
+    calls = lambda line: F.size(F.regexp_extract_all(line, F.lit(V.ROUTE_CALL), F.lit(0)))
+    counted = F.aggregate(F.split(content, V.LINE_BREAK), F.lit(0).cast("long"), lambda n, line: n + calls(line))
+    return F.when(is_route_file(path) & content.rlike(V.ROUTE_CALL), counted).otherwise(F.lit(0).cast("long"))
+
+
 # --- one row per repository ----------------------------------------------------------------
 
 LABEL_COLUMNS = {
